@@ -1,0 +1 @@
+"""x."""
