@@ -23,7 +23,19 @@ def carry_forward(
     """
     ahead = F.lead(day).over(Window.partitionBy(*keys).orderBy(day))
     last = F.least(F.date_sub(ahead, 1), F.date_add(F.col(day), tolerance))
-    return quotes.withColumn(as_of, F.explode(F.sequence(F.col(day), last)))
+    return quotes.withColumn("_last", last).withColumn(
+        as_of, F.explode(F.sequence(F.col(day), F.col("_last")))
+    ).drop("_last")
+
+
+def on_dates(keys: DataFrame, dates: DataFrame, day: str, name: str | None = None) -> DataFrame:
+    """Every key row on every listed date.
+
+    The dates, at most one per calendar day, come in as one array literal and
+    each row is unfolded in place: no join and no shuffle of the keys.
+    """
+    listed = dates.agg(F.array_sort(F.collect_set(day))).scalar()
+    return keys.withColumn("_dates", listed).withColumn(name or day, F.explode("_dates")).drop("_dates")
 
 
 def asof_backward(

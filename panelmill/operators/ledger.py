@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .asof import overlap_join
+from .asof import on_dates, overlap_join
 from .keyed import top_n_per_key
 from .orders import signed_quantity
 from .running import running
@@ -123,7 +123,7 @@ def daily_nav(
         .unionByName(edges(held, "session", "until", zero, 1, 0))
     )
     funds = fills.select("fund").distinct()
-    wanted = funds.join(sessions.select("d"), how="cross").select(
+    wanted = on_dates(funds, sessions, "d").select(
         "fund", "d", zero.alias("cash"), zero.alias("value"), none.alias("held"), none.alias("priced")
     ).withColumn("wanted", F.lit(True))
     daily = (
@@ -209,23 +209,26 @@ def target_vs_actual(books: DataFrame, keys: tuple[str, ...] = ("fund",)) -> Dat
 def rebalanced_nav(weights: DataFrame, marks: DataFrame, periods: DataFrame) -> DataFrame:
     """NAV path (from 1.0) of a schedule of weights held between rebalances.
 
-    *weights*: (fund, start, ticker, weight); *periods*: (start, end), a few per
-    year; *marks*: (ticker, as_of, close) for every day needed. Inside a period
-    NAV grows by one plus the weighted price changes; periods chain by product.
-    Shares are fractional.
+    *weights*: (fund, start, ticker, weight); *periods*: (start, end], unfolded to
+    at most one broadcast row per calendar day; *marks*: (ticker, as_of, close)
+    for every day needed. Inside a period NAV grows by one plus the weighted
+    price changes; periods chain by product over the fund's days. Shares are
+    fractional.
     """
     base = marks.select("ticker", F.col("as_of").alias("start"), F.col("close").alias("_base"))
     placed = weights.join(base, ["ticker", "start"])
-    days = marks.join(F.broadcast(periods), (F.col("as_of") > F.col("start")) & (F.col("as_of") <= F.col("end")))
+    day_of_period = periods.select(
+        "start", "end", F.explode(F.sequence(F.date_add("start", 1), F.col("end"))).alias("as_of")
+    )
+    days = marks.join(F.broadcast(day_of_period), "as_of")
     moved = (
         placed.join(days.select("ticker", "start", "end", "as_of", "close"), ["ticker", "start"])
         .groupBy("fund", "start", "end", "as_of")
         .agg((1 + F.sum(F.col("weight") * (F.col("close") / F.col("_base") - 1))).alias("_f"))
     )
-    earlier = Window.partitionBy("fund").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    closes = moved.where(F.col("as_of") == F.col("end")).select(
-        "fund", "start", F.coalesce(F.sum(F.log("_f")).over(earlier), F.lit(0.0)).alias("_g")
-    )
-    return moved.join(closes, ["fund", "start"], "left").select(
-        "fund", F.col("as_of").alias("session"), (F.exp(F.coalesce("_g", F.lit(0.0))) * F.col("_f")).alias("nav")
+    earlier = Window.partitionBy("fund").orderBy("as_of").rowsBetween(Window.unboundedPreceding, -1)
+    chained = F.sum(F.when(F.col("as_of") == F.col("end"), F.log("_f"))).over(earlier)
+    return moved.select(
+        "fund", F.col("as_of").alias("session"),
+        (F.exp(F.coalesce(chained, F.lit(0.0))) * F.col("_f")).alias("nav"),
     )

@@ -72,6 +72,16 @@ def surprise_signal(
     )
 
 
+def request_grid(cells: DataFrame, models: DataFrame) -> DataFrame:
+    """Every (ticker, date) cell asked of every model of the mandate.
+
+    The mandate's models, a handful, come in as one array and unfold each cell.
+    """
+    listed = models.agg(F.collect_list(F.struct(*models.columns))).scalar()
+    asked = cells.withColumn("_models", listed).withColumn("_m", F.explode("_models"))
+    return asked.select(*cells.columns, "_m.*")
+
+
 SIGNAL_COLUMNS = ("model_name", "ticker", "date", "value", "abstained")
 
 

@@ -90,6 +90,10 @@ VIEWS: dict[str, tuple[str, str]] = {
         SELECT f.*, r.d AS event_day, r.idx FROM timely f JOIN returns r
           ON r.ticker = f.ticker AND r.d >= f.filing_date AND r.d <= f.filing_date + 4
         QUALIFY row_number() OVER (PARTITION BY f.filing_id ORDER BY r.d) = 1"""),
+    "snapped_all": ("filings returns", """
+        SELECT f.filing_id, r.idx FROM filings f JOIN returns r
+          ON r.ticker = f.ticker AND r.d >= f.filing_date AND r.d <= f.filing_date + 4
+        QUALIFY row_number() OVER (PARTITION BY f.filing_id ORDER BY r.d) = 1"""),
     "fits": ("snapped returns", """
         SELECT e.filing_id, coalesce(regr_intercept(r.y, r.x), avg(r.y)) AS alpha, coalesce(regr_slope(r.y, r.x), 0) AS beta,
                coalesce(regr_r2(r.y, r.x), 0) AS r_squared, count(*) AS n_obs

@@ -26,49 +26,49 @@ def read_receipts(spark: SparkSession, path: str, *, one_per_file: bool = True)
     )
 
 
+# The fields a saved document is read for.
+RECEIPT_SCHEMA = (
+    "universe ARRAY<STRING>, benchmark STRING, status STRING, as_of STRING, execution_as_of STRING, nav DOUBLE, "
+    "reason STRING, orders ARRAY<STRING>, proposal STRUCT<universe: ARRAY<STRING>>, "
+    "metrics STRUCT<total_return_pct: DOUBLE, excess_return_pct: DOUBLE>, _damaged STRING"
+)
+
+
 def summarize_receipts(receipts: DataFrame) -> DataFrame:
     """Kind and headline fields of each readable document; the rest are dropped.
 
     A document with metrics is a backtest, one marked pending is a proposal,
     anything else a run. A document that lacks a field its kind needs is dropped.
     """
-    doc = F.try_parse_json("body")
-    parsed = receipts.withColumn("_doc", doc).where(F.expr("schema_of_variant(_doc) LIKE 'OBJECT%'"))
-
-    def text(path: str):
-        return F.try_variant_get("_doc", path, "string")
-
-    def number(path: str):
-        return F.try_variant_get("_doc", path, "double")
-
+    options = {"columnNameOfCorruptRecord": "_damaged"}
+    parsed = receipts.withColumn("_d", F.from_json("body", RECEIPT_SCHEMA, options)).where(
+        "_d IS NOT NULL AND _d._damaged IS NULL"
+    )
     kind = (
-        F.when(F.expr("variant_get(_doc, '$.metrics') IS NOT NULL"), "backtest")
-        .when(text("$.status") == "pending", "pending")
+        F.when(F.col("_d.metrics").isNotNull(), "backtest")
+        .when(F.col("_d.status") == "pending", "pending")
         .otherwise("run")
     )
-    fields = parsed.withColumn("kind", kind).select(
+    tagged = parsed.withColumn("kind", kind)
+    backtest, pending, run = (F.col("kind") == k for k in ("backtest", "pending", "run"))
+    fields = tagged.select(
         *receipts.columns,
         "kind",
-        F.when(F.col("kind") == "pending", F.try_variant_get("_doc", "$.proposal.universe", "array<string>"))
-        .otherwise(F.coalesce(F.try_variant_get("_doc", "$.universe", "array<string>"), F.expr("array()")))
-        .alias("universe"),
-        F.when(F.col("kind") == "run", F.coalesce(text("$.execution_as_of"), text("$.as_of")))
-        .when(F.col("kind") == "pending", text("$.as_of")).alias("as_of"),
-        F.when(F.col("kind") == "run", number("$.nav")).alias("nav"),
-        F.when(F.col("kind") == "run", F.coalesce(
-            F.size(F.try_variant_get("_doc", "$.orders", "array<variant>")), F.lit(0))).alias("n_orders"),
-        F.when(F.col("kind") == "pending", text("$.reason")).alias("reason"),
-        F.when(F.col("kind") == "backtest", number("$.metrics.total_return_pct")).alias("total"),
-        F.when(F.col("kind") == "backtest", number("$.metrics.excess_return_pct")).alias("excess"),
-        F.when(F.col("kind") == "backtest", F.coalesce(text("$.benchmark"), F.lit("SPY"))).alias("benchmark"),
+        F.when(pending, F.col("_d.proposal.universe"))
+        .otherwise(F.coalesce("_d.universe", F.array().cast("array<string>"))).alias("universe"),
+        F.when(run, F.coalesce("_d.execution_as_of", "_d.as_of")).when(pending, F.col("_d.as_of")).alias("as_of"),
+        F.when(run, F.col("_d.nav")).alias("nav"),
+        F.when(run, F.when(F.col("_d.orders").isNotNull(), F.size("_d.orders")).otherwise(0)).alias("n_orders"),
+        F.when(pending, F.col("_d.reason")).alias("reason"),
+        F.when(backtest, F.col("_d.metrics.total_return_pct")).alias("total"),
+        F.when(backtest, F.col("_d.metrics.excess_return_pct")).alias("excess"),
+        F.when(backtest, F.coalesce("_d.benchmark", F.lit("SPY"))).alias("benchmark"),
     )
-    complete = (
-        ((F.col("kind") == "backtest") & F.col("total").isNotNull() & F.col("excess").isNotNull())
-        | ((F.col("kind") == "pending") & F.col("as_of").isNotNull() & F.col("reason").isNotNull()
-           & F.col("universe").isNotNull())
-        | ((F.col("kind") == "run") & F.col("as_of").isNotNull() & F.col("nav").isNotNull())
+    return fields.where(
+        "CASE kind WHEN 'backtest' THEN total IS NOT NULL AND excess IS NOT NULL "
+        "WHEN 'pending' THEN as_of IS NOT NULL AND reason IS NOT NULL AND universe IS NOT NULL "
+        "ELSE as_of IS NOT NULL AND nav IS NOT NULL END"
     )
-    return fields.where(complete)
 
 
 def last_run_per_fund(summaries: DataFrame, tie: str = "mtime") -> DataFrame:
