@@ -45,7 +45,7 @@ def balanced_block(text: Column) -> Column:
         F.lit(0).alias("opened"), F.lit(0).alias("cut"), F.lit(False).alias("done")
     )
     cuts = F.aggregate(closed, start, step, lambda s: F.when(s["done"], s["cut"]))
-    return F.when(cuts.isNotNull(), F.concat(F.substring_index(tail, "}", cuts), F.lit("}")))
+    return F.when(cuts.isNotNull(), F.concat(F.call_function("substring_index", tail, F.lit("}"), cuts), F.lit("}")))
 
 
 def extract_json_answer(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import round_exact
 from ..functions.text import humanize_number
 from .asof import newest_known
 
@@ -39,35 +40,58 @@ def gate_periods(grid: DataFrame, periods: DataFrame, minimum: int = MIN_PERIODS
     return counted.withColumn("reason", F.when(F.col("n_periods") < minimum, "too few filed periods"))
 
 
-def _trend(column: str) -> Column:
-    known = F.col(column).isNotNull()
-    newest = F.min_by(column, F.when(known, F.col("rank")))
-    oldest = F.max_by(column, F.when(known, F.col("rank")))
-    return F.when(F.count(column) >= 2, newest - oldest)
+# The metric columns that aggregates read.
+_SUMMARY_FIELDS = (
+    "return_on_equity", "net_margin", "gross_margin", "book_value_per_share", "debt_to_equity", "market_cap",
+)
+
+
+def _known(field: str) -> Column:
+    """Known values of a field, newest first."""
+    return F.filter(F.transform("_p", lambda p: p[field]), lambda v: v.isNotNull())
+
+
+def _average(field: str) -> Column:
+    values = _known(field)
+    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+    return F.when(F.size(values) > 0, total / F.size(values))
+
 
+def _ends(field: str) -> tuple[Column, Column, Column]:
+    values = _known(field)
+    return F.size(values), F.try_element_at(values, F.lit(1)), F.try_element_at(values, F.lit(-1))
 
-def _growth(column: str) -> Column:
+
+def _trend(field: str) -> Column:
+    n, newest, oldest = _ends(field)
+    return F.when(n >= 2, newest - oldest)
+
+
+def _growth(field: str) -> Column:
     """Annual growth between the oldest and newest known value, a quarter apart each."""
-    known = F.col(column).isNotNull()
-    newest = F.min_by(column, F.when(known, F.col("rank")))
-    oldest = F.max_by(column, F.when(known, F.col("rank")))
-    years = (F.count(column) - 1) / 4
-    return F.when(
-        (F.count(column) >= 2) & (oldest > 0) & (newest > 0), F.pow(newest / oldest, 1 / years) - 1
-    )
+    n, newest, oldest = _ends(field)
+    return F.when((n >= 2) & (oldest > 0) & (newest > 0), F.pow(newest / oldest, 1 / ((n - 1) / 4)) - 1)
 
 
 def snapshot_aggregates(periods: DataFrame) -> DataFrame:
-    """Averages, trend, growth and latest values over ranked periods, as combinable aggregates."""
-    latest = F.col("rank") == 1
-    return periods.groupBy("ticker", "as_of").agg(
-        F.count("*").alias("n_periods"),
-        F.round(F.avg("return_on_equity"), 4).alias("roe_avg"),
-        F.round(F.avg("net_margin"), 4).alias("net_margin_avg"),
-        F.round(_trend("gross_margin"), 4).alias("gross_margin_trend"),
-        F.round(_growth("book_value_per_share"), 4).alias("bvps_cagr"),
-        F.max(F.when(latest, F.col("debt_to_equity"))).alias("debt_to_equity_latest"),
-        F.max(F.when(latest, F.col("market_cap"))).alias("market_cap_latest"),
+    """Averages, trend, growth and latest values over ranked periods.
+
+    The periods of a cell, at most PERIODS, are listed newest first and summed in
+    that order, so rounding ties fall the same way on every run.
+    """
+    listed = periods.groupBy("ticker", "as_of").agg(
+        F.array_sort(F.collect_list(F.struct("rank", *_SUMMARY_FIELDS))).alias("_p")
+    )
+    newest = F.col("_p")[0]
+    return listed.select(
+        "ticker", "as_of",
+        F.size("_p").cast("bigint").alias("n_periods"),
+        round_exact(_average("return_on_equity"), 4).alias("roe_avg"),
+        round_exact(_average("net_margin"), 4).alias("net_margin_avg"),
+        round_exact(_trend("gross_margin"), 4).alias("gross_margin_trend"),
+        round_exact(_growth("book_value_per_share"), 4).alias("bvps_cagr"),
+        newest["debt_to_equity"].alias("debt_to_equity_latest"),
+        newest["market_cap"].alias("market_cap_latest"),
     )
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running
+from ..functions.scalar import round_exact
+from .running import dense_index, running
 from .series import exit_at
 
 CAPITAL, PER_TRADE, HOLD = 100_000.0, 10_000.0, 5
@@ -99,6 +100,23 @@ def equity_curve(trades: DataFrame, keys: Sequence[str], capital: float = CAPITA
     )
 
 
+def with_start(curve: DataFrame, keys: Sequence[str], capital: float = CAPITAL) -> DataFrame:
+    """The curve of each key with its opening point, the capital before any trade."""
+    opening = curve.select(*keys).distinct()
+    for name, kind in curve.dtypes:
+        if name in keys:
+            continue
+        value = F.lit(capital) if name in ("equity", "peak") else F.lit(0.0 if name == "drawdown" else None)
+        opening = opening.withColumn(name, value.cast(kind))
+    return curve.unionByName(opening)
+
+
+def number_trades(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Trades numbered from 1 by entry date, then ticker."""
+    headed = trades.withColumn("_head", F.substring("ticker", 1, 3))
+    return dense_index(headed, keys, ["entry_date", "_head"], ["ticker"], name="seq", start=1).drop("_head")
+
+
 def _ratios(
     n: Column, total: Column, mean: Column, std: Column, first: Column, last: Column
 ) -> tuple[Column, Column]:
@@ -125,7 +143,7 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str], capital: float = CAPIT
         F.count_if(F.col("direction") == "short").alias("n_short"),
         F.max_by("equity", order).alias("_end"),
         F.min("entry_date").alias("_first"), F.max_by("exit_date", order).alias("_last"),
-        F.avg(r).alias("_mean"), F.stddev_samp(r).alias("_std"),
+        (F.sum(r.cast("decimal(18,6)")).cast("double") / F.count("*")).alias("_mean"), F.stddev_samp(r).alias("_std"),
         F.max("drawdown").alias("_dd"), F.count_if(r > 0).alias("_wins"),
         F.avg("holding_days").alias("_hold"),
     )
@@ -134,11 +152,11 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str], capital: float = CAPIT
     annual, sharpe = _ratios(n, total, F.col("_mean"), F.col("_std"), F.col("_first"), F.col("_last"))
     return sums.select(
         *keys,
-        F.round(total, 6).alias("total_return_pct"), F.round(annual, 6).alias("annualized_return_pct"),
+        round_exact(total, 6).alias("total_return_pct"), F.round(annual, 6).alias("annualized_return_pct"),
         F.round(sharpe, 4).alias("sharpe_ratio"),
         F.round(F.greatest("_dd", F.lit(0.0)), 6).alias("max_drawdown_pct"),
-        F.round(F.col("_wins") / n, 4).alias("win_rate"), "n_trades", "n_long", "n_short",
-        F.round("_mean", 6).alias("avg_return_pct"), F.round("_hold", 1).alias("avg_holding_days"),
+        round_exact(F.col("_wins") / n, 4).alias("win_rate"), "n_trades", "n_long", "n_short",
+        round_exact(F.col("_mean"), 6).alias("avg_return_pct"), F.round("_hold", 1).alias("avg_holding_days"),
     )
 
 
@@ -169,10 +187,10 @@ def expanding_trade_metrics(trades: DataFrame, keys: Sequence[str], capital: flo
     annual, sharpe = _ratios(n, total, mean, F.sqrt(variance), F.col("first_entry"), F.col("exit_date"))
     return run.select(
         *keys, "ticker", "entry_date", "n_trades", "equity",
-        F.round(total, 6).alias("total_return_pct"), F.round(annual, 6).alias("annualized_return_pct"),
+        round_exact(total, 6).alias("total_return_pct"), F.round(annual, 6).alias("annualized_return_pct"),
         F.round(sharpe, 4).alias("sharpe_ratio"),
         F.round(F.greatest("max_dd", F.lit(0.0)), 6).alias("max_drawdown_pct"),
-        F.round(F.col("_wins") / n, 4).alias("win_rate"), F.round(mean, 6).alias("avg_return_pct"),
+        round_exact(F.col("_wins") / n, 4).alias("win_rate"), round_exact(mean, 6).alias("avg_return_pct"),
     )
 
 
