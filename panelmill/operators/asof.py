@@ -81,6 +81,18 @@ def snap_forward(
     )
 
 
+def spans_on_dates(
+    spans: DataFrame, dates: DataFrame, day: str, first: str, last: str, name: str
+) -> DataFrame:
+    """Each span of days on every listed date it covers, unfolded in place."""
+    listed = dates.agg(F.array_sort(F.collect_set(day))).scalar()
+    return (
+        spans.withColumn("_dates", listed)
+        .withColumn(name, F.explode(F.filter("_dates", lambda d: d.between(F.col(first), F.col(last)))))
+        .drop("_dates")
+    )
+
+
 def _months(first: Column, last: Column) -> Column:
     return F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), F.expr("INTERVAL 1 MONTH"))
 

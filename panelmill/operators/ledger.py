@@ -16,7 +16,7 @@ from .orders import signed_quantity
 from .running import running
 
 SEQ_BLOCK = 1 << 16
-MONEY = "decimal(38,6)"
+MONEY = "decimal(28,9)"  # nine decimals, and room for sums to stay exact
 
 
 def _signed(fills: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def positions_ledger(fills: DataFrame) -> DataFrame:
 def cash_ledger(fills: DataFrame, capital: Column) -> DataFrame:
     """Cash of the fund after each fill; it may go below zero and is shown so."""
     out = running(_signed(fills), ["fund"], ["session", "_block"], ["seq"], {"_run": ("sum", "_cash")})
-    return out.withColumn("cash_after", capital.cast(MONEY) + F.col("_run")).drop("_shares", "_cash", "_block", "_run")
+    return out.withColumn("cash_after", capital.cast(MONEY) + F.col("_run").cast(MONEY)).drop("_shares", "_cash", "_block", "_run")
 
 
 def closing_positions(fills: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -80,9 +80,18 @@ def daily_positions(fills: DataFrame) -> DataFrame:
 
 def daily_nav(
     fills: DataFrame, prices: DataFrame, sessions: DataFrame, capital: Column, *, carry: bool = True,
-    price_scale: int = 4,
+    price_scale: int = 9,
 ) -> DataFrame:
-    """Cash plus marked positions of every fund on every session.
+    """Cash plus marked positions of every fund on every session, as doubles."""
+    exact = exact_nav(fills, prices, sessions, capital, carry=carry, price_scale=price_scale)
+    return exact.withColumn("cash", F.col("cash").cast("double")).withColumn("nav", F.col("nav").cast("double"))
+
+
+def exact_nav(
+    fills: DataFrame, prices: DataFrame, sessions: DataFrame, capital: Column, *, carry: bool = True,
+    price_scale: int = 9,
+) -> DataFrame:
+    """Cash plus marked positions of every fund on every session, as decimals.
 
     Positions and prices are spans of days. Value changes only where a span
     starts or ends, so NAV is a running sum of changes: the (session x fund x
@@ -110,7 +119,7 @@ def daily_nav(
             F.struct(F.date_add(F.col(last), 1).alias("d"), F.lit(-1).alias("s")),
         ))
         return df.select("fund", signs.alias("_e"), value.alias("_v")).select(
-            "fund", "_e.d", zero.alias("cash"), (F.col("_v") * F.col("_e.s")).cast(MONEY).alias("value"),
+            "fund", "_e.d", zero.alias("cash"), F.when(F.col("_e.s") > 0, F.col("_v")).otherwise(-F.col("_v")).cast(MONEY).alias("value"),
             (F.col("_e.s") * held_n).cast("bigint").alias("held"),
             (F.col("_e.s") * priced_n).cast("bigint").alias("priced"),
         )
@@ -119,7 +128,7 @@ def daily_nav(
     changes = (
         _signed(fills).select("fund", F.col("session").alias("d"), F.col("_cash").alias("cash"),
                               zero.alias("value"), none.alias("held"), none.alias("priced"))
-        .unionByName(edges(priced, "seg_start", "seg_end", F.col("shares") * F.col("mark"), 0, 1))
+        .unionByName(edges(priced, "seg_start", "seg_end", (F.col("shares").cast("decimal(18,0)") * F.col("mark")).cast(MONEY), 0, 1))
         .unionByName(edges(held, "session", "until", zero, 1, 0))
     )
     funds = fills.select("fund").distinct()
@@ -133,23 +142,23 @@ def daily_nav(
     )
     upto = Window.partitionBy("fund").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     run = daily.select("fund", "d", "wanted", *[F.sum(c).over(upto).alias(c) for c in ("cash", "value", "held", "priced")])
-    cash = capital.cast(MONEY) + F.col("cash")
+    cash = capital.cast(MONEY) + F.col("cash").cast(MONEY)
     return run.where("wanted").select(
-        "fund", F.col("d").alias("session"), cash.cast("double").alias("cash"),
-        (cash + F.col("value")).cast("double").alias("nav"),
+        "fund", F.col("d").alias("session"), cash.cast(MONEY).alias("cash"),
+        (cash + F.col("value").cast(MONEY)).cast(MONEY).alias("nav"),
         F.col("held").cast("bigint").alias("n_held"), (F.col("held") - F.col("priced")).cast("bigint").alias("n_unpriced"),
     )
 
 
 def cycle_accounting(
-    fills: DataFrame, prices: DataFrame, sessions: DataFrame, capital: Column, *, price_scale: int = 4
+    fills: DataFrame, prices: DataFrame, sessions: DataFrame, capital: Column, *, price_scale: int = 9
 ) -> DataFrame:
     """Equity, cash, fill counts and NAV around each trading session of a fund.
 
     Equity before trading is NAV after it, less the traded shares at the day's
     mark, with the cash of before.
     """
-    nav = daily_nav(fills, prices, sessions, capital, price_scale=price_scale)
+    nav = exact_nav(fills, prices, sessions, capital, price_scale=price_scale)
     traded = _signed(fills).groupBy("fund", "session", "ticker").agg(
         F.sum("_shares").alias("_shares"), F.sum("_cash").alias("_cash"), F.count("*").alias("_n")
     )
@@ -166,16 +175,16 @@ def cycle_accounting(
         ["ticker", "session"], "left",
     )
     flows = marked.groupBy("fund", "session").agg(
-        F.sum("_cash").alias("_cash"),
-        F.sum((F.coalesce("mark", F.lit(0)) * F.col("_shares")).cast(MONEY)).alias("_bought"),
+        F.sum("_cash").cast(MONEY).alias("_cash"),
+        F.sum((F.coalesce("mark", F.lit(0)) * F.col("_shares").cast("decimal(18,0)")).cast(MONEY)).cast(MONEY).alias("_bought"),
         F.sum("_n").alias("n_fills"),
     )
     joined = nav.join(flows, ["fund", "session"])
-    before = F.col("cash").cast(MONEY) - F.col("_cash")
-    equity = F.col("nav").cast(MONEY) - F.col("_bought") - F.col("_cash")
+    before = F.col("cash") - F.col("_cash")
+    equity = (F.col("nav") - F.col("_bought")).cast(MONEY) - F.col("_cash")
     return joined.select(
-        "fund", "session", before.cast("double").alias("cash_before"), F.col("cash").alias("cash_after"),
-        equity.cast("double").alias("equity_before"), F.col("nav").alias("nav_after"), "n_fills",
+        "fund", "session", before.cast("double").alias("cash_before"), F.col("cash").cast("double").alias("cash_after"),
+        equity.cast("double").alias("equity_before"), F.col("nav").cast("double").alias("nav_after"), "n_fills",
         F.col("n_held").alias("n_positions"),
     )
 

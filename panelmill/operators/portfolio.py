@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import carry_forward
 from .checks import finite, missing_keys, violations
 from .keyed import with_totals
+from .risk import apply_limits
 
 TOLERANCE = 1e-9
 MODES = ("long_only", "long_short", "dollar_neutral")
@@ -160,6 +162,24 @@ def final_contributions(sleeves: DataFrame, slices: DataFrame, risked: DataFrame
     )
 
 
+def assess(
+    signals: DataFrame, marks: DataFrame, models: DataFrame, strategies: DataFrame, funds: DataFrame, *,
+    lookback: int = 7,
+) -> DataFrame:
+    """Final weights of every (fund, date) at once, over names with a recent mark.
+
+    Signals meet the latest close of the last *lookback* days; the rest is
+    blending, sleeves, netting and limits with fund and date as keys.
+    """
+    known = carry_forward(marks, ["ticker"], "d", tolerance=lookback, as_of="date").select(
+        "ticker", "date", F.col("close").alias("mark")
+    )
+    tradeable = signals.join(known, ["ticker", "date"], "left_semi")
+    sleeves = sleeve_weights(blend_convictions(staff(tradeable, models, strategies)))
+    book = net_sleeves(sleeves, strategy_slices(strategies))
+    return apply_limits(book, funds, preserves_proportions(strategies)).join(known, ["ticker", "date"])
+
+
 def validate_book(
     sleeves: DataFrame, evidence: DataFrame, contributions: DataFrame, finals: DataFrame,
     strategies: DataFrame, funds: DataFrame,

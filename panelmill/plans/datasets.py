@@ -20,7 +20,7 @@ STRATEGY_CFG = """(VALUES
   ('neutral','alpha',0.6D,'dollar_neutral',1.6D), ('neutral','beta',0.4D,'long_short',1.0D))
   AS t(fund, strategy, weight, mode, gross_target)"""
 FUND_CFG = """(VALUES
-  ('core',100000.0D,0.02D,0.8D), ('neutral',250000.0D,0.02D,1.0D))
+  ('core',100000.0D,0.0213D,0.7871D), ('neutral',250000.0D,0.0213D,0.9173D))
   AS t(fund, capital, max_position_pct, max_gross_exposure)"""
 
 

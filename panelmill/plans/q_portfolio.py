@@ -1 +1,357 @@
-"""x."""
+"""Blending, risk, orders and assessment queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import asof, funds, ledger, orders, portfolio, risk
+from ..session import stored
+from .q_study import rounded
+from .registry import query
+
+
+def fine(df, *cols):
+    """Weights are short decimals, so they are rounded well past any tie."""
+    return rounded(df, *cols, digits=10)
+
+
+def blended(t):
+    return portfolio.blend_convictions(portfolio.staff(t.signals, t.models, t.strategies))
+
+
+def sleeves(t):
+    return portfolio.sleeve_weights(blended(t))
+
+
+def slices(t):
+    return portfolio.strategy_slices(t.strategies)
+
+
+def netted(t):
+    return portfolio.net_sleeves(sleeves(t), slices(t))
+
+
+def risked(t):
+    return risk.apply_limits(netted(t), t.funds, portfolio.preserves_proportions(t.strategies))
+
+
+@query("join_model_weights", """
+    SELECT fund, strategy, date, ticker, model_name, value, vote, approach FROM staffed""", "staffed")
+def join_model_weights(t):
+    return portfolio.staff(t.signals, t.models, t.strategies).select(
+        "fund", "strategy", "date", "ticker", "model_name", "value", "vote", "approach"
+    )
+
+
+@query("blend_convictions", """
+    SELECT fund, strategy, date, ticker, round(conviction, 6) AS conviction, round(short_conviction, 6) AS short_conviction,
+           n_signals, n_abstained FROM blend""", "blend")
+def blend_convictions(t):
+    return rounded(blended(t).drop("mode", "gross_target"), "conviction", "short_conviction")
+
+
+@query("sleeve_weights", """
+    SELECT fund, strategy, date, ticker, round(score, 10) AS score, round(weight, 10) AS weight, flat_reason FROM sleeves
+    """, "sleeves")
+def sleeve_weights(t):
+    return fine(
+        sleeves(t).select("fund", "strategy", "date", "ticker", "score", "weight", "flat_reason"), "score", "weight"
+    )
+
+
+@query("net_sleeves", "SELECT fund, date, ticker, round(netted, 10) AS netted FROM netted", "netted")
+def net_sleeves(t):
+    return fine(netted(t), "netted")
+
+
+@query("clamp_positions", """
+    SELECT fund, date, ticker, round(netted, 10) AS netted, round(capped, 10) AS capped, round(gross, 10) AS gross,
+           round(final, 10) AS final FROM clamped""", "clamped")
+def clamp_positions(t):
+    book = risk.clamp_positions(netted(t), t.funds)
+    return fine(book.select("fund", "date", "ticker", "netted", "capped", "gross", "final"),
+                   "netted", "capped", "gross", "final")
+
+
+@query("scale_proportional", """
+    SELECT fund, date, ticker, round(netted, 10) AS netted, round(factor, 10) AS factor, round(final, 10) AS final FROM scaled
+    """, "scaled")
+def scale_proportional(t):
+    book = risk.scale_proportional(netted(t), t.funds)
+    return fine(book.select("fund", "date", "ticker", "netted", "factor", "final"), "netted", "factor", "final")
+
+
+@query("clamp_audit", """
+    SELECT fund, date, 'max_position_pct' AS "limit", ticker, round(netted, 10) AS before, round(capped, 10) AS after
+    FROM risked WHERE abs(netted) > max_position_pct
+    UNION ALL SELECT fund, date, 'max_gross_exposure', NULL, round(max(gross), 10), round(max(max_gross_exposure), 10)
+    FROM risked GROUP BY 1, 2 HAVING max(gross) > max(max_gross_exposure)""", "risked")
+def clamp_audit(t):
+    return fine(risk.clamp_audit(risked(t)), "before", "after")
+
+
+@query("final_contributions", """
+    SELECT fund, strategy, date, ticker, round(contribution, 10) AS contribution FROM contributions""", "contributions")
+def final_contributions(t):
+    out = portfolio.final_contributions(sleeves(t), slices(t), risked(t))
+    return fine(out.select("fund", "strategy", "date", "ticker", "contribution"), "contribution")
+
+
+def recorded_book(t):
+    """The assessed book as stored records: sleeves, contributions and final weights."""
+    held = stored(sleeves(t), "sleeves")
+    book = stored(
+        risk.apply_limits(portfolio.net_sleeves(held, slices(t)), t.funds, portfolio.preserves_proportions(t.strategies)),
+        "book",
+    )
+    parts = portfolio.final_contributions(held, slices(t), book)
+    return held, parts.select("fund", "strategy", "date", "ticker", "contribution"), book.select("fund", "date", "ticker", "final")
+
+
+VALIDATE_SQL = """
+    WITH recorded AS (SELECT s.*, c.slice, CASE WHEN s.ticker LIKE '%1' THEN -abs(s.weight) - 0.05 ELSE s.weight END AS w
+                      FROM sleeves s JOIN slices c ON c.fund = s.fund AND c.strategy = s.strategy),
+    parts AS (SELECT c.*, s.score, s.flat_reason, CASE WHEN c.ticker LIKE '%3' THEN contribution + 0.5 ELSE contribution END AS w
+              FROM contributions c JOIN sleeves s ON s.fund = c.fund AND s.strategy = c.strategy AND s.date = c.date AND s.ticker = c.ticker),
+    finals AS (SELECT fund, date, ticker, CASE WHEN ticker LIKE '%7' THEN final + 0.07 ELSE final END AS final, max_position_pct, max_gross_exposure FROM risked),
+    both_sides AS (
+      SELECT 'target' AS label, fund, strategy, date, ticker, mode, score, flat_reason, w, gross_target AS bound FROM recorded
+      UNION ALL SELECT 'contribution', fund, strategy, date, ticker, mode, score, flat_reason, w, gross_target * slice FROM parts),
+    sums AS (SELECT label, fund, strategy, date, mode, bound, sum(abs(w)) AS gross, sum(w) AS net FROM both_sides GROUP BY ALL),
+    book AS (SELECT f.*, p.combined FROM finals f JOIN (SELECT fund, date, ticker, sum(w) AS combined FROM parts GROUP BY 1, 2, 3) p
+             ON p.fund = f.fund AND p.date = f.date AND p.ticker = f.ticker)
+    SELECT rule, fund, strategy, date, ticker, round(observed, 10) AS observed, round(bound, 10) AS bound FROM (
+      SELECT 'long-only ' || label || ' negative' AS rule, fund, strategy, date, ticker, w AS observed, 0.0::DOUBLE AS bound FROM both_sides
+        WHERE mode = 'long_only' AND w < -1e-9
+      UNION ALL SELECT 'negative ' || label || ' without short evidence', fund, strategy, date, ticker, w, 0.0 FROM both_sides WHERE w < -1e-9 AND score >= 0
+      UNION ALL SELECT 'flat strategy with ' || label, fund, strategy, date, ticker, w, 0.0 FROM both_sides WHERE flat_reason IS NOT NULL AND abs(w) > 1e-9
+      UNION ALL SELECT label || ' exceeds gross target', fund, strategy, date, NULL, gross, bound FROM sums WHERE gross > bound + 1e-9
+      UNION ALL SELECT label || ' not dollar-neutral', fund, strategy, date, NULL, net, 0.0 FROM sums WHERE mode = 'dollar_neutral' AND abs(net) > 1e-9
+      UNION ALL SELECT 'contributions do not sum to final', fund, NULL, date, ticker, final, combined FROM book WHERE abs(final - combined) > 1e-9
+      UNION ALL SELECT 'final exceeds position cap', fund, NULL, date, ticker, final, max_position_pct FROM book WHERE abs(final) > max_position_pct + 1e-9
+      UNION ALL SELECT 'final exceeds gross cap', fund, NULL, date, NULL, sum(abs(final)), max(max_gross_exposure) FROM book
+        GROUP BY fund, date HAVING sum(abs(final)) > max(max_gross_exposure) + 1e-9)"""
+BOOK_VIEWS = "sleeves slices contributions risked"
+
+
+@query("validate_book", VALIDATE_SQL, BOOK_VIEWS)
+def validate_book(t):
+    """Known errors are written into the stored book, so that every rule has something to find."""
+    evidence, parts, finals = recorded_book(t)
+    wrong = F.col("ticker").endswith
+    recorded = evidence.withColumn("weight", F.when(wrong("1"), -F.abs("weight") - 0.05).otherwise(F.col("weight")))
+    parts = parts.withColumn("contribution", F.when(wrong("3"), F.col("contribution") + 0.5).otherwise(F.col("contribution")))
+    finals = finals.withColumn("final", F.when(wrong("7"), F.col("final") + 0.07).otherwise(F.col("final")))
+    found = portfolio.validate_book(recorded, evidence, parts, finals, t.strategies, t.funds)
+    return fine(found, "observed", "bound")
+
+
+@query("validate_book_clean", VALIDATE_SQL.replace("%1", "#").replace("%3", "#").replace("%7", "#"), BOOK_VIEWS)
+def validate_book_clean(t):
+    """The book as computed breaks no rule."""
+    evidence, parts, finals = recorded_book(t)
+    return portfolio.validate_book(evidence, evidence, parts, finals, t.strategies, t.funds)
+
+
+@query("union_books", """
+    SELECT coalesce(c.fund, f.fund) AS fund, coalesce(c.date, f.date) AS date, coalesce(c.ticker, f.ticker) AS ticker,
+           round(coalesce(c.combined, 0), 10) AS combined, round(coalesce(f.final, 0), 10) AS final
+    FROM (SELECT fund, date, ticker, sum(contribution) AS combined FROM contributions WHERE ticker NOT LIKE '%3' GROUP BY 1, 2, 3) c
+    FULL JOIN (SELECT fund, date, ticker, final FROM risked WHERE ticker NOT LIKE '%7') f
+      ON f.fund = c.fund AND f.date = c.date AND f.ticker = c.ticker""", "contributions risked")
+def union_books(t):
+    parts = portfolio.final_contributions(sleeves(t), slices(t), risked(t)).where(~F.col("ticker").endswith("3"))
+    finals = risked(t).where(~F.col("ticker").endswith("7"))
+    return fine(portfolio.union_books(parts, finals), "combined", "final")
+
+
+@query("assess_panel", """
+    WITH grid AS (SELECT DISTINCT ticker, date FROM signals),
+    marked AS (SELECT g.ticker, g.date, m.close AS mark FROM grid g ASOF JOIN marks m ON m.ticker = g.ticker AND m.d <= g.date
+               WHERE m.d >= g.date - 7)
+    SELECT r.fund, r.date, r.ticker, m.mark, round(r.netted, 10) AS netted, round(r.final, 10) AS final
+    FROM risked r JOIN marked m ON m.ticker = r.ticker AND m.date = r.date""", "signals marks risked")
+def assess_panel(t):
+    book = portfolio.assess(t.signals, t.marks, t.models, t.strategies, t.funds)
+    return fine(book.select("fund", "date", "ticker", "mark", "netted", "final"), "netted", "final")
+
+
+@query("strategy_mode_derivation", """
+    SELECT strategy, CASE WHEN bool_or(approach = 'long_short') THEN 'long_short' ELSE 'long_only' END AS mode,
+           CASE WHEN bool_and(model_name IN ('click', 'view', 'purchase')) THEN 'discretionary' ELSE 'systematic' END AS kind
+    FROM staffed GROUP BY 1""", "staffed")
+def strategy_mode_derivation(t):
+    staffed = portfolio.staff(t.signals, t.models, t.strategies)
+    return portfolio.strategy_modes(staffed, F.col("model_name").isin("click", "view", "purchase"))
+
+
+@query("distinct_models", """
+    SELECT 'U' || user_id AS fund, event_type AS model_name, min(event_id) AS pos FROM events GROUP BY 1, 2""")
+def distinct_models(t):
+    staffing = t.table("events").select(
+        F.concat(F.lit("U"), F.col("user_id")).alias("fund"), F.col("event_type").alias("model_name"),
+        F.col("event_id").alias("pos"),
+    )
+    return portfolio.distinct_models(staffing)
+
+
+@query("abstention_counts", """
+    SELECT fund, strategy, date, count(*) AS n_signals, count(*) FILTER (WHERE abstained) AS n_abstained FROM staffed GROUP BY 1, 2, 3
+    """, "staffed")
+def abstention_counts(t):
+    return portfolio.abstention_counts(portfolio.staff(t.signals, t.models, t.strategies))
+
+
+@query("input_violations", """
+    SELECT 'signal must be finite and within [-1, 1]' AS rule, model_name || ':' || ticker || ':' || date AS subject
+    FROM signals WHERE value + 0.3 > 1
+    UNION ALL SELECT DISTINCT 'model has no vote weight', model_name FROM signals
+      WHERE model_name NOT IN (SELECT model_name FROM models WHERE model_name <> 'view')
+    UNION ALL SELECT 'vote weight must be finite and positive', strategy || ':' || model_name FROM models WHERE weight - 1 <= 0 AND model_name <> 'view'
+    """, "signals models")
+def input_violations(t):
+    models = t.models.where("model_name <> 'view'").withColumn("weight", F.col("weight") - 1)
+    return portfolio.input_violations(t.signals.withColumn("value", F.col("value") + 0.3), models, t.strategies)
+
+
+# Month-end order books of the trading funds.
+
+
+def month_ends(t):
+    return t.market.groupBy(F.trunc("d", "MM").alias("_m")).agg(F.max("d").alias("session")).select("session")
+
+
+def positions(t):
+    horizon = t.market.agg(F.max("d")).scalar()
+    held = ledger.daily_positions(t.fills).where("shares <> 0").withColumnRenamed("session", "_from")
+    spans = held.withColumn("until", F.coalesce("until", horizon))
+    return asof.spans_on_dates(spans, month_ends(t), "session", "_from", "until", "session").select(
+        "fund", "session", "ticker", "shares"
+    )
+
+
+def targets(t):
+    cells = asof.on_dates(t.table("supplier").select("s_suppkey"), month_ends(t), "session")
+    asked = cells.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    code = F.col("s_suppkey") * 7 + F.col("_f") * 13 + F.month("session") * 5
+    return asked.where((F.col("s_suppkey") + F.col("_f")) % 3 != 0).select(
+        F.concat(F.lit("F"), F.col("_f")).alias("fund"), "session",
+        F.concat(F.lit("S"), F.col("s_suppkey")).alias("ticker"), ((code % 21 - 10) / 100).alias("weight"),
+    )
+
+
+def books(t):
+    joined = orders.join_targets_positions(targets(t), positions(t))
+    marks = asof.carry_forward(t.closes, ["ticker"], "d", tolerance=7, as_of="session")
+    return joined.join(marks.select("ticker", "session", F.col("close").alias("mark")), ["ticker", "session"]).withColumn(
+        "equity", F.lit(1_000_000.0)
+    )
+
+
+@query("join_targets_positions", """
+    SELECT coalesce(t.fund, p.fund) AS fund, coalesce(t.session, p.session) AS session, coalesce(t.ticker, p.ticker) AS ticker,
+           coalesce(t.weight, 0) AS weight, coalesce(p.shares, 0) AS shares
+    FROM targets t FULL JOIN positions p ON p.fund = t.fund AND p.session = t.session AND p.ticker = t.ticker""",
+    "targets positions")
+def join_targets_positions(t):
+    return orders.join_targets_positions(targets(t), positions(t))
+
+
+@query("delta_orders", "SELECT fund, session, ticker, side, quantity, price FROM orders_out", "orders_out")
+def delta_orders(t):
+    return orders.delta_orders(books(t))
+
+
+@query("order_sequence", """
+    SELECT fund, session, ticker, side, row_number() OVER (PARTITION BY fund, session ORDER BY side = 'buy', ticker) AS seq
+    FROM orders_out""", "orders_out")
+def order_sequence(t):
+    return orders.order_sequence(orders.delta_orders(books(t))).select("fund", "session", "ticker", "side", "seq")
+
+
+@query("projected_exposure_check", """
+    WITH after AS (SELECT b.fund, b.session, b.ticker, (b.shares + coalesce(CASE o.side WHEN 'buy' THEN o.quantity ELSE -o.quantity END, 0)) * mark / equity AS w
+      FROM books b LEFT JOIN orders_out o ON o.fund = b.fund AND o.session = b.session AND o.ticker = b.ticker)
+    SELECT fund, session, 'max_position_pct' AS "limit", ticker, round(w, 6) AS observed, 0.0985::DOUBLE AS bound FROM after WHERE abs(w) > 0.0985 + 1e-9
+    UNION ALL SELECT fund, session, 'max_gross_exposure', NULL, round(sum(abs(w)), 6), 3.33::DOUBLE FROM after GROUP BY 1, 2
+      HAVING sum(abs(w)) > 3.33 + 1e-9""", "books orders_out")
+def projected_exposure_check(t):
+    book = books(t)
+    limits = t.fills.select("fund").distinct().select(
+        "fund", F.lit(0.0985).alias("max_position_pct"), F.lit(3.33).alias("max_gross_exposure")
+    )
+    return rounded(orders.projected_violations(book, orders.delta_orders(book), limits), "observed")
+
+
+def exact_books(t):
+    """Order books with decimal amounts, whose sums do not depend on row order."""
+    return books(t).select(
+        "fund", "session", "ticker", F.col("weight").cast("decimal(18,9)").alias("weight"),
+        F.col("shares").cast("decimal(18,0)").alias("shares"), F.col("mark").cast("decimal(18,9)").alias("mark"), "equity",
+    )
+
+
+EXACT_SQL = """
+    exact AS (SELECT fund, session, CAST(weight AS DECIMAL(18,9)) AS weight,
+                     CAST(shares AS DECIMAL(18,0)) * CAST(mark AS DECIMAL(18,9)) AS held FROM books)"""
+
+
+@query("exposure_summary", f"""
+    WITH {EXACT_SQL},
+    s AS (SELECT fund, session, CAST(sum(greatest(held, 0)) AS DOUBLE) AS long_value, CAST(sum(least(held, 0)) AS DOUBLE) AS short_value
+          FROM exact GROUP BY 1, 2)
+    SELECT *, (long_value - short_value) / 1000000.0::DOUBLE AS gross, (long_value + short_value) / 1000000.0::DOUBLE AS net FROM s""", "books")
+def exposure_summary(t):
+    return ledger.exposure_summary(exact_books(t).withColumn("nav", F.col("equity")), ("fund", "session"))
+
+
+@query("target_vs_actual_net", f"""
+    WITH {EXACT_SQL},
+    s AS (SELECT fund, session, 1000000.0::DOUBLE * CAST(sum(weight) AS DOUBLE) AS target_net, CAST(sum(held) AS DOUBLE) AS actual_net
+          FROM exact GROUP BY 1, 2)
+    SELECT *, actual_net - target_net AS difference FROM s""", "books")
+def target_vs_actual_net(t):
+    return ledger.target_vs_actual(exact_books(t), ("fund", "session"))
+
+
+@query("schedule_table", """
+    SELECT d, close, d IN (SELECT max(d) FROM market GROUP BY isoyear(d), weekofyear(d)) AS rebalances,
+           CASE WHEN d IN (SELECT max(d) FROM market GROUP BY isoyear(d), weekofyear(d)) THEN lead(d) OVER (ORDER BY d) END AS execution_date
+    FROM market""", "market")
+def schedule_table(t):
+    return funds.schedule_table(t.market.select("d", "close"), "weekly")
+
+
+@query("assessment_dates", """
+    WITH w AS (SELECT d, d IN (SELECT max(d) FROM market GROUP BY isoyear(d), weekofyear(d)) AS r, lead(d) OVER (ORDER BY d) AS n FROM market)
+    SELECT d FROM w WHERE r UNION SELECT n - 1 FROM w WHERE r AND n IS NOT NULL""", "market")
+def assessment_dates(t):
+    return funds.assessment_dates(funds.schedule_table(t.market.select("d", "close"), "weekly"))
+
+
+def signal_schedule(t):
+    sessions = t.marks.groupBy("d").agg(F.max("close").alias("close"))
+    return funds.schedule_table(sessions, "weekly")
+
+
+SIGNAL_SCHEDULE_SQL = """
+    sessions AS (SELECT DISTINCT d FROM marks),
+    plan AS (SELECT d, d IN (SELECT max(d) FROM sessions GROUP BY isoyear(d), weekofyear(d)) AS rebalances,
+                    lead(d) OVER (ORDER BY d) AS next_session FROM sessions)"""
+
+
+@query("pending_proposals", f"""
+    WITH {SIGNAL_SCHEDULE_SQL} SELECT DISTINCT r.fund, r.date, 'no later session inside the window' AS reason
+    FROM risked r JOIN plan p ON p.d = r.date AND p.rebalances AND p.next_session IS NULL""", "marks risked")
+def pending_proposals(t):
+    return funds.pending_proposals(signal_schedule(t), risked(t)).select("fund", "date", "reason")
+
+
+@query("refresh_assessment", f"""
+    WITH {SIGNAL_SCHEDULE_SQL} SELECT r.fund, r.date, p.next_session AS execution_date, r.ticker, round(r.final, 10) AS final
+    FROM plan p JOIN risked r ON r.date = p.next_session - 1 WHERE p.rebalances""", "marks risked")
+def refresh_assessment(t):
+    planned = signal_schedule(t).where("execution_date IS NOT NULL").select("execution_date")
+    due = asof.on_dates(t.funds.select("fund"), planned, "execution_date")
+    out = orders.execution_views(due, risked(t).select("fund", "date", "ticker", "final"))
+    return fine(out.select("fund", "date", "execution_date", "ticker", "final"), "final")

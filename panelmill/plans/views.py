@@ -77,6 +77,95 @@ VIEWS: dict[str, tuple[str, str]] = {
     "models": ("", f"SELECT * FROM {duck(MODEL_CFG)}"),
     "strategies": ("", f"SELECT * FROM {duck(STRATEGY_CFG)}"),
     "funds": ("", f"SELECT * FROM {duck(FUND_CFG)}"),
+    "staffed": ("signals models strategies", """
+        SELECT s.fund, s.strategy, s.mode, s.gross_target, g.date, g.ticker, g.model_name, g.value, g.abstained,
+               m.weight AS vote, m.approach
+        FROM signals g JOIN models m ON m.model_name = g.model_name JOIN strategies s ON s.strategy = m.strategy"""),
+    "blend": ("staffed", """
+        SELECT fund, strategy, mode, gross_target, date, ticker,
+               coalesce(sum(vote * value) FILTER (WHERE NOT abstained) / sum(vote) FILTER (WHERE NOT abstained), 0) AS conviction,
+               coalesce(sum(vote * CASE WHEN approach = 'long_short' THEN value ELSE greatest(value, 0) END) FILTER (WHERE NOT abstained)
+                 / sum(vote) FILTER (WHERE NOT abstained), 0) AS short_conviction,
+               count(*) AS n_signals, count(*) FILTER (WHERE abstained) AS n_abstained
+        FROM staffed GROUP BY ALL"""),
+    "sleeves": ("blend", """
+        SELECT * EXCLUDE (longs, shorts), CASE WHEN flat_reason IS NOT NULL THEN 0
+                 WHEN mode = 'dollar_neutral' THEN score / CASE WHEN score > 0 THEN longs ELSE shorts END * (gross_target / 2)
+                 ELSE score / (longs + shorts) * gross_target END AS weight FROM (
+          SELECT *, CASE WHEN mode = 'dollar_neutral' AND longs < 1e-9 AND shorts < 1e-9 THEN 'no_eligible_positions'
+                         WHEN mode = 'dollar_neutral' AND longs < 1e-9 THEN 'missing_long_side'
+                         WHEN mode = 'dollar_neutral' AND shorts < 1e-9 THEN 'missing_short_side'
+                         WHEN mode <> 'dollar_neutral' AND longs + shorts < 1e-9 THEN 'no_eligible_positions' END AS flat_reason FROM (
+            SELECT *, sum(greatest(score, 0)) OVER w AS longs, sum(-least(score, 0)) OVER w AS shorts FROM (
+              SELECT *, greatest(conviction, 0) + CASE WHEN mode = 'long_only' THEN 0 ELSE least(short_conviction, 0) END AS score
+              FROM blend) WINDOW w AS (PARTITION BY fund, strategy, date)))"""),
+    "slices": ("strategies", """
+        SELECT fund, strategy, weight / sum(weight) OVER (PARTITION BY fund) AS slice FROM strategies"""),
+    "netted": ("sleeves slices", """
+        SELECT s.fund, s.date, s.ticker, sum(c.slice * s.weight) AS netted
+        FROM sleeves s JOIN slices c ON c.fund = s.fund AND c.strategy = s.strategy GROUP BY 1, 2, 3"""),
+    "clamped": ("netted funds", """
+        SELECT *, capped * CASE WHEN gross > max_gross_exposure THEN max_gross_exposure / gross ELSE 1 END AS final FROM (
+          SELECT *, sum(abs(capped)) OVER (PARTITION BY fund, date) AS gross FROM (
+            SELECT n.*, f.max_position_pct, f.max_gross_exposure,
+                   sign(netted) * least(abs(netted), max_position_pct) AS capped
+            FROM netted n JOIN funds f ON f.fund = n.fund))"""),
+    "scaled": ("netted funds", """
+        SELECT *, capped * second AS final, first_factor * second AS factor FROM (
+          SELECT *, CASE WHEN gross > max_gross_exposure THEN max_gross_exposure / gross ELSE 1 END AS second FROM (
+            SELECT *, netted * first_factor AS capped, sum(abs(netted * first_factor)) OVER (PARTITION BY fund, date) AS gross FROM (
+              SELECT n.*, f.max_position_pct, f.max_gross_exposure,
+                     least(1, max_position_pct / nullif(max(abs(netted)) OVER (PARTITION BY n.fund, n.date), 0)) AS first_factor
+              FROM netted n JOIN funds f ON f.fund = n.fund)))"""),
+    "risked": ("clamped scaled", """
+        SELECT fund, date, ticker, netted, capped, gross, final, NULL::DOUBLE AS factor, max_position_pct, max_gross_exposure
+        FROM clamped WHERE fund = 'core'
+        UNION ALL SELECT fund, date, ticker, netted, capped, gross, final, factor, max_position_pct, max_gross_exposure
+        FROM scaled WHERE fund = 'neutral'"""),
+    "contributions": ("sleeves slices risked", """
+        SELECT s.fund, s.strategy, s.date, s.ticker, s.mode, s.gross_target, c.slice,
+               c.slice * s.weight * coalesce(r.factor, CASE WHEN r.netted <> 0 THEN r.final / r.netted ELSE 1 END) AS contribution
+        FROM sleeves s JOIN slices c ON c.fund = s.fund AND c.strategy = s.strategy
+        JOIN risked r ON r.fund = s.fund AND r.date = s.date AND r.ticker = s.ticker"""),
+    # Month-end order books of the trading funds.
+    "month_ends": ("market", "SELECT max(d) AS session FROM market GROUP BY year(d), month(d)"),
+    "held": ("fills", """
+        SELECT fund, ticker, session, lead(session) OVER w AS next_session,
+               sum(moved) OVER (PARTITION BY fund, ticker ORDER BY session) AS shares
+        FROM (SELECT fund, ticker, session, sum(CASE side WHEN 'buy' THEN quantity ELSE -quantity END) AS moved
+              FROM fills GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY fund, ticker ORDER BY session)"""),
+    "positions": ("held month_ends", """
+        SELECT h.fund, m.session, h.ticker, CAST(h.shares AS BIGINT) AS shares FROM held h JOIN month_ends m
+          ON m.session >= h.session AND (h.next_session IS NULL OR m.session < h.next_session) WHERE h.shares <> 0"""),
+    "targets": ("month_ends", """
+        SELECT 'F' || f AS fund, session, 'S' || s_suppkey AS ticker,
+               ((s_suppkey * 7 + f * 13 + month(session) * 5) % 21 - 10) / 100 AS weight
+        FROM supplier, range(10) r(f), month_ends WHERE (s_suppkey + f) % 3 <> 0"""),
+    "books": ("targets positions bars", """
+        SELECT j.fund, j.session, j.ticker, j.weight, j.shares, b.close AS mark, 1000000.0::DOUBLE AS equity FROM (
+          SELECT coalesce(t.fund, p.fund) AS fund, coalesce(t.session, p.session) AS session, coalesce(t.ticker, p.ticker) AS ticker,
+                 coalesce(t.weight, 0) AS weight, coalesce(p.shares, 0) AS shares
+          FROM targets t FULL JOIN positions p ON p.fund = t.fund AND p.session = t.session AND p.ticker = t.ticker) j
+        ASOF JOIN bars b ON b.ticker = j.ticker AND b.d <= j.session WHERE b.d >= j.session - 7"""),
+    "orders_out": ("books", """
+        SELECT fund, session, ticker, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side, abs(delta) AS quantity, mark AS price
+        FROM (SELECT *, CAST(trunc(weight * equity / mark) AS BIGINT) - shares AS delta FROM books) WHERE delta <> 0"""),
+    "nav": ("held bars market fills", """
+        SELECT s.fund, s.session, CAST(100000000 + coalesce(c.cash, 0) AS DOUBLE) AS cash,
+               CAST(100000000 + coalesce(c.cash, 0) + coalesce(v.value, 0) AS DOUBLE) AS nav,
+               CAST(100000000 + coalesce(c.cash, 0) AS DECIMAL(28,9)) AS exact_cash,
+               CAST(100000000 + coalesce(c.cash, 0) + coalesce(v.value, 0) AS DECIMAL(28,9)) AS exact_nav,
+               coalesce(v.n_held, 0) AS n_held, coalesce(v.n_unpriced, 0) AS n_unpriced
+        FROM (SELECT fund, d AS session FROM (SELECT DISTINCT fund FROM fills), market) s
+        LEFT JOIN (SELECT fund, d, sum(flow) OVER (PARTITION BY fund ORDER BY d) AS cash FROM (
+            SELECT g.fund, g.d, coalesce(sum(CASE f.side WHEN 'buy' THEN -f.quantity ELSE f.quantity END * f.price), 0) AS flow
+            FROM (SELECT fund, d FROM (SELECT DISTINCT fund FROM fills), (SELECT d FROM market UNION SELECT session FROM fills)) g
+            LEFT JOIN fills f ON f.fund = g.fund AND f.session = g.d GROUP BY 1, 2)) c ON c.fund = s.fund AND c.d = s.session
+        LEFT JOIN (SELECT h.fund, h.d, sum(h.shares * CAST(b.close AS DECIMAL(18,9))) AS value, count(*) AS n_held,
+                          count(*) FILTER (WHERE b.close IS NULL) AS n_unpriced
+            FROM (SELECT h.fund, h.ticker, CAST(h.shares AS BIGINT) AS shares, m.d FROM held h JOIN market m
+                    ON m.d >= h.session AND (h.next_session IS NULL OR m.d < h.next_session) WHERE h.shares <> 0) h
+            ASOF LEFT JOIN bars b ON b.ticker = h.ticker AND b.d <= h.d GROUP BY 1, 2) v ON v.fund = s.fund AND v.d = s.session"""),
     # Aligned daily returns and the event study, written as range joins and regr_* aggregates.
     "returns": ("bars market", """
         SELECT ticker, d, y, x, row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS idx FROM (
