@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.student_t import t_p_value
 from .asof import snap_forward
-from .keyed import with_totals
+from .keyed import spread, with_totals
 from .running import dense_index
 from .series import aligned_returns, per_ticker
 
@@ -242,33 +242,38 @@ def _interval(means: DataFrame, confidence: float, n_bootstrap: int) -> DataFram
     )
 
 
+def bootstrap_slots(events: DataFrame, id_block: int = 65_536) -> DataFrame:
+    """CAR rows numbered from 0 inside each source type and window."""
+    group = ["source_type", "window"]
+    blocked = car_long(events).withColumn("_block", F.floor(F.col("filing_id") / id_block))
+    return dense_index(blocked, group, ["_block"], ["filing_id"], name="slot").select(*group, "slot", "car")
+
+
 def bootstrap_ci(
-    events: DataFrame, *, n_bootstrap: int = 10_000, confidence: float = 0.95, seed: int = 42,
-    id_block: int = 65_536,
+    slots: DataFrame, *, n_bootstrap: int = 10_000, confidence: float = 0.95, seed: int = 42
 ) -> DataFrame:
     """Percentile bootstrap interval of the mean, drawing n of n with replacement.
 
-    Every row stands for one slot of each replicate and draws a row number from
-    a seeded digest, so draws start where the rows are; drawn values are met on
-    (group, row number), which no single group key can overload. One digest
-    serves four replicates. Work is n x n_bootstrap by definition; for groups of
-    many millions use ``bootstrap_ci_poisson``.
+    *slots* comes from ``bootstrap_slots``, best as a stored table: the planner
+    then knows its size and broadcasts it where it is small, and no draw is
+    shuffled. Larger tables are met on (group, slot), which no group can
+    overload. Every row stands for one slot of each replicate and draws from a
+    seeded digest, so draws start where the rows are; one digest serves four
+    replicates. Work is n x n_bootstrap by definition; for groups of many
+    millions use ``bootstrap_ci_poisson``.
     """
     if n_bootstrap % 4:
         raise ValueError("n_bootstrap must be a multiple of 4")
     group = ["source_type", "window"]
-    blocked = car_long(events).withColumn("_block", F.floor(F.col("filing_id") / id_block))
-    numbered = dense_index(blocked, group, ["_block"], ["filing_id"], name="slot").drop("_block")
-    sized = with_totals(numbered, group, n=F.count("*")).where("n >= 2")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "source_type", "window", "_q", "slot"))
+    sized = spread(with_totals(slots, group, n=F.count("*")).where("n >= 2"), "slot")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *group, "_q", "slot"))
     drawn = (
         sized.select(*group, "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap // 4 - 1))).alias("_q"))
         .withColumn("_h", digest)
         .select(*group, "n", "_q", F.posexplode(F.array(*[_hex_word(F.col("_h"), i) for i in range(4)])).alias("_w", "_u"))
         .select(*group, (F.col("_q") * 4 + F.col("_w")).alias("b"), (F.col("_u") % F.col("n")).alias("slot"))
     )
-    values = numbered.select(*group, "slot", "car")
-    means = drawn.join(values, [*group, "slot"]).groupBy(*group, "b").agg(F.avg("car").alias("mean"))
+    means = drawn.join(slots, [*group, "slot"]).groupBy(*group, "b").agg(F.avg("car").alias("mean"))
     return _interval(means, confidence, n_bootstrap)
 
 
@@ -300,7 +305,8 @@ def bootstrap_ci_poisson(
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "filing_id", "_q"))
     columns = [name for name, _ in WINDOWS.values()]
     drawn = (
-        events.select("filing_id", "source_type", *columns,
+        spread(events.select("filing_id", "source_type", *columns), "filing_id")
+        .select("filing_id", "source_type", *columns,
                       F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap // 4 - 1))).alias("_q"))
         .withColumn("_h", digest)
         .select("source_type", *columns, "_q",

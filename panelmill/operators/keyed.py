@@ -65,3 +65,13 @@ def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFra
     """
     summed = df.groupBy(*keys).agg(*[c.alias(name) for name, c in totals.items()])
     return df.join(summed, list(keys))
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows over as many partitions as the session shuffles into.
+
+    For few small rows that each unfold into much work: sizing partitions by
+    bytes, as scans and adaptive execution do, would leave them in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)

@@ -73,18 +73,16 @@ def _growth(field: str) -> Column:
     return F.when((n >= 2) & (oldest > 0) & (newest > 0), F.pow(newest / oldest, 1 / ((n - 1) / 4)) - 1)
 
 
-def snapshot_aggregates(periods: DataFrame) -> DataFrame:
-    """Averages, trend, growth and latest values over ranked periods.
-
-    The periods of a cell, at most PERIODS, are listed newest first and summed in
-    that order, so rounding ties fall the same way on every run.
-    """
-    listed = periods.groupBy("ticker", "as_of").agg(
-        F.array_sort(F.collect_list(F.struct("rank", *_SUMMARY_FIELDS))).alias("_p")
+def _list_periods(periods: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The ranked periods of each cell, at most PERIODS, as one list, newest first."""
+    return periods.groupBy("ticker", "as_of").agg(
+        F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("_p")
     )
+
+
+def _summary() -> list[Column]:
     newest = F.col("_p")[0]
-    return listed.select(
-        "ticker", "as_of",
+    return [
         F.size("_p").cast("bigint").alias("n_periods"),
         round_exact(_average("return_on_equity"), 4).alias("roe_avg"),
         round_exact(_average("net_margin"), 4).alias("net_margin_avg"),
@@ -92,22 +90,35 @@ def snapshot_aggregates(periods: DataFrame) -> DataFrame:
         round_exact(_growth("book_value_per_share"), 4).alias("bvps_cagr"),
         newest["debt_to_equity"].alias("debt_to_equity_latest"),
         newest["market_cap"].alias("market_cap_latest"),
-    )
+    ]
+
+
+def snapshot_aggregates(periods: DataFrame) -> DataFrame:
+    """Averages, trend, growth and latest values over ranked periods.
+
+    Values are summed newest first from a short list, so rounding ties fall the
+    same way on every run.
+    """
+    return _list_periods(periods, _SUMMARY_FIELDS).select("ticker", "as_of", *_summary())
 
 
 def fundamentals_snapshot(
     grid: DataFrame, metrics: DataFrame, facts: DataFrame, *, n: int = PERIODS, with_periods: bool = False
 ) -> DataFrame:
-    """One row per usable (ticker, as_of): sector, industry, aggregates, optionally the periods."""
-    periods = known_periods(grid, metrics, n)
-    summary = snapshot_aggregates(periods).where(F.col("n_periods") >= MIN_PERIODS)
+    """One row per usable (ticker, as_of): sector, industry, aggregates, optionally the periods.
+
+    The printable figures of a filing are made once, before it is unfolded to
+    the dates it is known on.
+    """
     if with_periods:
-        lists = (
-            project_periods(periods, ("ticker", "as_of", "rank"))
-            .groupBy("ticker", "as_of")
-            .agg(F.array_sort(F.collect_list(F.struct("rank", *PERIOD_FIELDS))).alias("periods"))
-        )
-        summary = summary.join(lists, ["ticker", "as_of"])
+        facts_of_filing = project_periods(metrics, ("ticker", "filing_id"))
+        metrics = facts_of_filing.withColumn("figures", period_figures())
+        fields = (*PERIOD_FIELDS, "figures")
+    else:
+        fields = _SUMMARY_FIELDS
+    listed = _list_periods(known_periods(grid, metrics, n), fields).where(F.size("_p") >= MIN_PERIODS)
+    kept = [F.col("_p").alias("periods")] if with_periods else []
+    summary = listed.select("ticker", "as_of", *_summary(), *kept)
     return summary.join(facts.select("ticker", "sector", "industry"), "ticker", "left")
 
 
@@ -128,6 +139,11 @@ def period_label(rank: Column) -> Column:
     return F.concat(F.lit("t-"), (rank - 1).cast("string"))
 
 
+def period_figures() -> Column:
+    """The metric figures of one filing as printed, in PERIOD_FIELDS order after the dates."""
+    return F.concat_ws(" | ", *[humanize_number(F.col(f)) for f in PERIOD_FIELDS[2:]])
+
+
 def render_snapshot(snapshots: DataFrame, blind: bool = False) -> DataFrame:
     """Prompt text per snapshot. It never contains as_of; blind text names no company or date."""
     num = humanize_number
@@ -140,7 +156,7 @@ def render_snapshot(snapshots: DataFrame, blind: bool = False) -> DataFrame:
             period_label(p["rank"]) if blind
             else F.concat_ws(" | ", p["report_period"].cast("string"), F.coalesce(p["filing_date"].cast("string"), F.lit("?")))
         )
-        return F.concat_ws(" | ", when, *[num(p[f]) for f in PERIOD_FIELDS[2:]])
+        return F.concat_ws(" | ", when, p["figures"])
 
     head = F.concat(
         F.lit("Company: "), F.lit("(withheld)") if blind else F.col("ticker"),

@@ -31,6 +31,16 @@ def duck(values: str) -> str:
     return re.sub(r"(\d\.\d+)D", r"\1::DOUBLE", values)
 
 
+def cents(amount: Column | str) -> Column:
+    """A two-decimal amount as a whole number: sums stay exact and cheap, unlike decimals built from doubles."""
+    return F.rint((F.col(amount) if isinstance(amount, str) else amount) * 100).cast("bigint")
+
+
+def price_of(paid: str, units: str) -> Column:
+    """Average price from exact sums of cents and hundredths of units."""
+    return (F.col(paid).cast("double") / 100) / (F.col(units).cast("double") / 100)
+
+
 class Dataset:
     """Lazy views over one data folder."""
 
@@ -55,8 +65,8 @@ class Dataset:
             self.table("lineitem")
             .groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("d"))
             .agg(
-                F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("paid"),
-                F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("units"),
+                F.sum(cents("l_extendedprice")).alias("paid"),
+                F.sum(cents("l_quantity")).alias("units"),
             )
         )
 
@@ -68,7 +78,7 @@ class Dataset:
     def closes(self) -> DataFrame:
         return self._daily_sums.select(
             self._ticker("l_suppkey").alias("ticker"), "d",
-            (F.col("paid").cast("double") / F.col("units").cast("double")).alias("close"),
+            price_of("paid", "units").alias("close"),
         )
 
     @cached_property
@@ -78,7 +88,7 @@ class Dataset:
             .agg(F.sum("paid").alias("paid"), F.sum("units").alias("units"))
             .select(
                 F.lit("MKT").alias("ticker"), "d",
-                (F.col("paid").cast("double") / F.col("units").cast("double")).alias("close"),
+                price_of("paid", "units").alias("close"),
             )
         )
 
@@ -89,16 +99,16 @@ class Dataset:
             self.table("lineitem")
             .groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("d"))
             .agg(
-                F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("paid"),
-                F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("units"),
+                F.sum(cents("l_extendedprice")).alias("paid"),
+                F.sum(cents("l_quantity")).alias("units"),
                 F.max(price).alias("high"),
                 F.min(price).alias("low"),
             )
         )
         return day.select(
             self._ticker("l_suppkey").alias("ticker"), "d",
-            (F.col("paid").cast("double") / F.col("units").cast("double")).alias("close"),
-            "high", "low", F.col("units").cast("bigint").alias("volume"),
+            price_of("paid", "units").alias("close"),
+            "high", "low", F.round(F.col("units") / 100).cast("bigint").alias("volume"),
         )
 
     @cached_property
@@ -171,14 +181,14 @@ class Dataset:
     @cached_property
     def insider(self) -> DataFrame:
         lines = self.table("lineitem").groupBy("l_orderkey", "l_suppkey").agg(
-            F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("shares"),
-            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("value"),
+            F.sum(cents("l_quantity")).alias("shares"),
+            F.sum(cents("l_extendedprice")).alias("value"),
         )
         orders = self.table("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("filing_date"))
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             self._ticker("l_suppkey").alias("ticker"), "filing_date", F.col("l_orderkey").alias("order_id"),
-            F.col("shares").cast("double").alias("transaction_shares"),
-            F.col("value").cast("double").alias("transaction_value"),
+            (F.col("shares").cast("double") / 100).alias("transaction_shares"),
+            (F.col("value").cast("double") / 100).alias("transaction_value"),
         )
 
     @cached_property

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import series, signals, snapshot, trades
 from ..operators.asof import on_dates
+from ..session import stored
 from .q_reads import GRID_SQL, TOPN_SQL, ticker_grid
 from .q_study import rounded
 from .registry import query
@@ -185,11 +186,16 @@ def fixed_hold_trades(t):
     return trades.fixed_hold_trades(trades.non_overlapping_entries(entry_panel(t), hold=5), t.closes, hold=5)
 
 
+def trade_table(t):
+    """The trades as a stored table: curve and metrics read them several times."""
+    return stored(fixed_hold_trades(t), "trades")
+
+
 @query("sort_trades", f"""
     WITH RECURSIVE {MACHINE_SQL.format(hold=5)}, {TRADES_SQL.format(hold=5)}
     SELECT ticker, entry_date, row_number() OVER (ORDER BY entry_date, ticker) AS seq FROM trades""", "timely bars")
 def sort_trades(t):
-    ordered = trades.number_trades(fixed_hold_trades(t).withColumn("study", F.lit("pead")), ["study"])
+    ordered = trades.number_trades(trade_table(t).withColumn("study", F.lit("pead")), ["study"])
     return ordered.select("ticker", "entry_date", "seq").orderBy("entry_date", "ticker")
 
 
@@ -198,7 +204,7 @@ def sort_trades(t):
     SELECT ticker, entry_date, equity, peak, round((peak - equity) / peak, 6) AS drawdown FROM curve
     UNION ALL SELECT NULL, NULL, 100000.0::DOUBLE, 100000.0::DOUBLE, 0.0::DOUBLE""", "timely bars")
 def equity_curve(t):
-    traded = fixed_hold_trades(t).withColumn("study", F.lit("pead"))
+    traded = trade_table(t).withColumn("study", F.lit("pead"))
     curve = trades.equity_curve(traded, ["study"]).select("study", "ticker", "entry_date", "equity", "peak", "drawdown")
     started = trades.with_start(curve, ["study"])
     return rounded(started.drop("study"), "drawdown")
@@ -221,7 +227,7 @@ METRIC_SQL = """
     WITH RECURSIVE {MACHINE_SQL.format(hold=5)}, {TRADES_SQL.format(hold=5)}, {CURVE_SQL} {METRIC_SQL.format(hold=5)}
     """, "timely bars")
 def trade_metrics(t):
-    return trades.trade_metrics(fixed_hold_trades(t), ["holding_days"])
+    return trades.trade_metrics(trade_table(t), ["holding_days"])
 
 
 @query("expanding_trade_metrics", f"""
@@ -236,7 +242,7 @@ def trade_metrics(t):
            round(greatest(dd, 0), 6) AS max_drawdown_pct, printf('%.4f', wins / n)::DOUBLE AS win_rate, printf('%.6f', mean)::DOUBLE AS avg_return_pct
     FROM e""", "timely bars")
 def expanding_trade_metrics(t):
-    run = trades.expanding_trade_metrics(fixed_hold_trades(t), ["holding_days"])
+    run = trades.expanding_trade_metrics(trade_table(t), ["holding_days"])
     return run.drop("holding_days", "annualized_return_pct")
 
 
@@ -250,5 +256,5 @@ def _study_sql(holds):
 
 @query("trade_study", _study_sql((3, 10)), "timely bars")
 def trade_study(t):
-    traded = trades.trade_study(entry_panel(t), t.closes, holds=(3, 10))
+    traded = stored(trades.trade_study(entry_panel(t), t.closes, holds=(3, 10)), "trades")
     return trades.trade_metrics(traded, ["holding_days"])

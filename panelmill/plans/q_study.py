@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import eventstudy as es
 from ..operators import running as run
 from ..operators import series
+from ..session import stored
 from .registry import query
 
 
@@ -184,7 +185,8 @@ BOOTSTRAP_MEANS = """
 
 @query("bootstrap_ci", f"WITH {BOOTSTRAP_MEANS} {INTERVAL_SQL}", "car_rows")
 def bootstrap_ci(t):
-    return rounded(es.bootstrap_ci(study(t), n_bootstrap=DRAWS, seed=42), "lower", "upper")
+    slots = stored(es.bootstrap_slots(stored(study(t), "events")), "slots")
+    return rounded(es.bootstrap_ci(slots, n_bootstrap=DRAWS, seed=42), "lower", "upper")
 
 
 _POISSON_CASE = " ".join(f"WHEN u < {cut} THEN {k}" for k, cut in enumerate(es.POISSON_CUTS))
@@ -239,8 +241,9 @@ def car_path(t):
     FROM grid g LEFT JOIN car_groups c ON c.source_type = g.source_type AND c."window" = g."window"
     LEFT JOIN ci ON ci.source_type = g.source_type AND ci."window" = g."window" """, "cars car_groups")
 def car_bars(t):
-    events = study(t)
-    bars = es.car_bars(es.car_stats(events), es.bootstrap_ci(events, n_bootstrap=DRAWS, seed=42))
+    events = stored(study(t), "events")
+    slots = stored(es.bootstrap_slots(events), "slots")
+    bars = es.car_bars(es.car_stats(events), es.bootstrap_ci(slots, n_bootstrap=DRAWS, seed=42))
     return rounded(bars, "mean_pct", "below_pct", "above_pct")
 
 
