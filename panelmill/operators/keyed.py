@@ -17,9 +17,15 @@ from pyspark.sql import functions as F
 def pick_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], *, last: bool = True
 ) -> DataFrame:
-    """One row per key: the last (or first) by *order*, as a combinable aggregate."""
+    """One row per key: the last (or first) by *order*, as a combinable aggregate.
+
+    *order* must single out one row. Ordered by one column, numbers are picked
+    column by column, which keeps hash aggregation where the buffers allow it.
+    """
     chooser = F.max_by if last else F.min_by
     rest = [c for c in df.columns if c not in keys]
+    if len(order) == 1:
+        return df.groupBy(*keys).agg(*[chooser(c, order[0]).alias(c) for c in rest])
     picked = df.groupBy(*keys).agg(
         chooser(F.struct(*rest), F.struct(*order)).alias("_row")
     )

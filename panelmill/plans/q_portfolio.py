@@ -266,7 +266,8 @@ def delta_orders(t):
     SELECT fund, session, ticker, side, row_number() OVER (PARTITION BY fund, session ORDER BY side = 'buy', ticker) AS seq
     FROM orders_out""", "orders_out")
 def order_sequence(t):
-    return orders.order_sequence(orders.delta_orders(books(t))).select("fund", "session", "ticker", "side", "seq")
+    sent = stored(orders.delta_orders(books(t)), "orders")
+    return orders.order_sequence(sent).select("fund", "session", "ticker", "side", "seq")
 
 
 @query("projected_exposure_check", """
@@ -276,7 +277,7 @@ def order_sequence(t):
     UNION ALL SELECT fund, session, 'max_gross_exposure', NULL, round(sum(abs(w)), 6), 3.33::DOUBLE FROM after GROUP BY 1, 2
       HAVING sum(abs(w)) > 3.33 + 1e-9""", "books orders_out")
 def projected_exposure_check(t):
-    book = books(t)
+    book = stored(books(t), "books")
     limits = t.fills.select("fund").distinct().select(
         "fund", F.lit(0.0985).alias("max_position_pct"), F.lit(3.33).alias("max_gross_exposure")
     )
