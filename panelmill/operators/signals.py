@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import carry_forward
@@ -44,8 +44,26 @@ def best_filing_per_period(filings: DataFrame) -> DataFrame:
 
 
 def qualifying_surprises(filings: DataFrame, *, announcement_only: bool = True) -> DataFrame:
-    """Timely BEAT/MISS filings, one per period."""
-    return best_filing_per_period(drop_retrospective(labeled_only(filings, announcement_only=announcement_only)))
+    """Timely BEAT/MISS filings that were the best of their period when they were made.
+
+    With announcements only that is one filing per period, the earliest. With
+    the fallback sources a period may first be known from a lesser source and
+    later from a better one; each counts from its own day, so nothing later
+    changes what was known. At most one filing per source rank is compared.
+    """
+    usable = drop_retrospective(labeled_only(filings, announcement_only=announcement_only))
+    if announcement_only:
+        return best_filing_per_period(usable)
+    ranked = usable.withColumn("_rank", source_rank(F.col("source_type")))
+    earliest = pick_per_key(
+        ranked, ["ticker", "report_period", "_rank"], [F.col("filing_date"), F.col("filing_id")], last=False
+    )
+    before = (
+        Window.partitionBy("ticker", "report_period").orderBy("filing_date", "_rank")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    improved = earliest.withColumn("_best", F.min("_rank").over(before)).where("_best IS NULL OR _rank < _best")
+    return improved.drop("_rank", "_best")
 
 
 def surprise_signal(

@@ -37,6 +37,13 @@ def test_earliest_announcement_of_a_period_wins(spark):
     assert got == {date(2025, 8, 2): 1.0, date(2025, 8, 14): 0.0}
 
 
+def test_fallback_has_no_look_ahead(spark):
+    q, k = date(2025, 8, 1), date(2025, 8, 12)
+    got = ask(spark, [(q, JUNE, "10-Q", "BEAT"), (k, JUNE, "8-K", "MISS"), (date(2025, 8, 13), JUNE, "10-K", "BEAT")],
+              date(2025, 8, 4), date(2025, 8, 12), date(2025, 8, 13), announcement_only=False)
+    assert got == {date(2025, 8, 4): 1.0, date(2025, 8, 12): -1.0, date(2025, 8, 13): -1.0}
+
+
 def test_model_registry(spark):
     grid = spark.createDataFrame([("T", JUNE)], "ticker STRING, date DATE")
     answers = spark.createDataFrame([("T", JUNE, 0.5, False)], "ticker STRING, date DATE, value DOUBLE, abstained BOOLEAN")
