@@ -19,8 +19,8 @@ def _valid(json: Column) -> Column:
 
 
 def _first_match(text: Column, pattern: str) -> Column:
-    found = F.regexp_extract(text, pattern, 1)
-    return F.when(F.regexp_like(text, F.lit(pattern)), found)
+    """Group 1 of the first match; null where nothing, or only empty text, is matched."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def balanced_block(text: Column) -> Column:
@@ -53,9 +53,8 @@ def extract_json_answer(text: Column) -> Column:
 
     Each step runs only on rows the earlier ones left null.
     """
-    return F.coalesce(
-        _valid(_first_match(text, FENCE)), _valid(F.trim(text)), _valid(balanced_block(text))
-    )
+    fenced = F.when(F.contains(text, F.lit("```")), _valid(_first_match(text, FENCE)))
+    return F.coalesce(fenced, _valid(F.trim(text)), _valid(balanced_block(text)))
 
 
 def validate_answers(answers: DataFrame, text: str = "text") -> DataFrame:

@@ -90,13 +90,6 @@ def clamp_audit(t):
     return fine(risk.clamp_audit(risked(t)), "before", "after")
 
 
-@query("final_contributions", """
-    SELECT fund, strategy, date, ticker, round(contribution, 10) AS contribution FROM contributions""", "contributions")
-def final_contributions(t):
-    out = portfolio.final_contributions(sleeves(t), slices(t), risked(t))
-    return fine(out.select("fund", "strategy", "date", "ticker", "contribution"), "contribution")
-
-
 def recorded_book(t):
     """The assessed book as stored records: sleeves, contributions and final weights."""
     held = stored(sleeves(t), "sleeves")
@@ -108,6 +101,12 @@ def recorded_book(t):
     return held, parts.select("fund", "strategy", "date", "ticker", "contribution"), book.select("fund", "date", "ticker", "final")
 
 
+@query("final_contributions", """
+    SELECT fund, strategy, date, ticker, round(contribution, 10) AS contribution FROM contributions""", "contributions")
+def final_contributions(t):
+    return fine(recorded_book(t)[1], "contribution")
+
+
 VALIDATE_SQL = """
     WITH recorded AS (SELECT s.*, c.slice, CASE WHEN s.ticker LIKE '%1' THEN -abs(s.weight) - 0.05 ELSE s.weight END AS w
                       FROM sleeves s JOIN slices c ON c.fund = s.fund AND c.strategy = s.strategy),
@@ -160,8 +159,9 @@ def validate_book_clean(t):
     FULL JOIN (SELECT fund, date, ticker, final FROM risked WHERE ticker NOT LIKE '%7') f
       ON f.fund = c.fund AND f.date = c.date AND f.ticker = c.ticker""", "contributions risked")
 def union_books(t):
-    parts = portfolio.final_contributions(sleeves(t), slices(t), risked(t)).where(~F.col("ticker").endswith("3"))
-    finals = risked(t).where(~F.col("ticker").endswith("7"))
+    _, parts, finals = recorded_book(t)
+    parts = parts.where(~F.col("ticker").endswith("3"))
+    finals = finals.where(~F.col("ticker").endswith("7"))
     return fine(portfolio.union_books(parts, finals), "combined", "final")
 
 

@@ -227,7 +227,7 @@ def car_histogram(t):
     SELECT source_type, off, count(*) AS n, round(avg(cum) * 100, 6) AS mean_pct,
            round(stddev_samp(cum) / sqrt(count(*)) * 100, 6) AS se_pct FROM path GROUP BY 1, 2""", "ars")
 def car_path(t):
-    path = es.car_path(daily(t)).withColumn("off", F.col("off").cast("bigint"))
+    path = es.car_path(stored(daily(t), "daily")).withColumn("off", F.col("off").cast("bigint"))
     return rounded(path, "mean_pct", "se_pct")
 
 
