@@ -63,14 +63,20 @@ def validate_answers(answers: DataFrame, text: str = "text") -> DataFrame:
     The direction must be known and the confidence within 0..100 (0 when absent).
     """
     found = answers.withColumn("_json", extract_json_answer(F.col(text)))
-    word = F.lower(F.coalesce(F.get_json_object("_json", "$.signal"), F.lit("")))
-    given = F.get_json_object("_json", "$.confidence")
-    absent = ~F.array_contains(F.json_object_keys("_json"), "confidence")
-    number = F.when(absent, 0.0).otherwise(given.try_cast("double"))
-    checked = found.withColumn("_word", word).withColumn("_conf", number)
+    read = found.withColumn("_f", F.from_json("_json", "map<string,string>"))
+
+    def field(name: str) -> Column:
+        return F.try_element_at("_f", F.lit(name))
+
+    absent = ~F.map_contains_key("_f", "confidence")
+    checked = read.select(
+        *answers.columns, "_json", field("reasoning").alias("_said"), F.col("_f").isNotNull().alias("_object"),
+        F.lower(F.coalesce(field("signal"), F.lit(""))).alias("_word"),
+        F.when(absent, 0.0).otherwise(field("confidence").try_cast("double")).alias("_conf"),
+    )
     reason = (
         F.when(F.col("_json").isNull(), "no JSON object found")
-        .when(~F.ltrim("_json").startswith("{"), "answer is not an object")
+        .when(~F.col("_object"), "answer is not an object")
         .when(~F.col("_word").isin(*DIRECTION_SIGN), "invalid signal")
         .when(F.col("_conf").isNull() | ~F.col("_conf").between(0, 100), "confidence out of range")
     )
@@ -80,7 +86,7 @@ def validate_answers(answers: DataFrame, text: str = "text") -> DataFrame:
         *answers.columns,
         F.when(ok, F.col("_word")).alias("signal"),
         F.when(ok, F.col("_conf")).alias("confidence"),
-        F.when(ok, F.coalesce(F.get_json_object("_json", "$.reasoning"), F.lit(""))).alias("reasoning"),
+        F.when(ok, F.coalesce("_said", F.lit(""))).alias("reasoning"),
         F.when(ok, fold_conviction(F.col("_word"), F.col("_conf"))).otherwise(0.0).alias("value"),
         (~ok).alias("abstained"),
         "abstain_reason",
