@@ -163,8 +163,8 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str], capital: float = CAPIT
 def expanding_trade_metrics(trades: DataFrame, keys: Sequence[str], capital: float = CAPITAL) -> DataFrame:
     """The running view: metrics over the trades so far, after every trade.
 
-    Mean and deviation come from running sums of returns and their squares; the
-    squares are shifted by nothing because returns are small numbers.
+    Mean and deviation come from running decimal sums of returns and their
+    squares, which are exact.
     """
     curve = equity_curve(trades, keys, capital).withColumn("_head", F.substring("ticker", 1, 3))
     r = F.col("return_pct")

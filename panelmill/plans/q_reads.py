@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import asof, checks, eventstudy, funds, orders, signals, snapshot
 from ..session import scratch_path
 from ..sources import reads, receipts
-from .q_study import rounded
 from .registry import query
 
 AS_OF = "2000-06-30"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series, signals, snapshot, trades
-from ..operators.asof import on_dates
 from ..session import stored
 from .q_reads import GRID_SQL, TOPN_SQL, ticker_grid
 from .q_study import rounded

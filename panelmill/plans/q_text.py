@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, scalar, text
 from ..operators import snapshot
-from .q_reads import GRID_SQL, TOPN_SQL, ticker_grid
+from .q_reads import ticker_grid
 from .q_signals import SNAP_SQL
 from .registry import query
 
