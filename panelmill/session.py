@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,14 +19,23 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables.
+    """A fresh folder for intermediate tables in the cluster's shared folder.
 
-    On a cluster it lies in the shared folder named by ``spark.checkpoint.dir``;
-    a local folder is used only where that setting is absent (single-machine tests).
+    The folder is the one named by ``spark.checkpoint.dir`` or set with
+    ``setCheckpointDir``. Without either, a temporary folder is used if the master
+    is local (it goes when Python ends); on a cluster that would put each
+    executor's part on its own disk, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir: executors are separate processes")
         base = tempfile.mkdtemp(prefix="panelmill-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
