@@ -41,7 +41,7 @@ from .components import components
 PARITY_LONGS = 4
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words whose hash a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 _WORDS: dict[bytes, int] = {}
 
 

@@ -33,7 +33,7 @@ CHUNKS = 64
 TRAIN_ROWS = 15_000
 HIDDEN, EPOCHS, BATCH, RATE = 32, 30, 256, 0.003
 THRESHOLD = 0.3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _KNOWN: dict[str, int] = {}
 

@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, packing, quality, toxicity
+from . import exact_dedup, html_extract, ngram_join, packing, quality, sentence_pieces, topk, toxicity, warc
 from .common import table
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and what decoding makes of them."""
+    coded = sentence_pieces.encode(table(spark, sf_dir, "documents"))
+    return sentence_pieces.with_decoded(coded)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.write_and_read(table(spark, sf_dir, "pages"))
+    return found.where("reason IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
@@ -30,11 +50,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_exact_dedup, op8_ngram_join, op9_toxicity, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentence_pieces, op2_packing, op4_top_k, op5_warc, op6_exact_dedup, op7_html_extract, op8_ngram_join, op9_toxicity, op10_quality)
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op4_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id,
+                   CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY row_number() OVER w <= 20 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS keep FROM p)
+        SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> keep THEN keep END AS refers_to
+        FROM q""",
     "op6_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

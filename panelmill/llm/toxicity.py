@@ -30,9 +30,9 @@ from .labelled import held_out, training_rows
 BITS = 20
 STEMS = (4, 5, 6, 7)
 LEAST_ROWS, LEAST_ODDS, SMOOTHING = 3, 0.7, 10.0
-TRAIN_ROWS = 15_000
+TRAIN_ROWS = 10_000
 EPOCHS, BATCH, RATE, DECAY, COUNTERFACTUAL = 8, 256, 0.05, 1e-4, 1.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"\w+")
 _KNOWN: dict[str, tuple[int, ...]] = {}
 
@@ -87,17 +87,18 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], seed: int = 7) ->
     if not rows:
         return None
     rng, y = np.random.default_rng(seed), np.array([r[2] for r in rows], dtype=float)
-    idx = np.concatenate([r[0] for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    used, place = np.unique(idx, return_inverse=True)
-    all_rows, bad_rows = np.bincount(place), np.bincount(place, weights=y[doc])
+    all_rows, bad_rows = np.zeros(1 << BITS, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32)
+    for ids, _, bad in rows:  # a row has each feature once
+        all_rows[ids] += 1
+        if bad:
+            bad_rows[ids] += 1
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     odds = np.log((bad_rows + SMOOTHING * share) / (all_rows - bad_rows + SMOOTHING * (1 - share)) * (1 - share) / share)
     odds[(all_rows < LEAST_ROWS) | (odds < LEAST_ODDS)] = 0.0
     # Numbers of the features that carry weight; the rest is left out of every row.
     number = np.full(1 << BITS, -1, dtype=np.int64)
     live = np.flatnonzero(odds)
-    number[used[live]] = np.arange(len(live))
+    number[live] = np.arange(len(live))
     odds = odds[live]
 
     def known(ids: np.ndarray) -> np.ndarray:
@@ -127,7 +128,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], seed: int = 7) ->
             seen_b += g.sum() ** 2
             b -= RATE * g.sum() / np.sqrt(seen_b)
     full = np.zeros(1 << BITS, dtype=np.float32)
-    full[used[live]] = w * odds
+    full[live] = w * odds
     return full, float(b)
 
 
