@@ -269,6 +269,8 @@ def _furnished(page: str, rng: np.random.Generator) -> str | None:
     pick = lambda n: "".join(made[i] for i in rng.choice(len(made), size=n, replace=False))
     if body is None:
         body = f"<h1>{some(3)}</h1>" + "".join(f"<p>{some(int(rng.integers(1, 9)))}</p>" for _ in range(int(rng.integers(1, 3))))
+    if rng.random() < 0.15:  # a page without an article
+        return f"<html><body>{pick(int(rng.integers(1, 4)))}</body></html>"
     inner = [made[i] for i in rng.choice(12, size=2, replace=False)]
     tag = k("article", "main")
     extra = k("", "", "<blockquote><p>%s</p></blockquote>" % some(15), "<ul><li>%s</li><li>%s</li></ul>" % (some(9), some(8)), "<h2>%s</h2><p>%s</p>" % (some(4), some(30)), "<pre>%s</pre>" % some(12), "<table><tr><td>%s</td></tr></table>" % some(5))
