@@ -39,9 +39,18 @@ def short_list_label(items: Column, limit: int = 2) -> Column:
 
 
 def title_from_slug(display: Column, slug: Column) -> Column:
-    """Display name, or the slug in title case with spaces for dashes."""
+    """Display name, or the slug in title case with spaces for dashes.
+
+    A letter is upper case where no letter stands before it, so also behind digits and apostrophes.
+    """
     shown = F.when(display != "", display)
-    return F.coalesce(shown, F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))))
+    name = F.replace(slug, F.lit("-"), F.lit(" "))
+    letters = F.split(name, "")
+    cased = F.transform(
+        letters,
+        lambda c, i: F.when((i > 0) & F.try_element_at(letters, i).rlike(r"\p{L}"), F.lower(c)).otherwise(F.upper(c)),
+    )
+    return F.coalesce(shown, F.array_join(cased, ""))
 
 
 def content_key(*parts: Column) -> Column:

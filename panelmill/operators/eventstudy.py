@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.student_t import t_p_value
 from .asof import snap_forward
+from .checks import finite
 from .keyed import spread, with_totals
-from .running import dense_index
+from .running import dense_index, id_blocks
 from .series import aligned_returns, per_ticker
 
 # Fixed values of the study design.
@@ -74,13 +75,18 @@ def fit_groups(rows: DataFrame, keys: Sequence[str], y: str = "y", x: str = "x")
 
 
 def return_panel(bars: DataFrame, market: DataFrame) -> DataFrame:
-    """Aligned returns plus running sums up to and including each day."""
+    """Aligned returns plus running sums up to and including each day.
+
+    Days without two finite returns add nothing to the sums and are counted in ``bad``, so
+    that windows which hold one are told apart and later windows are untouched.
+    """
     upto = per_ticker().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = {"sx": "x", "sy": "y", "sxx": "x * x", "sxy": "x * y", "syy": "y * y"}
-    panel = aligned_returns(bars, market)
+    panel = aligned_returns(bars, market).withColumn("_good", finite(F.col("y")) & finite(F.col("x")))
     return panel.select(
         "ticker", "d", "idx", "y", "x",
-        *[F.sum(F.expr(e)).over(upto).alias(name) for name, e in sums.items()],
+        *[F.sum(F.when(F.col("_good"), F.expr(e)).otherwise(0.0)).over(upto).alias(name) for name, e in sums.items()],
+        F.sum(F.when(F.col("_good"), 0).otherwise(1)).over(upto).alias("bad"),
     )
 
 
@@ -89,19 +95,19 @@ def _between(col: str, first: int, last: int) -> Column:
     w = per_ticker()
     upper = F.lead(col, last).over(w) if last >= 0 else F.lag(col, -last).over(w)
     lower = F.lag(col, 1 - first).over(w)
-    return upper - F.coalesce(lower, F.lit(0.0))
+    return upper - F.coalesce(lower, F.lit(0))
 
 
 def estimation_sums(panel: DataFrame) -> DataFrame:
-    """Per (ticker, day): sums over the estimation window, where it is complete."""
-    cols = {c: _between(c, ESTIMATION_FIRST, ESTIMATION_LAST) for c in ("sx", "sy", "sxx", "sxy", "syy")}
+    """Per (ticker, day): sums over the estimation window, where it is complete and all its days are good."""
+    cols = {c: _between(c, ESTIMATION_FIRST, ESTIMATION_LAST) for c in ("sx", "sy", "sxx", "sxy", "syy", "bad")}
     width = ESTIMATION_LAST - ESTIMATION_FIRST + 1
     sums = panel.select(
         "ticker", "d", "idx", F.lit(width).cast("bigint").alias("n"),
         *[c.alias(f"est_{name}") for name, c in cols.items()],
         "sx", "sy",
     )
-    return sums.where(F.col("idx") + ESTIMATION_FIRST >= 0)
+    return sums.where((F.col("idx") + ESTIMATION_FIRST >= 0) & (F.col("est_bad") == 0)).drop("est_bad")
 
 
 def _event_table(panel: DataFrame) -> DataFrame:
@@ -110,10 +116,11 @@ def _event_table(panel: DataFrame) -> DataFrame:
     ends = {name: end for name, end in WINDOWS.values()}
     forward = panel
     for name, end in ends.items():
-        forward = forward.withColumn(f"{name}_y", _between("sy", 0, end)).withColumn(
-            f"{name}_x", _between("sx", 0, end)
+        good = _between("bad", 0, end) == 0
+        forward = forward.withColumn(f"{name}_y", F.when(good, _between("sy", 0, end))).withColumn(
+            f"{name}_x", F.when(good, _between("sx", 0, end))
         )
-    est = {c: _between(c, ESTIMATION_FIRST, ESTIMATION_LAST) for c in ("sx", "sy", "sxx", "sxy", "syy")}
+    est = {c: _between(c, ESTIMATION_FIRST, ESTIMATION_LAST) for c in ("sx", "sy", "sxx", "sxy", "syy", "bad")}
     n = F.lit(float(ESTIMATION_LAST - ESTIMATION_FIRST + 1))
     sums = forward.select(
         "ticker", "d", "idx",
@@ -121,7 +128,7 @@ def _event_table(panel: DataFrame) -> DataFrame:
         *[c.alias(f"est_{k}") for k, c in est.items()],
         *[F.col(f"{name}_{s}") for name in ends for s in "yx"],
     )
-    return sums.where(F.col("idx") + ESTIMATION_FIRST >= 0).select(
+    return sums.where((F.col("idx") + ESTIMATION_FIRST >= 0) & (F.col("est_bad") == 0)).select(
         "ticker", "d", "idx", "_earlier",
         ols_from_sums(
             n, F.col("est_sx"), F.col("est_sy"), F.col("est_sxx"), F.col("est_sxy"), F.col("est_syy")
@@ -227,9 +234,23 @@ def car_ttest(stats: DataFrame) -> DataFrame:
     )
 
 
-def _hex_word(digest: Column, word: int) -> Column:
-    """The word-th 32-bit number of an md5 hex digest."""
-    return F.conv(F.substring(digest, 8 * word + 1, 8), 16, 10).cast("bigint")
+# Fixed values of the draw: a prime below 2^31, so that squares fit in 63 bits, and odd multipliers.
+DRAW_PRIME = 2_147_483_647
+DRAW_SQL = f"((({{item}} % 1000000007) * 1000003 + {{draw}} * 7919 + {{seed}}) % {DRAW_PRIME})"
+SQUARE_SQL = f"(({{x}} * {{x}} + {{c}}) % {DRAW_PRIME})"
+
+
+def _draws(df: DataFrame, item: str, n_bootstrap: int, seed: int) -> DataFrame:
+    """Each row once a replicate *b*, with a number 0 <= u < DRAW_PRIME drawn from (item, b, seed).
+
+    Three squarings modulo a prime: whole-number arithmetic that stays in generated code and
+    gives the same draws in any engine.
+    """
+    out = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
+    out = out.withColumn("u", F.expr(DRAW_SQL.format(item=item, draw="CAST(b AS BIGINT)", seed=seed)))
+    for c in (12_345, 67_890, 13_579):
+        out = out.withColumn("u", F.expr(SQUARE_SQL.format(x="u", c=c)))
+    return out
 
 
 def _interval(means: DataFrame, confidence: float, n_bootstrap: int) -> DataFrame:
@@ -242,11 +263,11 @@ def _interval(means: DataFrame, confidence: float, n_bootstrap: int) -> DataFram
     )
 
 
-def bootstrap_slots(events: DataFrame, id_block: int = 65_536) -> DataFrame:
+def bootstrap_slots(events: DataFrame) -> DataFrame:
     """CAR rows numbered from 0 inside each source type and window."""
     group = ["source_type", "window"]
-    blocked = car_long(events).withColumn("_block", F.floor(F.col("filing_id") / id_block))
-    return dense_index(blocked, group, ["_block"], ["filing_id"], name="slot").select(*group, "slot", "car")
+    blocked, blocks = id_blocks(car_long(events), "filing_id")
+    return dense_index(blocked, group, blocks, ["filing_id"], name="slot").select(*group, "slot", "car")
 
 
 def bootstrap_ci(
@@ -257,27 +278,20 @@ def bootstrap_ci(
     *slots* comes from ``bootstrap_slots``, best as a stored table: the planner
     then knows its size and broadcasts it where it is small, and no draw is
     shuffled. Larger tables are met on (group, slot), which no group can
-    overload. Every row stands for one slot of each replicate and draws from a
-    seeded digest, so draws start where the rows are; one digest serves four
-    replicates. Work is n x n_bootstrap by definition; for groups of many
-    millions use ``bootstrap_ci_poisson``.
+    overload. Every row stands for one slot of each replicate and draws by
+    seeded arithmetic, so draws start where the rows are. Work is n x n_bootstrap
+    by definition of drawing n of n; ``bootstrap_ci_poisson`` does as much
+    arithmetic without the join.
     """
-    if n_bootstrap % 4:
-        raise ValueError("n_bootstrap must be a multiple of 4")
     group = ["source_type", "window"]
     sized = spread(with_totals(slots, group, n=F.count("*")).where("n >= 2"), "slot")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *group, "_q", "slot"))
-    drawn = (
-        sized.select(*group, "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap // 4 - 1))).alias("_q"))
-        .withColumn("_h", digest)
-        .select(*group, "n", "_q", F.posexplode(F.array(*[_hex_word(F.col("_h"), i) for i in range(4)])).alias("_w", "_u"))
-        .select(*group, (F.col("_q") * 4 + F.col("_w")).alias("b"), (F.col("_u") % F.col("n")).alias("slot"))
-    )
+    drawn = _draws(sized.select(*group, "slot", "n"), "slot", n_bootstrap, seed)
+    drawn = drawn.select(*group, "b", (F.col("u") % F.col("n")).alias("slot"))
     means = drawn.join(slots, [*group, "slot"]).groupBy(*group, "b").agg(F.avg("car").alias("mean"))
     return _interval(means, confidence, n_bootstrap)
 
 
-# 2^32 times the cumulative Poisson(1) probabilities for 0, 1, 2, ... copies.
+# 2^32 times the cumulative Poisson(1) probabilities for 0, 1, 2, ... copies; a draw is scaled to 2^32.
 POISSON_CUTS = (
     1580030169, 3160060337, 3950075422, 4213413783, 4279248374,
     4292415292, 4294609778, 4294923276, 4294962463, 4294966817, 4294967253, 4294967292,
@@ -300,20 +314,10 @@ def bootstrap_ci_poisson(
     Weights are drawn row by row, so replicates are plain weighted means: partial
     sums combine map-side and only groups x replicates rows are shuffled.
     """
-    if n_bootstrap % 4:
-        raise ValueError("n_bootstrap must be a multiple of 4")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "filing_id", "_q"))
     columns = [name for name, _ in WINDOWS.values()]
-    drawn = (
-        spread(events.select("filing_id", "source_type", *columns), "filing_id")
-        .select("filing_id", "source_type", *columns,
-                      F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap // 4 - 1))).alias("_q"))
-        .withColumn("_h", digest)
-        .select("source_type", *columns, "_q",
-                F.posexplode(F.array(*[_hex_word(F.col("_h"), i) for i in range(4)])).alias("_w", "_u"))
-        .select("source_type", *columns, (F.col("_q") * 4 + F.col("_w")).alias("b"),
-                poisson_copies(F.col("_u")).alias("w"))
-    )
+    few = spread(events.select("filing_id", "source_type", *columns), "filing_id")
+    drawn = _draws(few, "filing_id", n_bootstrap, seed)
+    drawn = drawn.select("source_type", *columns, "b", poisson_copies(F.col("u") * 2).alias("w"))
     sums = drawn.groupBy("source_type", "b").agg(
         *[F.sum(F.col("w") * F.col(c)).alias(f"{c}_s") for c in columns],
         *[F.sum(F.when(F.col(c).isNotNull(), F.col("w"))).alias(f"{c}_n") for c in columns],

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import require
+
 
 def pick_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], *, last: bool = True
@@ -44,8 +46,8 @@ def top_n_per_key(
 ) -> DataFrame:
     """The first *n* rows of each key by *order*.
 
-    ``row_number() <= n`` is planned with a group limit ahead of the shuffle, so
-    a map task ships at most n rows of a key. With *salt_by*, a first pass ranks
+    ``row_number() <= n`` is planned with a group limit ahead of the shuffle (for n up to
+    Spark's own threshold, 1,000), so a map task ships at most n rows of a key. With *salt_by*, a first pass ranks
     inside (key, hash of salt_by) so that the last task of a hot key sees at most
     ``salts * n`` rows however many map tasks there were.
     """
@@ -66,11 +68,13 @@ def top_n_per_key(
 def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
     """Attach group totals to every row of the group.
 
-    Aggregate (combined map-side) then equi-join: one total per group travels,
-    and a hot group's rows stay spread, unlike a window over the group.
+    Aggregate (combined map-side) then equi-join: one total per group travels. Small totals are
+    broadcast by the planner; beyond that a group's rows meet in one partition, which
+    adaptive execution streams, and unlike in a window they are never buffered. A null key is an error.
     """
+    df = require(df, {f"{c} must not be null": F.col(c).isNotNull() for c in keys})
     summed = df.groupBy(*keys).agg(*[c.alias(name) for name, c in totals.items()])
-    return df.join(summed, list(keys))
+    return df.join(summed, list(keys), "left")  # an inner join would filter null keys before the check
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

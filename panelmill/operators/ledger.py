@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from .asof import on_dates, overlap_join
 from .keyed import top_n_per_key
 from .orders import signed_quantity
-from .running import running
+from .running import id_blocks, running
 
-SEQ_BLOCK = 1 << 16
 MONEY = "decimal(28,9)"  # nine decimals, and room for sums to stay exact
 
 
@@ -24,21 +23,22 @@ def _signed(fills: DataFrame) -> DataFrame:
     return (
         fills.withColumn("_shares", shares)
         .withColumn("_cash", (-F.col("_shares") * F.col("price")).cast(MONEY))
-        .withColumn("_block", F.floor(F.col("seq") / SEQ_BLOCK))
     )
 
 
 def positions_ledger(fills: DataFrame) -> DataFrame:
     """Signed shares of the filled ticker after each fill."""
-    out = running(_signed(fills), ["fund", "ticker"], ["session", "_block"], ["seq"],
+    signed, blocks = id_blocks(_signed(fills), "seq")
+    out = running(signed, ["fund", "ticker"], ["session", *blocks], ["seq"],
                   {"shares_after": ("sum", "_shares")})
-    return out.drop("_shares", "_cash", "_block")
+    return out.drop("_shares", "_cash", *blocks)
 
 
 def cash_ledger(fills: DataFrame, capital: Column) -> DataFrame:
     """Cash of the fund after each fill; it may go below zero and is shown so."""
-    out = running(_signed(fills), ["fund"], ["session", "_block"], ["seq"], {"_run": ("sum", "_cash")})
-    return out.withColumn("cash_after", capital.cast(MONEY) + F.col("_run").cast(MONEY)).drop("_shares", "_cash", "_block", "_run")
+    signed, blocks = id_blocks(_signed(fills), "seq")
+    out = running(signed, ["fund"], ["session", *blocks], ["seq"], {"_run": ("sum", "_cash")})
+    return out.withColumn("cash_after", capital.cast(MONEY) + F.col("_run").cast(MONEY)).drop("_shares", "_cash", *blocks, "_run")
 
 
 def closing_positions(fills: DataFrame, as_of: Column | None = None) -> DataFrame:

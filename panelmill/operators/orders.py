@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .checks import finite
 from .running import dense_index
 
 BOOK = ("fund", "session")
@@ -22,16 +23,27 @@ def join_targets_positions(
     )
 
 
-def exact_marks(needed: DataFrame, bars: DataFrame, day: str = "session") -> DataFrame:
-    """Close of each needed (ticker, session) on exactly that day, with a reason where unusable."""
-    closes = bars.select("ticker", F.col("d").alias(day), F.col("close").alias("mark"))
+def exact_marks(needed: DataFrame, bars: DataFrame, day: str = "session", order: str | None = None) -> DataFrame:
+    """Close of each needed (ticker, session) on exactly that day, with a reason where unusable.
+
+    Of several bars on a day the last by *order* counts; without an order they must agree.
+    """
+    close = F.max_by("close", order) if order else F.max("close")
+    differ = F.lit(False) if order else F.min("close") != F.max("close")
+    closes = bars.groupBy("ticker", F.col("d").alias(day)).agg(close.alias("mark"), differ.alias("_differ"))
     joined = needed.join(closes, ["ticker", day], "left")
-    good = (F.col("mark") > 0) & ~F.isnan("mark") & (F.col("mark") < F.lit(float("inf")))
     return joined.withColumn(
         "reason",
         F.when(F.col("mark").isNull(), "missing close")
-        .when(~good, "close must be finite and positive"),
-    )
+        .when(F.col("_differ"), "several closes on the day")
+        .when(~(finite(F.col("mark")) & (F.col("mark") > 0)), "close must be finite and positive"),
+    ).drop("_differ")
+
+
+def unusable_baskets(marks: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """Baskets that cannot trade because a name of theirs has no usable mark, with the count and one reason."""
+    bad = marks.where(F.col("reason").isNotNull())
+    return bad.groupBy(*keys).agg(F.count("*").alias("n_unusable"), F.min("reason").alias("reason"))
 
 
 def delta_orders(books: DataFrame, keys: Sequence[str] = BOOK) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import carry_forward
-from .checks import finite, missing_keys, violations
+from .checks import finite, missing_keys, require, violations
 from .keyed import with_totals
 from .risk import apply_limits
 
@@ -27,7 +27,7 @@ def _total(values: Column) -> Column:
 
 
 def staff(signals: DataFrame, models: DataFrame, strategies: DataFrame) -> DataFrame:
-    """Each signal beside every strategy that employs its model.
+    """Each signal beside every strategy that employs its model; a model without a vote is an error.
 
     Mandate tables hold a few rows per fund; the planner broadcasts them when
     their size statistics say so.
@@ -35,7 +35,8 @@ def staff(signals: DataFrame, models: DataFrame, strategies: DataFrame) -> DataF
     mandate = strategies.select("fund", "strategy", "mode", "gross_target").join(
         models.select("strategy", "model_name", F.col("weight").alias("vote"), "approach"), "strategy"
     )
-    return signals.join(mandate, "model_name")
+    staffed = signals.join(mandate, "model_name", "left")
+    return require(staffed, {"model has no vote weight": F.col("strategy").isNotNull()})
 
 
 def unstaffed(signals: DataFrame, models: DataFrame) -> DataFrame:
@@ -77,6 +78,13 @@ def blend_convictions(
     Abstentions do not vote, neutral votes do; a long-only model's negative vote
     counts as zero in the second mean. All abstaining gives 0.
     """
+    value, vote = F.col("value"), F.col("vote")
+    staffed = require(staffed, {
+        "signal must be finite and within [-1, 1]": finite(value) & value.between(-1, 1),
+        "vote weight must be finite and positive": finite(vote) & (vote > 0),
+        "approach must be long_only or long_short": F.col("approach").isin(*APPROACHES),
+        "abstained must be known": F.col("abstained").isNotNull(),
+    })
     votes = ~F.col("abstained")
     weight = F.when(votes, F.col("vote"))
     short_value = F.when(F.col("approach") == "long_short", F.col("value")).otherwise(
@@ -101,6 +109,11 @@ def sleeve_weights(
     blended: DataFrame, keys: Sequence[str] = ("fund", "strategy", "date")
 ) -> DataFrame:
     """Scores scaled to each strategy's gross target; a one-sided neutral book stays flat."""
+    target = F.col("gross_target")
+    blended = require(blended, {
+        "mode is unknown": F.col("mode").isin(*MODES),
+        "gross target must be finite and positive": finite(target) & (target > 0),
+    })
     short_part = F.when(F.col("mode") == "long_only", 0.0).otherwise(
         F.least("short_conviction", F.lit(0.0))
     )
@@ -127,6 +140,8 @@ def sleeve_weights(
 
 def strategy_slices(strategies: DataFrame) -> DataFrame:
     """Each strategy's share of its fund's capital."""
+    w = F.col("weight")
+    strategies = require(strategies, {"strategy weight must be finite and positive": finite(w) & (w > 0)})
     shared = with_totals(strategies, ["fund"], _total=F.sum("weight"))
     return shared.select("fund", "strategy", (F.col("weight") / F.col("_total")).alias("slice"))
 
@@ -213,9 +228,10 @@ def validate_book(
         ("target", recorded.select(*keys, "w"), F.col("gross_target")),
         ("contribution", contributions.select(*keys, F.col("contribution").alias("w")), F.col("gross_target") * F.col("slice")),
     ):
-        full = rows.join(mandate, ["fund", "strategy"]).join(proof, keys, "left")
+        full = rows.join(mandate, ["fund", "strategy"], "left").join(proof, keys, "left")
         w = F.col("w")
         per_row = {
+            f"{label} of a strategy outside the mandate": F.col("mode").isNull(),
             f"{label} not finite": ~finite(w),
             f"long-only {label} negative": (F.col("mode") == "long_only") & (w < -TOLERANCE),
             f"negative {label} without short evidence": (w < -TOLERANCE) & (F.coalesce("proof", F.lit(0.0)) >= 0),

@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checks import finite, require
 from .keyed import with_totals
 
 BOOK = ["fund", "date"]
 
 
+def _limited(book: DataFrame, funds: DataFrame) -> DataFrame:
+    """The book beside its fund's limits, which must exist and be finite and positive."""
+    held = book.join(funds.select("fund", "max_position_pct", "max_gross_exposure"), "fund", "left")
+    cap, limit = F.col("max_position_pct"), F.col("max_gross_exposure")
+    return require(held, {
+        "position limit must be finite and positive": finite(cap) & (cap > 0),
+        "gross limit must be finite and positive": finite(limit) & (limit > 0),
+        "weight must be finite": finite(F.col("netted")),
+    })
+
+
 def clamp_positions(book: DataFrame, funds: DataFrame) -> DataFrame:
     """Cap each name, then scale the whole book if its gross is still too high.
 
     Removed exposure goes to no other name.
     """
-    limited = book.join(funds.select("fund", "max_position_pct", "max_gross_exposure"), "fund")
+    limited = _limited(book, funds)
     w, cap = F.col("netted"), F.col("max_position_pct")
     capped = limited.withColumn("capped", F.when(F.abs(w) > cap, F.signum(w) * cap).otherwise(w))
     sized = with_totals(capped, BOOK, gross=F.sum(F.abs("capped")))
@@ -26,7 +38,7 @@ def clamp_positions(book: DataFrame, funds: DataFrame) -> DataFrame:
 
 def scale_proportional(book: DataFrame, funds: DataFrame) -> DataFrame:
     """Shrink the whole book by one factor until the largest name and the gross fit."""
-    limited = book.join(funds.select("fund", "max_position_pct", "max_gross_exposure"), "fund")
+    limited = _limited(book, funds)
     sized = with_totals(
         limited, BOOK, _largest=F.max(F.abs("netted")), _gross=F.sum(F.abs("netted"))
     )
@@ -47,9 +59,8 @@ def apply_limits(book: DataFrame, funds: DataFrame, proportional: DataFrame) ->
 
     Both rules read the same totals, so a single pass serves all funds.
     """
-    limited = book.join(funds.select("fund", "max_position_pct", "max_gross_exposure"), "fund").join(
-        proportional, "fund"
-    )
+    limited = _limited(book, funds).join(proportional, "fund", "left")
+    limited = require(limited, {"fund has no strategies": F.col("proportional").isNotNull()})
     w, cap, limit = F.col("netted"), F.col("max_position_pct"), F.col("max_gross_exposure")
     capped = limited.withColumn("_clip", F.when(F.abs(w) > cap, F.signum(w) * cap).otherwise(w))
     sized = with_totals(

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import require
+
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -67,6 +69,7 @@ def running(
     come before all rows of the next.
     """
     by, blocks = list(by), list(blocks)
+    df = require(df, {f"{c} must not be null": F.col(c).isNotNull() for c in (*by, *blocks)})
     kinds = {name: kind for name, (kind, _) in values.items()}
     totals = df.groupBy(*by, *blocks).agg(
         *[_COMBINE[kind](col).alias(name) for name, (kind, col) in values.items()]
@@ -79,7 +82,7 @@ def running(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = df.join(opened, by + blocks)
+    out = df.join(opened, by + blocks, "left")  # an inner join would filter null keys before the check
     for name, (kind, col) in values.items():
         out = out.withColumn(
             name, _merge(kind, F.col(f"{name}__open"), _COMBINE[kind](col).over(here))
@@ -87,6 +90,17 @@ def running(
     return out
 
 
+def id_blocks(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
+    """*df* with three levels of blocks over a whole-number column, and their names.
+
+    Each level splits the one above into at most 65,536 parts, so that no window over blocks
+    or rows is longer than that, however sparse the numbers are.
+    """
+    names = [f"_{column}_{bits}" for bits in (48, 32, 16)]
+    parts = {n: F.shiftright(F.col(column).cast("bigint"), bits) for n, bits in zip(names, (48, 32, 16), strict=True)}
+    return df.withColumns(parts), names
+
+
 def dense_index(
     df: DataFrame, by: Sequence[str], blocks: Sequence[str], order: Sequence[str | Column],
     *, name: str = "idx", start: int = 0,
@@ -101,22 +115,31 @@ def dense_index(
 
 
 def share_below(
-    df: DataFrame, by: Sequence[str], value: str, *, width: float, name: str = "pct_rank"
+    df: DataFrame, by: Sequence[str], value: str, *, blocks: int = 64, name: str = "pct_rank"
 ) -> DataFrame:
     """Percent of the group's values strictly below each row's value.
 
-    Equal values are merged into counts first, then counts run over blocks of
-    *width* on the value axis, so neither ties nor a large group meet in one task.
+    Equal values are merged into counts first, then counts run over blocks of the
+    value axis whose borders are the group's own quantiles, so neither ties nor a large or
+    skewed group meet in one task. Rows without a value or a key have no rank and stay.
     """
     by = list(by)
+    known = df.where(F.col(value).isNotNull())
+    for c in by:
+        known = known.where(F.col(c).isNotNull())
+    borders = known.groupBy(*by).agg(
+        F.percentile_approx(value, [i / blocks for i in range(1, blocks)], F.lit(1000)).alias("_borders")
+    )
     counts = (
-        df.groupBy(*by, value)
+        known.groupBy(*by, value)
         .agg(F.count("*").alias("_same"))
-        .withColumn("_block", F.floor(F.col(value) / F.lit(width)))
+        .join(borders, by)
+        .withColumn("_block", F.size(F.filter("_borders", lambda b: b < F.col(value))))
+        .drop("_borders")
     )
     below = running(counts, by, ["_block"], [value], {"_upto": ("sum", "_same")})
-    totals = df.groupBy(*by).agg(F.count("*").alias("_all"))
+    totals = known.groupBy(*by).agg(F.count("*").alias("_all"))
     ranked = below.join(totals, by).select(
         *by, value, ((F.col("_upto") - F.col("_same")) / F.col("_all") * 100.0).alias(name)
     )
-    return df.join(ranked, [*by, value])
+    return df.join(ranked, [*by, value], "left")

@@ -19,24 +19,33 @@ def per_ticker(*keys: str, day: str = "d") -> Window:
 def aligned_closes(bars: DataFrame, market: DataFrame) -> DataFrame:
     """Closes of each ticker beside the market's, on days both traded.
 
-    The market side has one row per calendar day (about 100 bytes a day, so a
-    century stays near 4 MB) and is broadcast on that bound.
+    The market side is grouped to one row per calendar day (about 100 bytes a day,
+    so a century stays near 4 MB) and is broadcast on that bound. A day that a market
+    table holds twice counts with its larger close.
     """
-    days = market.select("d", F.col("close").alias("market_close"))
+    days = market.groupBy("d").agg(F.max("close").alias("market_close"))
     return bars.select("ticker", "d", "close").join(F.broadcast(days), "d")
 
 
+def shared_days(bars: DataFrame, market: DataFrame) -> DataFrame:
+    """Days of every ticker on which the market traded too."""
+    days = market.select("d").distinct()
+    return bars.select("ticker", "d").distinct().join(F.broadcast(days), "d", "left_semi").select("ticker", "d")
+
+
 def aligned_returns(bars: DataFrame, market: DataFrame) -> DataFrame:
-    """Simple returns y (ticker) and x (market) with their 0-based day index."""
+    """Simple returns y (ticker) and x (market) with their 0-based day index.
+
+    A return from a zero close is null: it harms the windows that hold it, not the job.
+    """
     w = per_ticker()
     closes = aligned_closes(bars, market)
     returns = closes.select(
         "ticker",
         "d",
-        ((F.col("close") - F.lag("close").over(w)) / F.lag("close").over(w)).alias("y"),
-        (
-            (F.col("market_close") - F.lag("market_close").over(w))
-            / F.lag("market_close").over(w)
+        F.try_divide(F.col("close") - F.lag("close").over(w), F.lag("close").over(w)).alias("y"),
+        F.try_divide(
+            F.col("market_close") - F.lag("market_close").over(w), F.lag("market_close").over(w)
         ).alias("x"),
         (F.row_number().over(w) - 2).cast("bigint").alias("idx"),
     )

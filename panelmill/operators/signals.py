@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import carry_forward
+from .checks import finite
 from .eventstudy import drop_retrospective
 from .keyed import pick_per_key
 
@@ -16,6 +17,7 @@ from .keyed import pick_per_key
 SOURCE_PRIORITY = {"8-K": 0, "10-Q": 1, "10-K": 2, "20-F": 3}
 OTHER_SOURCE = 99
 SIGNAL_DAYS = 4
+MAX_MODELS = 10_000
 
 
 def labeled_only(filings: DataFrame, labels: tuple[str, ...] = ("BEAT", "MISS"), announcement_only: bool = False) -> DataFrame:
@@ -25,8 +27,8 @@ def labeled_only(filings: DataFrame, labels: tuple[str, ...] = ("BEAT", "MISS"),
 
 
 def conviction_filter(signals: DataFrame, threshold: float = 0.0, value: str = "value") -> DataFrame:
-    """Signals strictly beyond the threshold, with their direction."""
-    acted = signals.where(F.abs(value) > threshold)
+    """Signals strictly beyond the threshold, with their direction; a value that is no number never acts."""
+    acted = signals.where(finite(F.col(value)) & (F.abs(value) > threshold))
     return acted.withColumn("direction", F.when(F.col(value) > 0, "long").otherwise("short"))
 
 
@@ -39,6 +41,7 @@ def source_rank(source: Column) -> Column:
 
 def best_filing_per_period(filings: DataFrame) -> DataFrame:
     """One filing per (ticker, report period): best source, then earliest."""
+    filings = filings.where(F.col("filing_date").isNotNull())  # an undated filing was never known
     order = [source_rank(F.col("source_type")), F.col("filing_date"), F.col("filing_id")]
     return pick_per_key(filings, ["ticker", "report_period"], order, last=False)
 
@@ -93,9 +96,12 @@ def surprise_signal(
 def request_grid(cells: DataFrame, models: DataFrame) -> DataFrame:
     """Every (ticker, date) cell asked of every model of the mandate.
 
-    The mandate's models, a handful, come in as one array and unfold each cell.
+    The mandate's models, a handful, come in as one array and unfold each cell; more
+    than MAX_MODELS of them are an error.
     """
-    listed = models.agg(F.collect_list(F.struct(*models.columns))).scalar()
+    found = F.collect_list(F.struct(*models.columns))
+    few = F.when(F.count("*") > MAX_MODELS, F.raise_error(F.lit("too many models for one mandate"))).otherwise(found)
+    listed = models.agg(few).scalar()
     asked = cells.withColumn("_models", listed).withColumn("_m", F.explode("_models"))
     return asked.select(*cells.columns, "_m.*")
 

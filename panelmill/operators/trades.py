@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_exact
+from .checks import finite
 from .running import dense_index, running
 from .series import exit_at
 
@@ -30,7 +31,7 @@ def non_overlapping_entries(
     everything = panel if start is None else panel.where(F.col("d") >= F.lit(start).cast("date"))
     days = everything.select(
         "ticker", "d", "value",
-        (F.abs("value") > threshold).alias("_on"),
+        (finite(F.col("value")) & (F.abs("value") > threshold)).alias("_on"),
         (F.row_number().over(w) - 1).alias("_i"),
         F.lead("d", hold).over(w).alias("_exit"),
     )
@@ -40,19 +41,22 @@ def non_overlapping_entries(
     if end is not None:
         onsets = onsets.where(F.col("d") <= F.lit(end).cast("date"))
     listed = onsets.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("_i", "d", "value"))).alias("_c"))
-    none = F.slice(F.col("_c"), 1, 0)
+    return (
+        listed.select("ticker", F.explode(_greedy(F.col("_c"), F.lit(hold).cast("bigint"))).alias("_p"))
+        .select("ticker", F.col("_p.d").alias("entry_date"), F.col("_p.value").alias("value"))
+    )
+
+
+def _greedy(candidates: Column, hold: Column) -> Column:
+    """Candidates in order, each at least hold + 1 sessions after the one picked before it."""
 
     def take(state: Column, c: Column) -> Column:
         free = c["_i"] > state["last"] + hold
-        taken = F.struct(c["_i"].alias("last"), F.concat(state["picks"], F.array(c)).alias("picks"))
+        taken = F.struct(c["_i"].cast("bigint").alias("last"), F.concat(state["picks"], F.array(c)).alias("picks"))
         return F.when(free, taken).otherwise(state)
 
-    first = F.struct(F.lit(-hold - 1).alias("last"), none.alias("picks"))
-    picks = F.aggregate("_c", first, take, lambda s: s["picks"])
-    return (
-        listed.select("ticker", F.explode(picks).alias("_p"))
-        .select("ticker", F.col("_p.d").alias("entry_date"), F.col("_p.value").alias("value"))
-    )
+    first = F.struct((-hold - 1).alias("last"), F.slice(candidates, 1, 0).alias("picks"))
+    return F.aggregate(candidates, first, take, lambda s: s["picks"])
 
 
 def fixed_hold_trades(
@@ -66,7 +70,14 @@ def fixed_hold_trades(
     priced = exit_at(bars, hold).select(
         "ticker", F.col("d").alias("entry_date"), F.col("close").alias("entry_price"), "exit_date", "exit_price"
     )
-    joined = entries.join(priced, ["ticker", "entry_date"]).where("exit_date IS NOT NULL AND entry_price > 0")
+    joined = entries.join(priced, ["ticker", "entry_date"]).withColumn("holding_days", F.lit(hold).cast("bigint"))
+    return _filled(joined, per_trade)
+
+
+def _filled(joined: DataFrame, per_trade: float) -> DataFrame:
+    """Shares, profit and return of entries beside their prices."""
+    more = [c for c in ("threshold",) if c in joined.columns]
+    joined = joined.where("exit_date IS NOT NULL AND entry_price > 0")
     long = F.col("value") > 0
     gain = F.when(long, F.col("exit_price") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("exit_price"))
     shares = F.lit(per_trade) / F.col("entry_price")
@@ -76,7 +87,7 @@ def fixed_hold_trades(
         F.round(shares, 4).alias("shares"),
         F.round(shares * gain, 2).alias("pnl"),
         F.round(gain / F.col("entry_price"), 6).alias("return_pct"),
-        F.lit(hold).cast("bigint").alias("holding_days"),
+        "holding_days", *more,
     )
 
 
@@ -198,13 +209,36 @@ def trade_study(
     panel: DataFrame, bars: DataFrame, *, holds: Sequence[int] = (HOLD,), thresholds: Sequence[float] = (0.0,),
     per_trade: float = PER_TRADE, start: str | None = None, end: str | None = None,
 ) -> DataFrame:
-    """Trades of every (hold, threshold) setting of a sweep over one signal panel."""
-    out = None
-    for hold in holds:
-        for threshold in thresholds:
-            entries = non_overlapping_entries(panel, hold=hold, threshold=threshold, start=start, end=end)
-            trades = fixed_hold_trades(entries, bars, hold=hold, per_trade=per_trade).withColumn(
-                "threshold", F.lit(float(threshold))
-            )
-            out = trades if out is None else out.unionByName(trades)
-    return out
+    """Trades of every (hold, threshold) setting of a sweep over one signal panel.
+
+    One plan for all settings: the panel unfolds to the thresholds, a ticker's list of onsets
+    to the holds, and each bar carries its exits at all holds, so panel and bars are read once.
+    """
+    holds = list(dict.fromkeys(holds))
+    w = Window.partitionBy("ticker").orderBy("d")
+    days = panel if start is None else panel.where(F.col("d") >= F.lit(start).cast("date"))
+    days = days.select(
+        "ticker", "d", "value", (F.row_number().over(w) - 1).alias("_i"),
+        F.array(*[F.lead("d", h).over(w).isNotNull() for h in holds]).alias("_exits"),
+    ).withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in dict.fromkeys(thresholds)])))
+    days = days.withColumn("_on", finite(F.col("value")) & (F.abs("value") > F.col("threshold")))
+    each = Window.partitionBy("ticker", "threshold").orderBy("d")
+    onsets = days.withColumn("_was", F.coalesce(F.lag("_on").over(each), F.lit(False))).where("_on AND NOT _was")
+    if end is not None:
+        onsets = onsets.where(F.col("d") <= F.lit(end).cast("date"))
+    listed = onsets.groupBy("ticker", "threshold").agg(
+        F.array_sort(F.collect_list(F.struct("_i", "d", "value", "_exits"))).alias("_c")
+    )
+    listed = listed.select("*", F.posexplode(F.array(*[F.lit(h).cast("bigint") for h in holds])).alias("_h", "holding_days"))
+    open_ = F.filter("_c", lambda c: F.element_at(c["_exits"], F.col("_h") + 1))
+    picks = _greedy(open_, F.col("holding_days"))
+    entries = listed.select("ticker", "threshold", "_h", "holding_days", F.explode(picks).alias("_p")).select(
+        "ticker", "threshold", "_h", "holding_days", F.col("_p.d").alias("entry_date"), F.col("_p.value").alias("value")
+    )
+    priced = bars.select(
+        "ticker", F.col("d").alias("entry_date"), F.col("close").alias("entry_price"),
+        F.array(*[F.struct(F.lead("d", h).over(w).alias("d"), F.lead("close", h).over(w).alias("close")) for h in holds]).alias("_out"),
+    )
+    joined = entries.join(priced, ["ticker", "entry_date"]).withColumn("_x", F.element_at("_out", F.col("_h") + 1))
+    joined = joined.withColumns({"exit_date": F.col("_x.d"), "exit_price": F.col("_x.close")})
+    return _filled(joined, per_trade)

@@ -191,7 +191,8 @@ class Dataset:
         return self.table("documents").select(
             "doc_id",
             self._ticker(F.col("doc_id") % self.n_tickers).alias("ticker"),
-            F.substring("text", 1, 40).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
+            "text",
             "source",
             F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("date"),
         )

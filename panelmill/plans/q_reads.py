@@ -66,7 +66,7 @@ def scan_fundamentals_pit(t):
 
 
 @query("scan_news", """
-    SELECT doc_id, ticker, title, source, date FROM news WHERE date BETWEEN DATE '2024-03-01' AND DATE '2024-10-31'
+    SELECT doc_id, ticker, title, text, source, date FROM news WHERE date BETWEEN DATE '2024-03-01' AND DATE '2024-10-31'
     QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC, doc_id DESC) <= 3""", "news")
 def scan_news(t):
     return reads.dated_facts(t.news, "date", "2024-10-31", "2024-03-01", limit=3, tie="doc_id")

@@ -245,15 +245,20 @@ def expanding_trade_metrics(t):
     return run.drop("holding_days", "annualized_return_pct")
 
 
-def _study_sql(holds):
+HOLDS, THRESHOLDS = (3, 10), (0.0, 0.5)
+
+
+def _study_sql():
     parts = []
-    for h in holds:
-        parts.append(f"SELECT * FROM (WITH RECURSIVE {MACHINE_SQL.format(hold=h)}, {TRADES_SQL.format(hold=h)}, {CURVE_SQL} "
-                     f"{METRIC_SQL.format(hold=h)})")
+    for h in HOLDS:
+        for x in THRESHOLDS:
+            machine = MACHINE_SQL.format(hold=h).replace("d.value <> 0", f"abs(d.value) > {x}").replace("d.value = 0", f"abs(d.value) <= {x}")
+            parts.append(f"SELECT *, CAST({x} AS DOUBLE) AS threshold FROM (WITH RECURSIVE {machine}, {TRADES_SQL.format(hold=h)}, {CURVE_SQL} "
+                         f"{METRIC_SQL.format(hold=h)})")
     return " UNION ALL ".join(parts)
 
 
-@query("trade_study", _study_sql((3, 10)), "timely bars")
+@query("trade_study", _study_sql(), "timely bars")
 def trade_study(t):
-    traded = stored(trades.trade_study(entry_panel(t), t.closes, holds=(3, 10)), "trades")
-    return trades.trade_metrics(traded, ["holding_days"])
+    traded = stored(trades.trade_study(entry_panel(t), t.closes, holds=HOLDS, thresholds=THRESHOLDS), "trades")
+    return trades.trade_metrics(traded, ["holding_days", "threshold"])

@@ -47,10 +47,9 @@ def join_aligned_series(t):
 
 
 @query("intersect_days", """
-    SELECT d FROM bars WHERE ticker = 'S1' INTERSECT SELECT d FROM bars WHERE ticker = 'S2'""", "bars")
+    SELECT ticker, d FROM bars WHERE d IN (SELECT d FROM market)""", "bars market")
 def intersect_days(t):
-    days = t.closes
-    return days.where("ticker = 'S1'").select("d").intersect(days.where("ticker = 'S2'").select("d"))
+    return series.shared_days(t.closes, t.market)
 
 
 @query("daily_returns", "SELECT ticker, d, round(y, 6) AS y, round(x, 6) AS x FROM returns", "returns")
@@ -165,22 +164,30 @@ def car_ttest(t):
     return rounded(tested.select("source_type", "window", "n_events", "t_stat", "p_value"), "t_stat", "p_value")
 
 
-DRAWS = 200
+DRAWS = 10_000
 INTERVAL_SQL = """
     SELECT source_type, "window", round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper,
-           CAST(0.95 AS DOUBLE) AS confidence, CAST(200 AS BIGINT) AS n_bootstrap
+           CAST(0.95 AS DOUBLE) AS confidence, CAST(10000 AS BIGINT) AS n_bootstrap
     FROM means GROUP BY 1, 2"""
+
+
+def _drawn_sql(item: str, columns: str, source: str) -> str:
+    """The draws of eventstudy._draws as nested selects."""
+    first = es.DRAW_SQL.format(item=item, draw="r.b", seed=42)
+    sql = f"SELECT {columns}, r.b, {first} AS u FROM {source}, range(10000) r(b)"
+    for c in (12345, 67890, 13579):
+        sql = f"SELECT * REPLACE ({es.SQUARE_SQL.format(x='u', c=c)} AS u) FROM ({sql})"
+    return sql
+
+
 BOOTSTRAP_MEANS = """
     slots AS (
       SELECT *, row_number() OVER (PARTITION BY source_type, "window" ORDER BY filing_id) - 1 AS slot,
              count(*) OVER (PARTITION BY source_type, "window") AS n FROM car_rows),
-    draws AS (
-      SELECT source_type, "window", q * 4 + w AS b, CAST('0x' || substr(h, 8 * w + 1, 8) AS BIGINT) % n AS slot FROM (
-        SELECT source_type, "window", n, q, md5('42:' || source_type || ':' || "window" || ':' || q || ':' || slot) AS h
-        FROM slots, range(50) r(q) WHERE n >= 2), range(4) s(w)),
+    draws AS (SELECT source_type, "window", b, u % n AS slot FROM ({draws})),
     means AS (
       SELECT d.source_type, d."window", d.b, avg(s.car) AS mean FROM draws d JOIN slots s
-      ON s.source_type = d.source_type AND s."window" = d."window" AND s.slot = d.slot GROUP BY 1, 2, 3)"""
+      ON s.source_type = d.source_type AND s."window" = d."window" AND s.slot = d.slot GROUP BY 1, 2, 3)""".format(draws=_drawn_sql("slot", 'source_type, "window", n', "(SELECT * FROM slots WHERE n >= 2)"))
 
 
 @query("bootstrap_ci", f"WITH {BOOTSTRAP_MEANS} {INTERVAL_SQL}", "car_rows")
@@ -194,9 +201,8 @@ _POISSON_CASE = " ".join(f"WHEN u < {cut} THEN {k}" for k, cut in enumerate(es.P
 
 @query("bootstrap_ci_poisson", f"""
     WITH weighted AS (
-      SELECT filing_id, q * 4 + w AS b, CASE {_POISSON_CASE} ELSE {len(es.POISSON_CUTS)} END AS w FROM (
-        SELECT filing_id, q, w, CAST('0x' || substr(h, 8 * w + 1, 8) AS BIGINT) AS u FROM (
-          SELECT filing_id, q, md5('42:' || filing_id || ':' || q) AS h FROM cars, range(50) r(q)), range(4) s(w))),
+      SELECT filing_id, b, CASE {_POISSON_CASE} ELSE {len(es.POISSON_CUTS)} END AS w FROM (
+        SELECT filing_id, b, u * 2 AS u FROM ({_drawn_sql("filing_id", "filing_id", "cars")}))),
     means AS (
       SELECT c.source_type, c."window", p.b, sum(p.w * c.car) / sum(p.w) AS mean
       FROM car_rows c JOIN weighted p ON p.filing_id = c.filing_id GROUP BY 1, 2, 3)
@@ -320,7 +326,7 @@ def rsi(t):
        / count(*) OVER (PARTITION BY date_trunc('month', d)) * 100.0::DOUBLE, 6) AS pct_rank FROM bars""", "bars")
 def percentile_rank(t):
     closes = t.closes.select("ticker", "d", F.trunc("d", "MM").alias("month"), "close")
-    ranked = run.share_below(closes, ["month"], "close", width=50.0)
+    ranked = run.share_below(closes, ["month"], "close")
     return rounded(ranked.select("ticker", "d", "pct_rank"), "pct_rank")
 
 

@@ -40,7 +40,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         SELECT 'S' || s_suppkey AS ticker, s_name AS name, r_name AS sector, n_name AS industry
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""),
     "news": ("n_sup", """
-        SELECT doc_id, 'S' || (doc_id % (SELECT n FROM n_sup)) AS ticker, substr(text, 1, 40) AS title, source,
+        SELECT doc_id, 'S' || (doc_id % (SELECT n FROM n_sup)) AS ticker, split_part(text, chr(10), 1) AS title, text, source,
                DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS date
         FROM documents"""),
     "insider": ("", """

@@ -96,7 +96,7 @@ def test_bootstrap_brackets_the_mean_and_repeats(spark):
     df = spark.createDataFrame(
         [(i, "8-K", float(c), float(c), float(c)) for i, c in enumerate(cars)],
         "filing_id BIGINT, source_type STRING, car_0_1 DOUBLE, car_0_5 DOUBLE, car_0_20 DOUBLE")
-    slots = es.bootstrap_slots(df, id_block=16)
+    slots = es.bootstrap_slots(df)
     run = lambda seed: sorted((r.window, round(r.lower, 12), round(r.upper, 12)) for r in es.bootstrap_ci(slots, n_bootstrap=200, seed=seed).collect())
     first = run(42)
     assert first == run(42) != run(43)

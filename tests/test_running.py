@@ -50,5 +50,5 @@ def test_pick_and_totals(spark):
 
 def test_share_below_counts_strictly_lower(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 9.0), ("b", -3.0)], "g STRING, v DOUBLE")
-    got = sorted((r.g, r.v, r.pct_rank) for r in share_below(df, ["g"], "v", width=2.0).collect())
+    got = sorted((r.g, r.v, r.pct_rank) for r in share_below(df, ["g"], "v", blocks=4).collect())
     assert got == [("a", 1.0, 0.0), ("a", 2.0, 25.0), ("a", 2.0, 25.0), ("a", 9.0, 75.0), ("b", -3.0, 0.0)]
