@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 MAX_LENGTH = 2048
 #: Words that a worker remembers before it starts over; bounds its memory (about 150 bytes each).
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint, bucket int, ids array<int>"
