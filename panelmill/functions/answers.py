@@ -60,7 +60,8 @@ def extract_json_answer(text: Column) -> Column:
 def validate_answers(answers: DataFrame, text: str = "text") -> DataFrame:
     """Signal value of each answer, or an abstention with its reason.
 
-    The direction must be known and the confidence within 0..100 (0 when absent).
+    The direction must be known, the confidence within 0..100 (0 when absent), and provider
+    metadata, where there is any, an object.
     """
     found = answers.withColumn("_json", extract_json_answer(F.col(text)))
     read = found.withColumn("_f", F.from_json("_json", "map<string,string>"))
@@ -73,12 +74,15 @@ def validate_answers(answers: DataFrame, text: str = "text") -> DataFrame:
         *answers.columns, "_json", field("reasoning").alias("_said"), F.col("_f").isNotNull().alias("_object"),
         F.lower(F.coalesce(field("signal"), F.lit(""))).alias("_word"),
         F.when(absent, 0.0).otherwise(field("confidence").try_cast("double")).alias("_conf"),
+        F.when(F.map_contains_key("_f", "provider_metadata"), F.coalesce(F.startswith(F.trim(field("provider_metadata")), F.lit("{")), F.lit(False)))
+        .otherwise(True).alias("_meta"),
     )
     reason = (
         F.when(F.col("_json").isNull(), "no JSON object found")
         .when(~F.col("_object"), "answer is not an object")
         .when(~F.col("_word").isin(*DIRECTION_SIGN), "invalid signal")
         .when(F.col("_conf").isNull() | ~F.col("_conf").between(0, 100), "confidence out of range")
+        .when(~F.col("_meta"), "provider metadata is not an object")
     )
     done = checked.withColumn("abstain_reason", reason)
     ok = F.col("abstain_reason").isNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .asof import carry_forward
@@ -106,7 +106,7 @@ def request_grid(cells: DataFrame, models: DataFrame) -> DataFrame:
     return asked.select(*cells.columns, "_m.*")
 
 
-SIGNAL_COLUMNS = ("model_name", "ticker", "date", "value", "abstained")
+SIGNAL_COLUMNS = ("model_name", "ticker", "date", "value", "abstained", "reason")
 
 
 @dataclass(frozen=True)
@@ -137,23 +137,36 @@ def register(model: SignalModel) -> SignalModel:
     return model
 
 
-register(SignalModel("pead", "long_short", lambda grid, tables: surprise_signal(grid, tables["filings"])))
+def _surprise_with_reason(grid: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    found = surprise_signal(grid, tables["filings"])
+    return found.withColumn("reason", F.coalesce(F.concat_ws(" ", "eps_surprise", "source_type"), F.lit("")))
+
+
+register(SignalModel("pead", "long_short", _surprise_with_reason))
 
 
 def answered_model(name: str, approach: str) -> SignalModel:
     """A model whose answers arrive as a table keyed by (ticker, date)."""
 
     def build(grid: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-        answers = tables[name].select("ticker", "date", "value", "abstained")
+        answers = tables[name]
+        said = F.col("reason") if "reason" in answers.columns else F.lit(None).cast("string")
+        answers = answers.select("ticker", "date", "value", "abstained", said.alias("reason"))
         return grid.join(answers, ["ticker", "date"], "left").select(
             F.lit(name).alias("model_name"), "ticker", "date",
             F.coalesce("value", F.lit(0.0)).alias("value"),
             F.coalesce("abstained", F.lit(True)).alias("abstained"),
+            F.coalesce("reason", F.when(F.col("abstained").isNull(), "no answer").otherwise("")).alias("reason"),
         )
 
     return SignalModel(name, approach, build)
 
 
+def approaches(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(model_name, approach) of registered models, for the vote weights of a mandate."""
+    return spark.createDataFrame([(n, REGISTRY[n].approach) for n in names], "model_name string, approach string")
+
+
 def run_models(names: list[str], grid: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Signals of several registered models over one grid."""
     unknown = [n for n in names if n not in REGISTRY]

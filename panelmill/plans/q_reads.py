@@ -302,13 +302,13 @@ def assert_rows(t):
 
 
 @query("set_equality", """
-    SELECT ticker, 'left' AS side FROM (SELECT ticker FROM filings EXCEPT SELECT ticker FROM bars WHERE d >= DATE '2001-10-20')
+    SELECT d, 'left' AS side FROM (SELECT filing_date AS d FROM filings EXCEPT SELECT d FROM market)
     UNION ALL
-    SELECT ticker, 'right' FROM (SELECT ticker FROM bars WHERE d >= DATE '2001-10-20' EXCEPT SELECT ticker FROM filings)
-    """, "filings bars")
+    SELECT d, 'right' FROM (SELECT d FROM market EXCEPT SELECT filing_date FROM filings)
+    """, "filings market")
 def set_equality(t):
-    late = t.closes.where("d >= DATE '2001-10-20'").select("ticker").distinct()
-    return checks.set_difference(t.filings.select("ticker").distinct(), late)
+    filed = t.filings.select(F.col("filing_date").alias("d")).distinct()
+    return checks.set_difference(filed, t.market.select("d"))
 
 
 # Receipts: one JSON document per order, as a run, a backtest, a proposal, or damaged text.
@@ -321,7 +321,10 @@ def receipt_texts(t):
     )
     backtest = F.concat(
         F.lit('{"universe": '), universe, F.lit(', "benchmark": "MKT", "metrics": {"total_return_pct": '),
-        (key % 41).cast("string"), F.lit(', "excess_return_pct": '), (key % 17).cast("string"), F.lit("}}"),
+        (key % 41).cast("string"), F.lit(', "annualized_return_pct": '), (key % 7).cast("string"),
+        F.lit(', "sharpe_ratio": 1.5, "max_drawdown_pct": '), (key % 5).cast("string"), F.lit(', "benchmark_return_pct": '),
+        (key % 3).cast("string"), F.lit(', "n_cycles": '), (key % 90).cast("string"),
+        F.lit(', "excess_return_pct": '), (key % 17).cast("string"), F.lit('}, "start": "2000-01-03", "end": "'), day, F.lit('"}'),
     )
     pending = F.concat(
         F.lit('{"status": "pending", "as_of": "'), day, F.lit('", "reason": "no session", "proposal": {"universe": '),
@@ -351,16 +354,27 @@ RECEIPT_SQL = """
              CASE WHEN o_orderkey % 4 = 1 THEN 'no session' END AS reason,
              CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 41 AS DOUBLE) END AS total,
              CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 17 AS DOUBLE) END AS excess,
-             CASE WHEN o_orderkey % 4 = 0 THEN 'MKT' END AS benchmark
+             CASE WHEN o_orderkey % 4 = 0 THEN 'MKT' END AS benchmark,
+             CASE WHEN o_orderkey % 4 = 0 THEN '2000-01-03' END AS start,
+             CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS "end",
+             CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 7 AS DOUBLE) END AS annualized,
+             CASE WHEN o_orderkey % 4 = 0 THEN CAST(1.5 AS DOUBLE) END AS sharpe,
+             CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 5 AS DOUBLE) END AS maxdd,
+             CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 3 AS DOUBLE) END AS benchret,
+             CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 90 END AS n_cycles
       FROM orders WHERE o_orderkey % 8 <> 2)"""
 
 
 @query("run_history", f"""
     WITH {RECEIPT_SQL}
     SELECT fund, receipt_id, mtime, kind, array_to_string(universe, ' ') AS universe, as_of, nav, n_orders, reason,
-           total, excess, benchmark FROM docs""")
+           start, "end", total, annualized, sharpe, maxdd, benchret, excess, n_cycles, benchmark FROM docs""")
 def run_history(t):
-    found = receipts.summarize_receipts(receipt_texts(t)).drop("body")
+    """Documents are written to files first and read back from them."""
+    path = scratch_path(t.spark, "receipts")
+    receipts.write_receipts(receipt_texts(t), path)
+    saved = t.spark.read.schema("receipt_id BIGINT, mtime DATE, body STRING, fund STRING").json(path)
+    found = receipts.summarize_receipts(saved).drop("body")
     return found.withColumn("universe", F.array_join("universe", " ")).orderBy(F.col("mtime").desc(), F.col("receipt_id").desc())
 
 

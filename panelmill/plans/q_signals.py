@@ -120,11 +120,23 @@ def signals_by_key(t):
 
 @query("run_models", f"""
     WITH {PEAD_SQL},
-    asked AS (SELECT ticker, d AS date, value, false AS abstained, 'pead' AS model_name FROM pead)
-    SELECT model_name, ticker, date, value, abstained FROM asked""", "timely bars")
+    asked AS (SELECT DISTINCT ticker, date FROM signals),
+    panels AS (
+      SELECT 'pead' AS model_name, ticker, d AS date, value, false AS abstained FROM pead
+      UNION ALL SELECT 'pead', ticker, date, 0.0, false FROM asked
+      UNION ALL SELECT 'click', ticker, d, 0.0, true FROM pead
+      UNION ALL SELECT 'click', a.ticker, a.date, coalesce(s.value, 0.0), coalesce(s.abstained, true)
+        FROM asked a LEFT JOIN signals s ON s.ticker = a.ticker AND s.date = a.date AND s.model_name = 'click')
+    SELECT p.model_name, p.ticker, p.date, p.value, p.abstained, m.approach
+    FROM panels p JOIN (VALUES ('pead', 'long_short'), ('click', 'long_only')) m(model_name, approach) ON m.model_name = p.model_name
+    """, "timely bars signals")
 def run_models(t):
-    grid = t.closes.select("ticker", F.col("d").alias("date"))
-    return signals.run_models(["pead"], grid, {"filings": t.filings})
+    """Two registered models, one by rule and one whose answers are a table, with their permissions."""
+    signals.register(signals.answered_model("click", "long_only"))
+    grid = t.closes.select("ticker", F.col("d").alias("date")).unionByName(t.signals.select("ticker", "date").distinct())
+    tables = {"filings": t.filings, "click": t.signals.where("model_name = 'click'")}
+    panels = signals.run_models(["pead", "click"], grid, tables).drop("reason")
+    return panels.join(F.broadcast(signals.approaches(t.spark, ["pead", "click"])), "model_name")
 
 
 def entry_panel(t):

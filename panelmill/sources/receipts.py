@@ -29,19 +29,26 @@ def read_receipts(spark: SparkSession, path: str, *, one_per_file: bool = True)
 # The fields a saved document is read for.
 RECEIPT_SCHEMA = (
     "universe ARRAY<STRING>, benchmark STRING, status STRING, as_of STRING, execution_as_of STRING, nav DOUBLE, "
-    "reason STRING, orders ARRAY<STRING>, proposal STRUCT<universe: ARRAY<STRING>>, "
-    "metrics STRUCT<total_return_pct: DOUBLE, excess_return_pct: DOUBLE>, _damaged STRING"
+    "reason STRING, orders ARRAY<STRING>, proposal STRUCT<universe: ARRAY<STRING>>, start STRING, end STRING, "
+    "metrics STRUCT<total_return_pct: DOUBLE, annualized_return_pct: DOUBLE, sharpe_ratio: DOUBLE, max_drawdown_pct: DOUBLE, "
+    "benchmark_return_pct: DOUBLE, excess_return_pct: DOUBLE, n_cycles: BIGINT>, _damaged STRING"
 )
+# Headline name of each metric.
+METRICS = {
+    "total": "total_return_pct", "annualized": "annualized_return_pct", "sharpe": "sharpe_ratio", "maxdd": "max_drawdown_pct",
+    "benchret": "benchmark_return_pct", "excess": "excess_return_pct", "n_cycles": "n_cycles",
+}
 
 
 def summarize_receipts(receipts: DataFrame) -> DataFrame:
     """Kind and headline fields of each readable document; the rest are dropped.
 
     A document with metrics is a backtest, one marked pending is a proposal,
-    anything else a run. A document that lacks a field its kind needs is dropped.
+    anything else a run. A document that lacks a field its kind needs is dropped. The
+    document is parsed once: what is exploded is not merged into later expressions.
     """
     options = {"columnNameOfCorruptRecord": "_damaged"}
-    parsed = receipts.withColumn("_d", F.from_json("body", RECEIPT_SCHEMA, options)).where(
+    parsed = receipts.withColumn("_d", F.explode(F.array(F.from_json("body", RECEIPT_SCHEMA, options)))).where(
         "_d IS NOT NULL AND _d._damaged IS NULL"
     )
     kind = (
@@ -60,12 +67,13 @@ def summarize_receipts(receipts: DataFrame) -> DataFrame:
         F.when(run, F.col("_d.nav")).alias("nav"),
         F.when(run, F.when(F.col("_d.orders").isNotNull(), F.size("_d.orders")).otherwise(0)).alias("n_orders"),
         F.when(pending, F.col("_d.reason")).alias("reason"),
-        F.when(backtest, F.col("_d.metrics.total_return_pct")).alias("total"),
-        F.when(backtest, F.col("_d.metrics.excess_return_pct")).alias("excess"),
+        F.when(backtest, F.coalesce("_d.start", F.lit(""))).alias("start"),
+        F.when(backtest, F.coalesce("_d.end", F.lit(""))).alias("end"),
+        *[F.when(backtest, F.col(f"_d.metrics.{field}")).alias(name) for name, field in METRICS.items()],
         F.when(backtest, F.coalesce("_d.benchmark", F.lit("SPY"))).alias("benchmark"),
     )
     return fields.where(
-        "CASE kind WHEN 'backtest' THEN total IS NOT NULL AND excess IS NOT NULL "
+        f"CASE kind WHEN 'backtest' THEN {' AND '.join(f'{m} IS NOT NULL' for m in METRICS)} "
         "WHEN 'pending' THEN as_of IS NOT NULL AND reason IS NOT NULL AND universe IS NOT NULL "
         "ELSE as_of IS NOT NULL AND nav IS NOT NULL END"
     )

@@ -132,7 +132,7 @@ def test_growth_guards(spark):
 
 def test_receipts_round_trip(spark, tmp_path):
     docs = [("a", '{"universe": ["A"], "as_of": "2025-01-02", "nav": 5.0, "orders": [{"x": 1}]}'),
-            ("a", '{"metrics": {"total_return_pct": 0.1, "excess_return_pct": 0.02}, "universe": ["B"]}'),
+            ("a", '{"metrics": {"total_return_pct": 0.1, "excess_return_pct": 0.02, "annualized_return_pct": 0.1, "sharpe_ratio": 1, "max_drawdown_pct": 0, "benchmark_return_pct": 0.08, "n_cycles": 3}, "start": "2025-01-01", "universe": ["B"]}'),
             ("a", '{"status": "pending", "as_of": "2025-01-03", "reason": "r", "proposal": {"universe": ["C"]}}'),
             ("a", '{"universe": ["A"], "nav'), ("a", "[1, 2]"), ("a", '{"universe": ["Z"]}')]
     folder = tmp_path / "runs"
@@ -141,6 +141,8 @@ def test_receipts_round_trip(spark, tmp_path):
         (folder / f"a-run-{i}.json").write_text(body)
     found = receipts.summarize_receipts(receipts.read_receipts(spark, str(folder)))
     assert sorted(r.kind for r in found.collect()) == ["backtest", "pending", "run"]
+    scored = found.where("kind = 'backtest'").first()
+    assert (scored.start, scored.end, scored.annualized, scored.n_cycles) == ("2025-01-01", "", 0.1, 3)
     last = receipts.last_run_per_fund(found.withColumn("fund", F.lit("a")), tie="path").first()
     assert (last.total, last.excess, last.benchmark) == (0.1, 0.02, "SPY") and last.universe in (["A"], ["B"], ["C"])
     out = tmp_path / "out"
