@@ -48,9 +48,10 @@ def test_model_registry(spark):
     grid = spark.createDataFrame([("T", JUNE)], "ticker STRING, date DATE")
     answers = spark.createDataFrame([("T", JUNE, 0.5, False)], "ticker STRING, date DATE, value DOUBLE, abstained BOOLEAN")
     model = signals.answered_model("value", "long_only")
-    assert [tuple(r) for r in model(grid, {"value": answers}).collect()] == [("value", "T", JUNE, 0.5, False)]
+    assert [tuple(r) for r in model(grid, {"value": answers}).collect()] == [("value", "T", JUNE, 0.5, False, "")]
     nobody = answers.where("ticker = 'X'")
-    assert model(grid, {"value": nobody}).collect()[0].abstained is True
+    silent = model(grid, {"value": nobody}).collect()[0]
+    assert silent.abstained is True and silent.reason == "no answer"
     with pytest.raises(ValueError):
         signals.run_models(["nope"], grid, {})
     with pytest.raises(ValueError):
