@@ -26,7 +26,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,10 @@ from .common import map_batches, ship, stored
 
 MARK = "▁"
 LONGEST = 256
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
+PARTITION_CHARS = 4_000_000
+#: Words whose edges are grouped in memory; a partition with more is sorted instead.
+GROUPED_WORDS = 50_000
 #: Words a task remembers before it hands them on; bounds its memory.
 HELD_WORDS = 1_000_000
 
@@ -142,12 +144,21 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _bpe_fold(n: Column, edges: Column) -> Column:
-    """Borders of the pieces: edges of two letters or more by score, each merging exactly two."""
-    inner = lambda b, e: F.filter(b, lambda x: (x > e["start"]) & (x < e["stop"]))
-    both = lambda b, e: F.array_contains(b, e["start"]) & F.array_contains(b, e["stop"])
-    step = lambda b, e: F.when(both(b, e) & (F.size(inner(b, e)) == 1), F.array_except(b, inner(b, e))).otherwise(b)
+    """Borders of the pieces, a string of n + 1 flags.
+
+    Edges of two letters or more come by score; each clears the one border inside it, if it
+    has exactly one, while both of its ends stand.
+    """
+    def step(b: Column, e: Column) -> Column:
+        a, z = e["start"], e["stop"]
+        inner = F.substring(b, a + 2, z - a - 1)
+        ends = (F.substring(b, a + 1, F.lit(1)) == "1") & (F.substring(b, z + 1, F.lit(1)) == "1")
+        one = F.length(F.replace(inner, F.lit("0"), F.lit(""))) == 1
+        joined = F.concat(F.substring(b, F.lit(1), a + 1), F.repeat(F.lit("0"), z - a - 1), F.substring(b, z + 1, n + 1))
+        return F.when(ends & one, joined).otherwise(b)
+
     ordered = F.array_sort(F.filter(edges, lambda e: e["stop"] - e["start"] > 1))
-    return F.aggregate(ordered, F.sequence(F.lit(0), n), step)
+    return F.aggregate(ordered, F.repeat(F.lit("1"), n + 1), step)
 
 
 def _viterbi_fold(n: Column, edges: Column) -> Column:
@@ -165,7 +176,9 @@ def _viterbi_fold(n: Column, edges: Column) -> Column:
         better = F.concat(F.slice(paths, F.lit(1), F.size(paths) - 1), F.array(F.when(last["best"] >= new["best"], last).otherwise(new)))
         return F.when(F.size(paths) == e["stop"], F.concat(paths, F.array(new))).otherwise(better)
 
-    return F.aggregate(ordered, state, step, lambda paths: F.element_at(paths, -1)["path"])
+    path = F.aggregate(ordered, state, step, lambda paths: F.element_at(paths, -1)["path"])
+    flags = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(F.array_contains(path, i), "1").otherwise("0"))
+    return F.array_join(flags, "")
 
 
 def encode_words(words: DataFrame, path: str, fold: str = "bpe") -> DataFrame:
@@ -175,6 +188,7 @@ def encode_words(words: DataFrame, path: str, fold: str = "bpe") -> DataFrame:
     """
     v = vocabulary(path)
     pieces = piece_table(words.sparkSession, path)
+    words.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", GROUPED_WORDS)
     keep = [c for c in words.columns if c != "word"]
     spots = words.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))).alias("at"))
     cuts = spots.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.length("word") - F.col("at") + 1))).alias("len"))
@@ -186,19 +200,25 @@ def encode_words(words: DataFrame, path: str, fold: str = "bpe") -> DataFrame:
     n = F.length("word")
     borders = (_bpe_fold if fold == "bpe" else _viterbi_fold)(n, F.col("edges"))
     grouped = grouped.withColumn("borders", borders)
-    named = F.map_from_entries(F.array_distinct(F.transform("edges", lambda e: F.struct(F.concat_ws(",", e["start"], e["stop"]), e["id"]))))
-    bytes_known = len(v.bytes) == 256
-    first_byte = v.bytes.get(0, 0)
-
-    def ids_of(i: Column) -> Column:
-        a, b = F.element_at("borders", i), F.element_at("borders", i + 1)
-        found = F.try_element_at(F.col("named"), F.concat_ws(",", a, b))
-        raw = F.hex(F.encode(F.substring(F.col("word"), a + 1, b - a), "UTF-8"))
+    # The pieces are the edges between two borders without a border inside.
+    whole = F.filter("edges", lambda e: (F.substring(F.col("borders"), e["start"] + 1, F.lit(1)) == "1")
+                     & (F.substring(F.col("borders"), e["stop"] + 1, F.lit(1)) == "1")
+                     & ~F.contains(F.substring(F.col("borders"), e["start"] + 2, e["stop"] - e["start"] - 1), F.lit("1")))
+    by_start = F.array_sort(F.transform(whole, lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["id"].alias("id"))))
+    bytes_known, first_byte = len(v.bytes) == 256, v.bytes.get(0, 0)
+
+    def spelt(i: Column) -> Column:
+        """The piece that starts at letter i, or the letter's bytes if none does and it stands alone."""
+        raw = F.hex(F.encode(F.substring(F.col("word"), i + 1, F.lit(1)), "UTF-8"))
         each = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + first_byte)
-        return F.when(found.isNotNull(), F.array(found)).otherwise(each if bytes_known else F.array(F.lit(v.unknown)))
+        here = F.transform(F.filter("pieces", lambda p: p["start"] == i), lambda p: p["id"])
+        covered = F.exists("pieces", lambda p: (p["start"] < i) & (p["stop"] > i))
+        return F.when((F.size(here) > 0) | covered, here).otherwise(each if bytes_known else F.array(F.lit(v.unknown)))
 
-    ids = F.flatten(F.transform(F.sequence(F.lit(1), F.size("borders") - 1), ids_of))
-    return grouped.withColumn("named", named).select("word", *keep, ids.alias("ids"))
+    grouped = grouped.withColumn("pieces", by_start)
+    letters = F.aggregate("pieces", F.lit(0), lambda acc, p: acc + p["stop"] - p["start"])
+    ids = F.when(letters == n, F.transform("pieces", lambda p: p["id"])).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), spelt)))
+    return grouped.select("word", *keep, ids.alias("ids"))
 
 
 def encode(docs: DataFrame, path: str | None = None, fold: str = "bpe", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -231,32 +251,37 @@ def encode(docs: DataFrame, path: str | None = None, fold: str = "bpe", block_ch
                     held, n = {}, 0
         yield from out()
 
-    pairs = base.select("block", "text").mapInArrow(used, "block int, word string")
-    words = pairs.groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    coded = encode_words(words, path, fold).select(F.explode("blocks").alias("block"), "word", "ids")
+    # Few enough words in a partition that their edges are grouped in memory, without a sort.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PARTITION_CHARS))
+    pairs = base.select("block", "text").mapInArrow(used, "block int, word string").repartition(parts, "word")
+    coded = encode_words(pairs.groupBy("word").agg(F.collect_set("block").alias("blocks")), path, fold)
+    packed_ids = F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0"))
+    coded = coded.select(F.explode("blocks").alias("block"), "word", F.unhex(F.array_join(packed_ids, "")).alias("ids"))
 
     def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(2).to_pylist()], pa.binary())], ["block", "doc_id", "packed"])
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in batch.column(2).to_pylist()], pa.binary())], ["block", "doc_id", "packed"])
 
     packed = map_batches(base.select("block", "doc_id", "text"), squeeze, "block int, doc_id bigint, packed binary")
 
-    def look_up(key: Any, part: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def look_up(part: pa.Table, words: pa.Table) -> pa.Table:
         v = vocabulary(path)
-        known = {w: np.asarray(i, dtype=np.int32).tobytes() for w, i in zip(words["word"], words["ids"], strict=True)}
-        whole: dict[str, bytes] = {}
-
-        def of(word: str) -> bytes:
-            got = b"".join([known[p] if p in known else np.array(v.merge(p), dtype=np.int32).tobytes() for p in v.parts(word)])
-            whole[word] = got
-            return got
-
-        ids = []
+        known = dict(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
+        found, ends = [], [0]
         for blob in part["packed"]:
-            text = zlib.decompress(blob).decode("utf-8", "surrogatepass")
-            ids.append(np.frombuffer(b"".join([whole.get(w) or of(w) for w in v.words(text)]), dtype=np.int32))
-        return pd.DataFrame({"doc_id": part["doc_id"], "ids": ids})
-
-    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(look_up, "doc_id bigint, ids array<int>")
+            text = zlib.decompress(blob.as_py()).decode("utf-8", "surrogatepass")
+            ids = []
+            for w in v.words(text):
+                if w in known:
+                    ids.append(known[w])
+                else:
+                    ids += [known[p] if p in known else np.array(v.merge(p), dtype=">i4").tobytes() for p in v.parts(w)]
+            found.append(np.frombuffer(b"".join(ids), dtype=">i4").astype(np.int32))
+            ends.append(ends[-1] + len(found[-1]))
+        values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        return pa.table([part["doc_id"], lists], ["doc_id", "ids"])
+
+    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(look_up, "doc_id bigint, ids array<int>")
 
 
 def _texts(ids_lists, path: str) -> list[str]:
