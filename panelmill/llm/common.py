@@ -12,14 +12,31 @@ from pyspark.sql import functions as F
 
 from panelmill.session import stored
 
-__all__ = ["stored", "table", "map_batches", "hot_join", "anti_by_id", "null_safe", "MAX_BROADCAST_IDS"]
+__all__ = ["stored", "table", "map_batches", "only_cache", "ship", "hot_join", "anti_by_id", "null_safe", "MAX_BROADCAST_IDS"]
 
 #: Ids of 8 bytes that one broadcast may hold (about 16 MB); larger sides are shuffled.
 MAX_BROADCAST_IDS = 1_000_000
 
 
+#: Rows that Spark hands to a Python worker at once; texts may be long, so few.
+BATCH_ROWS = 2_000
+_CACHES: dict[str, tuple[dict, ...]] = {}
+_USED_BY: list[str] = [""]
+
+
+def only_cache(name: str, *caches: dict) -> None:
+    """Empty the word caches of other operators in this worker, which outlives their tasks."""
+    if _USED_BY[0] != name:
+        for other, held in _CACHES.items():
+            if other != name:
+                for c in held:
+                    c.clear()
+        _CACHES[name], _USED_BY[0] = caches, name
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if top not in paths:

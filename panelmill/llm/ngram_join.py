@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_id, hot_join, map_batches, stored
+from .common import anti_by_id, hot_join, map_batches, only_cache, stored
 from .components import components
 
 PARITY_LONGS = 4
@@ -53,6 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams of *text*, A-Z lower-cased."""
+    only_cache("ngram_join", _WORDS)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)

@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import only_cache, ship
+
 MAX_LENGTH = 2048
 #: Words that a worker remembers before it starts over; bounds its memory (about 150 bytes each).
 CACHE_WORDS = 600_000
@@ -117,6 +119,7 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = MAX_LENGTH, en
         encoder, made = encoder_for(path), 0
         base = TaskContext.get().partitionId() << 40
         end = np.array([end_id], dtype="<u4").tobytes()
+        only_cache("packing", encoder.words, encoder.parts)
         for batch in batches:
             out = [[] for _ in range(9)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -138,4 +141,5 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = MAX_LENGTH, en
 
     names = [c.split()[0] for c in PIECES.split(", ")]
     schema = PIECES if with_ids else PIECES.removesuffix(", ids array<int>")
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship
+from .common import map_batches, only_cache, ship
 from .labelled import held_out, training_rows
 from .toxicity import keep_rows
 
@@ -39,6 +39,7 @@ _KNOWN: dict[str, int] = {}
 
 
 def token_buckets(text: str | None) -> np.ndarray:
+    only_cache("quality", _KNOWN)
     tokens = _TOKEN.findall(text or "")
     try:
         return np.array([_KNOWN[t] for t in tokens], dtype=np.int64)

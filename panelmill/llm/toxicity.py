@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, only_cache
 from .labelled import held_out, training_rows
 
 BITS = 20
@@ -48,6 +48,7 @@ _SWAP = {w: row[(i + 1) % len(row)] for row in IDENTITY_TERMS for i, w in enumer
 
 
 def _ids(words: set[str]) -> np.ndarray:
+    only_cache("toxicity", _KNOWN)
     out = set()
     for w in words:
         found = _KNOWN.get(w)
