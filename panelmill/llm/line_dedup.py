@@ -1,6 +1,6 @@
 """Line dedup by a template tree of fixed depth, in DataFrame functions only.
 
-A line goes down a tree: first by its number of tokens, then by its first ``DEPTH`` tokens, where a token
+A line goes down a tree: first by its number of tokens (parts between blanks), then by its first ``DEPTH`` tokens, where a token
 with a digit counts as a variable field. All lines that share this path are a leaf. In a leaf, lines
 that are equal but for fields with digits have one template. The other lines of a leaf are generalised
 by position: a token that many of the leaf's lines have in its place is constant, any other
@@ -32,8 +32,8 @@ _FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
 def _masked(line: Column) -> Column:
-    """Tokens of a line; those with a digit are fields."""
-    return F.split(F.trim(F.regexp_replace(line, _FIELD, "<*>")), r"\s+")
+    """Tokens of a line between single blanks; those with a digit are fields."""
+    return F.split(F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)), " ")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
