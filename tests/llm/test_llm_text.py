@@ -124,8 +124,9 @@ def test_line_dedup(docs, empty):
 
 def test_line_dedup_generalises_words(spark):
     names = "anna ben carl dora emil fred gina hans".split()
-    rows = [(i, f"posted by {n} in the evening news section\nbody of text {n} {n}{n} is different from others {i}") for i, n in enumerate(names)]
-    rows.append((99, "posted by our own staff without any further news"))
+    rows = [(i, f"posted today by {n} in the evening news section\nbody of text {n} {n}{n} is different from others {i}") for i, n in enumerate(names)]
+    rows.append((99, "posted today by our own staff without any news"))
     got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert all("posted by" not in got[i] for i in range(8))
+    # Both lines have one template each; the last row's line shares their leaf, but not their constants.
+    assert all(got[i] == "" for i in range(8))
     assert got[99] == rows[-1][1]
