@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, sample_by_hash
 from .gbt import Trees
 
 TRAIN_PAGES = 250
@@ -280,7 +280,8 @@ def _furnished(page: str, rng: np.random.Generator) -> str | None:
 
 def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Trees | None:
     """Trees fitted on at most *rows* pages, spread by a hash of the id, and on their furnished copies."""
-    found = pages.where(F.length("html") > 0).orderBy(F.xxhash64("page_id"), F.xxhash64("html")).select("html").limit(rows).collect()
+    full = pages.where(F.length("html") > 0).select("page_id", "html")
+    found = sample_by_hash(full, rows, full.count(), "page_id", "html").collect()
     rng, x, y = np.random.default_rng(3), [], []
     for r in found:
         for page in (r["html"], _furnished(r["html"], rng), _furnished(r["html"], rng)):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_by_hash
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows never learned from: CRC-32 of the id as text is divisible by five."""
@@ -19,6 +21,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    chosen = sample_by_hash(known, rows, known.count(), "_id")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, stored
+from .common import map_batches, sample_by_hash, ship, stored
 
 PIVOTS = 32
 #: Rows that pivots are chosen from; any choice gives exact results.
@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64) ->
 
 
 def _of_length(rows: DataFrame, every: int, k: int, dims: int) -> DataFrame:
-    sample = rows.orderBy(F.xxhash64("vec_id", "v")).limit(PIVOT_SAMPLE).collect()
+    sample = sample_by_hash(rows, PIVOT_SAMPLE, rows.count(), "vec_id", "v").collect()
     pivots = choose_pivots(np.array([r["v"] for r in sample], dtype=float))
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
