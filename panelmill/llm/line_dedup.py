@@ -2,11 +2,10 @@
 
 A line goes down a tree: first by its number of tokens (parts between blanks), then by its first ``DEPTH`` tokens, where a token
 with a digit counts as a variable field. All lines that share this path are a leaf. In a leaf, lines
-that are equal but for fields with digits have one template. The other lines of a leaf are generalised
-by position: a token that many of the leaf's lines have in its place is constant, any other
-is a variable field; lines with the same constants have one template if enough of it is
-constant. A template that occurs in ``MIN_TEXTS`` different texts or more is dropped from all of them. Copies
-of a whole text count once, so that a document's copies do not erase it.
+that are equal but for fields with digits have one template. Of the other lines of a leaf, three from different texts
+have one template if all three have the same token in at least seven of ten places; the other places are variable fields.
+That depends on these lines only, never on how many others the leaf holds. A template that occurs in ``MIN_TEXTS``
+different texts or more is dropped from all of them. Copies of a whole text count once, so that a document's copies do not erase it.
 
 Everything that is grouped is a hash of eight bytes; lines themselves travel only where a leaf is open. A
 very common line is counted map-side first and joined by broadcast or by a splittable join.
@@ -26,8 +25,10 @@ from .common import MAX_BROADCAST_IDS, hot_join, stored
 DEPTH = 3
 MIN_TOKENS = 4
 MIN_TEXTS = 3
-#: Share of a leaf's lines that a constant token has, and share of constants that a template has.
-TOKEN_SHARE, CONSTANT_SHARE = 0.1, 0.7
+#: Share of constants that a template has, in tenths.
+CONSTANT_TENTHS = 7
+#: Lines that are compared with each other at once.
+CHUNK = 32
 _FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
@@ -44,6 +45,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "th", "at", leaf.alias("leaf"), F.xxhash64("leaf", "tokens").alias("line"), "tokens")
 
 
+def _fields(tokens: Column | str) -> Column:
+    """Most variable fields that a template of so many tokens may have."""
+    return F.floor(F.size(tokens) * (10 - CONSTANT_TENTHS) / 10).cast("int")
+
+
 def _recurring(rows: DataFrame, key: str) -> DataFrame:
     """Keys with their number of different texts, of those that reach MIN_TEXTS."""
     return rows.groupBy(key, "th").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
@@ -54,6 +60,67 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS else df
 
 
+def _extended(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every (line, bucket) once for each part of its free places, with that part's tokens added to the bucket.
+
+    There is one part more than a template may have fields, so the lines of a template share the
+    bucket of at least one part.
+    """
+    parts = _fields("t") + 1
+    cut = lambda j: F.floor(j * F.size("free") / parts).cast("int")
+    part = lambda j: F.slice("free", cut(j) + 1, cut(j + 1) - cut(j))
+    made = state.select("line", "bucket", "free").join(rows, "line").withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("part", part(F.col("j")))
+    tokens = F.transform("part", lambda i: F.get("t", i))
+    return made.select("line", F.xxhash64("bucket", "part", tokens).alias("bucket"), F.array_except("free", "part").alias("free"))
+
+
+def _compared(held: DataFrame, rows: DataFrame) -> DataFrame:
+    """Lines with a template within their chunk of a bucket: three texts whose lines agree in enough places."""
+    chunk = F.pmod(F.col("line"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
+    both = held.select("line", "bucket", chunk).join(rows.select("line", "ths", "t"), "line")
+    groups = both.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("line", "ths", "t")).alias("items")).where(F.size("items") > 1)
+    count = lambda flags: F.size(F.filter(flags, lambda f: f))
+    same = lambda x, y: F.zip_with(x["t"], y["t"], lambda a, b: a == b)
+    enough = lambda x, flags: count(flags) >= F.size(x["t"]) - _fields(x["t"])
+    near = F.transform("items", lambda x: F.struct(x["line"].alias("line"), x["ths"].alias("ths"), x["t"].alias("t"), F.filter("items", lambda y: enough(x, same(x, y))).alias("near")))
+    found = lambda x: F.exists(x["near"], lambda y: F.exists(x["near"], lambda z: (
+        F.size(F.array_distinct(F.concat(x["ths"], y["ths"], z["ths"]))) >= MIN_TEXTS) & enough(x, F.zip_with(same(x, y), same(x, z), lambda a, b: a & b))))
+    return groups.select(F.explode(F.filter(near, lambda x: (F.size(x["near"]) > 1) & found(x))).alias("x")).select("x.line")
+
+
+def _templates(rows: DataFrame) -> DataFrame:
+    """Lines that agree with lines of two other texts of their leaf in ``CONSTANT_TENTHS`` of all places, the same for all three.
+
+    A bucket starts as a leaf. Buckets of at most ``CHUNK`` lines are compared in full. Larger ones are compared by chunks
+    first, which finds the lines of frequent templates; those with lines left are split by further tokens, with as many
+    ways as it takes to lose no template, until they are small or share enough places.
+    """
+    state = rows.select("line", F.col("leaf").alias("bucket"), F.sequence(F.lit(DEPTH), F.size("t") - 1).alias("free"))
+    found = rows.select("line").limit(0)
+    while True:
+        size = state.join(rows.select("line", F.size("ths").alias("k"), _fields("t").alias("m")), "line")
+        size = stored(size, "sized")
+        # Not yet different texts, so a bound from above.
+        n = stored(size.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("k").alias("k")).where(F.col("k") >= MIN_TEXTS).select("bucket", "n", F.col("n").alias("many")), "sizes")
+        held = stored(hot_join(size.drop("k"), n, ["bucket"], "many", max(1, size.count())), "held")
+        whole = held.where(F.size("free") <= F.col("m"))
+        texts = whole.join(rows.select("line", F.explode("ths").alias("th")), "line")
+        found = found.union(whole.join(_few(stored(_recurring(texts, "bucket").select("bucket"), "whole")), "bucket", "left_semi").select("line"))
+        rest = held.where(F.size("free") > F.col("m"))
+        # Each line in its largest bucket; then the buckets of lines not found so.
+        first = rest.groupBy("line").agg(F.max_by(F.struct("bucket", "n"), F.struct("n", "bucket")).alias("b")).select("line", "b.*")
+        found = stored(found.union(_compared(first, rows)).distinct(), "found")
+        left = stored(rest.join(found, "line", "left_anti").select("bucket").distinct(), "left")
+        again = rest.join(left, "bucket", "left_semi")
+        found = stored(found.union(_compared(again.where(F.col("n") <= CHUNK), rows)).distinct(), "found")
+        large = stored(again.where(F.col("n") > CHUNK).select("line", "bucket", "free"), "large")
+        if large.isEmpty():
+            return found
+        state = stored(_extended(large, rows), "extended")
+        wanted = state.join(found, "line", "left_anti").select("bucket").distinct()
+        state = stored(state.join(wanted, "bucket", "left_semi"), "state")
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, at) of every line that a recurring template covers."""
     lines = _lines(docs)
@@ -62,22 +129,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     # Leaves that still have lines of enough texts after those.
     left = keys.join(_few(plain), "line", "left_anti")
     open_leaves = stored(_recurring(left, "leaf").select("leaf"), "leaves")
-    # One row for a line's hash and text; the hash stands for the line from here on.
+    # One row for a line, with the two texts at most that hold it; the hash stands for the line from here on.
     rows = lines.join(_few(open_leaves), "leaf", "left_semi").join(_few(plain), "line", "left_anti")
-    rows = stored(rows.groupBy("line", "th").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens")), "open_lines")
-    total = rows.count()
-    size = rows.groupBy("leaf").agg(F.count("*").alias("lines"))
-    tokens = rows.select("leaf", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").agg(F.count("*").alias("n"))
-    often = tokens.where(F.col("n") >= MIN_TEXTS).join(size, "leaf").where(F.col("n") >= F.col("lines") * TOKEN_SHARE)
-    # At most 1 / TOKEN_SHARE tokens for each place, so a leaf's list is bounded by its line length.
-    constants = often.groupBy("leaf").agg(F.max("lines").alias("lines"), F.collect_list(F.concat_ws(" ", F.col("i").cast("string"), "token")).alias("constants"))
-    both = hot_join(rows, constants, ["leaf"], "lines", max(1, total))
-    template = F.transform("tokens", lambda t, i: F.when(F.array_contains("constants", F.concat_ws(" ", i.cast("string"), t)), t))
-    both = both.select("line", "th", "leaf", template.alias("template"))
-    fixed = F.size(F.filter("template", lambda t: t.isNotNull()))
-    both = both.where(fixed >= F.size("template") * CONSTANT_SHARE).select("line", "th", F.xxhash64("leaf", F.transform("template", lambda t: F.coalesce(t, F.lit("<*>")))).alias("template"))
-    both = stored(both, "templates")
-    general = both.join(_few(stored(_recurring(both, "template").select("template"), "general")), "template", "left_semi").select("line").distinct()
+    rows = rows.groupBy("line").agg(F.first("leaf").alias("leaf"), F.collect_set("th").alias("ths"), F.first("tokens").alias("t"))
+    rows = stored(rows.withColumn("t", F.transform("t", lambda t: F.xxhash64(t))), "open_lines")
+    general = _templates(rows)
     drop = stored(plain.union(general).distinct(), "drop")
     return keys.join(_few(drop), "line", "left_semi").select("doc_id", "th", "at")
 

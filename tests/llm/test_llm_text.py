@@ -130,3 +130,20 @@ def test_line_dedup_generalises_words(spark):
     # Both lines have one template each; the last row's line shares their leaf, but not their constants.
     assert all(got[i] == "" for i in range(8))
     assert got[99] == rows[-1][1]
+
+
+def test_line_dedup_finds_rare_templates_in_a_large_leaf(spark):
+    """A template in 1% of a leaf of 2,000 lines, with a field of words that other lines of the leaf have there too."""
+    rng = np.random.default_rng(5)
+    words = [f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(40)]
+    noise = [(i, f"This is the {' '.join(rng.choice(words, 9))}") for i in range(2000)]
+    rare = [(5000 + i, f"This is the {words[i]} page of our {words[i + 20]} shop for friends") for i in range(20)]
+    few = [(6000 + i, f"This is the {w} note that only three {w} texts ever hold") for i, w in enumerate(words[:3])]
+    two = [(7000 + i, f"This is the {w} remark that just two {w} texts did hold") for i, w in enumerate(words[:2])]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(noise + rare + few + two, "doc_id bigint, text string")).collect()}
+    t = np.array([[words.index(w) for w in line.split(" ")[3:]] for _, line in noise])
+    same = {i: t == t[i] for i in range(len(t))}
+    near = {i: [j for j in np.flatnonzero(same[i].sum(1) >= 6) if j != i] for i in same}
+    want = {i: int(any((same[i][j] & same[i][k]).sum() >= 6 for j in near[i] for k in near[i] if j != k)) for i in near}
+    assert {i: got[i] for i in want} == want
+    assert all(got[i] == 1 for i, _ in rare + few) and not any(got[i] for i, _ in two)
