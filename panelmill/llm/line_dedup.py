@@ -1,6 +1,6 @@
 """Line dedup by a template tree of fixed depth, in DataFrame functions only.
 
-A line goes down a tree: first by its number of tokens (parts between blanks), then by its first ``DEPTH`` tokens, where a token
+A line goes down a tree: first by its number of tokens (parts between white space), then by its first ``DEPTH`` tokens, where a token
 with a digit counts as a variable field. All lines that share this path are a leaf. In a leaf, lines
 that are equal but for fields with digits have one template. Of the other lines of a leaf, three from different texts
 have one template if all three have the same token in at least seven of ten places; the other places are variable fields.
@@ -29,12 +29,15 @@ MIN_TEXTS = 3
 CONSTANT_TENTHS = 7
 #: Lines that are compared with each other at once.
 CHUNK = 32
+#: A line that holds white space other than single blanks.
+_ODD = r"[\t\r\x0B\f]|  "
 _FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
 def _masked(line: Column) -> Column:
-    """Tokens of a line between single blanks; those with a digit are fields."""
-    return F.split(F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)), " ")
+    """Tokens of a line between runs of white space; those with a digit are fields."""
+    line = F.trim(F.when(line.rlike(_ODD), F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+    return F.split(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line), " ")
 
 
 def _lines(docs: DataFrame) -> DataFrame:

@@ -147,3 +147,13 @@ def test_line_dedup_finds_rare_templates_in_a_large_leaf(spark):
     want = {i: int(any((same[i][j] & same[i][k]).sum() >= 6 for j in near[i] for k in near[i] if j != k)) for i in near}
     assert {i: got[i] for i in want} == want
     assert all(got[i] == 1 for i, _ in rare + few) and not any(got[i] for i, _ in two)
+
+
+def test_line_dedup_splits_at_any_white_space(spark):
+    """A tab-separated line, and one line with CRLF, LF, double blanks and a tab before a field."""
+    rows = [(i, f"Home\tNews\tSport\tMail\town {w}") for i, w in enumerate(("anna", "ben", "carl"))]
+    rows += [(i + 10, f"{w}\nHome\tNews\tSport\tMail\n{w}{w}") for i, w in enumerate(("dora", "emil", "fred"))]
+    rows += [(20, "gina\r\nread all of page 12 here\r\nend"), (21, "hans\nread all of page 13 here\nend"), (22, "ida\nread  all of\tpage\t14 here "), (23, "jon\n\tread all of page 7\there\r")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in (10, 11, 12)] == ["dora\ndoradora", "emil\nemilemil", "fred\nfredfred"]
+    assert got[20] == "gina\r\nend" and got[21] == "hans\nend" and got[22] == "ida" and got[23] == "jon"
