@@ -9,7 +9,8 @@ ancestor and its descendants never contradict each other.
 
 There are no labels for pages, so the trees learn from distant ones on a bounded sample of pages:
 a block is main text if it stands in the page's article or main element and under nothing that names itself as
-something else. Copies of the sampled pages with further kinds of furniture (side bars, comments,
+something else. Pages without these elements are not learnt from; instead each page is also learnt with its article as a
+plain div and without any element around it. Copies of the sampled pages with further kinds of furniture (side bars, comments,
 notices, forms, menus as plain div elements) are added, since no sample has them all.
 
 Edge cases: a null or empty html and a page without main text give the empty text; unclosed and stray tags
@@ -67,6 +68,11 @@ _FURNITURE = {"nav", "aside", "footer", "header", "form", "menu", "dialog", "hea
 _TAGS = {t: i for i, t in enumerate("article main section div p h1 h2 h3 ul ol li table td blockquote pre nav aside footer header form body figure #text".split())}
 
 
+def _above(up: Node | None) -> int:
+    """What stands above a son of *up*: kinds of names, furniture (bit 8), article or main (bit 9)."""
+    return (up.above | up.kinds | (1 << 8 if up.tag in _FURNITURE else 0) | (1 << 9 if up.tag in ("article", "main") else 0)) if up else 0
+
+
 class Node:
     __slots__ = ("tag", "kinds", "up", "sons", "text", "linked", "depth", "place", "chars", "link_chars", "tags", "above")
 
@@ -75,7 +81,7 @@ class Node:
         self.sons: list[Node] = []
         self.text, self.linked = "", 0
         self.depth = up.depth + 1 if up else 0
-        self.above = (up.above | up.kinds | (1 << 8 if up.tag in _FURNITURE else 0) | (1 << 9 if up.tag in ("article", "main") else 0)) if up else 0
+        self.above = _above(up)
         self.place = self.chars = self.link_chars = self.tags = 0
 
 
@@ -165,6 +171,14 @@ def parse(page: str | None) -> list[Node]:
                 nodes.append(son)
                 here = son
     flush()
+    _measure(nodes)
+    return nodes
+
+
+def _measure(nodes: list[Node]) -> None:
+    """Sizes of all nodes and their places among brothers."""
+    for n in nodes:
+        n.place = n.chars = n.link_chars = n.tags = 0
     for n in reversed(nodes):
         if n.tag == "#text":
             n.chars, n.link_chars = len(n.text), n.linked
@@ -175,10 +189,14 @@ def parse(page: str | None) -> list[Node]:
             n.up.chars += n.chars
             n.up.link_chars += n.link_chars
             n.up.tags += n.tags
-    return nodes
 
 
-FEATURES = len(_TAGS) + 8 + 10 + 14
+FEATURES = len(_TAGS) + 8 + 10 + 15
+
+
+def _marked(nodes: list[Node]) -> bool:
+    """Whether the page has an article or main element, so that text elsewhere is known to be none."""
+    return any(n.tag in ("article", "main") for n in nodes)
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -186,6 +204,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     out = np.zeros((len(nodes), FEATURES), dtype=np.float32)
     total = max(1, nodes[0].chars)
     wide = len(_TAGS)
+    marked = _marked(nodes)
     for row, n in zip(out, nodes, strict=True):
         tag = n.up.tag if n.tag == "#text" and n.up else n.tag
         if tag in _TAGS:
@@ -204,6 +223,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             np.log1p(n.chars), n.link_chars / max(1, n.chars), n.chars / n.tags, n.chars / total, n.depth, len(n.sons), len(brothers),
             n.place / len(brothers), np.log1p(rest), words, n.text.count(".") + n.text.count(","), n.chars / max(1, n.up.chars) if n.up else 1,
             brothers[n.place - 1].chars / total if n.place else 0, brothers[n.place + 1].chars / total if n.place + 1 < len(brothers) else 0,
+            marked,
         )
     return out
 
@@ -243,6 +263,30 @@ def distant_labels(nodes: list[Node]) -> np.ndarray:
     return out
 
 
+def _unmarked(nodes: list[Node], labels: np.ndarray, rng: np.random.Generator | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the page with its article and main elements as plain div elements, or (without *rng*) taken out.
+
+    Text outside the article that nothing names is left out: without the element it may be either.
+    """
+    furniture, known, held = (1 << _KIND["story"]) - 1, [], []
+    for n, y in zip(nodes, labels, strict=True):
+        if n.tag in ("article", "main"):
+            if rng is None and n.up is not None:
+                at = n.up.sons.index(n)
+                n.up.sons[at : at + 1] = n.sons
+                for son in n.sons:
+                    son.up = n.up
+                continue
+            n.tag, n.kinds = "div", (n.kinds & furniture) | (1 << _KIND["story"] if rng is not None and rng.random() < 0.5 else 0)
+        n.depth, n.above = (n.up.depth + 1 if n.up else 0), _above(n.up)
+        own = n.tag in _FURNITURE or n.kinds & furniture
+        known.append(bool(y or own or n.above & (furniture | 1 << 8)))
+        held.append(y)
+    kept = [n for n in nodes if n.tag not in ("article", "main")]
+    _measure(kept)
+    return features(kept)[known], np.array(held)[known]
+
+
 def _furnished(page: str, rng: np.random.Generator) -> str | None:
     """A copy of *page* with other furniture around and inside its article."""
     m = re.search(r"<article[^>]*>(.*)</article>", page, re.S | re.I)
@@ -270,7 +314,7 @@ def _furnished(page: str, rng: np.random.Generator) -> str | None:
     if body is None:
         body = f"<h1>{some(3)}</h1>" + "".join(f"<p>{some(int(rng.integers(1, 9)))}</p>" for _ in range(int(rng.integers(1, 3))))
     if rng.random() < 0.15:  # a page without an article
-        return f"<html><body>{pick(int(rng.integers(1, 4)))}</body></html>"
+        return f"<html><body>{''.join(made[i] for i in rng.choice(12, size=int(rng.integers(1, 4)), replace=False))}</body></html>"
     inner = [made[i] for i in rng.choice(12, size=2, replace=False)]
     tag = k("article", "main")
     extra = k("", "", "<blockquote><p>%s</p></blockquote>" % some(15), "<ul><li>%s</li><li>%s</li></ul>" % (some(9), some(8)), "<h2>%s</h2><p>%s</p>" % (some(4), some(30)), "<pre>%s</pre>" % some(12), "<table><tr><td>%s</td></tr></table>" % some(5))
@@ -284,11 +328,18 @@ def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Trees | None:
     found = sample_by_hash(full, rows, full.count(), "page_id", "html").collect()
     rng, x, y = np.random.default_rng(3), [], []
     for r in found:
+        nodes = parse(r["html"])
+        if not _marked(nodes):  # nothing is known of its text
+            continue
         for page in (r["html"], _furnished(r["html"], rng), _furnished(r["html"], rng)):
             if page is not None:
                 nodes = parse(page)
-                x.append(features(nodes))
-                y.append(distant_labels(nodes))
+                labels = distant_labels(nodes)
+                made = [(features(nodes), labels)]
+                if _marked(nodes):
+                    made += [_unmarked(parse(page), labels, how) for how in (rng, None)]
+                x += [m[0] for m in made]
+                y += [m[1] for m in made]
     if not x or not np.concatenate(y).any():
         return None
     return Trees(np.concatenate(x), np.concatenate(y))

@@ -109,3 +109,16 @@ def test_decoding_never_contradicts():
                 c = sum(np.log(q if v else 1 - q) for q, v in zip(p[1:], y[1:], strict=True))
                 best, cost = (y, c) if c > cost else (best, cost)
         assert labels == best
+
+
+def test_extract_without_article_element(spark):
+    """Articles in plain div elements, and pages of plain paragraphs, among pages with and without an article element."""
+    text = "Head of it all First words of a story, with more of them, so that it is long. Second paragraph of the story; it goes on, as paragraphs do, for some lines."
+    body = "<h1>Head of it all</h1><p>First words of a story, with more of them, so that it is long.</p><p>Second paragraph of the story; it goes on, as paragraphs do, for some lines.</p>"
+    menu, foot = '<nav><ul><li><a href="/a">menu one</a></li><li><a href="/b">menu two</a></li></ul></nav><div class="ad">buy now</div>', "<footer>&copy; site</footer>"
+    odd = [f"<html><body>{menu}{a}{body}{b}{foot}</body></html>" for a, b in (('<div id="content">', "</div>"), ('<div class="post">', "</div>"), ("<div>", "</div>"), ("", ""))]
+    odd += [f"<html><body>{body}</body></html>", text, "<html><body><nav>only menu</nav><div class='ad'>buy now</div></body></html>"]
+    rows = [(i, "u", ARTICLE.format(f"topic{i}")) for i in range(40)] + [(50 + i, "u", odd[0]) for i in range(20)]
+    model = html_extract.train(pages(spark, rows))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages(spark, [(100 + i, "u", h) for i, h in enumerate(odd)]), model).collect()}
+    assert [got[100 + i] for i in range(len(odd))] == [text] * 6 + [""]
