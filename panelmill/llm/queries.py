@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, sentence_pieces, topk, toxicity, warc
+from . import exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, secrets, sentence_pieces, spelling, topk, toxicity, warc, whitening
 from .common import table
 
 
@@ -55,9 +55,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.find_secrets(docs, secrets.identifier_dictionary(docs)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentence_pieces, op2_packing, op3_line_dedup, op4_top_k, op5_warc, op6_exact_dedup, op7_html_extract, op8_ngram_join, op9_toxicity, op10_quality)
+    for f in (
+        op1_sentence_pieces, op2_packing, op3_line_dedup, op4_top_k, op5_warc, op6_exact_dedup, op7_html_extract, op8_ngram_join, op9_toxicity,
+        op10_quality, op11_spelling, op12_whitening, op13_secrets,
+    )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
