@@ -1,7 +1,7 @@
 """Event studies: market-model fit, abnormal returns, windows and group statistics.
 
-The estimation window and the event windows are read off running sums kept on
-the (ticker, day) return panel. Events then need one equi-join on (ticker, day)
+Moments of the estimation window and sums of the event windows are kept on the
+(ticker, day) return panel. Events then need one equi-join on (ticker, day)
 instead of a range join that copies 240 rows per event, and an event-heavy
 ticker stays spread over its days.
 """
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.student_t import t_p_value
 from .asof import snap_forward
 from .checks import finite
-from .keyed import spread, with_totals
+from .keyed import spread, top_n_per_key, with_totals
+from .moments import window_moments
 from .running import dense_index, id_blocks
 from .series import aligned_returns, per_ticker
 
@@ -25,6 +26,7 @@ RETROSPECTIVE_DAYS = 45
 ESTIMATION_FIRST, ESTIMATION_LAST = -250, -11
 SNAP_DAYS = 4
 LAST_OFFSET = 20
+PRICE_RANGE = (400, 35)
 WINDOWS = {"[0,+1]": ("car_0_1", 1), "[0,+5]": ("car_0_5", 5), "[0,+20]": ("car_0_20", 20)}
 
 _FIT_FIELDS = ("alpha", "beta", "r_squared", "n_obs")
@@ -35,21 +37,17 @@ def drop_retrospective(filings: DataFrame, days: int = RETROSPECTIVE_DAYS) -> Da
     return filings.where(F.datediff("filing_date", "report_period") < days)
 
 
-def ols_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, syy: Column) -> Column:
-    """Line fit from sums: struct of alpha, beta, r_squared, n_obs.
+def ols_from_moments(n: Column, mx: Column, my: Column, mxx: Column, mxy: Column, myy: Column) -> Column:
+    """Line fit from centred moments: struct of alpha, beta, r_squared, n_obs.
 
-    A market that never moves gives beta 0 and alpha the mean; r_squared is 0
-    where the ticker never moves. Spreads under 1e-12 of their sum of squares
-    are rounding noise and count as zero.
+    A market that never moves gives beta 0 and alpha the mean; r_squared is 0 where the ticker never
+    moves. Spreads below the rounding of their squares count as zero.
     """
-    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    cov = n * sxy - sx * sy
-    moves_x, moves_y = vx > 1e-12 * n * sxx, vy > 1e-12 * n * syy
-    beta = F.when(moves_x, cov / vx).otherwise(0.0)
-    alpha = (sy - beta * sx) / n
-    r2 = F.when(moves_x & moves_y, cov * cov / (vx * vy)).otherwise(0.0)
+    moves_x, moves_y = mxx > 1e-24 * n * mx * mx, myy > 1e-24 * n * my * my
+    beta = F.when(moves_x, mxy / mxx).otherwise(0.0)
+    r2 = F.when(moves_x & moves_y, (mxy / mxx) * (mxy / myy)).otherwise(0.0)
     return F.struct(
-        alpha.alias("alpha"), beta.alias("beta"), r2.alias("r_squared"), n.cast("bigint").alias("n_obs")
+        (my - beta * mx).alias("alpha"), beta.alias("beta"), r2.alias("r_squared"), n.cast("bigint").alias("n_obs")
     )
 
 
@@ -75,77 +73,73 @@ def fit_groups(rows: DataFrame, keys: Sequence[str], y: str = "y", x: str = "x")
 
 
 def return_panel(bars: DataFrame, market: DataFrame) -> DataFrame:
-    """Aligned returns plus running sums up to and including each day.
-
-    Days without two finite returns add nothing to the sums and are counted in ``bad``, so
-    that windows which hold one are told apart and later windows are untouched.
-    """
-    upto = per_ticker().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = {"sx": "x", "sy": "y", "sxx": "x * x", "sxy": "x * y", "syy": "y * y"}
-    panel = aligned_returns(bars, market).withColumn("_good", finite(F.col("y")) & finite(F.col("x")))
-    return panel.select(
-        "ticker", "d", "idx", "y", "x",
-        *[F.sum(F.when(F.col("_good"), F.expr(e)).otherwise(0.0)).over(upto).alias(name) for name, e in sums.items()],
-        F.sum(F.when(F.col("_good"), 0).otherwise(1)).over(upto).alias("bad"),
-    )
+    """Aligned returns; ``good`` is false on days without two finite returns."""
+    return aligned_returns(bars, market).withColumn("good", finite(F.col("y")) & finite(F.col("x")))
 
 
-def _between(col: str, first: int, last: int) -> Column:
-    """Running sum over offsets first..last around the current row."""
-    w = per_ticker()
-    upper = F.lead(col, last).over(w) if last >= 0 else F.lag(col, -last).over(w)
-    lower = F.lag(col, 1 - first).over(w)
-    return upper - F.coalesce(lower, F.lit(0))
-
-
-def estimation_sums(panel: DataFrame) -> DataFrame:
-    """Per (ticker, day): sums over the estimation window, where it is complete and all its days are good."""
-    cols = {c: _between(c, ESTIMATION_FIRST, ESTIMATION_LAST) for c in ("sx", "sy", "sxx", "sxy", "syy", "bad")}
-    width = ESTIMATION_LAST - ESTIMATION_FIRST + 1
-    sums = panel.select(
-        "ticker", "d", "idx", F.lit(width).cast("bigint").alias("n"),
-        *[c.alias(f"est_{name}") for name, c in cols.items()],
-        "sx", "sy",
-    )
-    return sums.where((F.col("idx") + ESTIMATION_FIRST >= 0) & (F.col("est_bad") == 0)).drop("est_bad")
+def estimation_moments(panel: DataFrame) -> DataFrame:
+    """Per (ticker, day): moments over the estimation window, where it is complete and all its days are good."""
+    found = window_moments(panel, F.col("good"), first=ESTIMATION_FIRST, last=ESTIMATION_LAST)
+    return found.where(F.col("est_bad") == 0)
 
 
 def _event_table(panel: DataFrame) -> DataFrame:
-    """Everything an event on (ticker, d) needs, one row per eligible day."""
+    """Everything an event on (ticker, d) needs, one row per eligible day.
+
+    Event windows are short and summed as they stand; a window that runs past the data, or holds a
+    day without returns, is null.
+    """
     w = per_ticker()
-    ends = {name: end for name, end in WINDOWS.values()}
-    forward = panel
+    ends = dict(WINDOWS.values())
+    forward = {}
     for name, end in ends.items():
-        good = _between("bad", 0, end) == 0
-        forward = forward.withColumn(f"{name}_y", F.when(good, _between("sy", 0, end))).withColumn(
-            f"{name}_x", F.when(good, _between("sx", 0, end))
-        )
-    est = {c: _between(c, ESTIMATION_FIRST, ESTIMATION_LAST) for c in ("sx", "sy", "sxx", "sxy", "syy", "bad")}
-    n = F.lit(float(ESTIMATION_LAST - ESTIMATION_FIRST + 1))
-    sums = forward.select(
-        "ticker", "d", "idx",
-        F.lag("d").over(w).alias("_earlier"),
-        *[c.alias(f"est_{k}") for k, c in est.items()],
-        *[F.col(f"{name}_{s}") for name in ends for s in "yx"],
-    )
-    return sums.where((F.col("idx") + ESTIMATION_FIRST >= 0) & (F.col("est_bad") == 0)).select(
+        frame = w.rowsBetween(0, end)
+        whole = F.sum(F.col("good").cast("int")).over(frame) == end + 1
+        forward |= {f"{name}_{s}": F.when(whole, F.sum(s).over(frame)) for s in "yx"}
+    ahead = panel.select("*", F.lag("d").over(w).alias("_earlier"), *[c.alias(n) for n, c in forward.items()])
+    return estimation_moments(ahead).select(
         "ticker", "d", "idx", "_earlier",
-        ols_from_sums(
-            n, F.col("est_sx"), F.col("est_sy"), F.col("est_sxx"), F.col("est_sxy"), F.col("est_syy")
-        ).alias("fit"),
-        *[F.col(f"{name}_{s}") for name in ends for s in "yx"],
+        ols_from_moments(*[F.col(f"est_{m}") for m in ("n", "mx", "my", "mxx", "mxy", "myy")]).alias("fit"),
+        *forward,
     )
 
 
-def event_study(filings: DataFrame, bars: DataFrame, market: DataFrame) -> DataFrame:
+def newest_filings(filings: DataFrame, limit: int) -> DataFrame:
+    """The newest *limit* filings of each ticker overall, whatever date is asked about."""
+    order = [F.desc("filing_date"), F.desc("report_period"), F.desc("filing_id")]
+    return top_n_per_key(filings, ["ticker"], order, limit, salt_by=["filing_id"])
+
+
+def bars_around(bars: DataFrame, filings: DataFrame, days: tuple[int, int]) -> DataFrame:
+    """Bars of each ticker from *days[0]* before its first filing to *days[1]* after its last."""
+    spans = filings.groupBy("ticker").agg(
+        F.date_sub(F.min("filing_date"), days[0]).alias("_from"), F.date_add(F.max("filing_date"), days[1]).alias("_to")
+    )
+    return bars.join(spans, "ticker").where(F.col("d").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+
+
+def event_study(
+    filings: DataFrame, bars: DataFrame, market: DataFrame, *, earnings_limit: int | None = None,
+    require_eps_surprise: bool = False, price_range: tuple[int, int] | None = None,
+) -> DataFrame:
     """One row per usable filing: fit, day 0 and cumulative abnormal returns.
 
     Filings under the retrospective rule are snapped forward to a return day at
     most SNAP_DAYS later and need the whole estimation window before it. A
     window that runs past the data is null.
+
+    Options: only the newest *earnings_limit* filings of a ticker; only filings with a surprise
+    label in the result; only bars within *price_range* days around a ticker's kept filings (PRICE_RANGE is
+    the span a study needs), which moves the first day that an estimation window can start on.
     """
-    table = _event_table(return_panel(bars, market))
+    if earnings_limit is not None:
+        filings = newest_filings(filings, earnings_limit)
     kept = drop_retrospective(filings)
+    if price_range is not None:
+        bars = bars_around(bars, kept, price_range)
+    table = _event_table(return_panel(bars, market))
+    if require_eps_surprise:
+        kept = kept.where(F.col("eps_surprise").isNotNull())
     candidates = kept.withColumn(
         "d", F.explode(F.sequence(F.col("filing_date"), F.date_add("filing_date", SNAP_DAYS)))
     )
@@ -270,25 +264,73 @@ def bootstrap_slots(events: DataFrame) -> DataFrame:
     return dense_index(blocked, group, blocks, ["filing_id"], name="slot").select(*group, "slot", "car")
 
 
-def bootstrap_ci(
-    slots: DataFrame, *, n_bootstrap: int = 10_000, confidence: float = 0.95, seed: int = 42
-) -> DataFrame:
-    """Percentile bootstrap interval of the mean, drawing n of n with replacement.
+#: CAR values that may travel as arrays (8 bytes each), and replicates that one row of work draws.
+MAX_HELD, DRAWS_A_ROW = 2_000_000, 200
 
-    *slots* comes from ``bootstrap_slots``, best as a stored table: the planner
-    then knows its size and broadcasts it where it is small, and no draw is
-    shuffled. Larger tables are met on (group, slot), which no group can
-    overload. Every row stands for one slot of each replicate and draws by
-    seeded arithmetic, so draws start where the rows are. Work is n x n_bootstrap
-    by definition of drawing n of n; ``bootstrap_ci_poisson`` does as much
-    arithmetic without the join.
+
+def _held_means(slots: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
+    """Means of all replicates where the groups are small enough to hold: arithmetic on arrays, no row per draw.
+
+    A group's values are one array in slot order; each row of work draws ``DRAWS_A_ROW`` replicates from it, so
+    tasks follow the replicates and not the groups.
     """
+    import numpy as np
+    import pyarrow as pa
+
+    prime = DRAW_PRIME
+
+    def reduced(x):
+        """x modulo the prime 2^31 - 1 by folding its upper bits."""
+        x = (x & prime) + (x >> 31)
+        x = (x & prime) + (x >> 31)
+        return np.where(x >= prime, x - prime, x)
+
+    def run(batches):
+        for batch in batches:
+            for source, window, cars, first in zip(*[batch.column(i) for i in range(4)], strict=True):
+                values = cars.values.to_numpy(zero_copy_only=False)
+                slot = np.arange(len(values), dtype=np.int64) % 1_000_000_007 * 1_000_003
+                start = first.as_py()
+                replicates = np.arange(start, min(start + DRAWS_A_ROW, n_bootstrap))
+                means = np.empty(len(replicates))
+                for k, b in enumerate(replicates.tolist()):
+                    u = reduced(slot + (b * 7_919 + seed))
+                    for c in (12_345, 67_890, 13_579):
+                        u = reduced(u * u + c)
+                    means[k] = values[u % len(values)].mean()
+                yield pa.record_batch(
+                    [pa.array([v.as_py()] * len(replicates), pa.string()) for v in (source, window)]
+                    + [pa.array(replicates, pa.int32()), pa.array(means)], ["source_type", "window", "b", "mean"])
+
+    listed = slots.groupBy("source_type", "window").agg(F.array_sort(F.collect_list(F.struct("slot", "car"))).alias("_v"))
+    work = listed.where(F.size("_v") >= 2).select(
+        "source_type", "window", F.col("_v.car").alias("cars"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1), F.lit(DRAWS_A_ROW))).alias("first"),
+    )
+    return spread(work, "source_type", "window", "first").mapInArrow(run, "source_type string, window string, b int, mean double")
+
+
+def _joined_means(slots: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
+    """The same means by meeting each draw with its slot, which no group can overload."""
     group = ["source_type", "window"]
     sized = spread(with_totals(slots, group, n=F.count("*")).where("n >= 2"), "slot")
     drawn = _draws(sized.select(*group, "slot", "n"), "slot", n_bootstrap, seed)
     drawn = drawn.select(*group, "b", (F.col("u") % F.col("n")).alias("slot"))
-    means = drawn.join(slots, [*group, "slot"]).groupBy(*group, "b").agg(F.avg("car").alias("mean"))
-    return _interval(means, confidence, n_bootstrap)
+    return drawn.join(slots, [*group, "slot"]).groupBy(*group, "b").agg(F.avg("car").alias("mean"))
+
+
+def bootstrap_ci(
+    slots: DataFrame, *, n_bootstrap: int = 10_000, confidence: float = 0.95, seed: int = 42, max_held: int = MAX_HELD
+) -> DataFrame:
+    """Percentile bootstrap interval of the mean, drawing n of n with replacement.
+
+    *slots* comes from ``bootstrap_slots``, best as a stored table. Work is n x n_bootstrap by definition of
+    drawing n of n; draws come from seeded whole-number arithmetic. Up to *max_held* rows (counted first) the
+    draws run over arrays of values, beyond it each draw meets its slot in a join; both give the same
+    replicates. ``bootstrap_ci_poisson`` does as much arithmetic with neither.
+    """
+    means = _held_means if slots.count() <= max_held else _joined_means
+    return _interval(means(slots, n_bootstrap, seed), confidence, n_bootstrap)
 
 
 # 2^32 times the cumulative Poisson(1) probabilities for 0, 1, 2, ... copies; a draw is scaled to 2^32.

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import on_dates, overlap_join
+from .checks import finite, require
 from .keyed import top_n_per_key
 from .orders import signed_quantity
 from .running import id_blocks, running
@@ -78,38 +79,91 @@ def daily_positions(fills: DataFrame) -> DataFrame:
     )
 
 
+def held_spans(fills: DataFrame, horizon: Column) -> DataFrame:
+    """(fund, ticker, session, shares, until): days that a position is held unchanged, up to the horizon."""
+    return (
+        daily_positions(fills)
+        .withColumn("until", F.coalesce("until", horizon))
+        .where((F.col("shares") != 0) & (F.col("session") <= F.col("until")))
+    )
+
+
+def price_spans(prices: DataFrame, horizon: Column, tolerance: int | None, scale: int = 9) -> DataFrame:
+    """(ticker, d, _until, mark): days that a close is good for.
+
+    A close holds until the next one, at most *tolerance* days (0: its own day; None: without end). Closes
+    that are not finite and positive are no prices.
+    """
+    w = Window.partitionBy("ticker").orderBy("d")
+    usable = prices.where(finite(F.col("close").cast("double")) & (F.col("close") > 0))
+    until = F.coalesce(F.date_sub(F.lead("d").over(w), 1), F.greatest(horizon, F.col("d")))
+    if tolerance is not None:
+        until = F.least(until, F.date_add("d", tolerance))
+    return usable.select("ticker", "d", until.alias("_until"), F.col("close").cast(f"decimal(18,{scale})").alias("mark"))
+
+
+def unpriced_stretches(
+    fills: DataFrame, prices: DataFrame, sessions: DataFrame, *, tolerance: int | None = 0
+) -> DataFrame:
+    """Stretches in which a position is held and has no usable price: held spans minus priced spans.
+
+    The priced parts of a held span are disjoint, so a sweep in day order finds what is between them; a span has at
+    most one part a day. One row per stretch (calendar days ``first`` to ``last``) with the sessions it covers;
+    stretches without a session need no price and are left out.
+    """
+    horizon = sessions.agg(F.max("d")).scalar()
+    held = held_spans(fills, horizon)
+    spans = price_spans(prices, horizon, tolerance).select("ticker", "d", "_until")
+    columns = ["fund", "ticker", "session", "until", "shares"]
+    parts = overlap_join(held, spans, ["ticker"], ("session", "until"), ("d", "_until")).select(*columns, "seg_start", "seg_end")
+    ends = held.select(*columns, F.date_add("until", 1).alias("seg_start"), F.date_add("until", 1).alias("seg_end"))
+    w = Window.partitionBy("fund", "ticker", "session").orderBy("seg_start")
+    swept = parts.unionByName(ends).withColumn("_after", F.coalesce(F.date_add(F.lag("seg_end").over(w), 1), F.col("session")))
+    gaps = swept.where(F.col("_after") < F.col("seg_start")).select(
+        "fund", "ticker", "shares", F.col("_after").alias("first"), F.date_sub("seg_start", 1).alias("last")
+    )
+    # Sessions up to each calendar day: one row a day, so bounded by the years covered.
+    listed = sessions.select("d").distinct()
+    span = listed.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo IS NOT NULL")
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("day")).join(listed.select(F.col("d").alias("day"), F.lit(1).alias("_one")), "day", "left")
+    upto = days.select("day", F.sum(F.coalesce("_one", F.lit(0))).over(Window.orderBy("day")).alias("_n"))
+    counted = gaps.join(F.broadcast(upto.select(F.col("day").alias("last"), F.col("_n").alias("_hi"))), "last", "left").join(
+        F.broadcast(upto.select(F.date_add("day", 1).alias("first"), F.col("_n").alias("_lo"))), "first", "left"
+    )
+    n = F.coalesce("_hi", F.lit(0)) - F.coalesce("_lo", F.lit(0))
+    return counted.withColumn("n_sessions", n.cast("bigint")).where("n_sessions > 0").select("fund", "ticker", "shares", "first", "last", "n_sessions")
+
+
 def daily_nav(
     fills: DataFrame, prices: DataFrame, sessions: DataFrame, capital: Column, *, carry: bool = True,
-    price_scale: int = 9,
+    price_scale: int = 9, tolerance: int | None = None, require_priced: bool = False,
 ) -> DataFrame:
-    """Cash plus marked positions of every fund on every session, as doubles."""
-    exact = exact_nav(fills, prices, sessions, capital, carry=carry, price_scale=price_scale)
+    """Cash plus marked positions of every fund on every session, as doubles.
+
+    With *require_priced* a session on which a held name has no usable price stops the job;
+    ``unpriced_stretches`` lists what is missing.
+    """
+    exact = exact_nav(fills, prices, sessions, capital, carry=carry, price_scale=price_scale, tolerance=tolerance)
+    if require_priced:
+        exact = require(exact, {"a held name has no usable price": F.col("n_unpriced") == 0})
     return exact.withColumn("cash", F.col("cash").cast("double")).withColumn("nav", F.col("nav").cast("double"))
 
 
 def exact_nav(
     fills: DataFrame, prices: DataFrame, sessions: DataFrame, capital: Column, *, carry: bool = True,
-    price_scale: int = 9,
+    price_scale: int = 9, tolerance: int | None = None,
 ) -> DataFrame:
     """Cash plus marked positions of every fund on every session, as decimals.
 
     Positions and prices are spans of days. Value changes only where a span
     starts or ends, so NAV is a running sum of changes: the (session x fund x
     ticker) cube is never built. Amounts are decimal, hence exact in any order.
-    With *carry* a price holds until the next one, else for its own day. Names
-    held without a price are left out of NAV and counted in n_unpriced.
+    With *carry* a price holds until the next one, at most *tolerance* days, else for its own day. Names
+    held without a usable price are left out of NAV and counted in n_unpriced.
     """
     horizon = sessions.agg(F.max("d")).scalar()
-    held = (
-        daily_positions(fills)
-        .withColumn("until", F.coalesce("until", horizon))
-        .where((F.col("shares") != 0) & (F.col("session") <= F.col("until")))
-    )
-    w = Window.partitionBy("ticker").orderBy("d")
-    until = F.coalesce(F.date_sub(F.lead("d").over(w), 1), F.greatest(horizon, F.col("d"))) if carry else F.col("d")
-    marks = prices.select(
-        "ticker", "d", until.alias("_until"), F.col("close").cast(f"decimal(18,{price_scale})").alias("mark")
-    )
+    held = held_spans(fills, horizon)
+    marks = price_spans(prices, horizon, tolerance if carry else 0, price_scale)
     priced = overlap_join(held, marks, ["ticker"], ("session", "until"), ("d", "_until"))
     zero = F.lit(0).cast(MONEY)
 
@@ -162,12 +216,7 @@ def cycle_accounting(
     traded = _signed(fills).groupBy("fund", "session", "ticker").agg(
         F.sum("_shares").alias("_shares"), F.sum("_cash").alias("_cash"), F.count("*").alias("_n")
     )
-    w = Window.partitionBy("ticker").orderBy("d")
-    horizon = sessions.agg(F.max("d")).scalar()
-    spans = prices.select(
-        "ticker", "d", F.coalesce(F.date_sub(F.lead("d").over(w), 1), F.greatest(horizon, F.col("d"))).alias("_until"),
-        F.col("close").cast(f"decimal(18,{price_scale})").alias("mark"),
-    )
+    spans = price_spans(prices, sessions.agg(F.max("d")).scalar(), None, price_scale)
     marked = traded.join(
         overlap_join(
             traded.select("ticker", "session").distinct(), spans, ["ticker"], ("session", "session"), ("d", "_until")

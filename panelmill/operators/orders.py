@@ -46,6 +46,18 @@ def unusable_baskets(marks: DataFrame, keys: Sequence[str] = ("session",)) -> Da
     return bad.groupBy(*keys).agg(F.count("*").alias("n_unusable"), F.min("reason").alias("reason"))
 
 
+def basket_marks(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Marks of whole baskets: one bad mark fails every name of its basket, which then has no mark.
+
+    ``basket_reason`` names the fault of the basket, ``reason`` that of the name itself.
+    """
+    failed = unusable_baskets(marks, keys).select(*keys, "n_unusable", F.col("reason").alias("basket_reason"))
+    joined = marks.join(failed, list(keys), "left")
+    return joined.withColumn("n_unusable", F.coalesce("n_unusable", F.lit(0).cast("bigint"))).withColumn(
+        "mark", F.when(F.col("basket_reason").isNull(), F.col("mark"))
+    )
+
+
 def delta_orders(books: DataFrame, keys: Sequence[str] = BOOK) -> DataFrame:
     """Whole-share orders from (weight, shares, mark, equity) rows, without the sequence.
 

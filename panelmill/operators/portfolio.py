@@ -8,14 +8,17 @@ one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .asof import carry_forward
+from .bookrules import broken_rules
 from .checks import finite, missing_keys, require, violations
 from .keyed import with_totals
-from .risk import apply_limits
+from .risk import apply_limits, clamp_audit
 
 TOLERANCE = 1e-9
 MODES = ("long_only", "long_short", "dollar_neutral")
@@ -177,22 +180,69 @@ def final_contributions(sleeves: DataFrame, slices: DataFrame, risked: DataFrame
     )
 
 
+class Assessment(NamedTuple):
+    """What one assessment of a panel yields; every table is keyed by fund and date."""
+
+    book: DataFrame  # final weights with mark, netted weight and limits
+    sleeves: DataFrame  # recorded scores, weights and slices
+    contributions: DataFrame
+    audit: DataFrame  # limits that fired
+    violations: DataFrame
+    skipped: DataFrame  # (ticker, date, reason) of names with a vote and no usable mark
+
+    def report(self) -> DataFrame:
+        """One row per (fund, date): names, exposure before and after limits, limits fired, rules broken."""
+        size = self.book.groupBy("fund", "date").agg(
+            F.count("*").alias("n_names"), _total(F.abs("netted")).alias("gross_before"), _total(F.abs("final")).alias("gross_final"),
+            _total(F.col("final")).alias("net_final"),
+        )
+        fired = self.audit.groupBy("fund", "date").agg(
+            F.count_if(F.col("ticker").isNotNull()).alias("n_position_clamps"), F.count_if(F.col("ticker").isNull()).alias("n_gross_clamps")
+        )
+        broken = self.violations.groupBy("fund", "date").agg(F.count("*").alias("n_violations"))
+        missed = self.skipped.groupBy("date").agg(F.count("*").alias("n_skipped"))
+        joined = size.join(fired, ["fund", "date"], "left").join(broken, ["fund", "date"], "full").join(missed, "date", "left")
+        return joined.fillna(0, ["n_position_clamps", "n_gross_clamps", "n_violations", "n_skipped"])
+
+
 def assess(
     signals: DataFrame, marks: DataFrame, models: DataFrame, strategies: DataFrame, funds: DataFrame, *,
-    lookback: int = 7,
-) -> DataFrame:
-    """Final weights of every (fund, date) at once, over names with a recent mark.
-
-    Signals meet the latest close of the last *lookback* days; the rest is
-    blending, sleeves, netting and limits with fund and date as keys.
+    now: Column, lookback: int = 7, observation: Observation | None = None,
+) -> Assessment:
+    """Assess every (fund, date) of a panel at once, over names with a recent mark.
+
+    Signals dated on or after the New York date of *now* stop the job: their day is not complete. Signals
+    meet the latest close of the last *lookback* days; blending, sleeves, netting, limits and
+    attribution follow with fund and date as keys, and the recorded book is checked against evidence worked
+    out again from the signals. Sleeves and book are stored, since several tables are read off them.
+    With *observation*, the pass that writes the book also counts its names, the names over their cap
+    before limits, and final weights that are not finite or over the cap.
     """
+    today = F.to_date(F.from_utc_timestamp(now, "America/New_York"))
+    signals = require(signals, {"assessment of a day that is not complete": F.col("date") < today})
     known = carry_forward(marks, ["ticker"], "d", tolerance=lookback, as_of="date").select(
         "ticker", "date", F.col("close").alias("mark")
     )
+    known = known.where(finite(F.col("mark")) & (F.col("mark") > 0))
     tradeable = signals.join(known, ["ticker", "date"], "left_semi")
-    sleeves = sleeve_weights(blend_convictions(staff(tradeable, models, strategies)))
-    book = net_sleeves(sleeves, strategy_slices(strategies))
-    return apply_limits(book, funds, preserves_proportions(strategies)).join(known, ["ticker", "date"])
+    skipped = signals.select("ticker", "date").distinct().join(known, ["ticker", "date"], "left_anti").withColumn(
+        "reason", F.lit(f"no usable close within {lookback} days")
+    )
+    slices = strategy_slices(strategies)
+    evidence = sleeve_weights(blend_convictions(staff(tradeable, models, strategies)))
+    sleeves = stored(evidence.join(slices, ["fund", "strategy"]), "sleeves")
+    weights = sleeves.drop("slice")
+    book = apply_limits(net_sleeves(weights, slices), funds, preserves_proportions(strategies)).join(known, ["ticker", "date"])
+    if observation is not None:
+        cap = F.col("max_position_pct")
+        book = book.observe(
+            observation, F.count("*").alias("n_names"), F.count_if(F.abs("netted") > cap).alias("n_over_cap"),
+            F.count_if(~finite(F.col("final"))).alias("n_not_finite"), F.count_if(F.abs("final") > cap + TOLERANCE).alias("n_broken_cap"),
+        )
+    book = stored(book, "book")
+    parts = final_contributions(weights, slices, book).select("fund", "strategy", "date", "ticker", "contribution")
+    found = broken_rules(sleeves, parts, book, evidence, strategies, funds)
+    return Assessment(book, sleeves, parts, clamp_audit(book), found, skipped)
 
 
 def validate_book(
@@ -203,69 +253,12 @@ def validate_book(
 
     *evidence* is the book recomputed from signals (score, flat_reason);
     *sleeves* and *contributions* are as recorded, *finals* the recorded final
-    weights. An empty result means the book holds.
+    weights. Sleeves recorded without a slice are taken to have the mandate's. An empty result
+    means the book holds.
     """
-    slices = strategy_slices(strategies)
-    mandate = strategies.select("fund", "strategy", "mode", "gross_target").join(slices, ["fund", "strategy"])
-    keys = ["fund", "strategy", "date", "ticker"]
-    proof = evidence.select(*keys, F.col("score").alias("proof"), F.col("flat_reason").alias("proof_flat"))
-
-    def line(df, rule, observed, bound, by_strategy=True, by_ticker=True):
-        none = F.lit(None).cast("string")
-        return df.select(
-            F.lit(rule).alias("rule"), "fund",
-            (F.col("strategy") if by_strategy else none).alias("strategy"), "date",
-            (F.col("ticker") if by_ticker else none).alias("ticker"),
-            observed.cast("double").alias("observed"), bound.cast("double").alias("bound"),
-        )
-
-    parts = []
-    recorded = sleeves.select(*keys, "score", F.col("weight").alias("w"))
-    matched = recorded.join(proof, keys, "full")
-    off = F.coalesce(F.abs(F.col("score") - F.col("proof")) > TOLERANCE, F.lit(True))
-    parts.append(line(matched.where(off), "score does not match evidence", F.col("score"), F.col("proof")))
-    for label, rows, limit in (
-        ("target", recorded.select(*keys, "w"), F.col("gross_target")),
-        ("contribution", contributions.select(*keys, F.col("contribution").alias("w")), F.col("gross_target") * F.col("slice")),
-    ):
-        full = rows.join(mandate, ["fund", "strategy"], "left").join(proof, keys, "left")
-        w = F.col("w")
-        per_row = {
-            f"{label} of a strategy outside the mandate": F.col("mode").isNull(),
-            f"{label} not finite": ~finite(w),
-            f"long-only {label} negative": (F.col("mode") == "long_only") & (w < -TOLERANCE),
-            f"negative {label} without short evidence": (w < -TOLERANCE) & (F.coalesce("proof", F.lit(0.0)) >= 0),
-            f"flat strategy with {label}": F.col("proof_flat").isNotNull() & (F.abs(w) > TOLERANCE),
-        }
-        broken = full.withColumn(
-            "_rule", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(r)) for r, bad in per_row.items()])))
-        )
-        parts.append(
-            broken.select(F.col("_rule").alias("rule"), *keys, F.col("w").alias("observed"),
-                          F.lit(0.0).alias("bound"))
-            .select("rule", "fund", "strategy", "date", "ticker", "observed", "bound")
-        )
-        sums = full.groupBy("fund", "strategy", "date").agg(
-            F.sum(F.abs("w")).alias("gross"), F.sum("w").alias("net"),
-            F.first("mode").alias("mode"), F.first(limit).alias("limit"),
-        )
-        parts.append(line(sums.where(F.col("gross") > F.col("limit") + TOLERANCE),
-                          f"{label} exceeds gross target", F.col("gross"), F.col("limit"), by_ticker=False))
-        parts.append(line(sums.where((F.col("mode") == "dollar_neutral") & (F.abs("net") > TOLERANCE)),
-                          f"{label} not dollar-neutral", F.col("net"), F.lit(0.0), by_ticker=False))
-    book = union_books(contributions, finals).join(funds, "fund")
-    parts.append(line(book.where(F.abs(F.col("final") - F.col("combined")) > TOLERANCE),
-                      "contributions do not sum to final", F.col("final"), F.col("combined"), by_strategy=False))
-    parts.append(line(book.where(F.abs("final") > F.col("max_position_pct") + TOLERANCE),
-                      "final exceeds position cap", F.col("final"), F.col("max_position_pct"), by_strategy=False))
-    gross = book.groupBy("fund", "date").agg(
-        F.sum(F.abs("final")).alias("gross"), F.first("max_gross_exposure").alias("limit"))
-    parts.append(line(gross.where(F.col("gross") > F.col("limit") + TOLERANCE),
-                      "final exceeds gross cap", F.col("gross"), F.col("limit"), by_strategy=False, by_ticker=False))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if "slice" not in sleeves.columns:
+        sleeves = sleeves.join(strategy_slices(strategies), ["fund", "strategy"], "left")
+    return broken_rules(sleeves, contributions, finals, evidence, strategies, funds)
 
 
 def union_books(contributions: DataFrame, finals: DataFrame) -> DataFrame:

@@ -16,12 +16,17 @@ def _limited(book: DataFrame, funds: DataFrame) -> DataFrame:
     held = book.join(funds.select("fund", "max_position_pct", "max_gross_exposure"), "fund", "left")
     cap, limit = F.col("max_position_pct"), F.col("max_gross_exposure")
     return require(held, {
-        "position limit must be finite and positive": finite(cap) & (cap > 0),
+        "position limit must be finite, positive and at most 1": finite(cap) & (cap > 0) & (cap <= 1),
         "gross limit must be finite and positive": finite(limit) & (limit > 0),
         "weight must be finite": finite(F.col("netted")),
     })
 
 
+def _gross_is_number(sized: DataFrame, *columns: str) -> DataFrame:
+    """Finite weights may still add up beyond what a double holds."""
+    return require(sized, {"gross exposure must be finite": finite(sum((F.col(c) for c in columns), F.lit(0.0)))})
+
+
 def clamp_positions(book: DataFrame, funds: DataFrame) -> DataFrame:
     """Cap each name, then scale the whole book if its gross is still too high.
 
@@ -30,7 +35,7 @@ def clamp_positions(book: DataFrame, funds: DataFrame) -> DataFrame:
     limited = _limited(book, funds)
     w, cap = F.col("netted"), F.col("max_position_pct")
     capped = limited.withColumn("capped", F.when(F.abs(w) > cap, F.signum(w) * cap).otherwise(w))
-    sized = with_totals(capped, BOOK, gross=F.sum(F.abs("capped")))
+    sized = _gross_is_number(with_totals(capped, BOOK, gross=F.sum(F.abs("capped"))), "gross")
     limit = F.col("max_gross_exposure")
     scale = F.when(F.col("gross") > limit, limit / F.col("gross")).otherwise(1.0)
     return sized.withColumn("final", F.col("capped") * scale).withColumn("factor", F.lit(None).cast("double"))
@@ -42,6 +47,7 @@ def scale_proportional(book: DataFrame, funds: DataFrame) -> DataFrame:
     sized = with_totals(
         limited, BOOK, _largest=F.max(F.abs("netted")), _gross=F.sum(F.abs("netted"))
     )
+    sized = _gross_is_number(sized, "_gross")
     cap, limit = F.col("max_position_pct"), F.col("max_gross_exposure")
     first = F.when(F.col("_largest") > 0, F.least(F.lit(1.0), cap / F.col("_largest"))).otherwise(1.0)
     staged = sized.withColumn("_first", first).withColumn("gross", F.col("_gross") * F.col("_first"))
@@ -67,6 +73,7 @@ def apply_limits(book: DataFrame, funds: DataFrame, proportional: DataFrame) ->
         capped, BOOK, _largest=F.max(F.abs("netted")), _gross=F.sum(F.abs("netted")),
         _clipped=F.sum(F.abs("_clip")),
     )
+    sized = _gross_is_number(sized, "_gross", "_clipped")
     first = F.when(
         F.col("proportional") & (F.col("_largest") > 0), F.least(F.lit(1.0), cap / F.col("_largest"))
     ).otherwise(1.0)

@@ -52,6 +52,37 @@ def daily_nav(t):
     return nav(t)
 
 
+PRICE_DAYS = 7
+
+
+@query("daily_nav_tolerant", f"""
+    WITH cash AS (SELECT fund, session, cash, exact_cash FROM nav),
+    spans AS (SELECT h.fund, h.ticker, CAST(h.shares AS BIGINT) AS shares, m.d FROM held h JOIN market m
+                ON m.d >= h.session AND (h.next_session IS NULL OR m.d < h.next_session) WHERE h.shares <> 0),
+    marked AS (SELECT s.*, CASE WHEN b.d >= s.d - {PRICE_DAYS} THEN CAST(b.close AS DECIMAL(18,9)) END AS mark
+               FROM spans s ASOF LEFT JOIN bars b ON b.ticker = s.ticker AND b.d <= s.d),
+    v AS (SELECT fund, d, sum(shares * mark) AS value, count(*) AS n_held, count(*) FILTER (WHERE mark IS NULL) AS n_unpriced FROM marked GROUP BY 1, 2)
+    SELECT c.fund, c.session, c.cash, CAST(c.exact_cash + coalesce(v.value, 0) AS DOUBLE) AS nav, coalesce(v.n_held, 0) AS n_held,
+           coalesce(v.n_unpriced, 0) AS n_unpriced FROM cash c LEFT JOIN v ON v.fund = c.fund AND v.d = c.session""", "nav held bars market")
+def daily_nav_tolerant(t):
+    """A close counts for a week at most; names without one are counted, not valued."""
+    return ledger.daily_nav(t.fills, t.closes, t.market.select("d"), F.lit(CAPITAL), tolerance=PRICE_DAYS)
+
+
+@query("unpriced_stretches", f"""
+    WITH horizon AS (SELECT max(d) AS d FROM market),
+    spans AS (SELECT h.fund, h.ticker, CAST(h.shares AS BIGINT) AS shares, h.session, coalesce(h.next_session - 1, z.d) AS until
+              FROM held h, horizon z WHERE h.shares <> 0 AND h.session <= coalesce(h.next_session - 1, z.d)),
+    days AS (SELECT fund, ticker, shares, session, CAST(unnest(generate_series(session, until, INTERVAL 1 DAY)) AS DATE) AS day FROM spans),
+    bare AS (SELECT s.* FROM days s ASOF LEFT JOIN bars b ON b.ticker = s.ticker AND b.d <= s.day WHERE b.d IS NULL OR b.d < s.day - {PRICE_DAYS}),
+    islands AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY fund, ticker, session ORDER BY day) AS INTEGER) AS island FROM bare)
+    SELECT i.fund, i.ticker, i.shares, min(i.day) AS first, max(i.day) AS last, count(m.d) AS n_sessions
+    FROM islands i LEFT JOIN market m ON m.d = i.day GROUP BY i.fund, i.ticker, i.shares, i.session, i.island HAVING count(m.d) > 0""", "held bars market")
+def unpriced_stretches(t):
+    """Where positions are held without a close of the last seven days."""
+    return ledger.unpriced_stretches(t.fills, t.closes, t.market.select("d"), tolerance=PRICE_DAYS)
+
+
 @query("cycle_accounting", """
     WITH flows AS (SELECT fund, session, ticker, CAST(sum(CASE side WHEN 'buy' THEN quantity ELSE -quantity END) AS BIGINT) AS moved,
         sum(CASE side WHEN 'buy' THEN -quantity ELSE quantity END * price) AS cash, count(*) AS n FROM fills GROUP BY 1, 2, 3),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, funds, ledger, orders, portfolio, risk
 from ..session import stored
+from ..sources import reads
 from .q_study import rounded
 from .registry import query
 
@@ -107,49 +108,114 @@ def final_contributions(t):
     return fine(recorded_book(t)[1], "contribution")
 
 
-VALIDATE_SQL = """
-    WITH recorded AS (SELECT s.*, c.slice, CASE WHEN s.ticker LIKE '%1' THEN -abs(s.weight) - 0.05 ELSE s.weight END AS w
-                      FROM sleeves s JOIN slices c ON c.fund = s.fund AND c.strategy = s.strategy),
-    parts AS (SELECT c.*, s.score, s.flat_reason, CASE WHEN c.ticker LIKE '%3' THEN contribution + 0.5 ELSE contribution END AS w
-              FROM contributions c JOIN sleeves s ON s.fund = c.fund AND s.strategy = c.strategy AND s.date = c.date AND s.ticker = c.ticker),
-    finals AS (SELECT fund, date, ticker, CASE WHEN ticker LIKE '%7' THEN final + 0.07 ELSE final END AS final, max_position_pct, max_gross_exposure FROM risked),
-    both_sides AS (
-      SELECT 'target' AS label, fund, strategy, date, ticker, mode, score, flat_reason, w, gross_target AS bound FROM recorded
-      UNION ALL SELECT 'contribution', fund, strategy, date, ticker, mode, score, flat_reason, w, gross_target * slice FROM parts),
-    sums AS (SELECT label, fund, strategy, date, mode, bound, sum(abs(w)) AS gross, sum(w) AS net FROM both_sides GROUP BY ALL),
-    book AS (SELECT f.*, p.combined FROM finals f JOIN (SELECT fund, date, ticker, sum(w) AS combined FROM parts GROUP BY 1, 2, 3) p
-             ON p.fund = f.fund AND p.date = f.date AND p.ticker = f.ticker)
-    SELECT rule, fund, strategy, date, ticker, round(observed, 10) AS observed, round(bound, 10) AS bound FROM (
-      SELECT 'long-only ' || label || ' negative' AS rule, fund, strategy, date, ticker, w AS observed, 0.0::DOUBLE AS bound FROM both_sides
-        WHERE mode = 'long_only' AND w < -1e-9
-      UNION ALL SELECT 'negative ' || label || ' without short evidence', fund, strategy, date, ticker, w, 0.0 FROM both_sides WHERE w < -1e-9 AND score >= 0
-      UNION ALL SELECT 'flat strategy with ' || label, fund, strategy, date, ticker, w, 0.0 FROM both_sides WHERE flat_reason IS NOT NULL AND abs(w) > 1e-9
-      UNION ALL SELECT label || ' exceeds gross target', fund, strategy, date, NULL, gross, bound FROM sums WHERE gross > bound + 1e-9
-      UNION ALL SELECT label || ' not dollar-neutral', fund, strategy, date, NULL, net, 0.0 FROM sums WHERE mode = 'dollar_neutral' AND abs(net) > 1e-9
-      UNION ALL SELECT 'contributions do not sum to final', fund, NULL, date, ticker, final, combined FROM book WHERE abs(final - combined) > 1e-9
-      UNION ALL SELECT 'final exceeds position cap', fund, NULL, date, ticker, final, max_position_pct FROM book WHERE abs(final) > max_position_pct + 1e-9
-      UNION ALL SELECT 'final exceeds gross cap', fund, NULL, date, NULL, sum(abs(final)), max(max_gross_exposure) FROM book
-        GROUP BY fund, date HAVING sum(abs(final)) > max(max_gross_exposure) + 1e-9)"""
-BOOK_VIEWS = "sleeves slices contributions risked"
-
-
-@query("validate_book", VALIDATE_SQL, BOOK_VIEWS)
+# Errors written into the stored book, one or more for each rule; each is a condition and what it changes.
+NO_ERRORS = {
+    "lost": "false", "renamed": "false", "score_nan": "false", "score_off": "false", "target_nan": "false", "target_sign": "false",
+    "slice_off": "false", "foreign": "false", "part_nan": "false", "part_off": "false", "final_nan": "false", "final_off": "false",
+    "orphaned": "false", "void": "false",
+}
+ERRORS = {
+    "lost": "fund = 'core' AND ticker LIKE '%8' OR fund = 'neutral' AND strategy = 'beta' AND day(date) % 5 = 0",
+    "renamed": "fund = 'core' AND ticker LIKE '%9'",
+    "score_nan": "ticker LIKE '%5' AND day(date) % 2 = 1", "score_off": "ticker LIKE '%2'",
+    "target_nan": "ticker LIKE '%4' AND day(date) % 2 = 1", "target_sign": "ticker LIKE '%1'",
+    "slice_off": "fund = 'core' AND strategy = 'beta'", "foreign": "fund = 'core' AND strategy = 'alpha' AND ticker LIKE '%6'",
+    "part_nan": "ticker LIKE '%0' AND day(date) % 3 = 1", "part_off": "ticker LIKE '%3'",
+    "final_nan": "ticker LIKE '%0' AND day(date) % 5 = 1", "final_off": "ticker LIKE '%7'",
+    "orphaned": "fund = 'neutral' AND day(date) % 4 = 0", "void": "true",
+}
+RECORDED = """
+    SELECT fund, strategy, date, CASE WHEN {renamed} THEN concat(ticker, 'x') ELSE ticker END AS ticker,
+           CASE WHEN {score_nan} THEN CAST('NaN' AS DOUBLE) WHEN {score_off} THEN score + 0.25{d} ELSE score END AS score,
+           CASE WHEN {target_nan} THEN CAST('NaN' AS DOUBLE) WHEN {target_sign} THEN -abs(weight) - 0.05{d} ELSE weight END AS weight,
+           slice + CASE WHEN {slice_off} THEN 0.01{d} ELSE 0.0{d} END AS slice
+    FROM {sleeves} WHERE NOT ({lost})
+    UNION ALL SELECT fund, 'gamma', date, ticker, score, weight, slice FROM {sleeves} WHERE {foreign}"""
+PARTS = """
+    SELECT fund, strategy, date, ticker, CASE WHEN {part_nan} THEN CAST('NaN' AS DOUBLE) WHEN {part_off} THEN contribution + 0.5{d} ELSE contribution END AS contribution
+    FROM {parts}"""
+FINALS = """
+    SELECT fund, date, ticker, CASE WHEN {final_nan} THEN CAST('NaN' AS DOUBLE) WHEN {final_off} THEN final + 0.07{d} ELSE final END AS final FROM {finals}
+    UNION ALL SELECT 'orphan', date, ticker, final FROM {finals} WHERE {orphaned}"""
+MANDATE = """
+    SELECT fund, strategy, weight, mode, gross_target FROM {strategies}
+    UNION ALL SELECT 'void', 'alpha', 0.0{d}, 'long_only', 1.0{d} WHERE {void}"""
+
+
+def _validate_sql(errors: dict[str, str]) -> str:
+    given = errors | {"d": "::DOUBLE", "sleeves": "sliced", "parts": "contributions", "finals": "risked", "strategies": "strategies"}
+    weights = [("target", "gross_target"), ("contribution", "gross_target * share")]
+    by_name = " UNION ALL ".join(f"""
+      SELECT '{w} of a strategy outside the mandate' AS rule, fund, strategy, date, ticker, {w} AS observed, NULL::DOUBLE AS bound FROM names WHERE {w} IS NOT NULL AND mode IS NULL
+      UNION ALL SELECT '{w} not finite', fund, strategy, date, ticker, {w}, NULL FROM names WHERE NOT isfinite({w})
+      UNION ALL SELECT 'long-only {w} negative', fund, strategy, date, ticker, {w}, 0.0 FROM names WHERE isfinite({w}) AND mode = 'long_only' AND {w} < -1e-9
+      UNION ALL SELECT 'negative {w} without short evidence', fund, strategy, date, ticker, {w}, 0.0 FROM names WHERE isfinite({w}) AND {w} < -1e-9 AND coalesce(proof, 0) >= 0
+      UNION ALL SELECT 'flat strategy with {w}', fund, strategy, date, ticker, {w}, 0.0 FROM names WHERE isfinite({w}) AND flat_reason IS NOT NULL AND abs({w}) > 1e-9
+      UNION ALL SELECT '{w} gross not finite', fund, strategy, date, NULL, {w}_gross, {limit} FROM sums WHERE NOT isfinite({w}_gross)
+      UNION ALL SELECT '{w} exceeds gross target', fund, strategy, date, NULL, {w}_gross, {limit} FROM sums WHERE isfinite({w}_gross) AND {w}_gross > {limit} + 1e-9
+      UNION ALL SELECT '{w} not dollar-neutral', fund, strategy, date, NULL, {w}_net, 0.0 FROM sums WHERE isfinite({w}_gross) AND mode = 'dollar_neutral' AND abs({w}_net) > 1e-9
+      """ for w, limit in weights)
+    return f"""
+    WITH sliced AS (SELECT s.*, c.slice FROM sleeves s JOIN slices c ON c.fund = s.fund AND c.strategy = s.strategy),
+    recorded AS ({RECORDED.format(**given)}), parts AS ({PARTS.format(**given)}), finals AS ({FINALS.format(**given)}), terms AS ({MANDATE.format(**given)}),
+    mandate AS (SELECT *, CASE WHEN sum(weight) OVER f > 0 THEN weight / sum(weight) OVER f END AS share FROM terms WINDOW f AS (PARTITION BY fund)),
+    names AS (
+      SELECT k.*, m.mode, m.gross_target, m.share FROM (
+        SELECT fund, strategy, date, ticker, r.score, r.weight AS target, r.slice, e.score AS proof, e.flat_reason, c.contribution
+        FROM recorded r FULL JOIN sleeves e USING (fund, strategy, date, ticker) FULL JOIN parts c USING (fund, strategy, date, ticker)) k
+      LEFT JOIN mandate m ON m.fund = k.fund AND m.strategy = k.strategy),
+    sums AS (
+      SELECT fund, strategy, date, mode, gross_target, share, count(score) AS n_score, count(proof) AS n_proof, max(slice) AS slice, sum(target) AS target_net,
+             sum(abs(target)) AS target_gross, sum(contribution) AS contribution_net, sum(abs(contribution)) AS contribution_gross
+      FROM names GROUP BY ALL),
+    book AS (
+      SELECT b.*, l.max_position_pct, l.max_gross_exposure FROM (
+        SELECT fund, date, ticker, coalesce(f.final, 0) AS final, coalesce(p.combined, 0) AS combined
+        FROM finals f FULL JOIN (SELECT fund, date, ticker, sum(contribution) AS combined FROM parts GROUP BY 1, 2, 3) p USING (fund, date, ticker)) b
+      LEFT JOIN funds l ON l.fund = b.fund),
+    gross AS (SELECT fund, date, sum(abs(final)) AS gross, max(max_gross_exposure) AS bound FROM book GROUP BY 1, 2)
+    SELECT rule, fund, strategy, date, ticker, round(observed, 10) AS observed, round(bound, 10) AS bound FROM ({by_name}
+      UNION ALL SELECT 'score without evidence', fund, strategy, date, ticker, score, NULL FROM names WHERE score IS NOT NULL AND proof IS NULL
+      UNION ALL SELECT 'evidence without score', fund, strategy, date, ticker, NULL, proof FROM names WHERE score IS NULL AND proof IS NOT NULL
+      UNION ALL SELECT 'score not finite', fund, strategy, date, ticker, score, proof FROM names WHERE NOT isfinite(score)
+      UNION ALL SELECT 'score does not match evidence', fund, strategy, date, ticker, score, proof FROM names WHERE isfinite(score) AND abs(score - proof) > 1e-9
+      UNION ALL SELECT 'strategy outside the mandate', fund, strategy, date, NULL, NULL, NULL FROM sums WHERE n_score > 0 AND mode IS NULL
+      UNION ALL SELECT 'strategy has no record', fund, strategy, date, NULL, NULL, NULL FROM sums WHERE n_proof > 0 AND n_score = 0
+      UNION ALL SELECT 'slice does not match the mandate', fund, strategy, date, NULL, slice, share FROM sums WHERE n_score > 0 AND mode IS NOT NULL AND abs(slice - share) > 1e-9
+      UNION ALL SELECT 'final weight or contribution not finite', fund, NULL, date, ticker, final, combined FROM book WHERE NOT (isfinite(final) AND isfinite(combined))
+      UNION ALL SELECT 'contributions do not sum to final', fund, NULL, date, ticker, final, combined FROM book WHERE isfinite(final) AND isfinite(combined) AND abs(final - combined) > 1e-9
+      UNION ALL SELECT 'final exceeds position cap', fund, NULL, date, ticker, final, max_position_pct FROM book WHERE isfinite(final) AND abs(final) > max_position_pct + 1e-9
+      UNION ALL SELECT 'fund has no limits', fund, NULL, date, NULL, gross, NULL FROM gross WHERE bound IS NULL
+      UNION ALL SELECT 'final gross not finite', fund, NULL, date, NULL, gross, bound FROM gross WHERE NOT isfinite(gross)
+      UNION ALL SELECT 'final exceeds gross cap', fund, NULL, date, NULL, gross, bound FROM gross WHERE isfinite(gross) AND gross > bound + 1e-9
+      UNION ALL SELECT 'allocations need a finite, positive total', fund, NULL, NULL, NULL, sum(weight), 0.0 FROM mandate WHERE share IS NULL GROUP BY fund)"""
+
+
+BOOK_VIEWS = "sleeves slices contributions risked strategies funds"
+
+
+def _validated(t, errors):
+    """The stored book with *errors* written into it, against evidence worked out again from the signals."""
+    held, parts, finals = recorded_book(t)
+    given = errors | {"d": "D"}
+    spark = t.spark
+    recorded = spark.sql(RECORDED.format(**given, sleeves="{sleeves}"), sleeves=held.join(slices(t), ["fund", "strategy"]))
+    parts = spark.sql(PARTS.format(**given, parts="{parts}"), parts=parts)
+    finals = spark.sql(FINALS.format(**given, finals="{finals}"), finals=finals)
+    mandate = spark.sql(MANDATE.format(**given, strategies="{strategies}"), strategies=t.strategies)
+    return portfolio.validate_book(recorded, sleeves(t), parts, finals, mandate, t.funds)
+
+
+@query("validate_book", _validate_sql(ERRORS), BOOK_VIEWS)
 def validate_book(t):
     """Known errors are written into the stored book, so that every rule has something to find."""
-    evidence, parts, finals = recorded_book(t)
-    wrong = F.col("ticker").endswith
-    recorded = evidence.withColumn("weight", F.when(wrong("1"), -F.abs("weight") - 0.05).otherwise(F.col("weight")))
-    parts = parts.withColumn("contribution", F.when(wrong("3"), F.col("contribution") + 0.5).otherwise(F.col("contribution")))
-    finals = finals.withColumn("final", F.when(wrong("7"), F.col("final") + 0.07).otherwise(F.col("final")))
-    found = portfolio.validate_book(recorded, evidence, parts, finals, t.strategies, t.funds)
-    return fine(found, "observed", "bound")
+    return fine(_validated(t, ERRORS), "observed", "bound")
 
 
-@query("validate_book_clean", VALIDATE_SQL.replace("%1", "#").replace("%3", "#").replace("%7", "#"), BOOK_VIEWS)
+@query("validate_book_clean", _validate_sql(NO_ERRORS), BOOK_VIEWS)
 def validate_book_clean(t):
     """The book as computed breaks no rule."""
-    evidence, parts, finals = recorded_book(t)
-    return portfolio.validate_book(evidence, evidence, parts, finals, t.strategies, t.funds)
+    return fine(_validated(t, NO_ERRORS), "observed", "bound")
 
 
 @query("union_books", """
@@ -165,17 +231,40 @@ def union_books(t):
     return fine(portfolio.union_books(parts, finals), "combined", "final")
 
 
-@query("assess_panel", """
-    WITH grid AS (SELECT DISTINCT ticker, date FROM signals),
+# Assessed as of this instant: signals of its New York day and later are not complete.
+NOW, COMPLETE = "2024-01-20 12:00:00", "DATE '2024-01-20'"
+MARKED_SQL = f"""
+    grid AS (SELECT DISTINCT ticker, date FROM signals),
     marked AS (SELECT g.ticker, g.date, m.close AS mark FROM grid g ASOF JOIN marks m ON m.ticker = g.ticker AND m.d <= g.date
-               WHERE m.d >= g.date - 7)
-    SELECT r.fund, r.date, r.ticker, m.mark, round(r.netted, 10) AS netted, round(r.final, 10) AS final
-    FROM risked r JOIN marked m ON m.ticker = r.ticker AND m.date = r.date""", "signals marks risked")
+               WHERE m.d >= g.date - 7),
+    held AS (SELECT r.*, m.mark FROM risked r JOIN marked m ON m.ticker = r.ticker AND m.date = r.date WHERE r.date < {COMPLETE})"""
+
+
+def assessment(t, observation=None):
+    now = F.to_timestamp(F.lit(NOW))
+    voted = reads.completed_days(t.signals, now, day="date")
+    return portfolio.assess(voted, t.marks, t.models, t.strategies, t.funds, now=now, observation=observation)
+
+
+@query("assess_panel", f"""
+    WITH {MARKED_SQL} SELECT fund, date, ticker, mark, round(netted, 10) AS netted, round(final, 10) AS final FROM held""", "signals marks risked")
 def assess_panel(t):
-    book = portfolio.assess(t.signals, t.marks, t.models, t.strategies, t.funds)
+    book = assessment(t).book
     return fine(book.select("fund", "date", "ticker", "mark", "netted", "final"), "netted", "final")
 
 
+@query("assess_report", f"""
+    WITH {MARKED_SQL},
+    missed AS (SELECT date, count(*) AS n FROM grid WHERE (ticker, date) NOT IN (SELECT (ticker, date) FROM marked) GROUP BY 1)
+    SELECT h.fund, h.date, count(*) AS n_names, round(sum(abs(netted)), 10) AS gross_before, round(sum(abs(final)), 10) AS gross_final,
+           round(sum(final), 10) AS net_final, count(*) FILTER (WHERE abs(netted) > max_position_pct) AS n_position_clamps,
+           CAST(max(gross) > max(max_gross_exposure) AS BIGINT) AS n_gross_clamps, 0::BIGINT AS n_violations, coalesce(max(m.n), 0) AS n_skipped
+    FROM held h LEFT JOIN missed m ON m.date = h.date GROUP BY 1, 2""", "signals marks risked")
+def assess_report(t):
+    """Every (fund, date) of the panel: exposure, limits that fired, rules broken, names left out."""
+    return fine(assessment(t).report(), "gross_before", "gross_final", "net_final")
+
+
 @query("strategy_mode_derivation", """
     SELECT strategy, CASE WHEN bool_or(approach = 'long_short') THEN 'long_short' ELSE 'long_only' END AS mode,
            CASE WHEN bool_and(model_name IN ('click', 'view', 'purchase')) THEN 'discretionary' ELSE 'systematic' END AS kind

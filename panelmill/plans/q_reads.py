@@ -261,6 +261,21 @@ def join_exact_marks(t):
     return orders.exact_marks(needed, t.closes).select("ticker", "session", "mark", "reason")
 
 
+@query("basket_marks", f"""
+    WITH {GRID_SQL},
+    marked AS (SELECT g.ticker, g.as_of AS session, CAST(substr(g.ticker, 2) AS BIGINT) // 2 AS basket, b.close AS mark
+               FROM grid g LEFT JOIN bars b ON b.ticker = g.ticker AND b.d = g.as_of),
+    sized AS (SELECT *, count(*) FILTER (WHERE mark IS NULL) OVER (PARTITION BY basket, session) AS n_unusable FROM marked)
+    SELECT basket, session, ticker, CASE WHEN n_unusable = 0 THEN mark END AS mark, CASE WHEN mark IS NULL THEN 'missing close' END AS reason,
+           n_unusable, CASE WHEN n_unusable > 0 THEN 'missing close' END AS basket_reason FROM sized""", "facts market bars")
+def basket_marks(t):
+    """Baskets of two names at month ends: one without a close fails both."""
+    needed = ticker_grid(t).withColumnRenamed("as_of", "session")
+    needed = needed.withColumn("basket", F.floor(F.substring("ticker", 2, 20).cast("bigint") / 2))
+    marked = orders.basket_marks(orders.exact_marks(needed, t.closes), ["basket", "session"])
+    return marked.select("basket", "session", "ticker", "mark", "reason", "n_unusable", "basket_reason")
+
+
 @query("join_pit_latest_filing", f"""
     WITH {GRID_SQL}, latest AS (
       SELECT ticker, filing_date, max(filing_id) AS filing_id FROM timely GROUP BY 1, 2)

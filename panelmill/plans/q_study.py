@@ -39,6 +39,53 @@ def event_study(t):
     return rounded(study(t), "alpha", "beta", "r_squared", "car_0_1", "car_0_5", "car_0_20")
 
 
+LIMITED = {"earnings_limit": 12, "require_eps_surprise": True, "price_range": es.PRICE_RANGE}
+
+
+@query("event_study_limited", """
+    WITH newest AS (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filing_date DESC, report_period DESC, filing_id DESC) <= 12),
+    kept AS (SELECT * FROM newest WHERE date_diff('day', report_period, filing_date) < 45),
+    spans AS (SELECT ticker, min(filing_date) - 400 AS lo, max(filing_date) + 35 AS hi FROM kept GROUP BY 1),
+    near AS (
+      SELECT ticker, d, y, x, row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS idx FROM (
+        SELECT b.ticker, b.d, (b.close - lag(b.close) OVER w) / lag(b.close) OVER w AS y, (m.close - lag(m.close) OVER w) / lag(m.close) OVER w AS x
+        FROM bars b JOIN market m ON b.d = m.d JOIN spans s ON s.ticker = b.ticker AND b.d BETWEEN s.lo AND s.hi
+        WINDOW w AS (PARTITION BY b.ticker ORDER BY b.d)) WHERE y IS NOT NULL),
+    day0 AS (
+      SELECT f.*, r.d AS event_day, r.idx FROM kept f JOIN near r ON r.ticker = f.ticker AND r.d BETWEEN f.filing_date AND f.filing_date + 4
+      WHERE f.eps_surprise IS NOT NULL QUALIFY row_number() OVER (PARTITION BY f.filing_id ORDER BY r.d) = 1),
+    fit AS (
+      SELECT e.filing_id, regr_intercept(r.y, r.x) AS alpha, regr_slope(r.y, r.x) AS beta, regr_r2(r.y, r.x) AS r_squared, count(*) AS n_obs
+      FROM day0 e JOIN near r ON r.ticker = e.ticker AND r.idx BETWEEN e.idx - 250 AND e.idx - 11 WHERE e.idx >= 250 GROUP BY 1),
+    car AS (
+      SELECT e.filing_id, CASE WHEN max(r.idx - e.idx) >= 5 THEN sum(r.y - (f.alpha + f.beta * r.x)) FILTER (WHERE r.idx - e.idx <= 5) END AS car_0_5
+      FROM day0 e JOIN fit f ON f.filing_id = e.filing_id JOIN near r ON r.ticker = e.ticker AND r.idx BETWEEN e.idx AND e.idx + 20 GROUP BY 1)
+    SELECT e.filing_id, e.ticker, e.eps_surprise, e.event_day, e.idx, round(f.alpha, 6) AS alpha, round(f.beta, 6) AS beta,
+           round(f.r_squared, 6) AS r_squared, f.n_obs, round(c.car_0_5, 6) AS car_0_5
+    FROM day0 e JOIN fit f ON f.filing_id = e.filing_id JOIN car c ON c.filing_id = e.filing_id""", "filings bars market")
+def event_study_limited(t):
+    """The newest filings of a ticker, labelled ones only, over the prices around them."""
+    found = es.event_study(t.filings, t.closes, t.market, **LIMITED)
+    kept = found.select("filing_id", "ticker", "eps_surprise", "event_day", "idx", "alpha", "beta", "r_squared", "n_obs", "car_0_5")
+    return rounded(kept, "alpha", "beta", "r_squared", "car_0_5")
+
+
+@query("event_daily_path", """
+    SELECT e.filing_id, e.ticker, e.event_day, p.daily_ar, p.n_days, p.last_ar FROM snapped e JOIN (
+      SELECT filing_id, string_agg(printf('%.6f', round(ar, 6) + 0.0), ',' ORDER BY off) AS daily_ar, count(*) AS n_days,
+             round(arg_max(ar, off), 6) AS last_ar FROM ars GROUP BY 1) p ON p.filing_id = e.filing_id""", "snapped ars")
+def event_daily_path(t):
+    """Each event with its abnormal returns by day, 21 at most."""
+    events = stored(study(t), "events")
+    paths = es.with_daily_path(events, es.abnormal_returns(events, returns(t)))
+    figures = F.array_join(F.transform("daily_ar", lambda v: F.format_string("%.6f", F.round(v, 6) + F.lit(0.0))), ",")
+    out = paths.select(
+        "filing_id", "ticker", "event_day", figures.alias("daily_ar"), F.size("daily_ar").cast("bigint").alias("n_days"),
+        F.element_at("daily_ar", -1).alias("last_ar"),
+    )
+    return rounded(out, "last_ar")
+
+
 @query("join_aligned_series", """
     SELECT b.ticker, b.d, b.close, m.close AS market_close
     FROM bars b JOIN market m ON b.d = m.d""", "bars market")
@@ -76,9 +123,11 @@ def join_event_snap(t):
     FROM snapped e JOIN returns r ON r.ticker = e.ticker AND r.idx BETWEEN e.idx - 250 AND e.idx - 11
     WHERE e.idx >= 250 GROUP BY e.filing_id, e.ticker, e.idx""", "snapped returns")
 def join_estimation_window(t):
-    sums = es.estimation_sums(es.return_panel(t.closes, t.market)).select(
-        "ticker", F.col("idx").alias("_i"), "n",
-        *[F.col(f"est_s{c}").alias(f"sum_{c}") for c in ("x", "y", "xx", "xy", "yy")],
+    m = {f: F.col(f"est_{f}") for f in ("n", "mx", "my", "mxx", "mxy", "myy")}
+    sums = es.estimation_moments(es.return_panel(t.closes, t.market)).select(
+        "ticker", F.col("idx").alias("_i"), m["n"].alias("n"),
+        (m["n"] * m["mx"]).alias("sum_x"), (m["n"] * m["my"]).alias("sum_y"),
+        *[(m[f"m{p}{q}"] + m["n"] * m[f"m{p}"] * m[f"m{q}"]).alias(f"sum_{p}{q}") for p, q in ("xx", "xy", "yy")],
     )
     events = join_event_snap(t).select("filing_id", "ticker", "idx", F.col("idx").alias("_i"))
     joined = events.join(sums, ["ticker", "_i"]).drop("_i")

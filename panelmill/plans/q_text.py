@@ -127,7 +127,8 @@ def _line(when: str) -> str:
     return f"{when} || ' | ' || {cells}"
 
 
-def _prompt_sql(blind: bool) -> str:
+def prompt_text_sql(blind: bool = False) -> str:
+    """Views that end in prompts: (ticker, as_of, sector, industry, prompt)."""
     when = "'t-' || (k.rank - 1)" if blind else "k.report_period || ' | ' || k.filing_date"
     head = ("'Company: (withheld)' || '  |  Sector: ' || f.sector" if blind
             else "'Company: ' || a.ticker || '  |  Sector: ' || f.sector || '  |  Industry: ' || f.industry")
@@ -143,12 +144,18 @@ def _prompt_sql(blind: bool) -> str:
         "''", f"'{snapshot._HISTORY}'", f"'{columns}'",
     ]
     body = " || chr(10) || ".join(f"({p})" for p in parts)
+    return f"""{SNAP_SQL},
+    hist AS (SELECT k.ticker, k.as_of, string_agg({_line(when)}, chr(10) ORDER BY k.rank) AS h FROM known k GROUP BY 1, 2),
+    prompts AS (
+      SELECT a.ticker, a.as_of, f.sector, f.industry, {body} || chr(10) || h.h AS prompt
+      FROM agg a JOIN facts f ON f.ticker = a.ticker JOIN hist h ON h.ticker = a.ticker AND h.as_of = a.as_of
+      WHERE a.n_periods >= 4)"""
+
+
+def _prompt_sql(blind: bool) -> str:
     return f"""
-    WITH {SNAP_SQL},
-    hist AS (SELECT k.ticker, k.as_of, string_agg({_line(when)}, chr(10) ORDER BY k.rank) AS h FROM known k GROUP BY 1, 2)
-    SELECT a.ticker, a.as_of, md5({body} || chr(10) || h.h) AS prompt_digest, length({body} || chr(10) || h.h) AS n_chars
-    FROM agg a JOIN facts f ON f.ticker = a.ticker JOIN hist h ON h.ticker = a.ticker AND h.as_of = a.as_of
-    WHERE a.n_periods >= 4"""
+    WITH {prompt_text_sql(blind)}
+    SELECT ticker, as_of, md5(prompt) AS prompt_digest, length(prompt) AS n_chars FROM prompts"""
 
 
 def _prompts(t, blind: bool):

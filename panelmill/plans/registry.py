@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
 
 def _load() -> None:
     from . import (  # noqa: F401
-        q_ledger, q_portfolio, q_reads, q_signals, q_study, q_text,
+        q_judgments, q_ledger, q_portfolio, q_reads, q_signals, q_study, q_text,
     )
 
 
