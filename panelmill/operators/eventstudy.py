@@ -17,7 +17,7 @@ from ..functions.student_t import t_p_value
 from .asof import snap_forward
 from .checks import finite
 from .keyed import spread, top_n_per_key, with_totals
-from .moments import window_moments
+from .moments import block_parts, placed_parts, sums_ahead, window_before
 from .running import dense_index, id_blocks
 from .series import aligned_returns, per_ticker
 
@@ -72,36 +72,38 @@ def fit_groups(rows: DataFrame, keys: Sequence[str], y: str = "y", x: str = "x")
     )
 
 
+WIDTH = ESTIMATION_LAST - ESTIMATION_FIRST + 1
+
+
 def return_panel(bars: DataFrame, market: DataFrame) -> DataFrame:
-    """Aligned returns; ``good`` is false on days without two finite returns."""
-    return aligned_returns(bars, market).withColumn("good", finite(F.col("y")) & finite(F.col("x")))
+    """Aligned returns with their moments by blocks; days without two finite returns enter none."""
+    good = finite(F.col("y")) & finite(F.col("x"))
+    return block_parts(aligned_returns(bars, market), good, WIDTH)
+
+
+def _placed(panel: DataFrame, ends: Sequence[int] = ()) -> DataFrame:
+    return placed_parts(panel, WIDTH, -ESTIMATION_LAST, ends, per_ticker())
 
 
 def estimation_moments(panel: DataFrame) -> DataFrame:
     """Per (ticker, day): moments over the estimation window, where it is complete and all its days are good."""
-    found = window_moments(panel, F.col("good"), first=ESTIMATION_FIRST, last=ESTIMATION_LAST)
-    return found.where(F.col("est_bad") == 0)
+    est = {f"est_{f}": c for f, c in window_before(WIDTH, -ESTIMATION_LAST).items()}
+    return _placed(panel).select("ticker", "d", "idx", *[c.alias(n) for n, c in est.items()]).where(F.col("est_bad") == 0)
 
 
 def _event_table(panel: DataFrame) -> DataFrame:
     """Everything an event on (ticker, d) needs, one row per eligible day.
 
-    Event windows are short and summed as they stand; a window that runs past the data, or holds a
-    day without returns, is null.
+    An event window that runs past the data, or holds a day without returns, is null.
     """
-    w = per_ticker()
     ends = dict(WINDOWS.values())
-    forward = {}
-    for name, end in ends.items():
-        frame = w.rowsBetween(0, end)
-        whole = F.sum(F.col("good").cast("int")).over(frame) == end + 1
-        forward |= {f"{name}_{s}": F.when(whole, F.sum(s).over(frame)) for s in "yx"}
-    ahead = panel.select("*", F.lag("d").over(w).alias("_earlier"), *[c.alias(n) for n, c in forward.items()])
-    return estimation_moments(ahead).select(
-        "ticker", "d", "idx", "_earlier",
-        ols_from_moments(*[F.col(f"est_{m}") for m in ("n", "mx", "my", "mxx", "mxy", "myy")]).alias("fit"),
-        *forward,
-    )
+    placed = _placed(panel.withColumn("_earlier", F.lag("d").over(per_ticker())), list(ends.values()))
+    cols = {f"est_{f}": c for f, c in window_before(WIDTH, -ESTIMATION_LAST).items()}
+    ahead = {name: sums_ahead(WIDTH, end) for name, end in ends.items()}
+    cols |= {f"{name}_{s}": F.when(found["bad"] == 0, found[s]) for name, found in ahead.items() for s in "yx"}
+    found = placed.select("ticker", "d", "idx", "_earlier", *[c.alias(n) for n, c in cols.items()]).where(F.col("est_bad") == 0)
+    fit = ols_from_moments(*[F.col(f"est_{m}") for m in ("n", "mx", "my", "mxx", "mxy", "myy")]).alias("fit")
+    return found.select("ticker", "d", "idx", "_earlier", fit, *[f"{name}_{s}" for name in ahead for s in "yx"])
 
 
 def newest_filings(filings: DataFrame, limit: int) -> DataFrame:
@@ -266,6 +268,8 @@ def bootstrap_slots(events: DataFrame) -> DataFrame:
 
 #: CAR values that may travel as arrays (8 bytes each), and replicates that one row of work draws.
 MAX_HELD, DRAWS_A_ROW = 2_000_000, 200
+#: Draws that are worked at once, to stay in a core's cache.
+CELLS = 65_536
 
 
 def _held_means(slots: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
@@ -291,13 +295,13 @@ def _held_means(slots: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
                 values = cars.values.to_numpy(zero_copy_only=False)
                 slot = np.arange(len(values), dtype=np.int64) % 1_000_000_007 * 1_000_003
                 start = first.as_py()
-                replicates = np.arange(start, min(start + DRAWS_A_ROW, n_bootstrap))
-                means = np.empty(len(replicates))
-                for k, b in enumerate(replicates.tolist()):
-                    u = reduced(slot + (b * 7_919 + seed))
+                replicates = np.arange(start, min(start + DRAWS_A_ROW, n_bootstrap), dtype=np.int64)
+                means, step = np.empty(len(replicates)), max(1, CELLS // len(values))
+                for k in range(0, len(replicates), step):
+                    u = reduced(slot[None, :] + (replicates[k : k + step, None] * 7_919 + seed))
                     for c in (12_345, 67_890, 13_579):
                         u = reduced(u * u + c)
-                    means[k] = values[u % len(values)].mean()
+                    means[k : k + step] = values[u % len(values)].mean(axis=1)
                 yield pa.record_batch(
                     [pa.array([v.as_py()] * len(replicates), pa.string()) for v in (source, window)]
                     + [pa.array(replicates, pa.int32()), pa.array(means)], ["source_type", "window", "b", "mean"])

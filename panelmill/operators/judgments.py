@@ -22,7 +22,8 @@ MEMO = (
     "prompt_key string, model_name string, engine string, snapshot_key string, text string, value double, "
     "abstained boolean, reason string, prefix string"
 )
-PREFIX_LENGTH = 2
+#: Digits of a key that name its folder: 16 folders a batch, 256 with two digits for stores of many billions.
+PREFIX_LENGTH = 1
 
 
 def memo_table(spark: SparkSession, path: str) -> BatchTable:

@@ -45,35 +45,55 @@ def merged(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def window_moments(
-    rows: DataFrame, good: Column, *, keys: Sequence[str] = ("ticker",), index: str = "idx", first: int, last: int,
-    prefix: str = "est_",
-) -> DataFrame:
-    """*rows* with the moments of x and y over offsets first..last (both before the row), null where it is cut short.
-
-    ``index`` counts the rows of a key without gaps from 0. Rows that are not good enter no moment and are
-    counted in ``bad``. Windows by block see ``last - first + 1`` rows at most.
+def block_parts(rows: DataFrame, good: Column, width: int, keys: Sequence[str] = ("ticker",), index: str = "idx") -> DataFrame:
+    """*rows* with ``_upto`` and ``_onward``: moments of x and y from the block's start to the row and from it to the end.
+
+    ``index`` counts the rows of a key without gaps from 0; blocks hold ``width`` of them. Rows that are not good enter
+    no moment and are counted in ``bad``.
     """
-    width = last - first + 1
-    if last > 0:
-        raise ValueError("the window must end at the row or before it")
-    block = F.floor(F.col(index) / width)
-    blocked = rows.withColumn("_block", block).withColumn("_good", F.coalesce(good, F.lit(False)))
-    ahead = Window.partitionBy(*keys, "_block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    behind = Window.partitionBy(*keys, "_block").orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, 0)
+    blocked = rows.withColumn("_block", F.floor(F.col(index) / width)).withColumn("_good", F.coalesce(good, F.lit(False)))
     x, y, ok = F.col("x"), F.col("y"), F.col("_good")
-    parts = blocked.select(
-        "*", F.struct(*[c.alias(f) for f, c in zip(FIELDS, _running(ahead, ok, x, y), strict=True)]).alias("_upto"),
-    )
-    parts = parts.select(
-        "*", F.struct(*[c.alias(f) for f, c in zip(FIELDS, _running(behind, ok, x, y), strict=True)]).alias("_onward"),
+    for name, order in (("_upto", F.asc(index)), ("_onward", F.desc(index))):
+        over = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        fields = [c.alias(f) for f, c in zip(FIELDS, _running(over, ok, x, y), strict=True)]
+        blocked = blocked.withColumn(name, F.struct(*fields))
+    return blocked.drop("_block", "_good")
+
+
+def placed_parts(parts: DataFrame, width: int, last: int, ends: Sequence[int], over: Window) -> DataFrame:
+    """*parts* beside the parts that its windows are made of, each looked up once.
+
+    ``_end`` and ``_start`` belong to the *width* rows that end *last* rows before this one, ``_prev`` to the
+    row before, ``_up<k>`` to the row k ahead, for each k in *ends*.
+    """
+    return parts.select(
+        "*", F.lag("_upto", last).over(over).alias("_end"), F.lag("_onward", last + width - 1).over(over).alias("_start"),
+        F.lag("_upto", 1).over(over).alias("_prev"), *[F.lead("_upto", k).over(over).alias(f"_up{k}") for k in ends],
     )
-    w = Window.partitionBy(*keys).orderBy(index)
-    end, start = F.lag("_upto", -last).over(w), F.lag("_onward", -first).over(w)
-    placed = parts.withColumn("_end", end).withColumn("_start", start)
-    whole = (F.col(index) + last) % width == width - 1  # the window is one block
-    a = {f: F.when(whole, F.lit(0)).otherwise(F.col(f"_start.{f}")) for f in FIELDS}
+
+
+def window_before(width: int, last: int, index: str = "idx") -> dict[str, Column]:
+    """Moments of the *width* rows that end *last* rows before, from ``placed_parts``; null where cut short."""
+    whole = F.pmod(F.col(index) - last, F.lit(width)) == width - 1  # the window is one block
     b = {f: F.col(f"_end.{f}") for f in FIELDS}
-    there = F.col(index) + first >= 0
-    out = placed.select(*rows.columns, *[F.when(there, c).alias(prefix + f) for f, c in merged(a, b).items()])
-    return out
+    a = {f: F.when(whole, F.lit(0)).otherwise(F.col(f"_start.{f}")) for f in FIELDS}
+    there = F.col(index) - last - width + 1 >= 0
+    return {f: F.when(there, c) for f, c in merged(a, b).items()}
+
+
+def sums_ahead(width: int, end: int, index: str = "idx") -> dict[str, Column]:
+    """Sums of x and y and the count of bad rows over offsets 0..end (less than a block); null where cut short.
+
+    Across a border both parts are sums as they stand; within a block the part before the row is taken off.
+    """
+    place = F.pmod(F.col(index), F.lit(width))
+
+    def total(part: str, f: str) -> Column:
+        return F.col(f"{part}.bad") if f == "bad" else F.col(f"{part}.n") * F.col(f"{part}.m{f}")
+
+    def of(f: str) -> Column:
+        earlier = F.when(place > 0, total("_prev", f)).otherwise(F.lit(0))
+        ahead = total(f"_up{end}", f)
+        return F.when(place + end < width, ahead - earlier).otherwise(total("_onward", f) + ahead)
+
+    return {f: of(f) for f in ("x", "y", "bad")}
