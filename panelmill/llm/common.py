@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,17 +23,26 @@ MAX_BROADCAST_IDS = 1_000_000
 
 #: Rows that Spark hands to a Python worker at once; texts may be long, so few.
 BATCH_ROWS = 2_000
-_CACHES: dict[str, tuple[dict, ...]] = {}
+class Clearable(Protocol):
+    def clear(self) -> None: ...
+
+
+_CACHES: dict[str, tuple[Clearable, ...]] = {}
 _USED_BY: list[str] = [""]
 
 
-def only_cache(name: str, *caches: dict) -> None:
-    """Empty the word caches of other operators in this worker, which outlives their tasks."""
+def only_cache(name: str, *caches: Clearable) -> None:
+    """Empty the word caches of other operators in this worker, which outlives their tasks, and give the memory back."""
     if _USED_BY[0] != name:
         for other, held in _CACHES.items():
             if other != name:
                 for c in held:
                     c.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library keeps freed memory unless asked; not all have the call
+        if trim is not None:
+            trim(0)
         _CACHES[name], _USED_BY[0] = caches, name
 
 

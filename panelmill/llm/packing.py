@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import only_cache, ship
 
 MAX_LENGTH = 2048
-#: Words that a worker remembers before it starts over; bounds its memory (about 150 bytes each).
-CACHE_WORDS = 600_000
+#: Words, and parts of words, that a worker remembers, in two generations; about 200 bytes each.
+CACHE_WORDS, CACHE_PARTS = 500_000, 400_000
+#: Bytes of ids that a worker holds before it hands pieces on.
+HELD_BYTES = 4_000_000
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint, bucket int, ids array<int>"
@@ -60,8 +62,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words; the previous generation of each cache serves those that come again."""
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _parts_of(self, word: str) -> list[str] | None:
         """The pre-tokenizer's parts, or None where the tokenizer has to see the word itself."""
@@ -70,12 +78,16 @@ class WordEncoder:
         return None if "<|" in word else self.cut.findall(word.lower())
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        cuts = {w: self._parts_of(w) for w in words}
-        new = list({p for w, c in cuts.items() for p in (c if c is not None else [w]) if p not in self.parts})
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words, self.old_words = {}, self.words
+        if len(self.parts) > CACHE_PARTS // 2:
+            self.parts, self.old_parts = {}, self.parts
+        again = {w: self.old_words[w] for w in words if w in self.old_words}
+        self.words |= again
+        cuts = {w: self._parts_of(w) for w in words if w not in again}
+        wanted = {p for w, c in cuts.items() for p in (c if c is not None else [w]) if p not in self.parts}
+        self.parts |= {p: self.old_parts[p] for p in wanted if p in self.old_parts}
+        new = [p for p in wanted if p not in self.parts]
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.parts[p] = array("I", e.ids).tobytes()
         for w, c in cuts.items():
@@ -119,25 +131,41 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = MAX_LENGTH, en
         encoder, made = encoder_for(path), 0
         base = TaskContext.get().partitionId() << 40
         end = np.array([end_id], dtype="<u4").tobytes()
-        only_cache("packing", encoder.words, encoder.parts)
+        only_cache("packing", encoder)
+
+        def out(ids: list, coded: list[bytes]) -> pa.RecordBatch:
+            """The pieces of some documents; one buffer holds all ids, in the order of the pieces."""
+            nonlocal made
+            buffer = b"".join(coded)
+            sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
+            cuts = [piece_lengths(n, longest) for n in sizes.tolist()]
+            counts = np.array([len(c) for c in cuts])
+            lengths = np.array([x for c in cuts for x in c], dtype=np.int64)
+            ends = np.cumsum(lengths)
+            starts = ends - lengths - np.repeat(np.cumsum(sizes) - sizes, counts)
+            crcs = [zlib.crc32(buffer[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+            columns = [
+                pa.array(np.repeat(np.array(ids, dtype=object), counts), pa.int64()), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64()),
+                pa.array(np.repeat(sizes, counts)), pa.array(base + made + np.arange(len(lengths), dtype=np.int64)),
+                pa.array(np.zeros(len(lengths), dtype=np.int64)), pa.array(np.log2(lengths).astype(np.int32)),
+            ]
+            if with_ids:
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(buffer, dtype="<i4"))))
+            made += len(lengths)
+            return pa.record_batch(columns, names[: len(columns)])
+
         for batch in batches:
-            out = [[] for _ in range(9)]
+            ids, coded, held = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
-                n, start = len(ids) // 4, 0
-                for length in piece_lengths(n, longest):
-                    part = ids[4 * start : 4 * (start + length)]
-                    row = (doc_id, start, length, zlib.crc32(part), n, base + made, 0, length.bit_length() - 1)
-                    for c, v in zip(out, row, strict=False):
-                        c.append(v)
-                    if with_ids:
-                        out[8].append(np.frombuffer(part, dtype="<u4").astype(np.int32))
-                    start, made = start + length, made + 1
-            kinds = [pa.int64()] * 7 + [pa.int32()]
-            arrays = [pa.array(c, t) for c, t in zip(out, kinds, strict=False)]
-            if with_ids:
-                arrays.append(pa.array(out[8], pa.list_(pa.int32())))
-            yield pa.record_batch(arrays, names[: len(arrays)])
+                ids.append(doc_id)
+                coded.append(encoder.encode(text or "") + end)
+                held += len(coded[-1])
+                if held > HELD_BYTES:
+                    yield out(ids, coded)
+                    ids, coded, held = [], [], 0
+            if ids:
+                yield out(ids, coded)
 
     names = [c.split()[0] for c in PIECES.split(", ")]
     schema = PIECES if with_ids else PIECES.removesuffix(", ids array<int>")
