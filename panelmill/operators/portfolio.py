@@ -219,7 +219,9 @@ def assess(
     before limits, and final weights that are not finite or over the cap.
     """
     today = F.to_date(F.from_utc_timestamp(now, "America/New_York"))
-    signals = require(signals, {"assessment of a day that is not complete": F.col("date") < today})
+    # In the column and not in a filter: the planner would carry a filter on a join key over to the marks, which reach further.
+    complete = F.when(F.col("date") < today, F.col("date")).otherwise(F.raise_error(F.lit("assessment of a day that is not complete")).cast("date"))
+    signals = signals.withColumn("date", complete)
     known = carry_forward(marks, ["ticker"], "d", tolerance=lookback, as_of="date").select(
         "ticker", "date", F.col("close").alias("mark")
     )

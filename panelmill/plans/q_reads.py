@@ -350,7 +350,7 @@ def receipt_texts(t):
         F.lit(', "orders": [{"ticker": "A"}, {"ticker": "B"}]}'),
     )
     body = (
-        F.when(key % 4 == 0, backtest).when(key % 4 == 1, pending).when(key % 8 == 2, F.substring(run, 1, 25)).otherwise(run)
+        F.when(key % 16 == 3, '{"universe": []}').when(key % 16 == 7, "[1, 2]").when(key % 4 == 0, backtest).when(key % 4 == 1, pending).when(key % 8 == 2, F.substring(run, 1, 25)).otherwise(run)
     )
     return t.table("orders").select(
         F.concat(F.lit("F"), F.col("o_custkey") % 10).alias("fund"), key.alias("receipt_id"),
@@ -377,7 +377,26 @@ RECEIPT_SQL = """
              CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 5 AS DOUBLE) END AS maxdd,
              CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 3 AS DOUBLE) END AS benchret,
              CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 90 END AS n_cycles
-      FROM orders WHERE o_orderkey % 8 <> 2)"""
+      FROM orders WHERE o_orderkey % 8 <> 2 AND o_orderkey % 16 NOT IN (3, 7))"""
+
+
+def saved_receipts(t):
+    """The documents as two runs committed them."""
+    store = receipts.receipt_table(t.spark, scratch_path(t.spark, "receipts"))
+    for batch, half in (("run-1", 0), ("run-2", 1)):
+        store.append(receipt_texts(t).where(F.col("receipt_id") % 2 == half), batch)
+    return store.rows().drop("batch")
+
+
+@query("quarantined_receipts", """
+    SELECT 'F' || (o_custkey % 10) AS fund, o_orderkey AS receipt_id,
+           CASE WHEN o_orderkey % 16 = 3 THEN 'run lacks a field it needs' ELSE 'not a JSON object' END AS fault,
+           CASE o_orderkey % 16 WHEN 3 THEN 16 WHEN 7 THEN 6 ELSE 25 END AS n_chars
+    FROM orders WHERE o_orderkey % 8 = 2 OR o_orderkey % 16 IN (3, 7)""")
+def quarantined_receipts(t):
+    """Documents of the store that were cut short, are no object or lack a field, with the fault."""
+    found = receipts.quarantined_receipts(saved_receipts(t))
+    return found.select("fund", "receipt_id", "fault", F.length("body").alias("n_chars"))
 
 
 @query("run_history", f"""
@@ -385,11 +404,8 @@ RECEIPT_SQL = """
     SELECT fund, receipt_id, mtime, kind, array_to_string(universe, ' ') AS universe, as_of, nav, n_orders, reason,
            start, "end", total, annualized, sharpe, maxdd, benchret, excess, n_cycles, benchmark FROM docs""")
 def run_history(t):
-    """Documents are written to files first and read back from them."""
-    path = scratch_path(t.spark, "receipts")
-    receipts.write_receipts(receipt_texts(t), path)
-    saved = t.spark.read.schema("receipt_id BIGINT, mtime DATE, body STRING, fund STRING").json(path)
-    found = receipts.summarize_receipts(saved).drop("body")
+    """Documents are committed to the store first and read back from it; damaged ones are left out."""
+    found = receipts.summarize_receipts(saved_receipts(t)).drop("body")
     return found.withColumn("universe", F.array_join("universe", " ")).orderBy(F.col("mtime").desc(), F.col("receipt_id").desc())
 
 
@@ -401,14 +417,11 @@ def run_history(t):
               QUALIFY row_number() OVER (PARTITION BY fund ORDER BY mtime DESC, receipt_id DESC) = 1)
     SELECT fund, universe, total, excess, benchmark FROM named FULL JOIN scored USING (fund)""")
 def last_run_per_fund(t):
-    last = receipts.last_run_per_fund(receipts.summarize_receipts(receipt_texts(t)), tie="receipt_id")
+    last = receipts.last_run_per_fund(receipts.summarize_receipts(saved_receipts(t)), tie="receipt_id")
     return last.withColumn("universe", F.array_join("universe", " "))
 
 
 @query("write_receipts", """
     SELECT 'F' || (o_custkey % 10) AS fund, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders GROUP BY 1""")
 def write_receipts(t):
-    path = scratch_path(t.spark, "receipts")
-    receipts.write_receipts(receipt_texts(t), path)
-    back = t.spark.read.schema("receipt_id BIGINT, mtime DATE, body STRING, fund STRING").json(path)
-    return back.groupBy("fund").agg(F.count("*").alias("n"), F.sum("receipt_id").alias("ids"))
+    return saved_receipts(t).groupBy("fund").agg(F.count("*").alias("n"), F.sum("receipt_id").alias("ids"))

@@ -7,6 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import BatchTable
+
+STORED = "fund string, receipt_id bigint, mtime date, body string"
+
+
+def receipt_table(spark: SparkSession, path: str) -> BatchTable:
+    """The store of run documents: each run commits a batch, listed by fund. Bodies stay text."""
+    return BatchTable(spark, path, STORED, "fund")
+
 
 def write_receipts(df: DataFrame, path: str, partition_by: Sequence[str] = ("fund",), fmt: str = "json") -> None:
     """Write documents as JSON or Parquet, one folder per partition value."""
@@ -40,27 +49,25 @@ METRICS = {
 }
 
 
-def summarize_receipts(receipts: DataFrame) -> DataFrame:
-    """Kind and headline fields of each readable document; the rest are dropped.
+def read_fields(receipts: DataFrame) -> DataFrame:
+    """Kind, headline fields and ``fault`` of each document; a sound one has no fault.
 
-    A document with metrics is a backtest, one marked pending is a proposal,
-    anything else a run. A document that lacks a field its kind needs is dropped. The
+    A document with metrics is a backtest, one marked pending is a proposal, anything else a run. The
     document is parsed once: what is exploded is not merged into later expressions.
     """
     options = {"columnNameOfCorruptRecord": "_damaged"}
-    parsed = receipts.withColumn("_d", F.explode(F.array(F.from_json("body", RECEIPT_SCHEMA, options)))).where(
-        "_d IS NOT NULL AND _d._damaged IS NULL"
-    )
+    tagged = receipts.withColumn("_d", F.explode(F.array(F.from_json("body", RECEIPT_SCHEMA, options))))
+    whole = F.col("_d").isNotNull() & F.col("_d._damaged").isNull() & F.startswith(F.ltrim("body"), F.lit("{"))
     kind = (
         F.when(F.col("_d.metrics").isNotNull(), "backtest")
         .when(F.col("_d.status") == "pending", "pending")
         .otherwise("run")
     )
-    tagged = parsed.withColumn("kind", kind)
+    tagged = tagged.withColumn("kind", kind).withColumn("_whole", F.coalesce(whole, F.lit(False)))
     backtest, pending, run = (F.col("kind") == k for k in ("backtest", "pending", "run"))
     fields = tagged.select(
         *receipts.columns,
-        "kind",
+        "kind", "_whole",
         F.when(pending, F.col("_d.proposal.universe"))
         .otherwise(F.coalesce("_d.universe", F.array().cast("array<string>"))).alias("universe"),
         F.when(run, F.coalesce("_d.execution_as_of", "_d.as_of")).when(pending, F.col("_d.as_of")).alias("as_of"),
@@ -72,11 +79,23 @@ def summarize_receipts(receipts: DataFrame) -> DataFrame:
         *[F.when(backtest, F.col(f"_d.metrics.{field}")).alias(name) for name, field in METRICS.items()],
         F.when(backtest, F.coalesce("_d.benchmark", F.lit("SPY"))).alias("benchmark"),
     )
-    return fields.where(
+    complete = F.expr(
         f"CASE kind WHEN 'backtest' THEN {' AND '.join(f'{m} IS NOT NULL' for m in METRICS)} "
         "WHEN 'pending' THEN as_of IS NOT NULL AND reason IS NOT NULL AND universe IS NOT NULL "
         "ELSE as_of IS NOT NULL AND nav IS NOT NULL END"
     )
+    fault = F.when(~F.col("_whole"), "not a JSON object").when(~complete, F.concat("kind", F.lit(" lacks a field it needs")))
+    return fields.withColumn("fault", fault).drop("_whole")
+
+
+def summarize_receipts(receipts: DataFrame) -> DataFrame:
+    """Kind and headline fields of each sound document; ``quarantined_receipts`` has the others."""
+    return read_fields(receipts).where("fault IS NULL").drop("fault")
+
+
+def quarantined_receipts(receipts: DataFrame) -> DataFrame:
+    """Documents that cannot be used, as they were given, with their fault."""
+    return read_fields(receipts).where("fault IS NOT NULL").select(*receipts.columns, "fault")
 
 
 def last_run_per_fund(summaries: DataFrame, tie: str = "mtime") -> DataFrame:

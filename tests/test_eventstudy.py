@@ -115,3 +115,65 @@ def test_histogram_of_equal_values_and_bars_fill(spark):
     ci = spark.createDataFrame([("8-K", "[0,+1]", 0.0, 0.02)], "source_type STRING, window STRING, lower DOUBLE, upper DOUBLE")
     got = {r.window: r.mean_pct for r in es.car_bars(stats, ci).collect()}
     assert got == {"[0,+1]": pytest.approx(1.0), "[0,+5]": 0.0, "[0,+20]": 0.0}
+
+
+def prices(spark, returns, ticker="A"):
+    level, rows = 100.0, []
+    for i, r in enumerate([0.0, *returns]):
+        level *= 1 + r
+        rows.append((ticker, date(2015, 1, 1) + timedelta(days=i), float(level)))
+    return spark.createDataFrame(rows, "ticker string, d date, close double")
+
+
+@pytest.mark.parametrize("jump", [0.0, 1e4, 1e8])
+@pytest.mark.parametrize("at", [5, 239, 300])
+def test_a_jump_outside_the_window_costs_no_digits(spark, jump, at):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.01, 900)
+    y = 0.5 * x + rng.normal(0, 0.01, 900)
+    y[at] = jump or y[at]
+    day0 = [600, 650, 719, 720, 721, 800]
+    filings = spark.createDataFrame(
+        [(i, "A", date(2015, 1, 2) + timedelta(days=i), date(2015, 1, 1) + timedelta(days=i), "8-K", "BEAT") for i in day0], FILING)
+    a, m = prices(spark, y), prices(spark, x, "M")
+    closes = np.array([r.close for r in a.orderBy("d").collect()])
+    market = np.array([r.close for r in m.orderBy("d").collect()])
+    ys, xs = np.diff(closes) / closes[:-1], np.diff(market) / market[:-1]
+    got = {r.filing_id: r for r in es.event_study(filings, a, m).collect()}
+    assert set(got) == set(day0)
+    for i, r in got.items():
+        wy, wx = ys[i - 250 : i - 10], xs[i - 250 : i - 10]
+        beta, alpha = np.polyfit(wx, wy, 1)
+        rest = wy - alpha - beta * wx
+        assert r.idx == i and r.n_obs == 240
+        assert r.alpha == pytest.approx(alpha, abs=1e-12) and r.beta == pytest.approx(beta, rel=1e-9)
+        assert r.r_squared == pytest.approx(1 - rest @ rest / ((wy - wy.mean()) @ (wy - wy.mean())), rel=1e-9)
+        assert r.car_0_5 == pytest.approx((ys[i : i + 6] - alpha - beta * xs[i : i + 6]).sum(), abs=1e-9)
+
+
+def test_options_of_the_study(spark):
+    rng = np.random.default_rng(4)
+    a, m = prices(spark, rng.normal(0, 0.01, 900)), prices(spark, rng.normal(0, 0.01, 900), "M")
+    rows = [(i, "A", date(2015, 1, 2) + timedelta(days=i), date(2015, 1, 1) + timedelta(days=i), "8-K", None if i == 850 else "BEAT") for i in (600, 700, 800, 850)]
+    filings = spark.createDataFrame(rows, FILING)
+
+    def ids(**options):
+        return sorted(r.filing_id for r in es.event_study(filings, a, m, **options).collect())
+
+    assert ids() == [600, 700, 800, 850]
+    assert ids(earnings_limit=2) == [800, 850] and ids(require_eps_surprise=True) == [600, 700, 800]
+    assert ids(price_range=(240, 35)) == [700, 800, 850]  # the first filing's window is cut off
+    full = {r.filing_id: r.beta for r in es.event_study(filings, a, m).collect()}
+    near = {r.filing_id: r.beta for r in es.event_study(filings, a, m, price_range=es.PRICE_RANGE).collect()}
+    assert near == pytest.approx(full)
+
+
+def test_both_ways_of_drawing_agree(spark):
+    rng = np.random.default_rng(6)
+    rows = [("8-K", w, i, float(v)) for w, n in (("[0,+1]", 60), ("[0,+5]", 37), ("[0,+20]", 1)) for i, v in enumerate(rng.normal(size=n))]
+    slots = spark.createDataFrame(rows, "source_type string, window string, slot bigint, car double")
+    held = {r.window: (r.lower, r.upper) for r in es.bootstrap_ci(slots, n_bootstrap=501).collect()}
+    joined = {r.window: (r.lower, r.upper) for r in es.bootstrap_ci(slots, n_bootstrap=501, max_held=0).collect()}
+    assert set(held) == {"[0,+1]", "[0,+5]"} == set(joined)
+    for w in held:
+        assert held[w] == pytest.approx(joined[w])

@@ -11,7 +11,8 @@ FOLDER = "/root/testdata/sf0.001"
 CHOSEN = [
     "event_study", "car_ttest", "bootstrap_ci", "join_pit_topn", "join_mark_lookback", "resample_bars", "percentile_rank",
     "pead_signal", "trade_metrics", "render_snapshot_blind", "validate_answer", "run_history", "validate_book",
-    "order_sequence", "daily_nav", "cash_ledger", "rebalanced_nav",
+    "order_sequence", "daily_nav", "cash_ledger", "rebalanced_nav", "answers_by_content", "answer_runs", "assess_report", "event_study_limited",
+    "event_daily_path", "daily_nav_tolerant", "unpriced_stretches", "basket_marks", "quarantined_receipts", "last_run_per_fund", "car_bars",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are absent")

@@ -141,6 +141,8 @@ def test_receipts_round_trip(spark, tmp_path):
         (folder / f"a-run-{i}.json").write_text(body)
     found = receipts.summarize_receipts(receipts.read_receipts(spark, str(folder)))
     assert sorted(r.kind for r in found.collect()) == ["backtest", "pending", "run"]
+    refused = receipts.quarantined_receipts(receipts.read_receipts(spark, str(folder))).collect()
+    assert sorted((r.fault, r.path[-6]) for r in refused) == [("not a JSON object", "3"), ("not a JSON object", "4"), ("run lacks a field it needs", "5")]
     scored = found.where("kind = 'backtest'").first()
     assert (scored.start, scored.end, scored.annualized, scored.n_cycles) == ("2025-01-01", "", 0.1, 3)
     last = receipts.last_run_per_fund(found.withColumn("fund", F.lit("a")), tie="path").first()
