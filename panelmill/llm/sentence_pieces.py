@@ -7,7 +7,7 @@ Encoding:
    are equi-joined to the piece table: the lattice. The table is broadcast; it has as many rows as the
    vocabulary. Edges are grouped by word in the stage that made them, without a shuffle.
 3. A higher-order ``aggregate`` folds each word's edges into its pieces.
-4. Words meet the documents in blocks: every block of documents receives the words it uses.
+4. Words meet the documents in blocks, stretches of the input partitions: every block receives the words it uses.
 
 The fold: a unigram vocabulary takes the Viterbi path (``fold="viterbi"``). The given vocabulary
 is BPE, for which the best sum of scores is not the library's answer; its edges are folded in order of
@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,6 +221,26 @@ def encode_words(words: DataFrame, path: str, fold: str = "bpe") -> DataFrame:
     return grouped.select("word", *keep, ids.alias("ids"))
 
 
+def _in_blocks(batches, block_chars: int):
+    """(block, doc_ids, texts) of the rows of one task in order, each about a quarter of a block or less.
+
+    A block is a stretch of one input partition, so the words of a task carry few blocks. A task that reads its
+    partition again makes the same blocks; should it ever read other rows, words that a block lacks are
+    merged on the spot (``look_up``), so blocks decide what moves and never what comes out.
+    """
+    base, done, ids, texts, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(doc_id)
+            texts.append(text)
+            held += len(text)
+            if held * 4 >= block_chars:
+                yield base + done // block_chars, ids, texts
+                done, ids, texts, held = done + held, [], [], 0
+    if ids:
+        yield base + done // block_chars, ids, texts
+
+
 def encode(docs: DataFrame, path: str | None = None, fold: str = "bpe", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per row of *docs*: doc_id, ids array<int>."""
     path = path or piece_path()
@@ -228,58 +248,68 @@ def encode(docs: DataFrame, path: str | None = None, fold: str = "bpe", block_ch
     ship(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def used(batches):
         """The different words of each block in this task."""
-        v, held, n = vocabulary(path), {}, 0
+        v, mine, at = vocabulary(path), set(), None
 
         def out():
-            for b, words in held.items():
-                parts = {p for w in words for p in v.parts(w) if len(p) <= LONGEST}
-                yield pa.record_batch([pa.array([b] * len(parts), pa.int32()), pa.array(list(parts), pa.string())], ["block", "word"])
-
-        for batch in batches:
-            for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mine = held.setdefault(b, set())
-                n -= len(mine)
+            parts = {p for w in mine for p in v.parts(w) if len(p) <= LONGEST}
+            return pa.record_batch([pa.array([at] * len(parts), pa.int64()), pa.array(list(parts), pa.string())], ["block", "word"])
+
+        for block, _, texts in _in_blocks(batches, block_chars):
+            if at is not None and (block != at or len(mine) > HELD_WORDS):
+                yield out()
+                mine = set()
+            at = block
+            for text in texts:
                 mine.update(v.words(text))
-                n += len(mine)
-                if n > HELD_WORDS:
-                    yield from out()
-                    held, n = {}, 0
-        yield from out()
+        if at is not None:
+            yield out()
 
     # Few enough words in a partition that their edges are grouped in memory, without a sort.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PARTITION_CHARS))
-    pairs = base.select("block", "text").mapInArrow(used, "block int, word string").repartition(parts, "word")
+    pairs = base.mapInArrow(used, "block bigint, word string").repartition(parts, "word")
     coded = encode_words(pairs.groupBy("word").agg(F.collect_set("block").alias("blocks")), path, fold)
     packed_ids = F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0"))
     coded = coded.select(F.explode("blocks").alias("block"), "word", F.unhex(F.array_join(packed_ids, "")).alias("ids"))
 
-    def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in batch.column(2).to_pylist()], pa.binary())], ["block", "doc_id", "packed"])
+    def squeeze(batches):
+        """Texts of a stretch as one blob; many texts together compress far better than each alone."""
+        import zstandard
+
+        coder = zstandard.ZstdCompressor(level=9)
+        for block, ids, texts in _in_blocks(batches, block_chars):
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+            yield pa.record_batch(
+                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(r) for r in raw]], pa.list_(pa.int64())),
+                 pa.array([coder.compress(b"".join(raw))], pa.binary())], ["block", "doc_ids", "sizes", "packed"])
 
-    packed = map_batches(base.select("block", "doc_id", "text"), squeeze, "block int, doc_id bigint, packed binary")
+    packed = base.mapInArrow(squeeze, "block bigint, doc_ids array<bigint>, sizes array<bigint>, packed binary")
 
     def look_up(part: pa.Table, words: pa.Table) -> pa.Table:
-        v = vocabulary(path)
+        import zstandard
+
+        v, opener = vocabulary(path), zstandard.ZstdDecompressor()
         known = dict(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
-        found, ends = [], [0]
-        for blob in part["packed"]:
-            text = zlib.decompress(blob.as_py()).decode("utf-8", "surrogatepass")
-            ids = []
-            for w in v.words(text):
-                if w in known:
-                    ids.append(known[w])
-                else:
-                    ids += [known[p] if p in known else np.array(v.merge(p), dtype=">i4").tobytes() for p in v.parts(w)]
-            found.append(np.frombuffer(b"".join(ids), dtype=">i4").astype(np.int32))
-            ends.append(ends[-1] + len(found[-1]))
+        rows, found, ends = [], [], [0]
+        for doc_ids, sizes, blob in zip(part["doc_ids"].to_pylist(), part["sizes"].to_pylist(), part["packed"], strict=True):
+            raw, at = opener.decompress(blob.as_py()), 0
+            rows += doc_ids
+            for size in sizes:
+                text = raw[at : at + size].decode("utf-8", "surrogatepass")
+                at += size
+                ids = []
+                for w in v.words(text):
+                    if w in known:
+                        ids.append(known[w])
+                    else:
+                        ids += [known[p] if p in known else np.array(v.merge(p), dtype=">i4").tobytes() for p in v.parts(w)]
+                found.append(np.frombuffer(b"".join(ids), dtype=">i4").astype(np.int32))
+                ends.append(ends[-1] + len(found[-1]))
         values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-        return pa.table([part["doc_id"], lists], ["doc_id", "ids"])
+        return pa.table([pa.array(rows, pa.int64()), lists], ["doc_id", "ids"])
 
     return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(look_up, "doc_id bigint, ids array<int>")
 
