@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import only_cache, ship
 
 MAX_LENGTH = 2048
-#: Words, and parts of words, that a worker remembers, in two generations; about 200 bytes each.
-CACHE_WORDS, CACHE_PARTS = 500_000, 400_000
+#: Words that a worker remembers, in two generations, and four parts of words for every five; about 200 bytes each.
+CACHE_WORDS = 500_000
 #: Bytes of ids that a worker holds before it hands pieces on.
 HELD_BYTES = 4_000_000
 PIECES = (
@@ -61,6 +61,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.room = CACHE_WORDS
         self.cut = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.clear()
 
@@ -78,9 +79,9 @@ class WordEncoder:
         return None if "<|" in word else self.cut.findall(word.lower())
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS // 2:
+        if len(self.words) > self.room // 2:
             self.words, self.old_words = {}, self.words
-        if len(self.parts) > CACHE_PARTS // 2:
+        if len(self.parts) > self.room * 2 // 5:
             self.parts, self.old_parts = {}, self.parts
         again = {w: self.old_words[w] for w in words if w in self.old_words}
         self.words |= again
@@ -121,14 +122,20 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, path: str | None = None, longest: int = MAX_LENGTH, end_id: int = 1, with_ids: bool = True) -> DataFrame:
-    """Pieces of *docs*: one row per sequence, with its ids and its bucket (log2 of the length)."""
+def pack(
+    docs: DataFrame, path: str | None = None, longest: int = MAX_LENGTH, end_id: int = 1, with_ids: bool = True, cache_words: int = CACHE_WORDS,
+) -> DataFrame:
+    """Pieces of *docs*: one row per sequence, with its ids and its bucket (log2 of the length).
+
+    *cache_words* trades a worker's memory for time; ids are the same.
+    """
     path = path or word_bpe_path()
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
 
     def run(batches):
         encoder, made = encoder_for(path), 0
+        encoder.room = cache_words
         base = TaskContext.get().partitionId() << 40
         end = np.array([end_id], dtype="<u4").tobytes()
         only_cache("packing", encoder)
