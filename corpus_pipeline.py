@@ -30,7 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    # Workers come from the near-copy stage with little memory to spare.
+    return packing.pack(docs, cache_words=150_000)
 
 
 STAGES = [
