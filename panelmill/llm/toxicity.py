@@ -3,9 +3,11 @@
 Features are the distinct lower-cased words of the whole text and their first four to seven letters,
 hashed; each is scaled by its smoothed log odds of being toxic among the labelled rows. Those below
 ``LEAST_ODDS``, or in fewer than ``LEAST_ROWS`` rows, are left out: harmless words, however many, excuse
-nothing. For every labelled sentence that names a group, a copy with the group's term swapped for another is made; the
-squared change of the score between the two is added to the loss. So a group's name by itself
-cannot carry weight, and neutral mentions are not held against a text.
+nothing. Of every labelled text one sentence, chosen by a hash, is made to mention a group, in one of four
+languages, and its counterfactual names another group of the set or none; labelled texts that name a group
+themselves are swapped as they are. The squared change of the score between the two is added to the loss. So a
+group's name, or the beginning that it shares with other words, cannot carry weight by itself, and neutral
+mentions are not held against a text.
 
 The model is fitted in numpy on a bounded sample of labelled rows (``rows``); scoring runs in the
 tasks over every whole text.
@@ -34,15 +36,22 @@ TRAIN_ROWS = 10_000
 EPOCHS, BATCH, RATE, DECAY, COUNTERFACTUAL = 8, 256, 0.05, 1e-4, 1.0
 CACHE_WORDS = 100_000
 _WORD = re.compile(r"\w+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 _KNOWN: dict[str, tuple[int, ...]] = {}
 
-#: Terms that name groups, each row a set whose members are swapped for each other.
+#: Terms that name groups in English, German, French and Spanish, each row a set whose members are swapped for each other.
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("girl", "boy"), ("female", "male"), ("gay", "straight", "lesbian", "bisexual"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "arab"), ("african", "european", "american", "mexican", "chinese", "indian"),
     ("immigrant", "citizen", "refugee", "foreigner"), ("immigrants", "citizens", "refugees", "foreigners"),
     ("old", "young", "elderly"), ("disabled", "deaf", "blind"), ("transgender", "cisgender"),
+    ("frau", "mann"), ("frauen", "männer"), ("muslime", "christen", "juden", "buddhisten", "atheisten"), ("schwarze", "weiße", "asiaten", "araber"),
+    ("einwanderer", "bürger", "flüchtlinge", "ausländer"), ("schwule", "lesben", "heteros"), ("behinderte", "gehörlose", "blinde"),
+    ("femme", "homme"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("noirs", "blancs", "asiatiques", "arabes"),
+    ("immigrés", "citoyens", "réfugiés", "étrangers"), ("gays", "lesbiennes", "hétéros"), ("handicapés", "sourds", "aveugles"),
+    ("mujer", "hombre"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("negros", "blancos", "asiáticos", "árabes"),
+    ("inmigrantes", "ciudadanos", "refugiados", "extranjeros"), ("homosexuales", "lesbianas", "heterosexuales"), ("discapacitados", "sordos", "ciegos"),
 )
 _SWAP = {w: row[(i + 1) % len(row)] for row in IDENTITY_TERMS for i, w in enumerate(row)}
 
@@ -72,24 +81,46 @@ def counterfactual(words: set[str]) -> set[str] | None:
     return {_SWAP.get(w, w) for w in words} if not words.isdisjoint(_SWAP) else None
 
 
+def mentions(text: str | None) -> tuple[set[str], set[str]] | None:
+    """Words of one sentence of the text with a group's term, and with another term of the set, or none, in its place.
+
+    Sentence and terms follow from a hash of the text, so a text always gives the same pair.
+    """
+    sentences = [s for s in _SENTENCE.split(text or "") if s.strip()]
+    if not sentences:
+        return None
+    pick = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    words = _words(sentences[pick % len(sentences)])
+    pick //= len(sentences)
+    row = IDENTITY_TERMS[pick % len(IDENTITY_TERMS)]
+    at = pick // len(IDENTITY_TERMS) % len(row)
+    other = ("", *row[:at], *row[at + 1 :])[pick // 1_000 % len(row)]
+    return words | {row[at]}, words | ({other} if other else set())
+
+
 def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids, other = [], []
+    columns: list[list] = [[], [], [], []]
     for text in batch.column(0).to_pylist():
         words = _words(text)
-        ids.append(_ids(words))
-        swapped = counterfactual(words)
-        other.append(None if swapped is None else _ids(swapped))
+        swapped, pair = counterfactual(words), mentions(text)
+        found = (words, swapped, *(pair or (None, None)))
+        for c, w in zip(columns, found, strict=True):
+            c.append(None if w is None else _ids(w))
     kind = pa.list_(pa.int32())
-    return pa.record_batch([pa.array(ids, kind), pa.array(other, kind), batch.column(1)], ["ids", "swapped", "y"])
+    return pa.record_batch([*[pa.array(c, kind) for c in columns], batch.column(1)], ["ids", "swapped", "one", "other", "y"])
+
 
+def fit(rows: list[tuple], seed: int = 7, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float] | None:
+    """Weights and intercept by AdaGrad on log loss, with the counterfactual penalty.
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], seed: int = 7) -> tuple[np.ndarray, float] | None:
-    """Weights and intercept by AdaGrad on log loss, with the counterfactual penalty."""
+    A row is (features, features of the swapped text or None, label) and, optionally, the features
+    of a made-up mention and of its counterfactual.
+    """
     if not rows:
         return None
     rng, y = np.random.default_rng(seed), np.array([r[2] for r in rows], dtype=float)
     all_rows, bad_rows = np.zeros(1 << BITS, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32)
-    for ids, _, bad in rows:  # a row has each feature once
+    for ids, _, bad, *_ in rows:  # a row has each feature once
         all_rows[ids] += 1
         if bad:
             bad_rows[ids] += 1
@@ -106,7 +137,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], seed: int = 7) ->
         found = number[ids]
         return found[found >= 0]
 
-    data = [(known(a), None if b is None else known(b)) for a, b, _ in rows]
+    data = []
+    for ids, swapped, _, *made in rows:
+        pairs = [(ids, swapped)] if swapped is not None else []
+        pairs += [tuple(made)] if made and made[0] is not None else []
+        data.append((known(ids), [(known(p), known(q)) for p, q in pairs]))
     w, b = np.full(len(live), 0.1), 0.0
     seen, seen_b = np.full(len(live), 1e-8), 1e-8
     for _ in range(EPOCHS):
@@ -118,11 +153,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], seed: int = 7) ->
             z = np.bincount(d, weights=(w * odds)[f], minlength=len(part)) + b
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
             grad = np.bincount(f, weights=g[d], minlength=len(live))
+            now = w * odds
             for i in part:
-                if data[i][1] is not None:
-                    change = 2 * COUNTERFACTUAL * ((w * odds)[data[i][0]].sum() - (w * odds)[data[i][1]].sum()) / len(part)
-                    np.add.at(grad, data[i][0], change)
-                    np.add.at(grad, data[i][1], -change)
+                for one, other in data[i][1]:
+                    change = 2 * penalty * (now[one].sum() - now[other].sum()) / len(part)
+                    if change:
+                        np.add.at(grad, one, change)
+                        np.add.at(grad, other, -change)
             grad = grad * odds + DECAY * w
             seen += grad * grad
             w -= RATE * grad / np.sqrt(seen)
@@ -136,9 +173,25 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], seed: int = 7) ->
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float] | None:
     """Fit on at most *rows* labelled documents that are not held out."""
     chosen = training_rows(docs, labels, "toxic", rows).select("text", "y")
-    found = map_batches(chosen, _features, "ids array<int>, swapped array<int>, y int").toArrow()
-    ids, other, y = found["ids"].combine_chunks(), found["swapped"].combine_chunks(), found["y"].to_pylist()
-    return fit([(ids[i].values.to_numpy(), other[i].values.to_numpy() if other[i].is_valid else None, y[i]) for i in range(len(y))])
+    return fit(labelled_features(chosen))
+
+
+def labelled_features(chosen: DataFrame) -> list[tuple]:
+    """Rows for ``fit`` from a bounded sample of (text, y)."""
+    found = map_batches(chosen, _features, "ids array<int>, swapped array<int>, one array<int>, other array<int>, y int").toArrow()
+    lists = [found[c].combine_chunks() for c in ("ids", "swapped", "one", "other")]
+    sets = [[v.values.to_numpy() if v.is_valid else None for v in c] for c in lists]
+    return [(ids, swapped, y, one, other) for ids, swapped, one, other, y in zip(*sets, found["y"].to_pylist(), strict=True)]
+
+
+def mention_gap(model: tuple[np.ndarray, float], texts: list[str | None]) -> float:
+    """Mean absolute change of the score when one sentence of a text names another group, or none."""
+    w, b = model
+    changes = []
+    for pair in filter(None, map(mentions, texts)):
+        one, other = (1 / (1 + np.exp(-(w[_ids(p)].sum(dtype=np.float64) + b))) for p in pair)
+        changes.append(abs(one - other))
+    return float(np.mean(changes)) if changes else 0.0
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:

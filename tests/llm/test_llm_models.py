@@ -54,6 +54,44 @@ def test_counterfactual_penalty():
     assert w[toxicity._ids({"idiot", "the"})].sum() + b > 0 > w[toxicity._ids({"muslims", "the"})].sum() + b
 
 
+def test_mentions_name_a_group_and_another_or_none():
+    pair = toxicity.mentions("Der Garten ist schön. The house is old! Une maison.")
+    assert pair == toxicity.mentions("Der Garten ist schön. The house is old! Une maison.") and len(pair[0] ^ pair[1]) in (1, 2)
+    assert (pair[0] ^ pair[1]) <= {t for row in toxicity.IDENTITY_TERMS for t in row}
+    assert toxicity.mentions(None) is None and toxicity.mentions(" .!\n") is None
+    seen = [toxicity.mentions(f"text number {i}") for i in range(3000)]
+    assert {len(b) - len(a) for a, b in seen} == {-1, 0}  # another term, or none
+    named = set().union(*(a for a, _ in seen))
+    assert {t for row in toxicity.IDENTITY_TERMS for t in row} <= named
+
+
+def test_made_up_mentions_take_the_weight_off_group_names():
+    """Toxic words that begin like a group's name would lend it weight; the penalty takes it off again."""
+    rows, texts = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        text = f"filler{i % 50} the {'muslxx idiot foreixx immigxx' if bad else 'garden house'} word{i % 40}."
+        texts.append(text)
+        pair = toxicity.mentions(text)
+        rows.append((toxicity._ids(toxicity._words(text)), None, int(bad), *map(toxicity._ids, pair)))
+    fair, free = toxicity.fit(rows, penalty=5.0), toxicity.fit(rows, penalty=0.0)
+    calm = [t for i, t in enumerate(texts) if i % 3]
+    assert toxicity.mention_gap(fair, calm) < 0.5 * toxicity.mention_gap(free, calm)
+    w, b = fair
+    assert w[toxicity._ids({"idiot", "the"})].sum() + b > 0 > w[toxicity._ids({"muslims", "the", "garden"})].sum() + b
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
+def test_toxicity_held_out(spark):
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").toPandas()
+    bad = got[got["toxic"] == 1]
+    assert (got["predicted"] == got["toxic"]).mean() > 0.9 and bad["predicted"].mean() > 0.5
+    calm = [r[0] for r in docs.join(labels.where("toxic = 0"), "doc_id").select("text").limit(300).collect()]
+    assert toxicity.mention_gap(model, calm) < 0.02
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
 def test_quality_held_out(spark):
     docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
