@@ -73,3 +73,19 @@ def test_spans_on_dates(spark):
     assert got == [("a", 0), ("a", 6), ("a", 9), ("b", 6)]
     cells = asof.on_dates(spans.select("k"), dates.where(F.col("d") <= day(6)), "d")
     assert cells.count() == 4
+
+
+def test_newest_lists_unfold_no_fact_and_match_brute_force(spark):
+    rng = random.Random(12)
+    facts = [(f"k{rng.randrange(3)}", D0 + timedelta(days=rng.randrange(40)), i) for i in range(120)] + [("k0", None, 900), (None, D0, 901)]
+    grid = [(k, D0 + timedelta(days=d), d) for k in ("k0", "k1", "k9") for d in (-1, 0, 7, 7 + 30, 90)] + [(None, D0, 0)]
+    f = spark.createDataFrame(facts, "ticker STRING, filed DATE, id BIGINT")
+    g = spark.createDataFrame(grid, "ticker STRING, as_of DATE, tag INT")
+    found = asof.newest_lists(g, f, ["ticker"], "filed", ["id"], n=4)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.ticker, r.as_of, r.tag): [p.id for p in r.known] for r in found.where("ticker IS NOT NULL").collect()}
+    for k, day, tag in grid[:-1]:
+        known = sorted(((d, i) for t, d, i in facts if t == k and d is not None and d <= day), reverse=True)
+        assert got[k, day, tag] == [i for _, i in known[:4]]
+    assert len(got) == len(grid) - 1
+    assert [r.known for r in found.where("ticker IS NULL").collect()] == [[]]
