@@ -55,13 +55,24 @@ def known_answers(memo: BatchTable) -> DataFrame:
 
 
 def open_requests(asked: DataFrame, memo: BatchTable) -> DataFrame:
-    """Questions without a valid answer, each content once; the prompt of equal keys is equal."""
-    columns = ["model_name", "engine", "instructions", "prompt", "snapshot_key"]
+    """Questions without a valid answer, each content once; the prompt of equal keys is equal.
+
+    *asked* may come without its texts (instructions, prompt), as a stored panel should: ``open_texts`` adds
+    them to the questions that are open.
+    """
+    columns = [c for c in ("model_name", "engine", "instructions", "prompt", "snapshot_key") if c in asked.columns]
     once = asked.groupBy("prompt_key").agg(*[F.min(c).alias(c) for c in columns])
     known = memo.rows().where(~F.col("abstained")).select("prefix", "prompt_key").distinct()
     return once.withColumn("prefix", _prefix()).join(known, ["prefix", "prompt_key"], "left_anti")
 
 
+def open_texts(opened: DataFrame, asked: DataFrame) -> DataFrame:
+    """*opened* questions with their instructions and prompt, which only *asked* holds; each content once."""
+    texts = asked.select("prompt_key", "instructions", "prompt").join(opened.select("prompt_key"), "prompt_key", "left_semi")
+    once = texts.groupBy("prompt_key").agg(F.min("instructions").alias("instructions"), F.min("prompt").alias("prompt"))
+    return opened.join(once, "prompt_key")
+
+
 def add_answers(memo: BatchTable, opened: DataFrame, answers: DataFrame, batch: str) -> int:
     """Check the *answers* (prompt_key, text) to *opened* questions and commit them; how many rows were added.
 

@@ -27,9 +27,10 @@ def answer_text(text: str) -> str:
 
 
 def _asked(t):
+    """The panel's requests by their keys; a prompt is as long as its filings, and none is read once it is hashed."""
     snaps = snapshot.fundamentals_snapshot(ticker_grid(t), t.metrics, t.facts, with_periods=True)
     agents = t.literal(AGENTS)
-    return stored(judgments.requests(snapshot.render_snapshot(snaps), agents), "requests")
+    return stored(judgments.requests(snapshot.render_snapshot(snaps), agents).drop("instructions", "prompt"), "requests")
 
 
 def _run(memo, asked, batch):

@@ -90,3 +90,14 @@ def test_an_empty_panel_asks_nothing(spark, tmp_path):
     memo = judgments.memo_table(spark, str(tmp_path / "memo"))
     none = asked(spark, [("A", 1, "p1")]).where("false")
     assert judgments.open_requests(none, memo).count() == 0 and judgments.judged_signals(none, memo).count() == 0
+
+
+def test_questions_are_opened_by_keys_and_get_their_texts_after(spark, tmp_path):
+    memo = judgments.memo_table(spark, str(tmp_path / "memo"))
+    full = asked(spark, [("A", 1, "p1"), ("A", 2, "p1"), ("B", 1, "p2")])
+    opened = judgments.open_requests(full.drop("instructions", "prompt"), memo)
+    assert opened.count() == 4 and "prompt" not in opened.columns
+    texts = sorted((r.model_name, r.instructions, r.prompt) for r in judgments.open_texts(opened, full).collect())
+    assert texts == [(m, i, p) for m, i in (("bear", "be afraid"), ("bull", "be brave")) for p in ("p1", "p2")]
+    assert judgments.add_answers(memo, opened, said(opened, '{"signal": "bullish", "confidence": 50}'), "one") == 4
+    assert judgments.open_requests(full.drop("instructions", "prompt"), memo).count() == 0
