@@ -266,52 +266,104 @@ def bootstrap_slots(events: DataFrame) -> DataFrame:
     return dense_index(blocked, group, blocks, ["filing_id"], name="slot").select(*group, "slot", "car")
 
 
-#: CAR values that may travel as arrays (8 bytes each), and replicates that one row of work draws.
-MAX_HELD, DRAWS_A_ROW = 2_000_000, 200
-#: Draws that are worked at once, to stay in a core's cache.
-CELLS = 65_536
+#: Slots in one array of values: small enough for batches of rows, and values of a group that one task may hold (8 bytes each).
+BLOCK_SLOTS, MAX_HELD = 2_048, 50_000_000
+#: Work rows of a group, each with all its values, and draws that are worked at once, to stay in a core's cache.
+PARTS, CELLS = 16, 8_192
+#: Partitions of rows that unfold into much arithmetic, whatever their bytes; each Poisson task sends its groups x replicates.
+TASKS = 48
+
+
+def _kernels(seed: int):
+    """The numbers of ``_draws`` over arrays: what an item brings, and all draws of items (row: draw, column: item).
+
+    Closures, so that workers get them by value. Products are reduced modulo the prime by folding upper bits.
+    """
+    import numpy as np
+
+    prime, bits = np.uint64(DRAW_PRIME), np.uint64(31)
+
+    def start(item):
+        return (item % 1_000_000_007 * 1_000_003 + seed).astype(np.uint64)
+
+    def drawn(starts, draw):
+        u = starts[None, :] + draw[:, None] * np.uint64(7_919)
+        high = np.empty_like(u)
+
+        def fold():
+            np.right_shift(u, bits, out=high)
+            np.bitwise_and(u, prime, out=u)
+            np.add(u, high, out=u)
+
+        fold()  # below 2^50: one fold leaves less than 2^31 + 2^19, whose square fits
+        for c in (12_345, 67_890, 13_579):
+            np.multiply(u, u, out=u)
+            np.add(u, np.uint64(c), out=u)
+            fold()
+            fold()  # at most the prime plus one
+        np.subtract(u, prime, out=high)  # wraps round where u is below the prime
+        return np.minimum(u, high, out=u).astype(np.uint32)
+
+    return start, drawn
 
 
 def _held_means(slots: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
-    """Means of all replicates where the groups are small enough to hold: arithmetic on arrays, no row per draw.
+    """Means of all replicates where a task can hold a group's values: arithmetic on arrays, no row per draw.
 
-    A group's values are one array in slot order; each row of work draws ``DRAWS_A_ROW`` replicates from it, so
-    tasks follow the replicates and not the groups.
+    Values travel as blocks of slots. Each of ``PARTS`` partitions of a group's replicates takes the blocks in slot order,
+    puts them together and draws from them, so tasks follow the replicates and not the groups.
     """
     import numpy as np
     import pyarrow as pa
 
-    prime = DRAW_PRIME
-
-    def reduced(x):
-        """x modulo the prime 2^31 - 1 by folding its upper bits."""
-        x = (x & prime) + (x >> 31)
-        x = (x & prime) + (x >> 31)
-        return np.where(x >= prime, x - prime, x)
+    def means(values, first, end):
+        n, starts = len(values), start(np.arange(len(values), dtype=np.int64))
+        out = np.zeros(end - first)
+        for k in range(0, end - first, rows := max(1, CELLS // n)):
+            b = np.arange(first + k, min(first + k + rows, end), dtype=np.uint64)
+            for at in range(0, n, CELLS):
+                u = drawn(starts[at : at + CELLS], b)
+                u -= u // np.uint32(n) * np.uint32(n)
+                out[k : k + len(b)] += values.take(u).sum(axis=1)
+        return out / n
+
+    def result(key, parts):
+        source, window, first = key
+        values = np.concatenate(parts)
+        if len(values) < 2:
+            return None
+        got = means(values, first, min(first + step, n_bootstrap))
+        b = np.arange(first, first + len(got), dtype=np.int32)
+        return pa.record_batch(
+            [pa.array([v] * len(got), pa.string()) for v in (source, window)] + [pa.array(b), pa.array(got)], ["source_type", "window", "b", "mean"])
 
     def run(batches):
+        key, parts = None, []
         for batch in batches:
-            for source, window, cars, first in zip(*[batch.column(i) for i in range(4)], strict=True):
-                values = cars.values.to_numpy(zero_copy_only=False)
-                slot = np.arange(len(values), dtype=np.int64) % 1_000_000_007 * 1_000_003
-                start = first.as_py()
-                replicates = np.arange(start, min(start + DRAWS_A_ROW, n_bootstrap), dtype=np.int64)
-                means, step = np.empty(len(replicates)), max(1, CELLS // len(values))
-                for k in range(0, len(replicates), step):
-                    u = reduced(slot[None, :] + (replicates[k : k + step, None] * 7_919 + seed))
-                    for c in (12_345, 67_890, 13_579):
-                        u = reduced(u * u + c)
-                    means[k : k + step] = values[u % len(values)].mean(axis=1)
-                yield pa.record_batch(
-                    [pa.array([v.as_py()] * len(replicates), pa.string()) for v in (source, window)]
-                    + [pa.array(replicates, pa.int32()), pa.array(means)], ["source_type", "window", "b", "mean"])
-
-    listed = slots.groupBy("source_type", "window").agg(F.array_sort(F.collect_list(F.struct("slot", "car"))).alias("_v"))
-    work = listed.where(F.size("_v") >= 2).select(
-        "source_type", "window", F.col("_v.car").alias("cars"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1), F.lit(DRAWS_A_ROW))).alias("first"),
+            for source, window, first, cars in zip(*[batch.column(c) for c in ("source_type", "window", "first", "cars")], strict=True):
+                here = (source.as_py(), window.as_py(), first.as_py())
+                if here != key and parts:
+                    found = result(key, parts)
+                    if found is not None:
+                        yield found
+                    parts = []
+                key = here
+                parts.append(cars.values.to_numpy(zero_copy_only=False).copy())
+        if parts:
+            found = result(key, parts)
+            if found is not None:
+                yield found
+
+    start, drawn = _kernels(seed)
+    step = -(-n_bootstrap // PARTS)
+    blocks = slots.groupBy("source_type", "window", F.floor(F.col("slot") / BLOCK_SLOTS).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("slot", "car"))).alias("_v")
+    )
+    work = blocks.select(
+        "source_type", "window", "block", F.col("_v.car").alias("cars"), F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1), F.lit(step))).alias("first")
     )
-    return spread(work, "source_type", "window", "first").mapInArrow(run, "source_type string, window string, b int, mean double")
+    key = ["source_type", "window", "first"]
+    return work.repartition(4 * TASKS, *key).sortWithinPartitions(*key, "block").mapInArrow(run, "source_type string, window string, b int, mean double")
 
 
 def _joined_means(slots: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
@@ -329,11 +381,12 @@ def bootstrap_ci(
     """Percentile bootstrap interval of the mean, drawing n of n with replacement.
 
     *slots* comes from ``bootstrap_slots``, best as a stored table. Work is n x n_bootstrap by definition of
-    drawing n of n; draws come from seeded whole-number arithmetic. Up to *max_held* rows (counted first) the
-    draws run over arrays of values, beyond it each draw meets its slot in a join; both give the same
-    replicates. ``bootstrap_ci_poisson`` does as much arithmetic with neither.
+    drawing n of n; draws come from seeded whole-number arithmetic. While no group has more than *max_held* rows
+    (counted first) the draws run over arrays of values, beyond it each draw meets its slot in a join; both give
+    the same replicates. ``bootstrap_ci_poisson`` does less arithmetic and holds no group.
     """
-    means = _held_means if slots.count() <= max_held else _joined_means
+    largest = slots.groupBy("source_type", "window").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    means = _held_means if largest <= max_held else _joined_means
     return _interval(means(slots, n_bootstrap, seed), confidence, n_bootstrap)
 
 
@@ -357,18 +410,50 @@ def bootstrap_ci_poisson(
 ) -> DataFrame:
     """The same interval for very large groups, with Poisson(1) row weights.
 
-    Weights are drawn row by row, so replicates are plain weighted means: partial
-    sums combine map-side and only groups x replicates rows are shuffled.
+    Weights are drawn row by row, so replicates are plain weighted means: each task draws for its rows over
+    arrays and adds them up, and only groups x replicates rows of each task are shuffled.
     """
+    import numpy as np
+    import pyarrow as pa
+
+    start, draws = _kernels(seed)
     columns = [name for name, _ in WINDOWS.values()]
-    few = spread(events.select("filing_id", "source_type", *columns), "filing_id")
-    drawn = _draws(few, "filing_id", n_bootstrap, seed)
-    drawn = drawn.select("source_type", *columns, "b", poisson_copies(F.col("u") * 2).alias("w"))
-    sums = drawn.groupBy("source_type", "b").agg(
-        *[F.sum(F.col("w") * F.col(c)).alias(f"{c}_s") for c in columns],
-        *[F.sum(F.when(F.col(c).isNotNull(), F.col("w"))).alias(f"{c}_n") for c in columns],
-    )
-    pairs = ", ".join(f"'{label}', {c}_s / {c}_n" for label, (c, _) in WINDOWS.items())
+    # w = k for cuts[k - 1] <= 2u < cuts[k]; the scaled number is even, so halves of the cuts do, rounded up.
+    cuts = [-(-c // 2) for c in POISSON_CUTS]
+
+    def sums_of(ids, cars, out):
+        starts, known = start(ids), ~np.isnan(cars[1])
+        both = np.concatenate([np.where(known, cars[0], 0.0), known.astype(np.float64)])
+        rows = max(1, CELLS // len(ids))
+        for k in range(0, n_bootstrap, rows):
+            u = draws(starts, np.arange(k, min(k + rows, n_bootstrap), dtype=np.uint64))
+            w = np.zeros(u.shape, dtype=np.int8)
+            for cut in cuts:
+                w += (u >= np.uint32(cut)).view(np.int8)
+            out[k : k + len(u)] += w.astype(np.float64) @ both.T
+
+    def run(batches):
+        totals = {}
+        for batch in batches:
+            ids = batch.column("filing_id").to_numpy()
+            sources = np.array(batch.column("source_type").to_pylist(), dtype=object)
+            there = np.array([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in columns])
+            values = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], dtype=np.float64)
+            for source in dict.fromkeys(sources):
+                at = np.flatnonzero(np.array([s == source for s in sources]))
+                out = totals.setdefault(source, np.zeros((n_bootstrap, 2 * len(columns))))
+                for i in range(0, len(at), 512):
+                    few = at[i : i + 512]
+                    sums_of(ids[few], (values[:, few], np.where(there[:, few], 0.0, np.nan)), out)
+        for source, out in totals.items():
+            yield pa.record_batch(
+                [pa.array([source] * n_bootstrap, pa.string()), pa.array(np.arange(n_bootstrap, dtype=np.int32)), *[pa.array(c.copy()) for c in out.T]], names)
+
+    names = ["source_type", "b", *[f"{c}_s" for c in columns], *[f"{c}_n" for c in columns]]
+    few = events.select("filing_id", "source_type", *columns).repartition(TASKS, "filing_id")
+    drawn = few.mapInArrow(run, "source_type string, b int, " + ", ".join(f"{c} double" for c in names[2:]))
+    sums = drawn.groupBy("source_type", "b").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    pairs = ", ".join(f"'{label}', try_divide({c}_s, {c}_n)" for label, (c, _) in WINDOWS.items())
     means = sums.selectExpr("source_type", "b", f"stack({len(WINDOWS)}, {pairs}) AS (window, mean)")
     return _interval(means.where("mean IS NOT NULL"), confidence, n_bootstrap)
 

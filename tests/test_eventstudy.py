@@ -177,3 +177,39 @@ def test_both_ways_of_drawing_agree(spark):
     assert set(held) == {"[0,+1]", "[0,+5]"} == set(joined)
     for w in held:
         assert held[w] == pytest.approx(joined[w])
+
+
+def test_groups_that_a_task_can_hold_are_never_joined(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 2 * es.BLOCK_SLOTS + 5  # several blocks
+    rows = [("8-K", w, i, float(v)) for w, m in (("[0,+1]", n), ("[0,+5]", 40)) for i, v in enumerate(rng.normal(size=m))]
+    slots = spark.createDataFrame(rows, "source_type string, window string, slot bigint, car double")
+    joined = {r.window: (r.lower, r.upper) for r in es.bootstrap_ci(slots, n_bootstrap=40, max_held=0).collect()}
+    monkeypatch.setattr(es, "_joined_means", None)
+    held = {r.window: (r.lower, r.upper) for r in es.bootstrap_ci(slots, n_bootstrap=40, max_held=n).collect()}
+    assert held == {w: pytest.approx(v) for w, v in joined.items()}
+
+
+def test_poisson_draws_make_no_rows_and_match_the_formula(spark):
+    rng = np.random.default_rng(9)
+    cars = rng.normal(size=(70, 3))
+    rows = [(10**10 + 31 * i, "8-K" if i % 2 else None, *[None if (i + j) % 11 == 0 else float(c) for j, c in enumerate(cars[i])]) for i in range(70)]
+    df = spark.createDataFrame(rows, "filing_id BIGINT, source_type STRING, car_0_1 DOUBLE, car_0_5 DOUBLE, car_0_20 DOUBLE")
+    found = es.bootstrap_ci_poisson(df, n_bootstrap=60, seed=5)
+    assert "explode(sequence" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.source_type, r.window): (r.lower, r.upper) for r in found.collect()}
+
+    def copies(item, b):
+        u = ((item % 1000000007) * 1000003 + b * 7919 + 5) % es.DRAW_PRIME
+        for c in (12_345, 67_890, 13_579):
+            u = (u * u + c) % es.DRAW_PRIME
+        return sum(2 * u >= cut for cut in es.POISSON_CUTS)
+
+    for source in ("8-K", None):
+        for j, window in enumerate(es.WINDOWS):
+            known = [(r[0], r[2 + j]) for r in rows if r[1] == source and r[2 + j] is not None]
+            means = []
+            for b in range(60):
+                w = [copies(i, b) for i, _ in known]
+                means.append(sum(k * c for k, (_, c) in zip(w, known)) / sum(w))
+            assert got[source, window] == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
