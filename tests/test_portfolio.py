@@ -165,3 +165,12 @@ def test_require_stops_the_job_and_sets_compare(spark):
         checks.require(df, {"below two": F.col("v") < 2}).collect()
     assert checks.set_difference(df.select("id"), spark.range(1, 4)).count() == 2
     assert [r.rule for r in checks.violations(df, {"small": F.col("v") < 1}, ["id"]).collect()] == ["small", "small"]
+
+
+def test_the_assessed_panel_reaches_the_last_day_of_signals(spark):
+    from panelmill.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    last = spark.read.parquet(f"{folder}/events.parquet").selectExpr("max(CAST(ts AS DATE))").first()[0]
+    assert registry.queries()["assess_panel"](spark, folder).selectExpr("max(date)").first()[0] == last
+    assert "DATE '2024-01-20'" not in registry.oracle_sql()["assess_panel"]
