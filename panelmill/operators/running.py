@@ -115,10 +115,12 @@ def dense_index(
 
 
 def share_below(
-    df: DataFrame, by: Sequence[str], value: str, *, blocks: int = 64, name: str = "pct_rank"
+    df: DataFrame, by: Sequence[str], value: str, *, blocks: int = 64, name: str = "pct_rank", digits: int | None = None
 ) -> DataFrame:
     """Percent of the group's values strictly below each row's value.
 
+    With *digits*, the percent is rounded half up from whole numbers, so that no tie falls by the error of a division.
+
     Equal values are merged into counts first, then counts run over blocks of the
     value axis whose borders are the group's own quantiles, so neither ties nor a large or
     skewed group meet in one task. Rows without a value or a key have no rank and stay.
@@ -139,7 +141,9 @@ def share_below(
     )
     below = running(counts, by, ["_block"], [value], {"_upto": ("sum", "_same")})
     totals = known.groupBy(*by).agg(F.count("*").alias("_all"))
-    ranked = below.join(totals, by).select(
-        *by, value, ((F.col("_upto") - F.col("_same")) / F.col("_all") * 100.0).alias(name)
-    )
+    share = (F.col("_upto") - F.col("_same")) / F.col("_all") * 100.0
+    if digits is not None:
+        twice = 200 * 10**digits
+        share = F.expr(f"((_upto - _same) * {twice}L + _all) div (2 * _all)") / F.lit(10.0**digits)
+    ranked = below.join(totals, by).select(*by, value, share.alias(name))
     return df.join(ranked, [*by, value], "left")

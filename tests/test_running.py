@@ -52,3 +52,13 @@ def test_share_below_counts_strictly_lower(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 9.0), ("b", -3.0)], "g STRING, v DOUBLE")
     got = sorted((r.g, r.v, r.pct_rank) for r in share_below(df, ["g"], "v", blocks=4).collect())
     assert got == [("a", 1.0, 0.0), ("a", 2.0, 25.0), ("a", 2.0, 25.0), ("a", 9.0, 75.0), ("b", -3.0, 0.0)]
+
+
+def test_ties_of_a_rounded_percent_fall_by_whole_numbers(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    n = 12_800  # 512 x 25: every 100 k / n has at most seven digits, half of them ties that a double does not hold
+    df = spark.range(n).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
+    got = {int(r.v): r.pct_rank for r in share_below(df, ["g"], "v", digits=6).collect()}
+    want = {k: float((Decimal(100 * k) / n).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for k in range(n)}
+    assert got == want
