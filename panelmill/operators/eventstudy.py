@@ -197,25 +197,28 @@ def with_daily_path(events: DataFrame, daily: DataFrame) -> DataFrame:
     return events.join(paths, "filing_id").withColumn("daily_ar", F.col("_p.ar")).drop("_p")
 
 
+def car_rows(events: DataFrame) -> DataFrame:
+    """(filing_id, source_type, window, car) rows, one for each event and window; a missing window is null."""
+    pairs = ", ".join(f"'{label}', {name}" for label, (name, _) in WINDOWS.items())
+    return events.selectExpr("filing_id", "source_type", f"stack({len(WINDOWS)}, {pairs}) AS (window, car)")
+
+
 def car_long(events: DataFrame) -> DataFrame:
     """(filing_id, source_type, window, car) rows, without missing windows."""
-    pairs = ", ".join(f"'{label}', {name}" for label, (name, _) in WINDOWS.items())
-    return events.selectExpr(
-        "filing_id", "source_type", f"stack({len(WINDOWS)}, {pairs}) AS (window, car)"
-    ).where("car IS NOT NULL")
+    return car_rows(events).where("car IS NOT NULL")
 
 
 def car_stats(events: DataFrame) -> DataFrame:
     """Count, mean and sample deviation per source type and window (2 or more events)."""
-    stats = (
-        car_long(events)
-        .groupBy("source_type", "window")
-        .agg(F.count("*").alias("n_events"), F.avg("car").alias("mean_car"),
-             F.stddev_samp("car").alias("std_car"))
-        .where("n_events >= 2")
+    # One pass: every event has a row for each window, so its rows count a source's events too.
+    per = car_rows(events).groupBy("source_type", "window").agg(
+        F.count("*").alias("n_total"), F.count("car").alias("n_events"), F.avg("car").alias("mean_car"), F.stddev_samp("car").alias("std_car")
     )
-    totals = events.groupBy("source_type").agg(F.count("*").alias("n_total"))
-    return totals.join(stats, "source_type", "left")
+    figures = ["window", "n_events", "mean_car", "std_car"]
+    enough = F.when((F.col("n_events") >= 2) & F.col("source_type").isNotNull(), F.struct(*figures))
+    listed = per.groupBy("source_type").agg(F.max("n_total").alias("n_total"), F.collect_list(enough).alias("_w"))
+    shown = listed.select("source_type", "n_total", F.explode_outer("_w").alias("_w"))
+    return shown.select("source_type", "n_total", *[F.col(f"_w.{c}").alias(c) for c in figures])
 
 
 def car_ttest(stats: DataFrame) -> DataFrame:

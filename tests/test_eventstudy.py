@@ -213,3 +213,12 @@ def test_poisson_draws_make_no_rows_and_match_the_formula(spark):
                 w = [copies(i, b) for i, _ in known]
                 means.append(sum(k * c for k, (_, c) in zip(w, known)) / sum(w))
             assert got[source, window] == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
+def test_car_stats_read_the_events_once(spark):
+    df = spark.createDataFrame([(1, "8-K", 0.01, 0.5, None), (2, "8-K", 0.03, None, None), (3, "10-Q", 0.02, 0.1, 0.1), (4, None, 0.1, 0.1, 0.1), (5, None, 0.2, 0.1, 0.1)],
+                               "filing_id BIGINT, source_type STRING, car_0_1 DOUBLE, car_0_5 DOUBLE, car_0_20 DOUBLE")
+    stats = es.car_stats(df)
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {(r.source_type, r.n_total, r.window, r.n_events, r.mean_car and round(r.mean_car, 9)) for r in stats.collect()}
+    assert got == {("8-K", 2, "[0,+1]", 2, 0.02), ("10-Q", 1, None, None, None), (None, 2, None, None, None)}
