@@ -114,3 +114,17 @@ def test_limits_beyond_the_whole_book_and_endless_gross(spark):
             fn(book, spark.createDataFrame([("f", 1.5, 1.0)], FUNDS)).collect()
     with pytest.raises(Exception, match="gross exposure must be finite"):
         risk.scale_proportional(book, spark.createDataFrame([("f", 0.5, 1.0)], FUNDS)).collect()
+
+
+def test_sums_stay_in_hash_aggregation(spark):
+    # Text among the sums would sort every group, and the sort holds a task's rows.
+    records = spark.createDataFrame([("f", "a", date(2026, 1, 5), "X", 1.0, 1.0, 1.0, None)], "fund string, strategy string, date date, ticker string, score double, weight double, slice double, flat_reason string")
+    parts = records.select("fund", "strategy", "date", "ticker", F.col("weight").alias("contribution"))
+    finals = records.select("fund", "date", "ticker", F.col("weight").alias("final"))
+    mandate = records.select("fund", "strategy", F.lit("long_only").alias("mode"), F.lit(1.0).alias("gross_target"), F.lit(1.0).alias("share"))
+    found = bookrules.levels(records, parts, finals, records, mandate)
+    assert set(found) == set(bookrules.LEVELS)
+    for level, sums in found.items():
+        held = sums.drop("mode")._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in held, level
+        assert sums.count() == 1
