@@ -19,7 +19,7 @@ from .checks import finite
 from .keyed import spread, top_n_per_key, with_totals
 from .moments import block_parts, placed_parts, sums_ahead, window_before
 from .running import dense_index, id_blocks
-from .series import aligned_returns, per_ticker
+from .series import aligned_closes, aligned_returns, per_ticker, returns_of
 
 # Fixed values of the study design.
 RETROSPECTIVE_DAYS = 45
@@ -75,10 +75,26 @@ def fit_groups(rows: DataFrame, keys: Sequence[str], y: str = "y", x: str = "x")
 WIDTH = ESTIMATION_LAST - ESTIMATION_FIRST + 1
 
 
-def return_panel(bars: DataFrame, market: DataFrame) -> DataFrame:
-    """Aligned returns with their moments by blocks; days without two finite returns enter none."""
+def _asked_days(closes: DataFrame, filings: DataFrame) -> DataFrame:
+    """*closes* with ``_asked``, the latest filing date of the ticker up to the row's day.
+
+    Filing dates, each once, stand in one line with the ticker's days, so calendar days bound the window.
+    """
+    dates = filings.select("ticker", F.col("filing_date").alias("d"), F.lit(True).alias("_date")).distinct()
+    line = closes.withColumn("_date", F.lit(False)).unionByName(dates, allowMissingColumns=True)
+    upto = Window.partitionBy("ticker").orderBy("d", F.desc("_date")).rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("_asked", F.max(F.when(F.col("_date"), F.col("d"))).over(upto)).where(~F.col("_date")).drop("_date")
+
+
+def return_panel(bars: DataFrame, market: DataFrame, filings: DataFrame | None = None) -> DataFrame:
+    """Aligned returns with their moments by blocks; days without two finite returns enter none.
+
+    With *filings* each row has ``_asked``, the latest filing date up to its day.
+    """
     good = finite(F.col("y")) & finite(F.col("x"))
-    return block_parts(aligned_returns(bars, market), good, WIDTH)
+    if filings is None:
+        return block_parts(aligned_returns(bars, market), good, WIDTH)
+    return block_parts(returns_of(_asked_days(aligned_closes(bars, market), filings), "_asked"), good, WIDTH)
 
 
 def _placed(panel: DataFrame, ends: Sequence[int] = ()) -> DataFrame:
@@ -91,19 +107,29 @@ def estimation_moments(panel: DataFrame) -> DataFrame:
     return _placed(panel).select("ticker", "d", "idx", *[c.alias(n) for n, c in est.items()]).where(F.col("est_bad") == 0)
 
 
-def _event_table(panel: DataFrame) -> DataFrame:
-    """Everything an event on (ticker, d) needs, one row per eligible day.
+def _event_table(panel: DataFrame, path: bool = False) -> DataFrame:
+    """Everything an event needs, one row per eligible day and filing date that snaps to it.
 
-    An event window that runs past the data, or holds a day without returns, is null.
+    Days that no filing snaps to go before anything is computed for them. An event window that runs past
+    the data, or holds a day without returns, is null. With *path* the row holds ``_path``, the returns at offsets
+    0..LAST_OFFSET, null past the data.
     """
     ends = dict(WINDOWS.values())
-    placed = _placed(panel.withColumn("_earlier", F.lag("d").over(per_ticker())), list(ends.values()))
+    over = per_ticker()
+    ahead = [F.lead(F.struct("y", "x"), k).over(over).alias(f"_at{k}") for k in range(LAST_OFFSET + 1)] if path else []
+    placed = _placed(panel.select("*", F.lag("d").over(over).alias("_earlier"), *ahead), list(ends.values()))
+    first = F.greatest(F.date_sub("d", SNAP_DAYS), F.date_add("_earlier", 1))  # a null has no say
     cols = {f"est_{f}": c for f, c in window_before(WIDTH, -ESTIMATION_LAST).items()}
-    ahead = {name: sums_ahead(WIDTH, end) for name, end in ends.items()}
-    cols |= {f"{name}_{s}": F.when(found["bad"] == 0, found[s]) for name, found in ahead.items() for s in "yx"}
-    found = placed.select("ticker", "d", "idx", "_earlier", *[c.alias(n) for n, c in cols.items()]).where(F.col("est_bad") == 0)
+    sums = {name: sums_ahead(WIDTH, end) for name, end in ends.items()}
+    cols |= {f"{name}_{s}": F.when(found["bad"] == 0, found[s]) for name, found in sums.items() for s in "yx"}
+    kept = ["ticker", "d", "idx", "_first"] + (["_path"] if path else [])
+    asked = placed.withColumn("_first", first).where(F.col("_asked") >= F.col("_first"))
+    if path:
+        asked = asked.withColumn("_path", F.array(*[f"_at{k}" for k in range(LAST_OFFSET + 1)]))
+    found = asked.select(*kept, *[c.alias(n) for n, c in cols.items()]).where(F.col("est_bad") == 0)
     fit = ols_from_moments(*[F.col(f"est_{m}") for m in ("n", "mx", "my", "mxx", "mxy", "myy")]).alias("fit")
-    return found.select("ticker", "d", "idx", "_earlier", fit, *[f"{name}_{s}" for name in ahead for s in "yx"])
+    table = found.select(*kept, fit, *[f"{name}_{s}" for name in sums for s in "yx"])
+    return table.withColumn("filing_date", F.explode(F.sequence("_first", "d"))).drop("_first")
 
 
 def newest_filings(filings: DataFrame, limit: int) -> DataFrame:
@@ -122,7 +148,7 @@ def bars_around(bars: DataFrame, filings: DataFrame, days: tuple[int, int]) -> D
 
 def event_study(
     filings: DataFrame, bars: DataFrame, market: DataFrame, *, earnings_limit: int | None = None,
-    require_eps_surprise: bool = False, price_range: tuple[int, int] | None = None,
+    require_eps_surprise: bool = False, price_range: tuple[int, int] | None = None, daily_path: bool = False,
 ) -> DataFrame:
     """One row per usable filing: fit, day 0 and cumulative abnormal returns.
 
@@ -132,22 +158,19 @@ def event_study(
 
     Options: only the newest *earnings_limit* filings of a ticker; only filings with a surprise
     label in the result; only bars within *price_range* days around a ticker's kept filings (PRICE_RANGE is
-    the span a study needs), which moves the first day that an estimation window can start on.
+    the span a study needs), which moves the first day that an estimation window can start on. With *daily_path*
+    each event has ``daily_ar``, its abnormal returns at offsets 0..LAST_OFFSET as far as data reaches (``daily_rows``
+    unfolds them).
     """
     if earnings_limit is not None:
         filings = newest_filings(filings, earnings_limit)
     kept = drop_retrospective(filings)
     if price_range is not None:
         bars = bars_around(bars, kept, price_range)
-    table = _event_table(return_panel(bars, market))
     if require_eps_surprise:
         kept = kept.where(F.col("eps_surprise").isNotNull())
-    candidates = kept.withColumn(
-        "d", F.explode(F.sequence(F.col("filing_date"), F.date_add("filing_date", SNAP_DAYS)))
-    )
-    events = candidates.join(table, ["ticker", "d"]).where(
-        F.col("_earlier").isNull() | (F.col("_earlier") < F.col("filing_date"))
-    )
+    table = _event_table(return_panel(bars, market, kept), daily_path)
+    events = kept.join(table, ["ticker", "filing_date"])
     cars = [
         (
             F.col(f"{name}_y")
@@ -156,14 +179,23 @@ def event_study(
         ).alias(name)
         for name, end in WINDOWS.values()
     ]
+    # Above the join, where the fit is a column: below it, its formula would be worked out for each offset.
+    there = F.filter("_path", lambda r: r.isNotNull())
+    ar = F.transform(there, lambda r: r["y"] - (F.col("fit.alpha") + F.col("fit.beta") * r["x"])).alias("daily_ar")
     return events.select(
         "filing_id", "ticker", "filing_date", "report_period", "source_type", "eps_surprise",
         F.col("d").alias("event_day"), "idx",
         *[F.col(f"fit.{f}").alias(f) for f in _FIT_FIELDS],
-        *cars,
+        *cars, *([ar] if daily_path else []),
     )
 
 
+def daily_rows(events: DataFrame) -> DataFrame:
+    """``abnormal_returns`` of events that hold their ``daily_ar``: unfolded in place, without a join."""
+    # No path is empty; the outer form spares a filter that would work the path out twice.
+    return events.select("filing_id", "ticker", "source_type", F.posexplode_outer("daily_ar").alias("off", "ar"))
+
+
 def abnormal_returns(events: DataFrame, returns: DataFrame) -> DataFrame:
     """Daily abnormal returns at offsets 0..LAST_OFFSET, as far as data reaches.
 
@@ -496,21 +528,29 @@ def car_path(daily: DataFrame) -> DataFrame:
 
     A series that ends early is carried flat, so every offset counts all events.
     """
-    events = daily.groupBy("source_type", "filing_id").agg(F.max("off").alias("_m"))
-    longest = events.groupBy("source_type").agg(F.max("_m").alias("_last"))
-    grid = events.join(longest, "source_type").select(
-        "source_type", "filing_id", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("off")
-    )
-    filled = grid.join(daily.select("filing_id", "off", "ar"), ["filing_id", "off"], "left")
-    w = Window.partitionBy("filing_id").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    paths = filled.select(
-        "source_type", "off", F.sum(F.coalesce("ar", F.lit(0.0))).over(w).alias("cum")
+    return car_path_of(daily.groupBy("source_type", "filing_id").agg(F.array_sort(F.collect_list(F.struct("off", "ar"))).alias("_p")).select(
+        "source_type", F.col("_p.ar").alias("daily_ar")
+    ))
+
+
+def car_path_of(events: DataFrame) -> DataFrame:
+    """``car_path`` of events that hold their ``daily_ar``: offsets without a gap from 0, none empty.
+
+    Every event has a row for each of the LAST_OFFSET + 1 offsets; those past the longest series of its source go after
+    the sums, so only sources x offsets rows of a task travel.
+    """
+    held = events.select("source_type", F.transform("daily_ar", lambda v: F.coalesce(v, F.lit(0.0))).alias("_ar")).where(F.col("source_type").isNotNull())
+    steps = F.sequence(F.lit(0), F.lit(LAST_OFFSET))
+    cum = F.aggregate(
+        steps, F.array().cast("array<double>"),
+        lambda done, k: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + F.coalesce(F.get("_ar", k), F.lit(0.0)))),
     )
+    paths = held.select("source_type", F.size("_ar").alias("_n"), F.posexplode_outer(cum).alias("off", "cum"))
     return paths.groupBy("source_type", "off").agg(
-        F.count("*").alias("n"),
+        F.max("_n").alias("_last"), F.count("*").alias("n"),
         (F.avg("cum") * 100).alias("mean_pct"),
         (F.stddev_samp("cum") / F.sqrt(F.count("*")) * 100).alias("se_pct"),
-    )
+    ).where("off < _last").drop("_last")
 
 
 def car_bars(stats: DataFrame, intervals: DataFrame) -> DataFrame:

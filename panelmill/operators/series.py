@@ -38,8 +38,12 @@ def aligned_returns(bars: DataFrame, market: DataFrame) -> DataFrame:
 
     A return from a zero close is null: it harms the windows that hold it, not the job.
     """
+    return returns_of(aligned_closes(bars, market))
+
+
+def returns_of(closes: DataFrame, *kept: str) -> DataFrame:
+    """``aligned_returns`` of closes that stand beside the market's, with the columns *kept*."""
     w = per_ticker()
-    closes = aligned_closes(bars, market)
     returns = closes.select(
         "ticker",
         "d",
@@ -48,6 +52,7 @@ def aligned_returns(bars: DataFrame, market: DataFrame) -> DataFrame:
             F.col("market_close") - F.lag("market_close").over(w), F.lag("market_close").over(w)
         ).alias("x"),
         (F.row_number().over(w) - 2).cast("bigint").alias("idx"),
+        *kept,
     )
     return returns.where("idx >= 0")
 

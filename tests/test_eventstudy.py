@@ -90,6 +90,28 @@ def test_event_study_against_least_squares(spark):
     assert {r.n for r in es.car_path(daily).collect()} == {4}
 
 
+def test_paths_in_the_event_row_equal_the_join_of_days(spark):
+    days, stock, market = series(n=285)
+    stock[275] = 0.0  # a null return after it
+    bars = spark.createDataFrame([("T", d, float(p)) for d, p in zip(days, stock)], "ticker STRING, d DATE, close DOUBLE")
+    mkt = spark.createDataFrame([("M", d, float(p)) for d, p in zip(days, market)], "ticker STRING, d DATE, close DOUBLE")
+    saturday = next(d for d in days[270:] if d.weekday() == 4) + timedelta(days=1)
+    filed = [days[200], days[251], days[251], days[260], days[275], saturday, days[-3], days[-1] + timedelta(days=1)]
+    kinds = ["8-K", "10-Q", "8-K", "10-K", "8-K", None, "10-Q", "8-K"]
+    filings = spark.createDataFrame([(i, "T", f, f - timedelta(days=20), k, "BEAT") for i, (f, k) in enumerate(zip(filed, kinds))], FILING)
+    events = es.event_study(filings, bars, mkt, daily_path=True)
+    rows = es.daily_rows(events)
+    daily = es.abnormal_returns(es.event_study(filings, bars, mkt), es.aligned_returns(bars, mkt))
+    want = {(r.filing_id, r.off): r.ar for r in daily.collect()}
+    got = {(r.filing_id, r.off): r.ar for r in rows.collect()}
+    assert got == want and len({f for f, _ in got}) == 6 and None in got.values()
+    figures = lambda df: {(r.source_type, r.off, c): r[c] for r in df.collect() for c in ("n", "mean_pct", "se_pct")}
+    assert figures(es.car_path_of(events)) == pytest.approx(figures(es.car_path(daily)))
+    # No row for each event and offset is shuffled or joined: one join of filings, the other one brings the market's days.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "sequence(0, 20" not in plan
+
+
 def test_bootstrap_brackets_the_mean_and_repeats(spark):
     rng = np.random.default_rng(1)
     cars = rng.normal(0.02, 0.05, 80)
