@@ -89,3 +89,20 @@ def test_newest_lists_unfold_no_fact_and_match_brute_force(spark):
         assert got[k, day, tag] == [i for _, i in known[:4]]
     assert len(got) == len(grid) - 1
     assert [r.known for r in found.where("ticker IS NULL").collect()] == [[]]
+
+
+def test_carried_to_listed_dates_only(spark):
+    quotes = spark.createDataFrame(
+        [(k, date(2024, 1, 1) + timedelta(days=d), float(d)) for k in "AB" for d in (0, 3, 4, 20, 31, 33)], "ticker string, d date, close double")
+    dates = spark.createDataFrame([(date(2024, 1, 1) + timedelta(days=d),) for d in (2, 2, 4, 11, 12, 31, 40)], "session date")
+    listed = asof.carry_forward(quotes, ["ticker"], "d", tolerance=7, as_of="session", dates=dates)
+    full = asof.carry_forward(quotes, ["ticker"], "d", tolerance=7, as_of="session").join(dates.distinct(), "session", "left_semi")
+    rows = lambda df: sorted(tuple(r) for r in df.select("ticker", "session", "d", "close").collect())
+    assert rows(listed) == rows(full) and len(rows(listed)) == 10
+
+
+def test_suppliers_unfold_in_many_tasks(spark):
+    from panelmill.plans import q_portfolio
+    from panelmill.plans.datasets import Dataset
+
+    assert q_portfolio.targets(Dataset(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() > 8
