@@ -68,9 +68,13 @@ def tape_last(fills: DataFrame, k: int = 12) -> DataFrame:
     )
 
 
+def _day_moves(fills: DataFrame) -> DataFrame:
+    return _signed(fills).groupBy("fund", "ticker", "session").agg(F.sum("_shares").alias("_shares"))
+
+
 def daily_positions(fills: DataFrame) -> DataFrame:
     """Shares held from each fill day to the day before the next one."""
-    moves = _signed(fills).groupBy("fund", "ticker", "session").agg(F.sum("_shares").alias("_shares"))
+    moves = _day_moves(fills)
     w = Window.partitionBy("fund", "ticker").orderBy("session")
     return moves.select(
         "fund", "ticker", "session",
@@ -161,46 +165,73 @@ def exact_nav(
     With *carry* a price holds until the next one, at most *tolerance* days, else for its own day. Names
     held without a usable price are left out of NAV and counted in n_unpriced.
     """
+    run = _nav_days(fills, prices, sessions, capital, carry=carry, price_scale=price_scale, tolerance=tolerance)
+    return run.select("fund", "session", "cash", "nav", "n_held", "n_unpriced")
+
+
+def _nav_days(
+    fills: DataFrame, prices: DataFrame, sessions: DataFrame, capital: Column, *, carry: bool = True,
+    price_scale: int = 9, tolerance: int | None = None, trades: bool = False,
+) -> DataFrame:
+    """``exact_nav`` with the cash, the value at the day's mark and the number of a session's own fills.
+
+    With *trades* the shares moved on a day meet prices in the same join as the held spans, as spans of one day;
+    without it ``bought`` is zero.
+    """
     horizon = sessions.agg(F.max("d")).scalar()
     held = held_spans(fills, horizon)
     marks = price_spans(prices, horizon, tolerance if carry else 0, price_scale)
-    priced = overlap_join(held, marks, ["ticker"], ("session", "until"), ("d", "_until"))
+    asked = held.withColumn("_moved", F.lit(False))
+    if trades:
+        moves = _day_moves(fills).select(
+            "fund", "ticker", "session", F.col("_shares").alias("shares"), F.col("session").alias("until"), F.lit(True).alias("_moved")
+        )
+        asked = asked.unionByName(moves)
+    priced = overlap_join(asked, marks, ["ticker"], ("session", "until"), ("d", "_until"))
     zero = F.lit(0).cast(MONEY)
+    none = F.lit(0).cast("bigint")
 
-    def edges(df: DataFrame, first: str, last: str, value: Column, held_n: int, priced_n: int) -> DataFrame:
-        signs = F.explode(F.array(
-            F.struct(F.col(first).alias("d"), F.lit(1).alias("s")),
-            F.struct(F.date_add(F.col(last), 1).alias("d"), F.lit(-1).alias("s")),
-        ))
-        return df.select("fund", signs.alias("_e"), value.alias("_v")).select(
-            "fund", "_e.d", zero.alias("cash"), F.when(F.col("_e.s") > 0, F.col("_v")).otherwise(-F.col("_v")).cast(MONEY).alias("value"),
-            (F.col("_e.s") * held_n).cast("bigint").alias("held"),
-            (F.col("_e.s") * priced_n).cast("bigint").alias("priced"),
+    def start_end(first: str, last: str) -> Column:
+        return F.array(
+            F.struct(F.col(first).alias("d"), F.lit(1).alias("s")), F.struct(F.date_add(F.col(last), 1).alias("d"), F.lit(-1).alias("s"))
         )
 
-    none = F.lit(0).cast("bigint")
-    changes = (
-        _signed(fills).select("fund", F.col("session").alias("d"), F.col("_cash").alias("cash"),
-                              zero.alias("value"), none.alias("held"), none.alias("priced"))
-        .unionByName(edges(priced, "seg_start", "seg_end", (F.col("shares").cast("decimal(18,0)") * F.col("mark")).cast(MONEY), 0, 1))
-        .unionByName(edges(held, "session", "until", zero, 1, 0))
+    value = (F.col("shares").cast("decimal(18,0)") * F.col("mark")).cast(MONEY)
+    at_once = F.array(F.struct(F.col("session").alias("d"), F.lit(0).alias("s")))
+    steps = F.when(F.col("_moved"), at_once).otherwise(start_end("seg_start", "seg_end")) if trades else start_end("seg_start", "seg_end")
+    sign = F.col("_e.s")
+    valued = priced.select("fund", F.explode(steps).alias("_e"), value.alias("_v")).select(
+        "fund", "_e.d", zero.alias("cash"), F.when(sign > 0, F.col("_v")).when(sign < 0, -F.col("_v")).otherwise(zero).cast(MONEY).alias("value"),
+        none.alias("held"), sign.cast("bigint").alias("priced"), F.when(sign == 0, F.col("_v")).otherwise(zero).cast(MONEY).alias("bought"), none.alias("n"),
+    )
+    counted = held.select("fund", F.explode(start_end("session", "until")).alias("_e")).select(
+        "fund", "_e.d", zero.alias("cash"), zero.alias("value"), sign.cast("bigint").alias("held"), none.alias("priced"), zero.alias("bought"), none.alias("n"),
+    )
+    filled = _signed(fills).select(
+        "fund", F.col("session").alias("d"), F.col("_cash").alias("cash"), zero.alias("value"), none.alias("held"), none.alias("priced"),
+        zero.alias("bought"), F.lit(1).cast("bigint").alias("n"),
     )
-    funds = fills.select("fund").distinct()
-    wanted = on_dates(funds, sessions, "d").select(
-        "fund", "d", zero.alias("cash"), zero.alias("value"), none.alias("held"), none.alias("priced")
+    changes = filled.unionByName(valued).unionByName(counted)
+    wanted = on_dates(fills.select("fund").distinct(), sessions, "d").select(
+        "fund", "d", zero.alias("cash"), zero.alias("value"), none.alias("held"), none.alias("priced"), zero.alias("bought"), none.alias("n"),
     ).withColumn("wanted", F.lit(True))
+    totals = ("cash", "value", "held", "priced")
     daily = (
         changes.withColumn("wanted", F.lit(False)).unionByName(wanted)
         .groupBy("fund", "d")
-        .agg(*[F.sum(c).alias(c) for c in ("cash", "value", "held", "priced")], F.bool_or("wanted").alias("wanted"))
+        .agg(*[F.sum(c).alias(c) for c in (*totals, "bought", "n")], F.bool_or("wanted").alias("wanted"))
     )
     upto = Window.partitionBy("fund").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    run = daily.select("fund", "d", "wanted", *[F.sum(c).over(upto).alias(c) for c in ("cash", "value", "held", "priced")])
+    run = daily.select(
+        "fund", "d", "wanted", F.col("cash").cast(MONEY).alias("_cash"), F.col("bought").cast(MONEY).alias("_bought"), F.col("n").alias("n_fills"),
+        *[F.sum(c).over(upto).alias(c) for c in totals],
+    )
     cash = capital.cast(MONEY) + F.col("cash").cast(MONEY)
     return run.where("wanted").select(
         "fund", F.col("d").alias("session"), cash.cast(MONEY).alias("cash"),
         (cash + F.col("value").cast(MONEY)).cast(MONEY).alias("nav"),
         F.col("held").cast("bigint").alias("n_held"), (F.col("held") - F.col("priced")).cast("bigint").alias("n_unpriced"),
+        "_cash", "_bought", "n_fills",
     )
 
 
@@ -210,28 +241,13 @@ def cycle_accounting(
     """Equity, cash, fill counts and NAV around each trading session of a fund.
 
     Equity before trading is NAV after it, less the traded shares at the day's
-    mark, with the cash of before.
+    mark, with the cash of before. A day's own fills are summed beside the changes of NAV, so prices are read once.
     """
-    nav = exact_nav(fills, prices, sessions, capital, price_scale=price_scale)
-    traded = _signed(fills).groupBy("fund", "session", "ticker").agg(
-        F.sum("_shares").alias("_shares"), F.sum("_cash").alias("_cash"), F.count("*").alias("_n")
-    )
-    spans = price_spans(prices, sessions.agg(F.max("d")).scalar(), None, price_scale)
-    marked = traded.join(
-        overlap_join(
-            traded.select("ticker", "session").distinct(), spans, ["ticker"], ("session", "session"), ("d", "_until")
-        ).select("ticker", "session", "mark"),
-        ["ticker", "session"], "left",
-    )
-    flows = marked.groupBy("fund", "session").agg(
-        F.sum("_cash").cast(MONEY).alias("_cash"),
-        F.sum((F.coalesce("mark", F.lit(0)) * F.col("_shares").cast("decimal(18,0)")).cast(MONEY)).cast(MONEY).alias("_bought"),
-        F.sum("_n").alias("n_fills"),
-    )
-    joined = nav.join(flows, ["fund", "session"])
+    days = _nav_days(fills, prices, sessions, capital, price_scale=price_scale, trades=True)
+    days = days.where((F.col("n_fills") > 0) & F.col("fund").isNotNull())
     before = F.col("cash") - F.col("_cash")
     equity = (F.col("nav") - F.col("_bought")).cast(MONEY) - F.col("_cash")
-    return joined.select(
+    return days.select(
         "fund", "session", before.cast("double").alias("cash_before"), F.col("cash").cast("double").alias("cash_after"),
         equity.cast("double").alias("equity_before"), F.col("nav").cast("double").alias("nav_after"), "n_fills",
         F.col("n_held").alias("n_positions"),

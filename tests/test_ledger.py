@@ -1,4 +1,5 @@
 from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,17 @@ def test_sessions_and_completed_days(spark):
         reads.session_closes(bad, "M", "2025-01-01", "2025-01-31").collect()
     for stamp, n in (("2025-01-04 04:59:00", 1), ("2025-01-04 05:01:00", 3)):
         assert reads.completed_days(bars, F.to_timestamp(F.lit(stamp))).count() == n
+
+
+def test_cycle_accounting_reads_prices_once(spark):
+    days = [date(2024, 1, 2) + timedelta(days=i) for i in range(6)]
+    data = [("F", "A", 0, 1, "buy", 10, "2.5"), ("F", "A", 2, 2, "sell", 4, "3"), ("F", "B", 2, 3, "buy", 1, "7"), ("F", "A", 2, 4, "buy", 1, "3"), ("F", "A", 4, 5, "sell", 7, "1"), (None, "A", 4, 6, "buy", 1, "1")]
+    schema = "fund string, ticker string, session date, seq bigint, side string, quantity bigint, price decimal(18,5)"
+    fills = spark.createDataFrame([(f, t, days[k], q, s, n, Decimal(p)) for f, t, k, q, s, n, p in data], schema)
+    prices = spark.createDataFrame([("A", days[0], 2.0), ("A", days[1], 4.0), ("A", days[4], 5.0)], "ticker string, d date, close double")
+    sessions = spark.createDataFrame([(d,) for d in days], "d date")
+    out = ledger.cycle_accounting(fills, prices, sessions, F.lit(100))
+    got = {(r.session - days[0]).days: (r.cash_before, r.cash_after, r.equity_before, r.nav_after, r.n_fills, r.n_positions) for r in out.collect()}
+    # B has no price: its cash moves, its value does not count.
+    assert got == {0: (100.0, 75.0, 100.0, 95.0, 1, 1), 2: (75.0, 77.0, 115.0, 105.0, 3, 2), 4: (77.0, 84.0, 112.0, 84.0, 1, 1)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lead(d#") == 1
