@@ -16,9 +16,10 @@ document for which it does not hold indexes them too, so no link is lost.
 
 Keys meet in one shuffle. Each document first gets one candidate, the smallest document that it
 meets, after an exact filter: 256 parity bits of the set bound the symmetric difference
-from below. Candidates are verified on the sets themselves and linked into components. Then all pairs
-that meet in some key and still lie in different components are verified too. A
-group of thousands of near copies costs one verified pair a document, not all pairs.
+from below. Candidates are verified on the sets themselves and linked into components. While keys
+hold many pairs across components, each document outside its key's largest component is verified against
+four members at most, others every turn. Then all pairs that meet in some key and still lie in different components are
+verified too. A group of thousands of near copies costs a few verified pairs a document, not all pairs.
 
 Edge cases: null and empty texts have no n-grams and link with nothing; a text with fewer words than
 n is one n-gram; sets that are equal are one class, found by grouping; repeated rows and null ids
@@ -43,6 +44,8 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 #: Words whose hash a worker remembers.
 CACHE_WORDS = 200_000
 _WORDS: dict[bytes, int] = {}
+#: Turns in which a row meets ``HUBS`` of the largest component at most, and pairs a row from which such a turn pays.
+ROUNDS, HUBS, PAIRS_A_ROW = 3, 4, 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -172,8 +175,7 @@ def _may_link(a: str, b: str, num: int, den: int):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (u, v) whose sets reach the similarity."""
-    pairs = stored(pairs, "pairs")
+    """Those of the stored pairs (u, v) whose sets reach the similarity."""
     ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct(), "pair_ids")
     some = anti_by_id(texts, ids, "cid", ids.count(), "left_semi")
     left, right = some.select(F.col("cid").alias("u"), F.col("text").alias("tu")), some.select(F.col("cid").alias("v"), F.col("text").alias("tv"))
@@ -197,6 +199,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     return stored(map_batches(both, run, "u bigint, v bigint"), "verified")
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the keys in which different components meet, with ``top``, the label of most of the key's rows."""
+    over = lambda f: F.expr(f"{f}(label) OVER (PARTITION BY key)")
+    return stored(rows.withColumns({"lo": over("min"), "hi": over("max")}).where("lo <> hi").drop("lo", "hi").withColumn("top", over("mode")), "open")
+
+
+def _with_hubs(spread: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """At most ``HUBS`` pairs (u, v) for a document outside its keys' largest components: with members of those, others each turn."""
+    row = F.struct("cid", "n_shingles", *_PARITY)
+    hubs = spread.where("kind = 0 AND label = top").groupBy("key").agg(F.min_by(row, F.xxhash64("cid", F.lit(turn))).alias("b"))
+    met = spread.where("label <> top").select("key", row.alias("a")).join(hubs, "key").where(_may_link("a", "b", num, den))
+    few = met.groupBy(F.col("a.cid").alias("a")).agg(F.slice(F.array_sort(F.collect_set("b.cid")), 1, HUBS).alias("bs")).select("a", F.explode("bs").alias("b"))
+    return few.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def _labelled(df: DataFrame, roots: DataFrame, total: int) -> DataFrame:
     """*df* with ``label``: the root of its cid, or the cid itself."""
     sized = roots.select(F.col("node").alias("cid"), F.col("root").alias("_root"))
@@ -251,20 +268,27 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     size = classes.select("cid", "n_shingles", *_PARITY)
 
     stars = met.where("cid <> center").select(F.greatest("cid", "center").alias("u"), F.least("cid", "center").alias("v")).distinct()
-    first = _filtered(stored(stars, "stars"), size, num, den).groupBy("u").agg(F.min("v").alias("v"))
+    first = stored(_filtered(stored(stars, "stars"), size, num, den).groupBy("u").agg(F.min("v").alias("v")), "pairs")
     links = _verify(first, texts, n, num, den)
     roots = stored(components(links), "roots")
 
-    open_keys = _labelled(met.select("key", "cid", "kind"), roots, total)
-    open_keys = open_keys.join(size, "cid")
-    spread = open_keys.withColumns({"lo": F.expr("min(label) OVER (PARTITION BY key)"), "hi": F.expr("max(label) OVER (PARTITION BY key)")})
-    spread = stored(spread.where("lo <> hi").drop("lo", "hi"), "open")
-    a, b = spread.alias("a"), spread.alias("b")
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.cid") > F.col("b.cid"))
+    spread = _open(_labelled(met.select("key", "cid", "kind"), roots, total).join(size, "cid"))
+    tried, every, share = first, links, 1.0
+    for turn in range(ROUNDS):
+        rows, pairs = spread.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("top")).alias("m")).agg(F.sum("n"), F.sum(F.col("n") * F.col("m"))).first()
+        if share < 0.25 or (pairs or 0) <= PAIRS_A_ROW * (rows or 0):
+            break
+        some = stored(_with_hubs(spread, turn, num, den).join(tried, ["u", "v"], "left_anti"), "some")
+        more = _verify(some, texts, n, num, den)
+        share, tried, every = more.count() / max(1, some.count()), tried.unionByName(some), every.unionByName(more)
+        spread = _open(_labelled(spread.drop("label", "top"), stored(components(every), "roots"), total))
+    a, b = spread.where("label <> top").alias("a"), spread.alias("b")
+    # Of two rows with different labels one at least has not the label of most; if both have not, the larger cid comes first.
+    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.cid") > F.col("b.cid")))
                    & ((F.col("a.kind") == 0) | (F.col("b.kind") == 0)) & _may_link("a", "b", num, den))
-    cross = cross.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v")).distinct()
-    more = _verify(cross.join(first, ["u", "v"], "left_anti"), texts, n, num, den)
-    every = links.unionByName(more)
+    cross = cross.select(F.greatest("a.cid", "b.cid").alias("u"), F.least("a.cid", "b.cid").alias("v")).distinct()
+    cross = stored(cross.join(tried, ["u", "v"], "left_anti"), "pairs")
+    every = every.unionByName(_verify(cross, texts, n, num, den))
     roots = stored(components(every), "roots")
     degree = every.select(F.explode(F.array("u", "v")).alias("cid")).groupBy("cid").agg(F.count("*").alias("verified_links"))
     named = _labelled(classes, roots, total)

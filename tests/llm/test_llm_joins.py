@@ -106,3 +106,20 @@ def test_top_k(spark):
     got = {tuple(r) for r in topk.top_k(df).collect()}
     assert got == top_brute(rows, 20, 20)
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_a_large_group_costs_few_pairs_a_document(spark, monkeypatch):
+    """Copies of one text that differ from each other about as much as a link allows."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for k in range(240):
+        copy = list(base)
+        for at in rng.choice(160, int(rng.integers(1, 4)), replace=False):
+            copy[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(copy)))
+    tried, verify = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *a: (tried.append(pairs.count()), verify(pairs, *a))[1])
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 4, 5)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(rows, 5, 4, 5)
+    assert sum(tried) <= 12 * len(rows)
