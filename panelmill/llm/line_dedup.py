@@ -17,6 +17,8 @@ gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +31,36 @@ MIN_TEXTS = 3
 CONSTANT_TENTHS = 7
 #: Lines that are compared with each other at once.
 CHUNK = 32
-#: A line that holds white space other than single blanks.
-_ODD = r"[\t\r\x0B\f]|  "
+#: Agreeing places that one whole number holds as bits.
+WORD_BITS = 60
+#: Lines of one task that compares them.
+TASK_LINES = 1_000
+#: What white space other than single blanks a line may hold.
+_ODD = ("\t", "\r", "\x0b", "\f", "  ")
 _FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
+def _spaced(line: Column) -> Column:
+    """A line with single blanks between its tokens. Cheap where it is so already: Spark may evaluate this more than once."""
+    odd = reduce(lambda a, b: a | b, (F.contains(line, F.lit(c)) for c in _ODD))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+
+
 def _masked(line: Column) -> Column:
-    """Tokens of a line between runs of white space; those with a digit are fields."""
-    line = F.trim(F.when(line.rlike(_ODD), F.regexp_replace(line, r"\s+", " ")).otherwise(line))
-    return F.split(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line), " ")
+    """A spaced line; tokens with a digit are fields."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), at and line of every line."""
+    return docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), at, leaf, line (hash of the masked line) of lines long enough, and their tokens."""
-    out = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    out = out.select("doc_id", "th", "at", _masked(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    return out.select("doc_id", "th", "at", leaf.alias("leaf"), F.xxhash64("leaf", "tokens").alias("line"), "tokens")
+    """doc_id, th, at, leaf, line (hash of the masked line) of lines long enough."""
+    out = _places(docs).withColumn("line", _spaced(F.col("line"))).withColumn("size", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    out = out.where(F.col("size") >= MIN_TOKENS).withColumn("line", _masked(F.col("line")))
+    return out.select("doc_id", "th", "at", F.xxhash64("size", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("line"))
 
 
 def _fields(tokens: Column | str) -> Column:
@@ -77,17 +92,22 @@ def _extended(state: DataFrame, rows: DataFrame) -> DataFrame:
     return made.select("line", F.xxhash64("bucket", "part", tokens).alias("bucket"), F.array_except("free", "part").alias("free"))
 
 
-def _compared(held: DataFrame, rows: DataFrame) -> DataFrame:
+def _compared(held: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
     """Lines with a template within their chunk of a bucket: three texts whose lines agree in enough places."""
     chunk = F.pmod(F.col("line"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
-    both = held.select("line", "bucket", chunk).join(rows.select("line", "ths", "t"), "line")
+    both = held.select("line", "bucket", chunk).join(rows.select("line", "ths", "t"), "line").repartition(parts, "bucket", "chunk")
     groups = both.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("line", "ths", "t")).alias("items")).where(F.size("items") > 1)
-    count = lambda flags: F.size(F.filter(flags, lambda f: f))
-    same = lambda x, y: F.zip_with(x["t"], y["t"], lambda a, b: a == b)
-    enough = lambda x, flags: count(flags) >= F.size(x["t"]) - _fields(x["t"])
-    near = F.transform("items", lambda x: F.struct(x["line"].alias("line"), x["ths"].alias("ths"), x["t"].alias("t"), F.filter("items", lambda y: enough(x, same(x, y))).alias("near")))
+    # Equal places of two lines as bits of few whole numbers, made once a pair; three lines share the places of two such masks.
+    words = lambda x: F.sequence(F.lit(0), F.floor((F.size(x["t"]) - 1) / WORD_BITS).cast("int"))
+    bits = lambda flags: F.aggregate(flags, F.lit(0).cast("bigint"), lambda acc, f: acc * 2 + f.cast("bigint"))
+    same = lambda x, y: F.transform(words(x), lambda w: bits(F.zip_with(part(x, w), part(y, w), lambda a, b: a == b)))
+    part = lambda x, w: F.slice(x["t"], w * WORD_BITS + 1, F.lit(WORD_BITS))
+    count = lambda masks: F.aggregate(masks, F.lit(0), lambda acc, m: acc + F.bit_count(m))
+    enough = lambda x, masks: count(masks) >= F.size(x["t"]) - _fields(x["t"])
+    pairs = lambda x: F.transform("items", lambda y: F.struct(y["ths"].alias("ths"), same(x, y).alias("bits")))
+    near = F.transform("items", lambda x: F.struct(x["line"].alias("line"), x["ths"].alias("ths"), x["t"].alias("t"), F.filter(pairs(x), lambda y: enough(x, y["bits"])).alias("near")))
     found = lambda x: F.exists(x["near"], lambda y: F.exists(x["near"], lambda z: (
-        F.size(F.array_distinct(F.concat(x["ths"], y["ths"], z["ths"]))) >= MIN_TEXTS) & enough(x, F.zip_with(same(x, y), same(x, z), lambda a, b: a & b))))
+        enough(x, F.zip_with(y["bits"], z["bits"], lambda a, b: a.bitwiseAND(b)))) & (F.size(F.array_distinct(F.concat(x["ths"], y["ths"], z["ths"]))) >= MIN_TEXTS)))
     return groups.select(F.explode(F.filter(near, lambda x: (F.size(x["near"]) > 1) & found(x))).alias("x")).select("x.line")
 
 
@@ -100,6 +120,8 @@ def _templates(rows: DataFrame) -> DataFrame:
     """
     state = rows.select("line", F.col("leaf").alias("bucket"), F.sequence(F.lit(DEPTH), F.size("t") - 1).alias("free"))
     found = rows.select("line").limit(0)
+    # By rows: comparing them costs far more than their bytes tell.
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_LINES))
     while True:
         size = state.join(rows.select("line", F.size("ths").alias("k"), _fields("t").alias("m")), "line")
         size = stored(size, "sized")
@@ -112,10 +134,10 @@ def _templates(rows: DataFrame) -> DataFrame:
         rest = held.where(F.size("free") > F.col("m"))
         # Each line in its largest bucket; then the buckets of lines not found so.
         first = rest.groupBy("line").agg(F.max_by(F.struct("bucket", "n"), F.struct("n", "bucket")).alias("b")).select("line", "b.*")
-        found = stored(found.union(_compared(first, rows)).distinct(), "found")
+        found = stored(found.union(_compared(first, rows, parts)).distinct(), "found")
         left = stored(rest.join(found, "line", "left_anti").select("bucket").distinct(), "left")
         again = rest.join(left, "bucket", "left_semi")
-        found = stored(found.union(_compared(again.where(F.col("n") <= CHUNK), rows)).distinct(), "found")
+        found = stored(found.union(_compared(again.where(F.col("n") <= CHUNK), rows, parts)).distinct(), "found")
         large = stored(again.where(F.col("n") > CHUNK).select("line", "bucket", "free"), "large")
         if large.isEmpty():
             return found
@@ -127,14 +149,21 @@ def _templates(rows: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, at) of every line that a recurring template covers."""
     lines = _lines(docs)
-    keys = stored(lines.drop("tokens"), "line_keys")
+    keys = stored(lines, "line_keys")
     plain = stored(_recurring(keys, "line").select("line"), "plain")
     # Leaves that still have lines of enough texts after those.
     left = keys.join(_few(plain), "line", "left_anti")
     open_leaves = stored(_recurring(left, "leaf").select("leaf"), "leaves")
-    # One row for a line, with the two texts at most that hold it; the hash stands for the line from here on.
-    rows = lines.join(_few(open_leaves), "leaf", "left_semi").join(_few(plain), "line", "left_anti")
-    rows = rows.groupBy("line").agg(F.first("leaf").alias("leaf"), F.collect_set("th").alias("ths"), F.first("tokens").alias("t"))
+    # One place for a line, and the two texts at most that hold it; the hash stands for the line from here on.
+    spot = F.min(F.struct("th", "at")).alias("spot")
+    some = left.join(_few(open_leaves), "leaf", "left_semi").groupBy("line").agg(F.first("leaf").alias("leaf"), F.collect_set("th").alias("ths"), spot)
+    some = stored(some, "open_keys").select("line", "leaf", "ths", "spot.*")
+    # Tokens are read again at those places only; copies of a text have the same ones.
+    texts = some.select("th").distinct()
+    read = docs.join(_few(stored(texts, "open_texts")), F.xxhash64("text") == F.col("th"), "left_semi")
+    read = _places(read.select("doc_id", "text")).join(some.select("th", "at", F.col("line").alias("key")), ["th", "at"])
+    read = read.groupBy("key").agg(F.first("line").alias("line")).select(F.col("key").alias("line"), F.split(_masked(_spaced(F.col("line"))), " ").alias("t"))
+    rows = some.drop("th", "at").join(read, "line")
     rows = stored(rows.withColumn("t", F.transform("t", lambda t: F.xxhash64(t))), "open_lines")
     general = _templates(rows)
     drop = stored(plain.union(general).distinct(), "drop")

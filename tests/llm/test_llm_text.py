@@ -157,3 +157,19 @@ def test_line_dedup_splits_at_any_white_space(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [got[i] for i in (10, 11, 12)] == ["dora\ndoradora", "emil\nemilemil", "fred\nfredfred"]
     assert got[20] == "gina\r\nend" and got[21] == "hans\nend" and got[22] == "ida" and got[23] == "jon"
+
+
+def test_line_dedup_masks_a_line_once(docs):
+    """Spark pushes a filter on masked tokens below the masking, which then runs twice for every line."""
+    plan = line_dedup._lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<*>") == 1
+
+
+def test_line_dedup_compares_lines_of_more_tokens_than_a_mask_holds(spark):
+    """Lines of 130 tokens: three with 91 equal places (the least that a template has), three with 90."""
+    def lines(word, fields):
+        return [" ".join(["See", "all", word] + [f"{word}{'abc'[k]}{'xyzuvw'[i % 6]}{'klmnop'[i // 6 % 6]}{'rst'[i // 36 % 3]}" if i < fields else f"c{'ghij'[i % 4]}" for i in range(127)]) for k in range(3)]
+
+    rows = list(enumerate(lines("long", 39))) + [(10 + i, t) for i, t in enumerate(lines("short", 40))]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 10: 0, 11: 0, 12: 0}
