@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .checks import require
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -123,7 +124,8 @@ def share_below(
 
     Equal values are merged into counts first, then counts run over blocks of the
     value axis whose borders are the group's own quantiles, so neither ties nor a large or
-    skewed group meet in one task. Rows without a value or a key have no rank and stay.
+    skewed group meet in one task. The borders are stored: approximate quantiles depend on the order in which
+    partial ones arrive, and totals and rows must lie in the same blocks. Rows without a value or a key have no rank and stay.
     """
     by = list(by)
     known = df.where(F.col(value).isNotNull())
@@ -132,6 +134,7 @@ def share_below(
     borders = known.groupBy(*by).agg(
         F.percentile_approx(value, [i / blocks for i in range(1, blocks)], F.lit(1000)).alias("_borders")
     )
+    borders = stored(borders, "borders")
     counts = (
         known.groupBy(*by, value)
         .agg(F.count("*").alias("_same"))

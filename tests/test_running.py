@@ -62,3 +62,19 @@ def test_ties_of_a_rounded_percent_fall_by_whole_numbers(spark):
     got = {int(r.v): r.pct_rank for r in share_below(df, ["g"], "v", digits=6).collect()}
     want = {k: float((Decimal(100 * k) / n).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for k in range(n)}
     assert got == want
+
+
+def test_share_below_holds_when_quantiles_differ_each_time(spark, monkeypatch):
+    # Approximate quantiles depend on the order in which partial ones arrive; here each evaluation gives others.
+    def shaky(value, shares, accuracy):
+        return F.array(F.min(value) + (F.max(value) - F.min(value)) * F.expr("cast(reflect('java.lang.Math', 'random') AS DOUBLE)"))
+
+    monkeypatch.setattr(F, "percentile_approx", shaky)
+    df = spark.range(2_000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with many groups: a broadcast would be shared by both uses
+    try:
+        got = {int(r.v): r.pct_rank for r in share_below(df, ["g"], "v", digits=6).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {k: k / 20 for k in range(2_000)}
