@@ -14,9 +14,9 @@ band by estimated cost from the band's document count (``allocate``). Segments t
 document are not indexed as long as the pigeonhole count still holds without them; a
 document for which it does not hold indexes them too, so no link is lost.
 
-Keys meet in one shuffle. Each document first gets one candidate, the smallest document that it
-meets, after an exact filter: 256 parity bits of the set bound the symmetric difference
-from below. Candidates are verified on the sets themselves and linked into components. While keys
+Keys meet in one shuffle, and keys that the same documents share become one. Each document first gets one
+candidate, the smallest document that it meets, after an exact filter: 1,024 parity bits of the set bound the
+symmetric difference from below; they join where pairs are formed. Candidates are verified on the sets themselves and linked into components. While keys
 hold many pairs across components, each document outside its key's largest component is verified against
 four members at most, others every turn. Then all pairs that meet in some key and still lie in different components are
 verified too. A group of thousands of near copies costs a few verified pairs a document, not all pairs.
@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from .common import anti_by_id, hot_join, map_batches, only_cache, stored
 from .components import components
 
-PARITY_LONGS = 4
+#: 1,024 bits: fewer fill up with the differences of longer texts, and then rule out nothing.
+PARITY_LONGS = 16
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words whose hash a worker remembers.
 CACHE_WORDS = 200_000
@@ -155,23 +156,20 @@ def _describe(n: int):
             bits.append(np.packbits(parity.astype(np.uint8)))
         longs = np.frombuffer(b"".join(x.tobytes() for x in bits), dtype="<i8").reshape(-1, PARITY_LONGS)
         return pa.record_batch(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(a, dtype=np.uint64).view(np.int64)), pa.array(np.array(b, dtype=np.uint64).view(np.int64))]
-            + [pa.array(longs[:, i].copy()) for i in range(PARITY_LONGS)],
-            ["doc_id", "n_shingles", "h1", "h2", *(f"p{i}" for i in range(PARITY_LONGS))],
+            [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(a, dtype=np.uint64).view(np.int64)), pa.array(np.array(b, dtype=np.uint64).view(np.int64)),
+             pa.array(list(longs), pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "h1", "h2", "parity"],
         )
 
     return run
 
 
-_PARITY = [f"p{i}" for i in range(PARITY_LONGS)]
-
-
 def _may_link(a: str, b: str, num: int, den: int):
     """Exact filter: sizes and parity bits allow the similarity."""
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in _PARITY), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(PARITY_LONGS)), F.lit(0))
     # |x ^ y| <= (den - num) / (den + num) * (|x| + |y|)
-    return (differ * (den + num) <= (na + nb) * (den - num)) & (na * den >= nb * num) & (nb * den >= na * num)
+    return (na * den >= nb * num) & (nb * den >= na * num) & (differ * (den + num) <= (na + nb) * (den - num))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -205,13 +203,12 @@ def _open(rows: DataFrame) -> DataFrame:
     return stored(rows.withColumns({"lo": over("min"), "hi": over("max")}).where("lo <> hi").drop("lo", "hi").withColumn("top", over("mode")), "open")
 
 
-def _with_hubs(spread: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+def _with_hubs(spread: DataFrame, size: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """At most ``HUBS`` pairs (u, v) for a document outside its keys' largest components: with members of those, others each turn."""
-    row = F.struct("cid", "n_shingles", *_PARITY)
-    hubs = spread.where("kind = 0 AND label = top").groupBy("key").agg(F.min_by(row, F.xxhash64("cid", F.lit(turn))).alias("b"))
-    met = spread.where("label <> top").select("key", row.alias("a")).join(hubs, "key").where(_may_link("a", "b", num, den))
-    few = met.groupBy(F.col("a.cid").alias("a")).agg(F.slice(F.array_sort(F.collect_set("b.cid")), 1, HUBS).alias("bs")).select("a", F.explode("bs").alias("b"))
-    return few.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    hubs = spread.where("kind = 0 AND label = top").groupBy("key").agg(F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("v"))
+    met = spread.where("label <> top").select("key", F.col("cid").alias("u")).join(hubs, "key").select("u", "v").distinct()
+    few = _filtered(met, size, num, den).groupBy("u").agg(F.slice(F.array_sort(F.collect_set("v")), 1, HUBS).alias("vs")).select("u", F.explode("vs").alias("v"))
+    return few.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _labelled(df: DataFrame, roots: DataFrame, total: int) -> DataFrame:
@@ -223,10 +220,9 @@ def _labelled(df: DataFrame, roots: DataFrame, total: int) -> DataFrame:
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of *docs*: doc_id, n_shingles, component_id, verified_links (of its class)."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, " + ", ".join(f"{p} bigint" for p in _PARITY)
-    prints = stored(map_batches(base, _describe(n), schema), "prints")
+    prints = stored(map_batches(base, _describe(n), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, parity array<bigint>"), "prints")
     total, distinct, nulls = prints.agg(F.count("*"), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    classes = prints.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2", *_PARITY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = prints.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2", "parity").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # A class is named by its smallest doc_id where those are unique; else by a number of its own.
     own_ids = total == distinct and nulls == 0
     classes = stored(classes.withColumn("cid", F.col("rep") if own_ids else F.monotonically_increasing_id()), "classes")
@@ -263,26 +259,29 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
         "center": F.expr("min(CASE WHEN kind = 0 THEN cid END) OVER (PARTITION BY key)"),
         "far": F.expr("max(cid) OVER (PARTITION BY key)"),
         "near": F.expr("min(cid) OVER (PARTITION BY key)"),
-    }).where("center IS NOT NULL AND far <> near").select("key", "cid", "kind", "center")
-    met = stored(met, "met")
-    size = classes.select("cid", "n_shingles", *_PARITY)
+        "members": F.expr("bit_xor(xxhash64(cid, kind)) OVER (PARTITION BY key)"),
+    }).where("center IS NOT NULL AND far <> near").groupBy(F.col("members").alias("key"), "cid", "kind", "center").agg(F.count("*").alias("keys"))
+    met = stored(met, "met")  # a key for each different group, and how many it stands for; groups of equal hash would only meet more
+    size = classes.select("cid", "n_shingles", "parity")
 
     stars = met.where("cid <> center").select(F.greatest("cid", "center").alias("u"), F.least("cid", "center").alias("v")).distinct()
     first = stored(_filtered(stored(stars, "stars"), size, num, den).groupBy("u").agg(F.min("v").alias("v")), "pairs")
     links = _verify(first, texts, n, num, den)
     roots = stored(components(links), "roots")
 
-    spread = _open(_labelled(met.select("key", "cid", "kind"), roots, total).join(size, "cid"))
+    spread = _open(_labelled(met.select("key", "cid", "kind", "keys"), roots, total))
     tried, every, share = first, links, 1.0
     for turn in range(ROUNDS):
-        rows, pairs = spread.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("top")).alias("m")).agg(F.sum("n"), F.sum(F.col("n") * F.col("m"))).first()
+        size_of = spread.groupBy("key").agg(F.sum("keys").alias("n"), F.count_if(F.col("label") != F.col("top")).alias("m"))
+        rows, pairs = size_of.agg(F.sum("n"), F.sum(F.col("n") * F.col("m"))).first()
         if share < 0.25 or (pairs or 0) <= PAIRS_A_ROW * (rows or 0):
             break
-        some = stored(_with_hubs(spread, turn, num, den).join(tried, ["u", "v"], "left_anti"), "some")
+        some = stored(_with_hubs(spread, size, turn, num, den).join(tried, ["u", "v"], "left_anti"), "some")
         more = _verify(some, texts, n, num, den)
         share, tried, every = more.count() / max(1, some.count()), tried.unionByName(some), every.unionByName(more)
         spread = _open(_labelled(spread.drop("label", "top"), stored(components(every), "roots"), total))
-    a, b = spread.where("label <> top").alias("a"), spread.alias("b")
+    sized = spread.join(size, "cid")
+    a, b = sized.where("label <> top").alias("a"), sized.alias("b")
     # Of two rows with different labels one at least has not the label of most; if both have not, the larger cid comes first.
     cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.cid") > F.col("b.cid")))
                    & ((F.col("a.kind") == 0) | (F.col("b.kind") == 0)) & _may_link("a", "b", num, den))
@@ -311,8 +310,8 @@ def _band_sizes(counts: dict, num: int, den: int) -> list[int]:
 
 
 def _filtered(pairs: DataFrame, size: DataFrame, num: int, den: int) -> DataFrame:
-    a = size.select(F.col("cid").alias("u"), F.struct("n_shingles", *_PARITY).alias("a"))
-    b = size.select(F.col("cid").alias("v"), F.struct("n_shingles", *_PARITY).alias("b"))
+    a = size.select(F.col("cid").alias("u"), F.struct("n_shingles", "parity").alias("a"))
+    b = size.select(F.col("cid").alias("v"), F.struct("n_shingles", "parity").alias("b"))
     return pairs.join(a, "u").join(b, "v").where(_may_link("a", "b", num, den)).select("u", "v")
 
 

@@ -123,3 +123,30 @@ def test_a_large_group_costs_few_pairs_a_document(spark, monkeypatch):
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 4, 5)
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(rows, 5, 4, 5)
     assert sum(tried) <= 12 * len(rows)
+
+
+def test_long_texts_below_the_similarity_are_not_verified(spark, monkeypatch):
+    # Six texts of 1,500 words, each with a third of its words its own: similarity about a quarter, hundreds of keys in common.
+    rng = np.random.default_rng(5)
+    body, rows = [f"w{i}" for i in rng.integers(0, 10_000, 1_500)], []
+    for i in range(6):
+        words = list(body)
+        for at in range(100 * i, 100 * i + 500):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(6, rows[0][1] + " end"), (7, " ".join(f"v{i}" for i in range(1_500))), (8, " ".join(f"v{i}" for i in range(1_499)))]
+    verified, counts = [], {}
+    real, real_stored = ngram_join._verify, ngram_join.stored
+
+    def stored(df, name):
+        out = real_stored(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *a: verified.append(pairs.count()) or real(pairs, *a))
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    got = Counter(tuple(r)[:3] for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), 5, 4, 5).collect())
+    assert got == brute(rows, 5, 4, 5)
+    assert sum(verified) == 2
+    # Texts 7 and 8 share hundreds of keys, which are one key since the same two meet there.
+    assert counts["met"] < 1_500
