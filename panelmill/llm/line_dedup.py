@@ -29,10 +29,9 @@ MIN_TOKENS = 4
 MIN_TEXTS = 3
 #: Share of constants that a template has, in tenths.
 CONSTANT_TENTHS = 7
-#: Lines that are compared with each other at once.
-CHUNK = 32
-#: Agreeing places that one whole number holds as bits.
-WORD_BITS = 60
+#: Lines that are compared with each other at once, and lines of a bucket up to which those without a template meet all others:
+#: splitting puts a line into a dozen buckets and more, each of which moves, so it pays in larger ones only.
+CHUNK, FULL = 32, 2_048
 #: Lines of one task that compares them.
 TASK_LINES = 1_000
 #: What white space other than single blanks a line may hold.
@@ -92,31 +91,34 @@ def _extended(state: DataFrame, rows: DataFrame) -> DataFrame:
     return made.select("line", F.xxhash64("bucket", "part", tokens).alias("bucket"), F.array_except("free", "part").alias("free"))
 
 
-def _compared(held: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
-    """Lines with a template within their chunk of a bucket: three texts whose lines agree in enough places."""
-    chunk = F.pmod(F.col("line"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
+def _compared(held: DataFrame, rows: DataFrame, parts: int, size: int, known: DataFrame | None = None) -> DataFrame:
+    """Lines with a template within their chunk of a bucket: three texts whose lines agree in enough places.
+
+    With *known* lines, only templates that hold another line are looked for.
+    """
+    chunk = F.pmod(F.col("line"), F.ceil(F.col("n") / size)).alias("chunk")
     both = held.select("line", "bucket", chunk).join(rows.select("line", "ths", "t"), "line").repartition(parts, "bucket", "chunk")
-    groups = both.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("line", "ths", "t")).alias("items")).where(F.size("items") > 1)
-    # Equal places of two lines as bits of few whole numbers, made once a pair; three lines share the places of two such masks.
-    words = lambda x: F.sequence(F.lit(0), F.floor((F.size(x["t"]) - 1) / WORD_BITS).cast("int"))
-    bits = lambda flags: F.aggregate(flags, F.lit(0).cast("bigint"), lambda acc, f: acc * 2 + f.cast("bigint"))
-    same = lambda x, y: F.transform(words(x), lambda w: bits(F.zip_with(part(x, w), part(y, w), lambda a, b: a == b)))
-    part = lambda x, w: F.slice(x["t"], w * WORD_BITS + 1, F.lit(WORD_BITS))
-    count = lambda masks: F.aggregate(masks, F.lit(0), lambda acc, m: acc + F.bit_count(m))
-    enough = lambda x, masks: count(masks) >= F.size(x["t"]) - _fields(x["t"])
-    pairs = lambda x: F.transform("items", lambda y: F.struct(y["ths"].alias("ths"), same(x, y).alias("bits")))
-    near = F.transform("items", lambda x: F.struct(x["line"].alias("line"), x["ths"].alias("ths"), x["t"].alias("t"), F.filter(pairs(x), lambda y: enough(x, y["bits"])).alias("near")))
-    found = lambda x: F.exists(x["near"], lambda y: F.exists(x["near"], lambda z: (
-        enough(x, F.zip_with(y["bits"], z["bits"], lambda a, b: a.bitwiseAND(b)))) & (F.size(F.array_distinct(F.concat(x["ths"], y["ths"], z["ths"]))) >= MIN_TEXTS)))
-    return groups.select(F.explode(F.filter(near, lambda x: (F.size(x["near"]) > 1) & found(x))).alias("x")).select("x.line")
+    others = both if known is None else both.join(_few(known), "line", "left_anti")
+    x, y, z = others.alias("x"), both.alias("y"), both.alias("z")
+    once = F.col("x.line") < F.col("y.line") if known is None else F.col("x.line") != F.col("y.line")
+    together = lambda a, b: (F.col(f"{a}.bucket") == F.col(f"{b}.bucket")) & (F.col(f"{a}.chunk") == F.col(f"{b}.chunk"))
+    least = F.size("x.t") - _fields("x.t")
+    # A token's hash holds its place, so equal places are common elements.
+    same = F.array_intersect("x.t", "y.t")
+    pairs = x.join(y, together("x", "y") & once & (F.size(same) >= least))
+    pairs = pairs.select("x.bucket", "x.chunk", F.col("x.line").alias("line"), F.col("y.line").alias("other"), same.alias("same"), F.array_union("x.ths", "y.ths").alias("ths"), least.alias("least"))
+    # The third line may be the second again: two lines may be of three texts.
+    agrees = (F.col("z.line") != F.col("p.line")) & (F.size(F.array_intersect("p.same", "z.t")) >= F.col("p.least"))
+    found = pairs.alias("p").join(z, together("p", "z") & agrees & (F.size(F.array_union("p.ths", "z.ths")) >= MIN_TEXTS), "left_semi")
+    return found.select(F.explode(F.array("line", "other")).alias("line"))
 
 
 def _templates(rows: DataFrame) -> DataFrame:
     """Lines that agree with lines of two other texts of their leaf in ``CONSTANT_TENTHS`` of all places, the same for all three.
 
-    A bucket starts as a leaf. Buckets of at most ``CHUNK`` lines are compared in full. Larger ones are compared by chunks
-    first, which finds the lines of frequent templates; those with lines left are split by further tokens, with as many
-    ways as it takes to lose no template, until they are small or share enough places.
+    A bucket starts as a leaf. Buckets are compared by chunks of ``CHUNK`` lines first, which finds the lines of frequent templates.
+    In those of at most ``FULL`` lines, lines left are then compared with all others; larger ones are split by further tokens, with as
+    many ways as it takes to lose no template, until they are small enough or share enough places.
     """
     state = rows.select("line", F.col("leaf").alias("bucket"), F.sequence(F.lit(DEPTH), F.size("t") - 1).alias("free"))
     found = rows.select("line").limit(0)
@@ -134,11 +136,11 @@ def _templates(rows: DataFrame) -> DataFrame:
         rest = held.where(F.size("free") > F.col("m"))
         # Each line in its largest bucket; then the buckets of lines not found so.
         first = rest.groupBy("line").agg(F.max_by(F.struct("bucket", "n"), F.struct("n", "bucket")).alias("b")).select("line", "b.*")
-        found = stored(found.union(_compared(first, rows, parts)).distinct(), "found")
+        found = stored(found.union(_compared(first, rows, parts, CHUNK)).distinct(), "found")
         left = stored(rest.join(found, "line", "left_anti").select("bucket").distinct(), "left")
         again = rest.join(left, "bucket", "left_semi")
-        found = stored(found.union(_compared(again.where(F.col("n") <= CHUNK), rows, parts)).distinct(), "found")
-        large = stored(again.where(F.col("n") > CHUNK).select("line", "bucket", "free"), "large")
+        found = stored(found.union(_compared(again.where(F.col("n") <= FULL), rows, parts, FULL, found)).distinct(), "found")
+        large = stored(again.where(F.col("n") > FULL).select("line", "bucket", "free"), "large")
         if large.isEmpty():
             return found
         state = stored(_extended(large, rows), "extended")
@@ -164,7 +166,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     read = _places(read.select("doc_id", "text")).join(some.select("th", "at", F.col("line").alias("key")), ["th", "at"])
     read = read.groupBy("key").agg(F.first("line").alias("line")).select(F.col("key").alias("line"), F.split(_masked(_spaced(F.col("line"))), " ").alias("t"))
     rows = some.drop("th", "at").join(read, "line")
-    rows = stored(rows.withColumn("t", F.transform("t", lambda t: F.xxhash64(t))), "open_lines")
+    rows = stored(rows.withColumn("t", F.transform("t", lambda t, place: F.xxhash64(t, place))), "open_lines")
     general = _templates(rows)
     drop = stored(plain.union(general).distinct(), "drop")
     return keys.join(_few(drop), "line", "left_semi").select("doc_id", "th", "at")

@@ -173,3 +173,22 @@ def test_line_dedup_compares_lines_of_more_tokens_than_a_mask_holds(spark):
     rows = list(enumerate(lines("long", 39))) + [(10 + i, t) for i, t in enumerate(lines("short", 40))]
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {0: 1, 1: 1, 2: 1, 10: 0, 11: 0, 12: 0}
+
+
+def test_line_dedup_compares_a_bucket_in_full_before_it_splits_it(spark, monkeypatch):
+    """A leaf of 300 lines without a template, and two lines among them that make one with a third."""
+    rng = np.random.default_rng(9)
+    words = [f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)]
+    rows = [(i, f"This is the {' '.join(rng.choice(words, 17))}") for i in range(300)]
+    rows += [(1000 + i, f"This is the {w} page of our shop for friends that like to read of {w} and {w} too") for i, w in enumerate(words[:3])]
+    split = []
+    monkeypatch.setattr(line_dedup, "_extended", lambda *a: split.append(1))
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [i for i, n in sorted(got.items()) if n] == [1000, 1001, 1002] and not split
+
+
+@pytest.mark.parametrize("full", [4, 2_048])
+def test_line_dedup_splits_and_compares_alike(spark, monkeypatch, full):
+    """Large buckets that are split drop the same lines as those compared in full."""
+    monkeypatch.setattr(line_dedup, "FULL", full)
+    test_line_dedup_finds_rare_templates_in_a_large_leaf(spark)
