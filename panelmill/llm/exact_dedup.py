@@ -24,6 +24,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +75,11 @@ def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([batch.column(0), pa.array(shas, pa.string()), pa.array(prints, pa.int64())], ["doc_id", "sha", "fp"])
 
 
+def _lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``normalised`` of a batch's texts; Spark's translate takes them letter by letter."""
+    return pa.record_batch([batch.column(0), pc.ascii_lower(pc.fill_null(batch.column(1), ""))], ["doc_id", "body"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, sha, fp) of every row."""
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), _digests, PRINTS)
@@ -127,13 +133,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     suspects = marked.where("suspect")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     texts = anti_by_id(texts, suspects.select("doc_id").distinct(), "doc_id", suspects.count(), "left_semi")
-    by_text = texts.groupBy(normalised(F.col("text")).alias("body")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("size"))
+    texts = map_batches(texts, _lowered, "doc_id bigint, body string")
+    by_text = texts.groupBy("body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("size"))
     groups = by_text.select(F.sha2("body", 256).alias("sha"), "keep_id", "size")
     # Bytes have been compared: two texts with one digest would be an error, not a group.
     groups = groups.groupBy("sha").agg(
         F.when(F.count("*") > 1, F.raise_error(F.lit("two texts share a digest"))).otherwise(F.max("keep_id")).alias("keep_id"),
         F.max("size").alias("group_size"),
     ).withColumn("_rows", F.col("group_size"))
+    groups = stored(groups, "groups")  # hot_join reads it twice, and it compares texts
     found = hot_join(suspects, groups, ["sha"], "_rows", total)
     single = marked.where("NOT suspect").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("bigint")})
     every = found.unionByName(single).withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))

@@ -192,3 +192,15 @@ def test_line_dedup_splits_and_compares_alike(spark, monkeypatch, full):
     """Large buckets that are split drop the same lines as those compared in full."""
     monkeypatch.setattr(line_dedup, "FULL", full)
     test_line_dedup_finds_rare_templates_in_a_large_leaf(spark)
+
+
+def test_exact_dedup_lowers_in_arrow_as_in_spark(spark):
+    import pyarrow as pa
+
+    texts = ["", "ABCXYZ abc", "ÀÉÖ ẞ İ Straße ÑandU", "a\x00B\n\tC", "日本Go", None]
+    got = exact_dedup._lowered(pa.record_batch([pa.array(range(6)), pa.array(texts, pa.string())], ["doc_id", "text"])).column(1).to_pylist()
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert got == [lower(t) for t in texts] == [r[0] for r in df.orderBy("i").select(exact_dedup.normalised(df["text"])).collect()]
+    # Texts are read and compared once, not once for each part of hot_join.
+    plan = exact_dedup.exact_dedup(df.selectExpr("i AS doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "body" not in plan
