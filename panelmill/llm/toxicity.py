@@ -19,7 +19,8 @@ repeated rows score alike; without labels every score is 0; extra columns are ig
 from __future__ import annotations
 
 import re
-import zlib
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ EPOCHS, BATCH, RATE, DECAY, COUNTERFACTUAL = 8, 256, 0.05, 1e-4, 1.0
 CACHE_WORDS = 100_000
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
-_KNOWN: dict[str, tuple[int, ...]] = {}
+_KNOWN: dict[str, list[int]] = {}
+#: Where a checksum goes on after its first letters.
+_MASK, _OF_WORD, _OF_STEM = (1 << BITS) - 1, crc32(b"w"), [(n, crc32(b"s%d" % n)) for n in STEMS]
 
 #: Terms that name groups in English, German, French and Spanish, each row a set whose members are swapped for each other.
 IDENTITY_TERMS = (
@@ -56,6 +59,15 @@ IDENTITY_TERMS = (
 _SWAP = {w: row[(i + 1) % len(row)] for row in IDENTITY_TERMS for i, w in enumerate(row)}
 
 
+def _features_of(w: str) -> list[int]:
+    """CRC-32 of "w" and the word, and of "s", n and its first n letters."""
+    whole, size = w.encode(), len(w)
+    found = [crc32(whole, _OF_WORD) & _MASK]
+    if size == len(whole):  # letters are bytes
+        return found + [crc32(whole[:n], start) & _MASK for n, start in _OF_STEM if n < size]
+    return found + [crc32(w[:n].encode(), start) & _MASK for n, start in _OF_STEM if n < size]
+
+
 def _ids(words: set[str]) -> np.ndarray:
     only_cache("toxicity", _KNOWN)
     out = set()
@@ -64,14 +76,33 @@ def _ids(words: set[str]) -> np.ndarray:
         if found is None:
             if len(_KNOWN) > CACHE_WORDS:
                 _KNOWN.clear()
-            mask = (1 << BITS) - 1
-            stems = (b"s%d" % n + w[:n].encode() for n in STEMS if len(w) > n)
-            found = (zlib.crc32(b"w" + w.encode()) & mask, *(zlib.crc32(x) & mask for x in stems))
-            _KNOWN[w] = found
+            _KNOWN[w] = found = _features_of(w)
         out.update(found)
     return np.fromiter(out, dtype=np.int32, count=len(out))
 
 
+class _Live(dict):
+    """The features of a word that carry weight in a model; most words have none."""
+
+    def __init__(self, weights: np.ndarray):
+        self.carries = (weights != 0).tobytes()
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        carries = self.carries
+        self[word] = found = tuple([i for i in _features_of(word) if carries[i]])
+        return found
+
+
+def _logits(model: tuple[np.ndarray, float], texts: list[str | None], live: _Live) -> list[float]:
+    """Intercept and weights of each text's distinct features."""
+    only_cache("toxicity", _KNOWN)
+    w, b = model
+    found = (list(set(chain.from_iterable(map(live.__getitem__, _words(t))))) for t in texts)
+    return [w[ids].sum(dtype=np.float64) + b if ids else b for ids in found]
+
+
 def _words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
@@ -89,7 +120,7 @@ def mentions(text: str | None) -> tuple[set[str], set[str]] | None:
     sentences = [s for s in _SENTENCE.split(text or "") if s.strip()]
     if not sentences:
         return None
-    pick = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    pick = crc32(text.encode("utf-8", "surrogatepass"))
     words = _words(sentences[pick % len(sentences)])
     pick //= len(sentences)
     row = IDENTITY_TERMS[pick % len(IDENTITY_TERMS)]
@@ -196,13 +227,13 @@ def mention_gap(model: tuple[np.ndarray, float], texts: list[str | None]) -> flo
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
     """One row per row of *docs*: doc_id, held_out, score, predicted."""
+    live = None if model is None else _Live(model[0])  # each task has its own copy
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if model is None:
             found = np.zeros(batch.num_rows)
         else:
-            w, b = model
-            z = np.array([w[_ids(_words(t))].sum(dtype=np.float64) + b for t in batch.column(1).to_pylist()])
+            z = np.array(_logits(model, batch.column(1).to_pylist(), live))
             found = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return pa.record_batch([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
@@ -213,14 +244,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """*docs* without the rows scored as toxic, all columns kept."""
     model = train(docs, labels)
-    return keep_rows(docs, lambda texts: _keep(model, texts))
-
-
-def _keep(model: tuple[np.ndarray, float] | None, texts: list[str | None]) -> list[bool]:
-    if model is None:
-        return [True] * len(texts)
-    w, b = model
-    return [bool(w[_ids(_words(t))].sum(dtype=np.float64) + b < 0) for t in texts]
+    live = None if model is None else _Live(model[0])
+    return keep_rows(docs, lambda texts: [True] * len(texts) if model is None else [bool(z < 0) for z in _logits(model, texts, live)])
 
 
 def keep_rows(docs: DataFrame, keep) -> DataFrame:

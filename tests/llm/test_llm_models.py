@@ -1,6 +1,7 @@
 """The two classifiers on given tables, and on odd rows."""
 
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -105,3 +106,15 @@ def test_temperature_is_chosen():
     y = (x[:, 0] + rng.normal(0, 1, 400) > 0).astype(float)
     net = quality.Network(x[:300], y[:300], x[300:], y[300:])
     assert net.temperature != 1.0 and 0 < net.score(x).min() < net.score(x).max() < 1
+
+
+def test_scoring_looks_only_at_features_that_carry_weight():
+    rng = np.random.default_rng(4)
+    w = np.where(rng.random(1 << toxicity.BITS) < 0.02, rng.normal(size=1 << toxicity.BITS), 0).astype(np.float32)
+    texts = [None, "", "  ", "Idiot garden idiots GARDENER", "weiße Straßenbahnen über élévateurs 12345678", " ".join(f"word{i}" for i in range(3_000))]
+    live = toxicity._Live(w)
+    got = toxicity._logits((w, 0.25), texts, live)
+    assert np.allclose(got, [w[toxicity._ids(toxicity._words(t))].sum(dtype=np.float64) + 0.25 for t in texts], rtol=0, atol=1e-12)
+    assert sum(map(len, live.values())) < 0.1 * sum(len(toxicity._features_of(x)) for x in live)
+    word = "straßenbahn"
+    assert toxicity._features_of(word) == [zlib.crc32(x) % (1 << toxicity.BITS) for x in [b"w" + word.encode(), *(b"s%d" % n + word[:n].encode() for n in toxicity.STEMS)]]
